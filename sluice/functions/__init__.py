@@ -105,7 +105,7 @@ def backoff_ms(retry_count, base_ms: int, max_ms: int) -> Column:
     The exponent uses the count *before* the increment.
     """
     exp = F.greatest(F.lit(0), F.least(F.lit(20), col(retry_count).cast("int")))
-    raw = F.lit(base_ms).cast("bigint") * F.shiftleft(F.lit(1).cast("bigint"), exp)
+    raw = F.lit(base_ms).cast("bigint") * F.pow(F.lit(2), exp).cast("bigint")
     return F.greatest(F.lit(1).cast("bigint"), F.least(F.lit(max_ms).cast("bigint"), raw))
 
 

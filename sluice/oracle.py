@@ -44,8 +44,8 @@ VIEWS: dict[str, str] = {
          event_id % 101 <> 0 AS received_ok,
          event_id % 103 <> 0 AS delivered_ok,
          event_id % 97 <> 0 AS push_ok,
-         epoch_ms(ts) AS seen_ms,
-         CASE WHEN event_id % 4 > 0 THEN epoch_ms(ts) + CAST(floor(value * 100) AS BIGINT) END
+         (epoch_us(ts) // 1000) AS seen_ms,
+         CASE WHEN event_id % 4 > 0 THEN (epoch_us(ts) // 1000) + CAST(floor(value * 100) AS BIGINT) END
            AS next_attempt_at_ms,
          CASE WHEN event_id % 4 > 0 THEN 'retry' ELSE 'main' END AS source_stream,
          CASE WHEN event_id % 4 > 0 THEN event_id - 1 END AS previous_stream_id,
@@ -115,7 +115,7 @@ def admission_sql(limit: int, quota: int, main: int, retry: int, body: str | Non
 , base AS (
   SELECT message_id, arrival_ts, tenant_id,
          coalesce(nullif(header_corr, ''), nullif(body_corr, ''),
-                  'corr-' || CAST(epoch_ms(arrival_ts) // 1000 AS VARCHAR) || '-' || CAST(message_id AS VARCHAR))
+                  'corr-' || CAST(epoch_us(arrival_ts) // 1000000 AS VARCHAR) || '-' || CAST(message_id AS VARCHAR))
            AS correlation_id,
          nullif(idempotency_key, '') AS idem_key,
          coalesce(length(content), 0) > 0 AS content_ok

@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.operators import admission as adm
+from sluice.operators import dispatch as dsp
 from sluice.operators import state
 from sluice.plans.admission import admission_decisions
+from sluice.plans.dispatch import dispatch_step
 from sluice.session import apply_runtime_conf
 from sluice.sources import fixtures as fx
 
@@ -52,3 +54,123 @@ def q_admission(spark, sf_dir):
     """Admission decision of every request."""
     return admission_decisions(fx.requests(spark, sf_dir), fx.claims(spark, sf_dir),
                                fx.retry_entries(spark, sf_dir), **C01_PARAMS)
+
+
+# ---- F01, W01-W03, J04, W07, P02-P04 ---------------------------------------
+
+def _eligible_requests(spark, sf_dir):
+    df = adm.normalise_request(fx.requests(spark, sf_dir))
+    df = adm.content_required(df)
+    df = adm.resolve_tenant(df)
+    return df.withColumn("eligible", F.col("content_ok") & F.col("auth_reason").isNull())
+
+
+@register("content_required")
+def q_content_required(spark, sf_dir):
+    """requests refused for missing or empty content."""
+    df = adm.content_required(fx.requests(spark, sf_dir))
+    return df.select("message_id", "tenant_id", "content_ok")
+
+
+@register("rate_limit")
+def q_rate_limit(spark, sf_dir):
+    """First request per (tenant, minute) passes, the rest are limited."""
+    df = adm.rate_and_quota(_eligible_requests(spark, sf_dir), 1, 0)
+    return df.select("message_id", "tenant_id", "rank_in_minute", "rate_ok")
+
+
+@register("daily_quota")
+def q_daily_quota(spark, sf_dir):
+    """Daily counter over rate-passed rows (2/minute, 40/day)."""
+    df = adm.rate_and_quota(_eligible_requests(spark, sf_dir), 2, 40)
+    return df.select("message_id", "tenant_id", "quota_count", F.col("quota_ok").alias("survivor"))
+
+
+@register("first_claim")
+def q_first_claim(spark, sf_dir):
+    """First request per (tenant, idempotency key) wins."""
+    df = adm.first_claim(_eligible_requests(spark, sf_dir), eligible="eligible")
+    return df.select("message_id", "tenant_id", "idem_key", "winner_id",
+                     (F.col("winner_id") == F.col("message_id")).alias("is_first"))
+
+
+@register("idempotency_claim")
+def q_idempotency_claim(spark, sf_dir):
+    """Claim against prior claims plus first-wins in the batch."""
+    df = adm.idempotency_claim(_eligible_requests(spark, sf_dir), fx.claims(spark, sf_dir),
+                               eligible="eligible")
+    return df.select("message_id", "tenant_id", "idem_key", "claimed", "duplicate", "canonical_id")
+
+
+@register("backlog_gate")
+def q_backlog_gate(spark, sf_dir):
+    """Main backlog 3,000 and retry backlog 800, no rate or quota limit."""
+    df = admission_decisions(fx.requests(spark, sf_dir), fx.claims(spark, sf_dir),
+                             fx.retry_entries(spark, sf_dir), 0, 0, 3000, 800, keep_columns=True)
+    return df.select("message_id", "gate_reason")
+
+
+@register("normalise_envelope")
+def q_normalise_envelope(spark, sf_dir):
+    """P02 (ingress stage): user and channel defaults."""
+    df = adm.normalise_request(fx.requests(spark, sf_dir))
+    return df.select("message_id", "tenant_id", "user_id", "channel", "content")
+
+
+@register("correlation_id")
+def q_correlation_id(spark, sf_dir):
+    """Header, else body, else generated correlation id."""
+    return adm.normalise_request(fx.requests(spark, sf_dir)).select("message_id", "correlation_id")
+
+
+@register("idempotency_key")
+def q_idempotency_key(spark, sf_dir):
+    """Idempotency key, blank = none."""
+    return adm.normalise_request(fx.requests(spark, sf_dir)).select("message_id", "idem_key")
+
+
+# ---- C02, F07, F08, P08, P09, S08 ------------------------------------------
+
+DUE_AT_MS = 1_705_276_800_000  # 2024-01-15 00:00:00 UTC
+
+
+@register("dispatch_step")
+def q_dispatch_step(spark, sf_dir):
+    """Outcome of one dispatcher pass per consumed row."""
+    return dispatch_step(fx.consumed(spark, sf_dir)).outcomes
+
+
+@register("failure_reason")
+def q_failure_reason(spark, sf_dir):
+    """failure reason of each consumed row."""
+    return dsp.failure_reason(fx.consumed(spark, sf_dir)).select("message_id", "failure_reason")
+
+
+@register("status_expand")
+def q_status_expand(spark, sf_dir):
+    """Status rows written for each consumed row."""
+    return dsp.status_expand(fx.consumed(spark, sf_dir)).select(
+        "message_id", "tenant_id", "correlation_id", "step", "status", "attempt", "error")
+
+
+@register("retry_schedule")
+def q_retry_schedule(spark, sf_dir):
+    """Rows re-published to the retry stream with their backoff."""
+    return dsp.retry_schedule(fx.consumed(spark, sf_dir)).select(
+        "message_id", "previous_stream_id", "retry_count", "retry_backoff_ms",
+        "next_attempt_at_ms", "retry_reason")
+
+
+@register("dlq_write")
+def q_dlq_write(spark, sf_dir):
+    """Dead-letter rows with failure reason and final retry count."""
+    return dsp.dlq_rows(fx.consumed(spark, sf_dir)).select(
+        "message_id", "tenant_id", "retry_count", "failure_reason", "original_stream_id",
+        "final_retry_count")
+
+
+@register("due_retries")
+def q_due_retries(spark, sf_dir):
+    """rows ready at 2024-01-15 00:00 UTC (5 s wait cap)."""
+    return dsp.due_retries(fx.consumed(spark, sf_dir), DUE_AT_MS).select(
+        "message_id", "source_stream", "due_at_ms")

@@ -13,3 +13,101 @@ SELECT tenant_id, notification_id, status, attempt, seq, status_ts, error FROM (
   FROM history) WHERE rn = 1""", "history")
 
 SQL["admission_decisions"] = admission_sql(1, 50, 3000, 0)
+
+SQL["content_required"] = with_views("""
+SELECT message_id, tenant_id, coalesce(length(content), 0) > 0 AS content_ok FROM requests""",
+                                     "requests")
+
+SQL["rate_limit"] = admission_sql(1, 0, 0, 0, body="""
+SELECT message_id, tenant_id, rank_in_minute, CASE WHEN rate_ok THEN true ELSE false END AS rate_ok
+FROM decided""")
+
+SQL["daily_quota"] = admission_sql(2, 40, 0, 0, body="""
+SELECT message_id, tenant_id, quota_count, CASE WHEN survivor THEN true ELSE false END AS survivor
+FROM decided""")
+
+SQL["first_claim"] = admission_sql(0, 0, 0, 0, body="""
+SELECT message_id, tenant_id, idem_key, winner_id, winner_id = message_id AS is_first FROM decided""")
+
+SQL["idempotency_claim"] = admission_sql(0, 0, 0, 0, body="""
+SELECT message_id, tenant_id, idem_key, claimed, coalesce(NOT claimed, false) AS duplicate,
+       CASE WHEN claimed IS NOT NULL THEN canonical_id END AS canonical_id
+FROM decided""")
+
+SQL["backlog_gate"] = admission_sql(0, 0, 3000, 800, body="SELECT message_id, gate_reason FROM decided")
+
+SQL["normalise_envelope"] = with_views("""
+SELECT message_id, tenant_id, coalesce(user_field, 'unknown-user') AS user_id,
+       coalesce(channel_field, 'default') AS channel, content
+FROM requests""", "requests")
+
+SQL["correlation_id"] = with_views("""
+SELECT message_id,
+       coalesce(nullif(header_corr, ''), nullif(body_corr, ''),
+                'corr-' || CAST(epoch_us(arrival_ts) // 1000000 AS VARCHAR) || '-' || CAST(message_id AS VARCHAR))
+         AS correlation_id
+FROM requests""", "requests")
+
+SQL["idempotency_key"] = with_views("""
+SELECT message_id, nullif(idempotency_key, '') AS idem_key FROM requests""", "requests")
+
+# Dispatcher pass: failure reason and outcome per consumed row.
+_DISPATCH = """
+, judged AS (
+  SELECT *,
+    CASE WHEN NOT received_ok THEN 'storage_persist_failed_received'
+         WHEN simulate_fail THEN 'simulated_failure'
+         WHEN NOT delivered_ok THEN 'storage_persist_failed_delivered'
+         WHEN NOT push_ok THEN 'gateway_delivery_failed' END AS failure_reason
+  FROM consumed),
+outcomes AS (
+  SELECT *,
+    CASE WHEN failure_reason IS NULL THEN 'delivered'
+         WHEN retry_count + 1 > 3 THEN 'dlq' ELSE 'retry_scheduled' END AS outcome,
+    greatest(1, least(10000, 250 * (CAST(1 AS BIGINT) << greatest(0, least(retry_count, 20))))) AS backoff
+  FROM judged)
+"""
+
+
+def _dispatch(body: str) -> str:
+    return with_views("SELECT 1", "consumed")[: -len("\nSELECT 1")] + _DISPATCH + body
+
+
+SQL["dispatch_step"] = _dispatch("""
+SELECT message_id, tenant_id, correlation_id, source_stream, retry_count, outcome, failure_reason,
+       CAST(CASE WHEN outcome = 'delivered' THEN retry_count ELSE retry_count + 1 END AS INTEGER) AS attempt,
+       CASE WHEN outcome = 'retry_scheduled' THEN seen_ms + backoff END AS next_attempt_at_ms,
+       CASE WHEN outcome = 'retry_scheduled' THEN backoff END AS retry_backoff_ms
+FROM outcomes""")
+
+SQL["failure_reason"] = _dispatch("SELECT message_id, failure_reason FROM judged")
+
+SQL["status_expand"] = _dispatch("""
+SELECT message_id, tenant_id, correlation_id, 1 AS step, 'received' AS status, retry_count AS attempt,
+       '' AS error
+FROM outcomes WHERE received_ok
+UNION ALL
+SELECT message_id, tenant_id, correlation_id, 2, 'delivered', retry_count, ''
+FROM outcomes WHERE received_ok AND NOT simulate_fail AND delivered_ok
+UNION ALL
+SELECT message_id, tenant_id, correlation_id, 3, outcome, CAST(retry_count + 1 AS INTEGER), failure_reason
+FROM outcomes WHERE outcome <> 'delivered'""")
+
+SQL["retry_schedule"] = _dispatch("""
+SELECT message_id, message_id AS previous_stream_id, CAST(retry_count + 1 AS INTEGER) AS retry_count,
+       backoff AS retry_backoff_ms, seen_ms + backoff AS next_attempt_at_ms,
+       failure_reason AS retry_reason
+FROM outcomes WHERE outcome = 'retry_scheduled'""")
+
+SQL["dlq_write"] = _dispatch("""
+SELECT message_id, tenant_id, retry_count, failure_reason, message_id AS original_stream_id,
+       CAST(retry_count + 1 AS INTEGER) AS final_retry_count
+FROM outcomes WHERE outcome = 'dlq'""")
+
+SQL["due_retries"] = with_views("""
+SELECT message_id, source_stream,
+       CASE WHEN source_stream = 'retry'
+            THEN least(coalesce(next_attempt_at_ms, 0), seen_ms + 5000) ELSE 0 END AS due_at_ms
+FROM consumed
+WHERE source_stream <> 'retry' OR least(coalesce(next_attempt_at_ms, 0), seen_ms + 5000) <= 1705276800000""",
+                                "consumed")
