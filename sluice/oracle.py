@@ -75,16 +75,57 @@ VIEWS: dict[str, str] = {
          TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST((s_suppkey * 7) % 720 AS BIGINT))
            + to_hours(CAST(24 + s_nationkey AS BIGINT)) AS sub_end
   FROM supplier""",
+    "dispatched": """
+  SELECT *,
+    CASE WHEN failure_reason IS NULL THEN 'delivered'
+         WHEN retry_count + 1 > 3 THEN 'dlq' ELSE 'retry_scheduled' END AS outcome,
+    greatest(1, least(10000, 250 * (CAST(1 AS BIGINT) << greatest(0, least(retry_count, 20))))) AS backoff
+  FROM (
+    SELECT *,
+      CASE WHEN NOT received_ok THEN 'storage_persist_failed_received'
+           WHEN simulate_fail THEN 'simulated_failure'
+           WHEN NOT delivered_ok THEN 'storage_persist_failed_delivered'
+           WHEN NOT push_ok THEN 'gateway_delivery_failed' END AS failure_reason
+    FROM consumed)""",
+    "dead_letters": """
+  SELECT * EXCLUDE (outcome, backoff, source_stream), message_id AS original_stream_id,
+         CAST(retry_count + 1 AS INTEGER) AS final_retry_count, 'dlq' AS source_stream
+  FROM dispatched WHERE outcome = 'dlq'""",
+    "reads": """
+  SELECT source_stream, message_id, tenant_id, arrival_ts FROM consumed""",
+    "acks": """
+  SELECT source_stream, message_id FROM reads WHERE message_id % 10 < 7""",
+    "group_positions": """
+  SELECT source_stream, max(message_id) * 9 // 10 AS last_delivered FROM consumed GROUP BY source_stream""",
+    "persisted": """
+  SELECT tenant_id, message_id,
+         CASE WHEN message_id % 41 = 6 THEN content || '#altered' ELSE content END AS content
+  FROM consumed WHERE message_id % 37 <> 5""",
+    "releases": """
+  SELECT tenant_id, idempotency_key,
+         CASE WHEN length(idempotency_key) % 2 = 0 THEN notification_id
+              ELSE notification_id || '-other' END AS notification_id
+  FROM claims""",
 }
 
 # Which views each view reads (so CTEs are emitted in dependency order).
 DEPENDS: dict[str, tuple[str, ...]] = {
     "claims": ("requests",),
+    "dispatched": ("consumed",),
+    "dead_letters": ("dispatched",),
+    "reads": ("consumed",),
+    "acks": ("reads",),
+    "group_positions": ("consumed",),
+    "persisted": ("consumed",),
+    "releases": ("claims",),
 }
 
 
 def with_views(sql: str, *names: str) -> str:
-    """Prefix ``sql`` with CTEs for the named fixture views (and their inputs)."""
+    """Prefix ``sql`` with CTEs for the named fixture views (and their inputs).
+
+    ``sql`` may start with ``, name AS (...)`` to add CTEs of its own.
+    """
     order: list[str] = []
 
     def visit(n: str) -> None:
@@ -98,6 +139,8 @@ def with_views(sql: str, *names: str) -> str:
     if not order:
         return sql
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]}\n)" for n in order)
+    if sql.lstrip().startswith(","):
+        return f"WITH {ctes}\n{sql.lstrip()}"
     return f"WITH {ctes}\n{sql}"
 
 
@@ -191,5 +234,4 @@ decided AS (
          winner_id, idem_key, arrival_ts
   FROM reasoned)
 {body}"""
-    prefix = with_views("SELECT 1", "requests", "claims", "retry_entries")
-    return prefix[: -len("\nSELECT 1")] + sql
+    return with_views(sql, "requests", "claims", "retry_entries")

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from sluice.operators import admission as adm
 from sluice.operators import dispatch as dsp
+from sluice.operators import fanout, ledger, metrics
 from sluice.operators import state
 from sluice.plans.admission import admission_decisions
 from sluice.plans.dispatch import dispatch_step
 from sluice.session import apply_runtime_conf
 from sluice.sources import fixtures as fx
+from sluice.sources import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -174,3 +176,197 @@ def q_due_retries(spark, sf_dir):
     """rows ready at 2024-01-15 00:00 UTC (5 s wait cap)."""
     return dsp.due_retries(fx.consumed(spark, sf_dir), DUE_AT_MS).select(
         "message_id", "source_stream", "due_at_ms")
+
+
+# ---- W05, W06, L01-L03, T11, W08, A11 --------------------------------------
+
+@register("delivery_history")
+def q_delivery_history(spark, sf_dir):
+    """Newest 20 status rows of every tenant."""
+    return state.delivery_history(fx.history(spark, sf_dir), 20)
+
+
+@register("pk_collapse")
+def q_pk_collapse(spark, sf_dir):
+    """History as stored under a (tenant, notification, hour) key, last write wins."""
+    return state.pk_collapse(fx.history(spark, sf_dir), ["tenant_id", "notification_id"],
+                             grain="hour").select("tenant_id", "notification_id", "pk_ts", "seq", "status")
+
+
+@register("dlq_newest")
+def q_dlq_newest(spark, sf_dir):
+    """Newest 50 dead letters."""
+    return state.dlq_newest(fx.dead_letters(spark, sf_dir), 50).select(
+        "message_id", "tenant_id", "arrival_ts", "failure_reason")
+
+
+@register("latest_entry")
+def q_latest_entry(spark, sf_dir):
+    """Newest entry of each stream."""
+    return state.latest_entry(fx.consumed(spark, sf_dir)).select("source_stream", "message_id", "arrival_ts")
+
+
+@register("clustered_history")
+def q_clustered_history(spark, sf_dir):
+    """Full history of notification n-7 of tenant-2, newest first."""
+    return state.clustered_history(fx.history(spark, sf_dir), "tenant-2", "n-7")
+
+
+@register("retention")
+def q_retention(spark, sf_dir):
+    """Status rows alive on 2024-01-31 under a 10-day TTL."""
+    return state.retention(fx.history(spark, sf_dir), "2024-01-31 00:00:00", 10 * 86400).select(
+        "tenant_id", "notification_id", "seq", "status_ts")
+
+
+@register("retry_chain_step")
+def q_retry_chain_step(spark, sf_dir):
+    """Step, gap and previous status inside each correlation chain."""
+    return metrics.retry_chain_step(fx.history(spark, sf_dir))
+
+
+@register("correlation_trace")
+def q_correlation_trace(spark, sf_dir):
+    """Per correlation id: records, attempts, first/last status and time."""
+    return metrics.correlation_trace(fx.history(spark, sf_dir))
+
+
+# ---- J01-J03, A06 -----------------------------------------------------------
+
+def _messages(spark, sf_dir):
+    return fx.consumed(spark, sf_dir).select("message_id", "tenant_id", "channel", "arrival_ts")
+
+
+@register("fan_out")
+def q_fan_out(spark, sf_dir):
+    """One row per (message, subscribed session)."""
+    return fanout.fan_out(_messages(spark, sf_dir), fx.sessions(spark, sf_dir)).select(
+        "message_id", "session_id", "tenant_id", "channel")
+
+
+@register("fan_out_counts")
+def q_fan_out_counts(spark, sf_dir):
+    """Clients reached per message (20 lowest sessions), 0 included."""
+    s = fx.sessions(spark, sf_dir).filter(F.col("session_id") < 20)
+    return fanout.fan_out_counts(_messages(spark, sf_dir), s).select(
+        "message_id", "tenant_id", "channel", "clients")
+
+
+@register("fan_out_as_of")
+def q_fan_out_as_of(spark, sf_dir):
+    """Sessions live when the message is delivered."""
+    return fanout.fan_out_as_of(_messages(spark, sf_dir), fx.sessions(spark, sf_dir)).select(
+        "message_id", "session_id", "arrival_ts")
+
+
+@register("active_sessions")
+def q_active_sessions(spark, sf_dir):
+    """Open sessions at every hour where the count changes."""
+    return fanout.active_sessions(fx.sessions(spark, sf_dir))
+
+
+# ---- J05-J09, S02 -----------------------------------------------------------
+
+@register("idempotency_release")
+def q_idempotency_release(spark, sf_dir):
+    """Release requests and whether each removed its claim."""
+    _, results = ledger.idempotency_release(fx.claims(spark, sf_dir), fx.releases(spark, sf_dir))
+    return results.select("tenant_id", "idempotency_key", "notification_id", "released")
+
+
+@register("pending_entries")
+def q_pending_entries(spark, sf_dir):
+    """Read but not acknowledged."""
+    return ledger.pending_entries(fx.reads(spark, sf_dir), fx.acks(spark, sf_dir)).select(
+        "source_stream", "message_id")
+
+
+@register("stream_state_reconcile")
+def q_reconcile(spark, sf_dir):
+    """Stream entries vs persisted state."""
+    c = fx.consumed(spark, sf_dir).select("tenant_id", "message_id", "content")
+    return ledger.stream_state_reconcile(c, fx.persisted(spark, sf_dir)).select(
+        "tenant_id", "message_id", "verdict")
+
+
+@register("dlq_replay")
+def q_dlq_replay(spark, sf_dir):
+    """Newest 50 dead letters re-published to the retry stream."""
+    replayed, _ = ledger.dlq_replay(fx.dead_letters(spark, sf_dir), 50)
+    return replayed.select("message_id", "replayed_from", "retry_count", "failure_reason",
+                           "correlation_id", "source_stream")
+
+
+@register("retry_lineage")
+def q_retry_lineage(spark, sf_dir):
+    """Each retry entry linked to the entry it came from."""
+    return ledger.retry_lineage(fx.consumed(spark, sf_dir)).select(
+        "message_id", "previous_stream_id", "parent_ts", "parent_retry_count", "parent_stream")
+
+
+@register("main_retry_union")
+def q_main_retry_union(spark, sf_dir):
+    """Main and retry entries read as one tagged input."""
+    c = fx.consumed(spark, sf_dir).drop("source_stream")
+    u = streams.union_streams(c.filter(F.col("retry_count") == 0), c.filter(F.col("retry_count") > 0))
+    return u.select("message_id", "source_stream", "retry_count")
+
+
+# ---- A01-A05, A07-A10 -------------------------------------------------------
+
+@register("admission_counters")
+def q_admission_counters(spark, sf_dir):
+    """Ingress counters per tenant and in total."""
+    return metrics.admission_counters(q_admission(spark, sf_dir))
+
+
+@register("dispatch_counters")
+def q_dispatch_counters(spark, sf_dir):
+    """Dispatcher counters per tenant and in total."""
+    return metrics.dispatch_counters(fx.consumed(spark, sf_dir))
+
+
+@register("processing_duration")
+def q_processing_duration(spark, sf_dir):
+    """Duration sum, count and mean per tenant and in total."""
+    return metrics.processing_duration(fx.consumed(spark, sf_dir))
+
+
+@register("stream_length")
+def q_stream_length(spark, sf_dir):
+    """Entries in the main, retry and dead-letter streams."""
+    c = fx.consumed(spark, sf_dir).select("source_stream", "message_id")
+    d = fx.dead_letters(spark, sf_dir).select("source_stream", "message_id")
+    return metrics.stream_length(c.unionByName(d))
+
+
+@register("consumer_lag")
+def q_consumer_lag(spark, sf_dir):
+    """Lag per stream and in total."""
+    pend = ledger.pending_entries(fx.reads(spark, sf_dir), fx.acks(spark, sf_dir))
+    return metrics.consumer_lag(fx.reads(spark, sf_dir), fx.group_positions(spark, sf_dir), pend)
+
+
+@register("tenant_minute_usage")
+def q_tenant_minute_usage(spark, sf_dir):
+    """Per tenant and minute: seen, allowed (1/minute), limited."""
+    return metrics.tenant_minute_usage(_eligible_requests(spark, sf_dir), 1)
+
+
+@register("tenant_daily_usage")
+def q_tenant_daily_usage(spark, sf_dir):
+    """Per tenant and day: quota counter and over-quota count (1/minute, 50/day)."""
+    ranked = adm.rate_and_quota(_eligible_requests(spark, sf_dir), 1, 0)
+    return metrics.tenant_daily_usage(ranked, 50)
+
+
+@register("duplicate_audit")
+def q_duplicate_audit(spark, sf_dir):
+    """(tenant, idempotency key) pairs seen other than exactly once."""
+    return metrics.duplicate_audit(adm.normalise_request(fx.requests(spark, sf_dir)))
+
+
+@register("slo_report")
+def q_slo_report(spark, sf_dir):
+    """A10: latency percentiles, success rate and objective per tenant."""
+    return metrics.slo_report(fx.consumed(spark, sf_dir))

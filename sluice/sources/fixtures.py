@@ -130,3 +130,42 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         start.alias("sub_start"),
         (start + F.make_dt_interval(hours=F.lit(24) + F.col("s_nationkey"))).alias("sub_end"),
     )
+
+
+def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consumed rows whose dispatch outcome is the dead-letter stream (S08 rows)."""
+    from sluice.operators.dispatch import dlq_rows
+    return dlq_rows(consumed(spark, sf_dir))
+
+
+def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries the consumer group has read: every consumed row."""
+    return consumed(spark, sf_dir).select("source_stream", "message_id", "tenant_id", "arrival_ts")
+
+
+def acks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Acknowledged entries: ``message_id % 10 < 7``."""
+    return reads(spark, sf_dir).filter(F.col("message_id") % 10 < 7).select("source_stream", "message_id")
+
+
+def group_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last delivered id of the consumer group per stream."""
+    return (consumed(spark, sf_dir).groupBy("source_stream")
+            .agg(F.expr("max(message_id) * 9 div 10").alias("last_delivered")))
+
+
+def persisted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persisted state rows: some missing, some with altered content."""
+    c = consumed(spark, sf_dir)
+    return (c.filter(F.col("message_id") % 37 != 5)
+             .select("tenant_id", "message_id",
+                     F.when(F.col("message_id") % 41 == 6, F.concat(F.col("content"), F.lit("#altered")))
+                      .otherwise(F.col("content")).alias("content")))
+
+
+def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Release requests, one per prior claim; half carry a different id."""
+    c = claims(spark, sf_dir)
+    return c.select("tenant_id", "idempotency_key",
+                    F.when(F.length("idempotency_key") % 2 == 0, F.col("notification_id"))
+                     .otherwise(F.concat(F.col("notification_id"), F.lit("-other"))).alias("notification_id"))

@@ -70,7 +70,7 @@ outcomes AS (
 
 
 def _dispatch(body: str) -> str:
-    return with_views("SELECT 1", "consumed")[: -len("\nSELECT 1")] + _DISPATCH + body
+    return with_views(_DISPATCH + body, "consumed")
 
 
 SQL["dispatch_step"] = _dispatch("""
@@ -111,3 +111,181 @@ SELECT message_id, source_stream,
 FROM consumed
 WHERE source_stream <> 'retry' OR least(coalesce(next_attempt_at_ms, 0), seen_ms + 5000) <= 1705276800000""",
                                 "consumed")
+
+SQL["delivery_history"] = with_views("""
+SELECT tenant_id, notification_id, user_id, channel, status, attempt, correlation_id, status_ts, seq FROM (
+  SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY status_ts DESC, seq DESC) AS rn
+  FROM history) WHERE rn <= 20""", "history")
+
+SQL["pk_collapse"] = with_views("""
+SELECT tenant_id, notification_id, pk_ts, seq, status FROM (
+  SELECT *, date_trunc('hour', status_ts) AS pk_ts,
+         row_number() OVER (PARTITION BY tenant_id, notification_id, date_trunc('hour', status_ts)
+                            ORDER BY seq DESC) AS rn
+  FROM history) WHERE rn = 1""", "history")
+
+SQL["dlq_newest"] = with_views("""
+SELECT message_id, tenant_id, arrival_ts, failure_reason FROM dead_letters
+ORDER BY arrival_ts DESC, message_id DESC LIMIT 50""", "dead_letters")
+
+SQL["latest_entry"] = with_views("""
+SELECT source_stream, message_id, arrival_ts FROM (
+  SELECT *, row_number() OVER (PARTITION BY source_stream ORDER BY arrival_ts DESC, message_id DESC) AS rn
+  FROM consumed) WHERE rn = 1""", "consumed")
+
+SQL["clustered_history"] = with_views("""
+SELECT * FROM history WHERE tenant_id = 'tenant-2' AND notification_id = 'n-7'
+ORDER BY status_ts DESC, seq DESC""", "history")
+
+SQL["retention"] = with_views("""
+SELECT tenant_id, notification_id, seq, status_ts FROM history
+WHERE status_ts > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 10 DAY""", "history")
+
+SQL["retry_chain_step"] = with_views("""
+SELECT correlation_id, seq, status, status_ts,
+       row_number() OVER w AS step,
+       lag(status) OVER w AS prev_status,
+       epoch_us(status_ts) - epoch_us(lag(status_ts) OVER w) AS gap_us
+FROM history
+WINDOW w AS (PARTITION BY correlation_id ORDER BY status_ts, seq)""", "history")
+
+SQL["correlation_trace"] = with_views("""
+SELECT correlation_id, count(*) AS records, max(attempt) AS max_attempt,
+       first(status ORDER BY status_ts, seq) AS first_status,
+       last(status ORDER BY status_ts, seq) AS last_status,
+       min(status_ts) AS first_ts, max(status_ts) AS last_ts,
+       count(*) FILTER (WHERE status = 'dlq') AS dead_letters
+FROM history GROUP BY correlation_id""", "history")
+
+SQL["fan_out"] = with_views("""
+SELECT c.message_id, s.session_id, c.tenant_id, c.channel
+FROM consumed c JOIN sessions s ON c.tenant_id = s.tenant_id AND c.channel = s.channel""",
+                            "consumed", "sessions")
+
+SQL["fan_out_counts"] = with_views("""
+SELECT c.message_id, c.tenant_id, c.channel,
+       (SELECT count(*) FROM sessions s WHERE s.session_id < 20 AND s.tenant_id = c.tenant_id
+          AND s.channel = c.channel) AS clients
+FROM consumed c""", "consumed", "sessions")
+
+SQL["fan_out_as_of"] = with_views("""
+SELECT c.message_id, s.session_id, c.arrival_ts
+FROM consumed c JOIN sessions s ON c.tenant_id = s.tenant_id AND c.channel = s.channel
+ AND s.sub_start <= c.arrival_ts AND c.arrival_ts < s.sub_end""", "consumed", "sessions")
+
+SQL["active_sessions"] = with_views("""
+, pts AS (SELECT sub_start AS change_ts FROM sessions UNION SELECT sub_end FROM sessions)
+SELECT change_ts,
+       (SELECT count(*) FROM sessions s WHERE s.sub_start <= pts.change_ts AND s.sub_end > pts.change_ts)
+         AS active
+FROM pts""", "sessions")
+
+SQL["idempotency_release"] = with_views("""
+SELECT r.tenant_id, r.idempotency_key, r.notification_id,
+       EXISTS (SELECT 1 FROM claims c WHERE c.tenant_id = r.tenant_id
+                 AND c.idempotency_key = r.idempotency_key AND c.notification_id = r.notification_id)
+         AS released
+FROM releases r""", "releases")
+
+SQL["pending_entries"] = with_views("""
+SELECT source_stream, message_id FROM reads
+EXCEPT ALL SELECT source_stream, message_id FROM acks""", "reads", "acks")
+
+SQL["stream_state_reconcile"] = with_views("""
+SELECT coalesce(c.tenant_id, p.tenant_id) AS tenant_id, coalesce(c.message_id, p.message_id) AS message_id,
+       CASE WHEN p.message_id IS NULL THEN 'missing_state'
+            WHEN c.message_id IS NULL THEN 'orphan_state'
+            WHEN c.content IS DISTINCT FROM p.content THEN 'content_mismatch'
+            ELSE 'ok' END AS verdict
+FROM consumed c FULL OUTER JOIN persisted p ON c.tenant_id = p.tenant_id AND c.message_id = p.message_id""",
+                                           "consumed", "persisted")
+
+SQL["dlq_replay"] = with_views("""
+SELECT message_id, message_id AS replayed_from, retry_count, failure_reason, correlation_id,
+       'retry' AS source_stream
+FROM dead_letters ORDER BY arrival_ts DESC, message_id DESC LIMIT 50""", "dead_letters")
+
+SQL["retry_lineage"] = with_views("""
+SELECT c.message_id, c.previous_stream_id, p.arrival_ts AS parent_ts, p.retry_count AS parent_retry_count,
+       p.source_stream AS parent_stream
+FROM consumed c JOIN consumed p ON c.previous_stream_id = p.message_id""", "consumed")
+
+SQL["main_retry_union"] = with_views("""
+SELECT message_id, 'main' AS source_stream, retry_count FROM consumed WHERE retry_count = 0
+UNION ALL
+SELECT message_id, 'retry', retry_count FROM consumed WHERE retry_count > 0""", "consumed")
+
+SQL["admission_counters"] = admission_sql(1, 50, 3000, 0, body="""
+SELECT tenant_id, count(*) AS requests,
+       count(*) FILTER (WHERE reason = 'ok') AS accepted,
+       count(*) FILTER (WHERE reason = 'duplicate_idempotency_key') AS duplicates,
+       count(*) FILTER (WHERE reason IN ('rate_limited', 'daily_quota_exceeded', 'stream_backpressure',
+                                         'retry_stream_backpressure')) AS rejected,
+       count(*) FILTER (WHERE reason = 'rate_limited') AS rate_limited,
+       count(*) FILTER (WHERE reason IN ('stream_backpressure', 'retry_stream_backpressure'))
+         AS backpressure_rejected,
+       grouping(tenant_id) = 1 AS is_total
+FROM decided GROUP BY ROLLUP (tenant_id)""")
+
+SQL["dispatch_counters"] = with_views("""
+SELECT tenant_id, count(*) AS consumed,
+       count(*) FILTER (WHERE outcome = 'delivered') AS delivered,
+       count(*) FILTER (WHERE outcome = 'retry_scheduled') AS retry_scheduled,
+       count(*) FILTER (WHERE outcome = 'dlq') AS dead_lettered,
+       count(*) FILTER (WHERE NOT received_ok)
+         + count(*) FILTER (WHERE received_ok AND NOT simulate_fail AND NOT delivered_ok)
+         AS storage_write_failures,
+       count(*) FILTER (WHERE received_ok AND NOT simulate_fail AND delivered_ok AND NOT push_ok)
+         AS gateway_delivery_failures,
+       grouping(tenant_id) = 1 AS is_total
+FROM dispatched GROUP BY ROLLUP (tenant_id)""", "dispatched")
+
+SQL["processing_duration"] = with_views("""
+SELECT tenant_id, CAST(sum(duration_ms) AS BIGINT) AS duration_ms_sum, count(duration_ms) AS duration_ms_count,
+       grouping(tenant_id) = 1 AS is_total,
+       CAST(sum(duration_ms) AS DOUBLE) / nullif(count(duration_ms), 0) AS duration_ms_mean
+FROM consumed GROUP BY ROLLUP (tenant_id)""", "consumed")
+
+SQL["stream_length"] = with_views("""
+SELECT source_stream, count(*) AS length FROM (
+  SELECT source_stream FROM consumed UNION ALL SELECT source_stream FROM dead_letters)
+GROUP BY source_stream""", "consumed", "dead_letters")
+
+SQL["consumer_lag"] = with_views("""
+, per AS (
+  SELECT g.source_stream,
+         greatest(0, coalesce(
+           (SELECT count(*) FROM reads r WHERE r.source_stream = g.source_stream
+              AND r.message_id > g.last_delivered), 0)) AS consumer_lag,
+         (SELECT count(*) FROM (SELECT source_stream, message_id FROM reads
+                                EXCEPT ALL SELECT source_stream, message_id FROM acks) p
+           WHERE p.source_stream = g.source_stream) AS pending
+  FROM group_positions g)
+SELECT source_stream, CAST(sum(consumer_lag) AS BIGINT) AS consumer_lag, CAST(sum(pending) AS BIGINT) AS pending,
+       grouping(source_stream) = 1 AS is_total
+FROM per GROUP BY ROLLUP (source_stream)""", "reads", "acks", "group_positions")
+
+SQL["tenant_minute_usage"] = with_views("""
+SELECT tenant_id, date_trunc('minute', arrival_ts) AS minute_start, count(*) AS seen,
+       least(count(*), 1) AS allowed, count(*) - least(count(*), 1) AS limited
+FROM requests WHERE coalesce(length(content), 0) > 0
+GROUP BY tenant_id, date_trunc('minute', arrival_ts)""", "requests")
+
+SQL["tenant_daily_usage"] = admission_sql(1, 0, 0, 0, body="""
+SELECT tenant_id, CAST(arrival_ts AS DATE) AS day, count(*) AS quota_count,
+       CAST(greatest(count(*) - 50, 0) AS BIGINT) AS over_quota
+FROM decided WHERE rate_ok GROUP BY tenant_id, CAST(arrival_ts AS DATE)""")
+
+SQL["duplicate_audit"] = with_views("""
+SELECT tenant_id, nullif(idempotency_key, '') AS idem_key, count(*) AS n
+FROM requests WHERE nullif(idempotency_key, '') IS NOT NULL
+GROUP BY tenant_id, nullif(idempotency_key, '') HAVING count(*) <> 1""", "requests")
+
+SQL["slo_report"] = with_views("""
+SELECT tenant_id, count(*) AS messages,
+       avg(CASE WHEN outcome = 'delivered' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS success_rate,
+       max(duration_ms) AS max_duration_ms,
+       quantile_cont(duration_ms, 0.5) AS p50, quantile_cont(duration_ms, 0.9) AS p90,
+       quantile_cont(duration_ms, 0.95) AS p95, quantile_cont(duration_ms, 0.99) AS p99,
+       avg(CASE WHEN outcome = 'delivered' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) > 0.99 AS slo_pass
+FROM dispatched GROUP BY tenant_id""", "dispatched")
