@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from sluice.operators import admission as adm
 from sluice.operators import dispatch as dsp
-from sluice.operators import fanout, ledger, metrics
+from sluice.operators import fanout, ledger, metrics, records, validation
 from sluice.operators import state
 from sluice.plans.admission import admission_decisions
+from sluice.plans import audit as audit_report
 from sluice.plans.dispatch import dispatch_step
 from sluice.session import apply_runtime_conf
 from sluice.sources import fixtures as fx
@@ -370,3 +371,110 @@ def q_duplicate_audit(spark, sf_dir):
 def q_slo_report(spark, sf_dir):
     """A10: latency percentiles, success rate and objective per tenant."""
     return metrics.slo_report(fx.consumed(spark, sf_dir))
+
+
+# ---- F02-F06, F09 -----------------------------------------------------------
+
+def _audited_requests(spark, sf_dir):
+    df = fx.authed_requests(spark, sf_dir)
+    return validation.token_audit(df, fx.TOKEN_SECRET)
+
+
+@register("token_audit")
+def q_token_audit(spark, sf_dir):
+    """verdict of every bearer token (HS256, 60 s skew)."""
+    t = validation.token_audit(fx.tokens(spark, sf_dir), fx.TOKEN_SECRET)
+    return t.select("message_id", "token_status", "token_error", "token_tenant")
+
+
+@register("resolve_tenant")
+def q_resolve_tenant(spark, sf_dir):
+    """tenant from a valid token, else from the body; invalid token -> 401."""
+    df = adm.resolve_tenant(_audited_requests(spark, sf_dir), require_auth=False)
+    return df.select("message_id", "tenant_id", "auth_reason")
+
+
+@register("tenant_scope")
+def q_tenant_scope(spark, sf_dir):
+    """read scope of each request for the tenant it asks about."""
+    df = _audited_requests(spark, sf_dir).withColumnRenamed("tenant_id", "asked_tenant")
+    return validation.tenant_scope(df).select("message_id", "asked_tenant", "scope", "scope_status")
+
+
+@register("required_fields")
+def q_required_fields(spark, sf_dir):
+    """storage request validation by kind."""
+    return validation.required_fields(fx.store_records(spark, sf_dir)).select(
+        "record_id", "kind", "valid", "reject_reason")
+
+
+@register("subscription_accept")
+def q_subscription_accept(spark, sf_dir):
+    """verdict of every subscription frame."""
+    return validation.subscription_frames(fx.session_events(spark, sf_dir)).select(
+        "session_id", "seq", "verdict")
+
+
+@register("route_requests")
+def q_route_requests(spark, sf_dir):
+    """route, status, id, tenant and limit of every access-log request."""
+    return validation.route_requests(fx.access_log(spark, sf_dir)).select(
+        "request_id", "route", "http_status", "resource_id", "tenant_id", "limit")
+
+
+# ---- P01, P05-P07, S03, S06, S09, C03 ---------------------------------------
+
+@register("parse_payload")
+def q_parse_payload(spark, sf_dir):
+    """JSON status payloads -> typed columns, broken lines flagged."""
+    return records.parse_payload(fx.payload_lines(spark, sf_dir)).select(
+        "seq", "valid", "tenant_id", "notification_id", "status", "attempt", "error")
+
+
+@register("pairs_to_map")
+def q_pairs_to_map(spark, sf_dir):
+    """key/value arrays -> maps (last value wins, odd key dropped), one row per entry."""
+    m = fx.kv_arrays(spark, sf_dir).select("event_id", records.pairs_to_map("arr").alias("m"))
+    return m.select("event_id", F.explode("m").alias("key", "value"))
+
+
+@register("status_record")
+def q_status_record(spark, sf_dir):
+    """Status JSON body of every status row of a dispatcher pass."""
+    rows = dsp.status_expand(fx.consumed(spark, sf_dir))
+    return rows.select("message_id", "step", records.status_record(rows).alias("body"))
+
+
+@register("audit_details")
+def q_audit_details(spark, sf_dir):
+    """Audit detail text of every status record."""
+    h = fx.history(spark, sf_dir)
+    return h.select("seq", records.audit_details(h).alias("details"))
+
+
+@register("audit_scan")
+def q_audit_scan(spark, sf_dir):
+    """Audit lines -> records (blank and broken lines skipped)."""
+    return records.audit_parse(fx.audit_lines(spark, sf_dir)).select(
+        "ts", "tenant_id", "notification_id", "status", "attempt", "error")
+
+
+@register("audit_append")
+def q_audit_append(spark, sf_dir):
+    """The audit line written for every status record."""
+    h = fx.history(spark, sf_dir)
+    return h.select("seq", records.audit_line(h).alias("value"))
+
+
+@register("event_log")
+def q_event_log(spark, sf_dir):
+    """JSON log row per logged admission decision."""
+    d = admission_decisions(fx.requests(spark, sf_dir), fx.claims(spark, sf_dir),
+                            fx.retry_entries(spark, sf_dir), keep_columns=True, **C01_PARAMS)
+    return records.event_log(d, main_backlog=C01_PARAMS["main_backlog"])
+
+
+@register("tenant_audit_report")
+def q_tenant_audit_report(spark, sf_dir):
+    """Per tenant and status: records, newest time, dead-letter share; totals."""
+    return audit_report.tenant_audit_report(fx.history(spark, sf_dir))

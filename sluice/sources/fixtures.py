@@ -27,12 +27,10 @@ def _tenant_of(c: Column) -> Column:
     return F.concat(F.lit("tenant-"), (c % 5).cast("string"))
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ingress requests, one per event, with injected gaps."""
-    e = _events(spark, sf_dir)
+def _request_columns() -> list:
     eid = F.col("event_id")
     m4 = eid % 4
-    return e.select(
+    return [
         eid.alias("message_id"),
         F.col("ts").alias("arrival_ts"),
         _tenant_of(F.col("user_id")).alias("tenant_id"),
@@ -45,7 +43,12 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(eid % 10 != 0,
                F.concat_ws("#", F.col("user_id").cast("string"), F.col("event_type"),
                            F.to_date("ts").cast("string"))).alias("idempotency_key"),
-    )
+    ]
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ingress requests, one per event, with injected gaps."""
+    return _events(spark, sf_dir).select(*_request_columns())
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,3 +172,151 @@ def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("tenant_id", "idempotency_key",
                     F.when(F.length("idempotency_key") % 2 == 0, F.col("notification_id"))
                      .otherwise(F.concat(F.col("notification_id"), F.lit("-other"))).alias("notification_id"))
+
+
+# Fixed values of the token fixture: the signing secret (the local default
+# of the reference deployment), a wrong one, the audit delay and skew.
+TOKEN_SECRET = "change-me"
+WRONG_SECRET = "not-the-secret"
+TOKEN_CHECK_DELAY_S = 30
+
+
+def _token_columns(e: DataFrame) -> list:
+    """``authorization`` header and ``checked_at_s`` for each event.
+
+    Defect by ``event_id % 10``: 0-2 none (2 uses the ``tid`` claim), 3
+    format, 4 alg, 5 signature, 6 no exp, 7 expired, 8 nbf in the future,
+    9 no tenant claim.  No header at all when ``event_id % 13 = 0``.
+    """
+    from sluice.operators.validation import b64url_encode
+    eid = F.col("event_id")
+    d = eid % 10
+    t0 = F.unix_seconds(F.col("ts").cast("timestamp"))
+    tok_tenant = F.concat(F.lit("tenant-"), ((F.col("user_id") + eid % 3) % 5).cast("string"))
+    header = F.when(d == 4, F.lit('{"alg":"none","typ":"JWT"}')).otherwise(F.lit('{"alg":"HS256","typ":"JWT"}'))
+    tenant_claim = (F.when(d == 9, F.lit(""))
+                     .when(d == 2, F.concat(F.lit('"tid":"'), tok_tenant, F.lit('",')))
+                     .otherwise(F.concat(F.lit('"tenant_id":"'), tok_tenant, F.lit('",'))))
+    nbf = F.when(d == 8, t0 + 600).otherwise(t0)
+    exp = F.when(d == 7, t0 - 600).otherwise(t0 + 3600)
+    payload = F.concat(F.lit("{"), tenant_claim, F.lit('"sub":"user-'), F.col("user_id").cast("string"),
+                       F.lit('","iat":'), t0.cast("string"), F.lit(',"nbf":'), nbf.cast("string"),
+                       F.when(d == 6, F.lit("")).otherwise(F.concat(F.lit(',"exp":'), exp.cast("string"))),
+                       F.lit("}"))
+    signing = F.concat(b64url_encode(F.encode(header, "UTF-8")), F.lit("."),
+                       b64url_encode(F.encode(payload, "UTF-8")))
+    return [signing.alias("_signing"), d.alias("_defect"), (t0 + TOKEN_CHECK_DELAY_S).alias("checked_at_s")]
+
+
+def _with_token(df: DataFrame) -> DataFrame:
+    """Sign ``_signing`` (wrong secret for defect 5) and build the header."""
+    from sluice.operators.validation import b64url_encode, hmac_sha256
+    signing, d = F.col("_signing"), F.col("_defect")
+    secret_ok = hmac_sha256(TOKEN_SECRET, signing)
+    secret_bad = hmac_sha256(WRONG_SECRET, signing)
+    sig = b64url_encode(F.when(d == 5, secret_bad).otherwise(secret_ok))
+    token = F.when(d == 3, signing).otherwise(F.concat(signing, F.lit("."), sig))
+    auth = F.when(F.col("message_id") % 13 != 0, F.concat(F.lit("Bearer "), token))
+    return df.withColumn("authorization", auth).drop("_signing", "_defect")
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bearer tokens with injected defects, one per event."""
+    e = _events(spark, sf_dir)
+    return _with_token(e.select(F.col("event_id").alias("message_id"), *_token_columns(e)))
+
+
+def authed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``requests`` plus the bearer token of each request (one scan)."""
+    e = _events(spark, sf_dir)
+    return _with_token(e.select(*_request_columns(), *_token_columns(e)))
+
+
+def store_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Storage requests (store / claim / release) with missing fields."""
+    h = history(spark, sf_dir)
+    s = F.col("seq")
+    return h.select(
+        s.alias("record_id"),
+        F.when(s % 3 == 0, F.lit("store")).when(s % 3 == 1, F.lit("claim")).otherwise(F.lit("release")).alias("kind"),
+        F.when(s % 19 != 0, F.col("tenant_id")).alias("tenant_id"),
+        F.when(s % 23 == 0, F.lit("")).otherwise(F.col("notification_id")).alias("notification_id"),
+        "status",
+        F.when(s % 29 != 0, F.col("correlation_id")).alias("idempotency_key"))
+
+
+def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subscription frames of client sessions (one conversation = one session)."""
+    c = table(spark, sf_dir, "conversations")
+    cid, turn = F.col("conv_id"), F.col("turn")
+    chan = F.element_at(F.array(*[F.lit(x) for x in CHANNELS_BY_NATION]), (turn % 5 + 1).cast("int"))
+    return c.select(
+        cid.alias("session_id"), turn.alias("seq"),
+        F.when(F.col("role") == "user", F.lit("subscribe")).otherwise(F.lit("noop")).alias("type"),
+        F.when(cid % 7 != 0, F.concat(F.lit("tenant-"), (cid % 5).cast("string"))).alias("auth_tenant"),
+        F.when(cid % 11 == 0, F.concat(F.lit("tenant-"), ((cid + 1) % 5).cast("string")))
+         .otherwise(F.concat(F.lit("tenant-"), (cid % 5).cast("string"))).alias("tenant_id"),
+        F.when(turn == 3, F.lit("")).otherwise(chan).alias("channel"))
+
+
+# Fixed values of the access-log fixture: limit texts cycled through.
+LIMIT_TEXTS = ["7", "0", "9999", "abc"]
+PAGE_REQUEST_BASE = 1_000_000_000
+
+
+def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HTTP requests covering every route, plus the paths of ``pages.url``."""
+    e = _events(spark, sf_dir)
+    eid = F.col("event_id")
+    d = eid % 10
+    ten = F.concat(F.lit("tenant-"), (F.col("user_id") % 5).cast("string"))
+    nid = F.concat(F.lit("n-"), F.expr("event_id div 4").cast("string"))
+    lim = F.element_at(F.array(*[F.lit(x) for x in LIMIT_TEXTS]), (F.expr("event_id div 10") % 4 + 1).cast("int"))
+    path = (F.when(d == 0, F.lit("/health"))
+             .when(d == 1, F.lit("/metrics"))
+             .when(d == 2, F.concat(F.lit("/ws?access_token=tok-"), eid.cast("string")))
+             .when(d == 3, F.concat(F.lit("/v1/notifications/"), nid, F.lit("?tenant_id="), ten))
+             .when(d == 4, F.concat(F.lit("/v1/notifications/"), nid,
+                                    F.when(eid % 20 == 14, F.lit("?tenant_id=")).otherwise(F.lit(""))))
+             .when(d == 5, F.concat(F.lit("/v1/tenants/"), ten, F.lit("/deliveries?limit="), lim))
+             .when(d == 6, F.concat(F.lit("/v1/tenants/"), ten, F.lit("/deliveries")))
+             .when(d == 7, F.lit("/v1/notifications"))
+             .when(d == 8, F.lit("/v1/internal/deliver"))
+             .otherwise(F.concat(F.lit("/v1/tenants/"), ten)))
+    method = F.when(d.isin(7, 8), F.lit("POST")).otherwise(F.lit("GET"))
+    ev = e.select(eid.alias("request_id"), method.alias("method"), path.alias("path"))
+    pg = table(spark, sf_dir, "pages").select(
+        (F.col("page_id") + PAGE_REQUEST_BASE).alias("request_id"), F.lit("GET").alias("method"),
+        F.regexp_extract("url", r"^[a-z]+://[^/]+(/[^#]*)", 1).alias("path"))
+    return ev.unionByName(pg)
+
+
+def kv_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alternating key/value arrays with a repeated key; odd length when ``event_id % 3 = 0``."""
+    e = _events(spark, sf_dir)
+    base = F.array(F.lit("a"), F.col("user_id").cast("string"), F.lit("b"), F.col("event_type"),
+                   F.lit("a"), F.col("event_id").cast("string"))
+    arr = F.when(F.col("event_id") % 3 == 0, F.concat(base, F.array(F.lit("c")))).otherwise(base)
+    return e.select("event_id", arr.alias("arr"))
+
+
+def payload_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status records as JSON text; broken when ``seq % 29 = 0``, blank when ``seq % 31 = 0``."""
+    h = history(spark, sf_dir)
+    js = F.concat(F.lit('{"tenant_id":"'), F.col("tenant_id"), F.lit('","notification_id":"'),
+                  F.col("notification_id"), F.lit('","status":"'), F.col("status"), F.lit('","attempt":'),
+                  F.col("attempt").cast("string"), F.lit(',"error":"'), F.col("error"), F.lit('"}'))
+    s = F.col("seq")
+    text = (F.when(s % 31 == 0, F.lit(""))
+             .when(s % 29 == 0, F.substring(js, F.lit(1), F.floor(F.length(js) / 2).cast("int")))
+             .otherwise(js))
+    return h.select("seq", "status_ts", text.alias("payload"))
+
+
+def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit-file lines ``{"ts":..,"record":..}`` wrapping ``payload_lines``."""
+    p = payload_lines(spark, sf_dir)
+    line = F.when(F.col("payload") == "", F.lit("")).otherwise(
+        F.concat(F.lit('{"ts":'), F.unix_seconds(F.col("status_ts").cast("timestamp")).cast("string"),
+                 F.lit(',"record":'), F.col("payload"), F.lit("}")))
+    return p.select("seq", line.alias("value"))

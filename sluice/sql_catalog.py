@@ -289,3 +289,239 @@ SELECT tenant_id, count(*) AS messages,
        quantile_cont(duration_ms, 0.95) AS p95, quantile_cont(duration_ms, 0.99) AS p99,
        avg(CASE WHEN outcome = 'delivered' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) > 0.99 AS slo_pass
 FROM dispatched GROUP BY tenant_id""", "dispatched")
+
+# Token verdicts by construction (the defect injected per event id).
+_TOKEN_VERDICT = """
+, verdict AS (
+  SELECT event_id AS message_id, user_id,
+    CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 10 <= 2 THEN 'valid' ELSE 'invalid' END AS token_status,
+    CASE WHEN event_id % 13 = 0 THEN NULL ELSE
+      CASE event_id % 10 WHEN 3 THEN 'invalid JWT format' WHEN 4 THEN 'unsupported JWT alg'
+        WHEN 5 THEN 'invalid JWT signature' WHEN 6 THEN 'missing exp claim' WHEN 7 THEN 'token expired'
+        WHEN 8 THEN 'token not yet valid' WHEN 9 THEN 'tenant claim missing in JWT' END END AS token_error,
+    CASE WHEN event_id % 13 <> 0 AND event_id % 10 <= 2
+         THEN 'tenant-' || CAST((user_id + event_id % 3) % 5 AS VARCHAR) END AS token_tenant,
+    'tenant-' || CAST(user_id % 5 AS VARCHAR) AS body_tenant
+  FROM events)
+"""
+
+SQL["token_audit"] = "WITH " + _TOKEN_VERDICT.lstrip().lstrip(",").lstrip() + """
+SELECT message_id, token_status, token_error, token_tenant FROM verdict"""
+
+SQL["resolve_tenant"] = "WITH " + _TOKEN_VERDICT.lstrip().lstrip(",").lstrip() + """
+SELECT message_id,
+       CASE WHEN token_status = 'valid' THEN token_tenant WHEN token_status = 'invalid' THEN NULL
+            ELSE body_tenant END AS tenant_id,
+       CASE WHEN token_status = 'invalid' THEN 'invalid_bearer_token' END AS auth_reason
+FROM verdict"""
+
+SQL["tenant_scope"] = "WITH " + _TOKEN_VERDICT.lstrip().lstrip(",").lstrip() + """
+SELECT message_id, body_tenant AS asked_tenant,
+       CASE WHEN token_status = 'invalid' THEN 'unauthorized'
+            WHEN token_status = 'valid' AND token_tenant <> body_tenant THEN 'forbidden'
+            ELSE 'allowed' END AS scope,
+       CAST(CASE WHEN token_status = 'invalid' THEN 401
+            WHEN token_status = 'valid' AND token_tenant <> body_tenant THEN 403 ELSE 200 END AS INTEGER)
+         AS scope_status
+FROM verdict"""
+
+SQL["required_fields"] = with_views("""
+, recs AS (
+  SELECT seq AS record_id,
+         CASE seq % 3 WHEN 0 THEN 'store' WHEN 1 THEN 'claim' ELSE 'release' END AS kind,
+         CASE WHEN seq % 19 <> 0 THEN tenant_id END AS tenant_id,
+         CASE WHEN seq % 23 = 0 THEN '' ELSE notification_id END AS notification_id,
+         status,
+         CASE WHEN seq % 29 <> 0 THEN correlation_id END AS idempotency_key
+  FROM history),
+judged AS (
+  SELECT record_id, kind,
+    CASE WHEN kind = 'store' AND (tenant_id IS NULL OR status IS NULL OR notification_id IS NULL)
+           THEN 'tenant_id, status and notification_id are required'
+         WHEN kind IN ('claim', 'release') AND (coalesce(tenant_id, '') = '' OR coalesce(idempotency_key, '') = ''
+                                                OR coalesce(notification_id, '') = '')
+           THEN 'tenant_id, idempotency_key and notification_id are required' END AS reject_reason
+  FROM recs)
+SELECT record_id, kind, reject_reason IS NULL AS valid, reject_reason FROM judged""", "history")
+
+SQL["subscription_accept"] = """
+WITH frames AS (
+  SELECT conv_id AS session_id, turn AS seq,
+         CASE WHEN role = 'user' THEN 'subscribe' ELSE 'noop' END AS type,
+         CASE WHEN conv_id % 7 <> 0 THEN 'tenant-' || CAST(conv_id % 5 AS VARCHAR) END AS auth_tenant,
+         CASE WHEN conv_id % 11 = 0 THEN 'tenant-' || CAST((conv_id + 1) % 5 AS VARCHAR)
+              ELSE 'tenant-' || CAST(conv_id % 5 AS VARCHAR) END AS tenant_id,
+         CASE WHEN turn = 3 THEN '' ELSE (['view', 'click', 'purchase', 'signup', 'error'])[turn % 5 + 1] END
+           AS channel
+  FROM conversations),
+v AS (
+  SELECT *, CASE WHEN NOT (type = 'subscribe' AND coalesce(tenant_id, '') <> '' AND coalesce(channel, '') <> '')
+                   THEN 'ignore'
+                 WHEN coalesce(auth_tenant, '') <> '' AND auth_tenant <> tenant_id THEN 'close'
+                 ELSE 'accept' END AS v0
+  FROM frames),
+c AS (SELECT session_id, min(seq) AS closed_at FROM v WHERE v0 = 'close' GROUP BY session_id)
+SELECT v.session_id, v.seq,
+       CASE WHEN c.closed_at IS NOT NULL AND v.seq > c.closed_at THEN 'after_close' ELSE v.v0 END AS verdict
+FROM v LEFT JOIN c ON v.session_id = c.session_id"""
+
+SQL["route_requests"] = """
+WITH log AS (
+  SELECT event_id AS request_id,
+         CASE WHEN event_id % 10 IN (7, 8) THEN 'POST' ELSE 'GET' END AS method,
+         CASE event_id % 10
+           WHEN 0 THEN '/health' WHEN 1 THEN '/metrics'
+           WHEN 2 THEN '/ws?access_token=tok-' || CAST(event_id AS VARCHAR)
+           WHEN 3 THEN '/v1/notifications/n-' || CAST(event_id // 4 AS VARCHAR) || '?tenant_id=tenant-'
+                       || CAST(user_id % 5 AS VARCHAR)
+           WHEN 4 THEN '/v1/notifications/n-' || CAST(event_id // 4 AS VARCHAR)
+                       || CASE WHEN event_id % 20 = 14 THEN '?tenant_id=' ELSE '' END
+           WHEN 5 THEN '/v1/tenants/tenant-' || CAST(user_id % 5 AS VARCHAR) || '/deliveries?limit='
+                       || (['7', '0', '9999', 'abc'])[(event_id // 10) % 4 + 1]
+           WHEN 6 THEN '/v1/tenants/tenant-' || CAST(user_id % 5 AS VARCHAR) || '/deliveries'
+           WHEN 7 THEN '/v1/notifications' WHEN 8 THEN '/v1/internal/deliver'
+           ELSE '/v1/tenants/tenant-' || CAST(user_id % 5 AS VARCHAR) END AS path
+  FROM events
+  UNION ALL
+  SELECT page_id + 1000000000, 'GET', regexp_extract(url, '^[a-z]+://[^/]+(/[^#]*)', 1) FROM pages),
+parts AS (
+  SELECT *, split_part(path, '?', 1) AS bare,
+         CASE WHEN strpos(path, '?') > 0 THEN substr(path, strpos(path, '?') + 1) END AS q
+  FROM log),
+p2 AS (
+  SELECT *,
+    CASE WHEN regexp_matches(q, '(^|&)tenant_id=([^&]*)') THEN regexp_extract(q, '(^|&)tenant_id=([^&]*)', 2) END AS qt,
+    CASE WHEN regexp_matches(q, '(^|&)limit=([^&]*)') THEN regexp_extract(q, '(^|&)limit=([^&]*)', 2) END AS ql,
+    substr(bare, 13) AS tenant_part
+  FROM parts),
+routed AS (
+  SELECT *,
+    CASE WHEN method = 'GET' AND bare = '/health' THEN 'health'
+         WHEN method = 'GET' AND bare = '/metrics' THEN 'metrics'
+         WHEN method = 'GET' AND bare = '/ws' THEN 'websocket'
+         WHEN method = 'GET' AND starts_with(bare, '/v1/notifications/') AND length(bare) > 18 THEN 'notification_state'
+         WHEN method = 'GET' AND starts_with(bare, '/v1/tenants/') AND length(tenant_part) > 11
+              AND ends_with(tenant_part, '/deliveries') THEN 'tenant_deliveries'
+         WHEN method = 'POST' AND bare = '/v1/internal/deliver' THEN 'internal_deliver'
+         WHEN method = 'POST' AND bare = '/v1/notifications' THEN 'submit'
+         ELSE 'not_found' END AS route
+  FROM p2)
+SELECT request_id, route,
+       CAST(CASE route WHEN 'health' THEN 200 WHEN 'metrics' THEN 200 WHEN 'websocket' THEN 101
+            WHEN 'notification_state' THEN CASE WHEN coalesce(qt, '') = '' THEN 400 ELSE 200 END
+            WHEN 'tenant_deliveries' THEN 200 WHEN 'internal_deliver' THEN 200 WHEN 'submit' THEN 202
+            ELSE 404 END AS INTEGER) AS http_status,
+       CASE WHEN route = 'notification_state' THEN substr(bare, 19) END AS resource_id,
+       CASE WHEN route = 'notification_state' THEN qt
+            WHEN route = 'tenant_deliveries' THEN substr(tenant_part, 1, length(tenant_part) - 11) END AS tenant_id,
+       CASE WHEN route = 'tenant_deliveries' THEN
+         CAST(greatest(1, least(500, CASE
+           WHEN TRY_CAST(regexp_extract(ql, '^\\s*([+-]?\\d+)', 1) AS INTEGER) IS NULL THEN 50
+           ELSE TRY_CAST(regexp_extract(ql, '^\\s*([+-]?\\d+)', 1) AS INTEGER) END)) AS INTEGER) END AS "limit"
+FROM routed"""
+
+_PAYLOAD = """
+, lines AS (
+  SELECT seq, status_ts,
+    CASE WHEN seq % 31 = 0 THEN ''
+         WHEN seq % 29 = 0 THEN substr(js, 1, CAST(floor(length(js) / 2) AS INTEGER))
+         ELSE js END AS payload
+  FROM (SELECT *, '{"tenant_id":"' || tenant_id || '","notification_id":"' || notification_id
+                  || '","status":"' || status || '","attempt":' || CAST(attempt AS VARCHAR)
+                  || ',"error":"' || error || '"}' AS js FROM history))
+"""
+
+SQL["parse_payload"] = with_views(_PAYLOAD + """
+SELECT seq, json_valid(payload) AS valid,
+       CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.tenant_id') END AS tenant_id,
+       CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.notification_id') END AS notification_id,
+       CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.status') END AS status,
+       CASE WHEN json_valid(payload) THEN coalesce(TRY_CAST(json_extract_string(payload, '$.attempt') AS BIGINT), 0)
+         END AS attempt,
+       CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.error') END AS error
+FROM lines WHERE length(trim(payload)) > 0""", "history")
+
+SQL["audit_scan"] = with_views(_PAYLOAD + """
+, audit AS (
+  SELECT CASE WHEN payload = '' THEN ''
+              ELSE '{"ts":' || CAST(epoch_us(status_ts) // 1000000 AS VARCHAR) || ',"record":' || payload || '}'
+         END AS value
+  FROM lines)
+SELECT CAST(json_extract_string(value, '$.ts') AS BIGINT) AS ts,
+       json_extract_string(value, '$.record.tenant_id') AS tenant_id,
+       json_extract_string(value, '$.record.notification_id') AS notification_id,
+       json_extract_string(value, '$.record.status') AS status,
+       coalesce(TRY_CAST(json_extract_string(value, '$.record.attempt') AS BIGINT), 0) AS attempt,
+       json_extract_string(value, '$.record.error') AS error
+FROM audit WHERE length(trim(value)) > 0 AND json_valid(value)
+  AND json_extract_string(value, '$.record.tenant_id') IS NOT NULL
+  AND json_extract_string(value, '$.record.notification_id') IS NOT NULL""", "history")
+
+SQL["pairs_to_map"] = """
+WITH kv AS (
+  SELECT event_id,
+         CASE WHEN event_id % 3 = 0
+              THEN ['a', CAST(user_id AS VARCHAR), 'b', event_type, 'a', CAST(event_id AS VARCHAR), 'c']
+              ELSE ['a', CAST(user_id AS VARCHAR), 'b', event_type, 'a', CAST(event_id AS VARCHAR)] END AS arr
+  FROM events),
+pairs AS (
+  SELECT event_id, arr[2 * i + 1] AS key, arr[2 * i + 2] AS value, i
+  FROM (SELECT event_id, arr, unnest(range(0, len(arr) // 2)) AS i FROM kv))
+SELECT event_id, key, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_id, key ORDER BY i DESC) AS rn FROM pairs) WHERE rn = 1"""
+
+SQL["status_record"] = _dispatch("""
+, rows AS (
+  SELECT message_id, 1 AS step, tenant_id, user_id, channel, content, correlation_id, 'received' AS status,
+         retry_count AS attempt, '' AS error
+  FROM outcomes WHERE received_ok
+  UNION ALL
+  SELECT message_id, 2, tenant_id, user_id, channel, content, correlation_id, 'delivered', retry_count, ''
+  FROM outcomes WHERE received_ok AND NOT simulate_fail AND delivered_ok
+  UNION ALL
+  SELECT message_id, 3, tenant_id, user_id, channel, content, correlation_id, outcome, retry_count + 1,
+         failure_reason
+  FROM outcomes WHERE outcome <> 'delivered')
+SELECT message_id, step,
+       json_object('tenant_id', tenant_id, 'notification_id', CAST(message_id AS VARCHAR), 'user_id', user_id,
+                   'channel', channel, 'content', content, 'correlation_id', correlation_id, 'status', status,
+                   'attempt', CAST(attempt AS INTEGER), 'error', error)::VARCHAR AS body
+FROM rows""")
+
+SQL["audit_details"] = with_views("""
+SELECT seq, 'channel=' || channel || ',attempt=' || CAST(attempt AS VARCHAR) || ',error=' || error
+            || ',correlation_id=' || correlation_id AS details
+FROM history""", "history")
+
+SQL["audit_append"] = with_views("""
+SELECT seq, json_object('ts', epoch_us(status_ts) // 1000000,
+                        'record', json_object('tenant_id', tenant_id, 'notification_id', notification_id,
+                                              'user_id', user_id, 'channel', channel, 'content', content,
+                                              'correlation_id', correlation_id, 'status', status,
+                                              'attempt', attempt, 'error', error))::VARCHAR AS value
+FROM history""", "history")
+
+SQL["event_log"] = admission_sql(1, 50, 3000, 0, body="""
+SELECT message_id,
+  '{"ts":' || CAST(epoch_us(arrival_ts) // 1000000 AS VARCHAR) || ',"service":"gateway","event":"'
+  || CASE WHEN reason IN ('ok', 'duplicate_idempotency_key') THEN 'notification_accepted'
+          ELSE 'notification_rejected' END
+  || '","outcome":"' || reason || '","tenant_id":"' || tenant_id || '"'
+  || CASE WHEN reason = 'ok' AND coalesce(correlation_id, '') <> ''
+            THEN ',"correlation_id":"' || correlation_id || '"'
+          WHEN reason = 'duplicate_idempotency_key' AND coalesce(canonical_id, '') <> ''
+            THEN ',"correlation_id":"' || canonical_id || '"' ELSE '' END
+  || CASE WHEN reason = 'daily_quota_exceeded' THEN ',"detail":"quota_count=' || CAST(quota_count AS VARCHAR) || '"'
+          WHEN reason = 'stream_backpressure' THEN ',"detail":"stream=notifications_stream,length=3000"'
+          WHEN reason = 'retry_stream_backpressure' THEN ',"detail":"stream=notifications_retry_stream"'
+          ELSE '' END
+  || '}' AS log_line
+FROM decided
+WHERE reason IN ('ok', 'duplicate_idempotency_key', 'rate_limited', 'daily_quota_exceeded',
+                 'stream_backpressure', 'retry_stream_backpressure')""")
+
+SQL["tenant_audit_report"] = with_views("""
+SELECT tenant_id, status, count(*) AS records, max(status_ts) AS newest_ts,
+       avg(CASE WHEN status = 'dlq' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS dlq_share,
+       CAST(grouping(tenant_id, status) AS INTEGER) AS level
+FROM history GROUP BY ROLLUP (tenant_id, status)""", "history")
