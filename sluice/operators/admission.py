@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions import blank_to_null
-from sluice.operators.ordering import add_time_buckets, minute_and_day_rank, nth_in_order
+from sluice.operators.ordering import add_time_buckets, minute_and_day_rank, nth_in_order, ts_literal
 
 # Fixed values of the ingress service (defaults and response codes).
 DEFAULT_USER = "unknown-user"
@@ -177,40 +177,47 @@ def backlog_gate(df: DataFrame, survivor: str, publishable: str,
     retry closes nothing publishes, so main never fills).  Limit <= 0 = off;
     N or R <= 0 with the limit on = closed from the first row.
 
-    Adds ``gate_reason`` (null = passes).  The cuts are scalar subqueries,
-    so the job stays one plan and no row reaches the driver.
+    Adds ``gate_reason`` (null = passes).  Each cut is found by small jobs
+    that return one row (:func:`nth_in_order`); the per-row test is then a
+    comparison with literals.
     """
     ts, tid = F.col("arrival_ts"), F.col("message_id")
     main_on, retry_on = main_limit > 0, retry_limit > 0
     n_main, n_retry = main_limit - main_start_len, retry_limit - retry_start_len
 
-    if main_on and n_main > 0:
-        cut = nth_in_order(df.filter(F.col(publishable)), n_main, "arrival_ts", "message_id")
-        cut_ts, cut_id = cut.select("cut_ts").scalar(), cut.select("cut_id").scalar()
-        after_main = cut_ts.isNotNull() & ((ts > cut_ts) | ((ts == cut_ts) & (tid > cut_id)))
+    main_cut = (nth_in_order(df.filter(F.col(publishable)), n_main, "arrival_ts", "message_id")
+                if main_on and n_main > 0 else None)
+    if main_cut is not None:
+        cut_ts, cut_id = ts_literal(main_cut[0]), F.lit(main_cut[1])
+        after_main = (ts > cut_ts) | ((ts == cut_ts) & (tid > cut_id))
     else:
-        cut_ts = F.lit(None).cast("timestamp_ntz")
-        after_main = F.lit(main_on)
+        after_main = F.lit(main_on and n_main <= 0)
 
+    retry_cut = None
     if retry_on and n_retry > 0:
         if retry_entries is None:
             raise ValueError("retry_limit needs retry_entries")
-        rcut = nth_in_order(retry_entries, n_retry, "entry_ts", "message_id")
-        retry_ts = rcut.select("cut_ts").scalar()
-        after_retry = retry_ts.isNotNull() & (ts > retry_ts)
-        main_cut_passes_retry = retry_ts.isNull() | (cut_ts <= retry_ts)
+        retry_cut = nth_in_order(retry_entries, n_retry, "entry_ts", "message_id")
+    if retry_cut is not None:
+        after_retry = ts > ts_literal(retry_cut[0])
     else:
-        after_retry = F.lit(retry_on)
-        main_cut_passes_retry = F.lit(not retry_on)
+        after_retry = F.lit(retry_on and n_retry <= 0)
 
+    # Is the main cut real?  Only if its row itself got past the retry gate.
     if main_on and n_main <= 0:
-        main_valid = F.lit(True)
-    elif main_on:
-        main_valid = cut_ts.isNotNull() & main_cut_passes_retry
+        main_valid = True
+    elif main_cut is None:
+        main_valid = False
+    elif not retry_on:
+        main_valid = True
+    elif n_retry <= 0:
+        main_valid = False
+    elif retry_cut is None:
+        main_valid = True
     else:
-        main_valid = F.lit(False)
+        main_valid = main_cut[0] <= retry_cut[0]
 
     reason = (F.when(~F.col(survivor), F.lit(None).cast("string"))
-               .when(main_valid & after_main, F.lit(REASON_MAIN_BACKLOG))
+               .when(F.lit(main_valid) & after_main, F.lit(REASON_MAIN_BACKLOG))
                .when(after_retry, F.lit(REASON_RETRY_BACKLOG)))
     return df.withColumn("gate_reason", reason)

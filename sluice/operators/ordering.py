@@ -11,6 +11,7 @@ scalar subquery over a small aggregate.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -82,32 +83,47 @@ def minute_and_day_rank(df: DataFrame, keys: Sequence[str], ts_col: str, id_col:
                   .drop("rank_in_sec", "sec_off", "min_off"))
 
 
-def nth_in_order(df: DataFrame, n, ts_col: str, id_col: str) -> DataFrame:
-    """One-row frame ``(cut_ts, cut_id)`` of the ``n``-th row by (ts, id), or no row.
+def nth_in_order(df: DataFrame, n: int, ts_col: str, id_col: str):
+    """``(ts, id)`` of the ``n``-th row of ``df`` by (ts, id), or None if it has fewer rows.
 
-    ``n`` may be an int or a Column (e.g. a scalar subquery).  Only
-    aggregates cross a single task: day counts (one row per day), the
-    minutes of one day, the rows of one minute.
+    Three small jobs, each returning one row to the driver: the day that
+    holds the n-th row (running sum over the per-day count table, one row
+    per calendar day), the minute inside that day (at most 1,440 rows), and
+    the row inside that minute.  The later jobs filter on a literal time
+    range, which reaches the parquet scan as a pushed filter.
     """
-    n = F.lit(n) if isinstance(n, int) else n
-    b = df.select(F.col(ts_col).alias("t"), F.col(id_col).alias("i"),
-                  epoch_day(ts_col).alias("d"), epoch_minute(ts_col).alias("m"))
-    days = b.groupBy("d").agg(F.count(F.lit(1)).alias("c"))
-    # Global running sum over the day table: one row per calendar day.
+    if n <= 0:
+        return None
+    b = df.select(F.col(ts_col).alias("t"), F.col(id_col).alias("i"))
+    days = b.groupBy(epoch_day("t").alias("d")).agg(F.count(F.lit(1)).alias("c"))
+    # A global window, but over the day table: its size is the time span.
     days = days.withColumn("cum", F.sum("c").over(
         Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0)))
-    hit_day = days.filter(F.col("cum") >= n).agg(
-        F.min_by(F.struct("d", (F.col("cum") - F.col("c")).alias("before")), F.col("d")).alias("h"))
-    day_s = hit_day.select("h.d").scalar()
-    day_before = hit_day.select("h.before").scalar()
-    mins = b.filter(F.col("d") == day_s).groupBy("d", "m").agg(F.count(F.lit(1)).alias("c"))
-    mins = mins.withColumn("cum", day_before + F.sum("c").over(
-        Window.partitionBy("d").orderBy("m").rowsBetween(Window.unboundedPreceding, 0)))
-    hit_min = mins.filter(F.col("cum") >= n).agg(
-        F.min_by(F.struct("m", (F.col("cum") - F.col("c")).alias("before")), F.col("m")).alias("h"))
-    min_s = hit_min.select("h.m").scalar()
-    min_before = hit_min.select("h.before").scalar()
-    rows = b.filter(F.col("m") == min_s).withColumn(
-        "rn", F.row_number().over(Window.partitionBy("m").orderBy("t", "i")))
-    return rows.filter(F.col("rn") + min_before == n).select(
-        F.col("t").alias("cut_ts"), F.col("i").alias("cut_id"))
+    hit = days.filter(F.col("cum") >= n).orderBy("d").select("d", (F.col("cum") - F.col("c")).alias("before")).first()
+    if hit is None:
+        return None
+    day, before = hit["d"], hit["before"]
+    lo, hi = _bounds(day, 86_400)
+    in_day = b.filter((F.col("t") >= lo) & (F.col("t") < hi))
+    mins = in_day.groupBy(epoch_minute("t").alias("m")).agg(F.count(F.lit(1)).alias("c"))
+    mins = mins.withColumn("cum", F.lit(before) + F.sum("c").over(
+        Window.orderBy("m").rowsBetween(Window.unboundedPreceding, 0)))
+    hit = mins.filter(F.col("cum") >= n).orderBy("m").select("m", (F.col("cum") - F.col("c")).alias("before")).first()
+    minute, before = hit["m"], hit["before"]
+    lo, hi = _bounds(minute, 60)
+    in_min = b.filter((F.col("t") >= lo) & (F.col("t") < hi))
+    row = (in_min.withColumn("m", F.lit(minute))
+                 .withColumn("rn", F.row_number().over(Window.partitionBy("m").orderBy("t", "i")))
+                 .filter(F.col("rn") == n - before).select("t", "i").first())
+    return (row["t"], row["i"])
+
+
+def ts_literal(value: dt.datetime):
+    """Exact NTZ literal of a wall-clock datetime (no local-time conversion)."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
+def _bounds(bucket: int, seconds: int):
+    """Literal [start, end) timestamps (NTZ, UTC) of an epoch-aligned bucket."""
+    start = dt.datetime(1970, 1, 1) + dt.timedelta(seconds=bucket * seconds)
+    return ts_literal(start), ts_literal(start + dt.timedelta(seconds=seconds))

@@ -30,14 +30,21 @@ def admission_decisions(requests: DataFrame, claims: DataFrame | None = None,
     df = adm.content_required(df)
     df = adm.resolve_tenant(df, require_auth)
     df = df.withColumn("eligible", F.col("content_ok") & F.col("auth_reason").isNull())
-    df = adm.rate_and_quota(df, limit_per_minute, daily_quota, eligible="eligible")
+    if limit_per_minute > 0 or daily_quota > 0:
+        df = adm.rate_and_quota(df, limit_per_minute, daily_quota, eligible="eligible")
+        # The claim step reads the ranked rows twice (rows and per-key
+        # winners): rank once and store the result in the shared folder.
+        df = materialize(df.drop("bucket_sec", "bucket_min", "bucket_day"), "admission-ranked")
+    else:
+        df = df.withColumns({"rate_ok": F.col("eligible"), "quota_ok": F.col("eligible"),
+                             "quota_count": F.lit(None).cast("bigint")})
     df = df.withColumn("survivor", F.col("quota_ok"))
     df = adm.idempotency_claim(df, claims, eligible="survivor")
     df = df.withColumn("publishable", F.col("survivor") & (F.col("idem_key").isNull() | F.col("claimed")))
     if main_backlog > 0 or retry_backlog > 0:
         # The cut is global over arrival order: compute the per-row verdicts
         # once, store them in the shared folder, and cut the stored table.
-        df = materialize(df.drop("bucket_sec", "bucket_min", "bucket_day"), "admission")
+        df = materialize(df, "admission-claimed")
     df = adm.backlog_gate(df, "survivor", "publishable", main_backlog, retry_backlog,
                           retry_entries, main_start_len, retry_start_len)
     reason = (F.when(~F.col("content_ok"), F.lit(adm.REASON_CONTENT))
