@@ -37,7 +37,7 @@ def blank_to_null(c) -> Column:
     return F.nullif(col(c), F.lit(""))
 
 
-def int_or(c, default: int = 0) -> Column:
+def int_or(c, default: int | None = 0) -> Column:
     """Leading integer of a text value, else ``default``.
 
     Accepts a numeric prefix (``"3abc"`` -> 3) like ``stoi``; a value with no
@@ -47,6 +47,8 @@ def int_or(c, default: int = 0) -> Column:
     return F.coalesce(_try_bigint(digits), F.lit(default).cast("bigint"))
 
 
+
+
 def _try_bigint(c: Column) -> Column:
     return F.nullif(c, F.lit("")).try_cast("bigint")
 
