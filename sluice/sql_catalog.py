@@ -525,3 +525,79 @@ SELECT tenant_id, status, count(*) AS records, max(status_ts) AS newest_ts,
        avg(CASE WHEN status = 'dlq' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS dlq_share,
        CAST(grouping(tenant_id, status) AS INTEGER) AS level
 FROM history GROUP BY ROLLUP (tenant_id, status)""", "history")
+
+# ---- streaming: each equals the batch answer of its operator ----------------
+
+SQL["stream_read"] = with_views("""
+SELECT message_id, source_stream, retry_count, arrival_ts FROM consumed""", "consumed")
+
+SQL["stream_rate_quota"] = admission_sql(2, 40, 0, 0, body="""
+SELECT message_id, tenant_id, rank_in_minute, rate_ok, quota_count, survivor AS quota_ok
+FROM decided WHERE rank_in_minute IS NOT NULL""")
+
+SQL["stream_dedup"] = with_views("""
+SELECT DISTINCT tenant_id, nullif(idempotency_key, '') AS idem_key FROM requests
+WHERE coalesce(length(content), 0) > 0 AND nullif(idempotency_key, '') IS NOT NULL""", "requests")
+
+SQL["stream_retry"] = with_views("""
+, main AS (
+  SELECT message_id, tenant_id, simulate_fail, received_ok AND delivered_ok AND push_ok AS side_ok
+  FROM consumed WHERE source_stream = 'main')
+SELECT message_id, tenant_id, 0 AS attempt, 'delivered' AS status FROM main WHERE NOT simulate_fail AND side_ok
+UNION ALL
+SELECT message_id, tenant_id, 1, 'retry_scheduled' FROM main WHERE NOT simulate_fail AND NOT side_ok
+UNION ALL
+SELECT message_id, tenant_id, 1, 'delivered' FROM main WHERE NOT simulate_fail AND NOT side_ok
+UNION ALL
+SELECT message_id, tenant_id, CAST(a AS INTEGER), 'retry_scheduled'
+FROM main, (SELECT unnest(range(1, 4)) AS a) WHERE simulate_fail
+UNION ALL
+SELECT message_id, tenant_id, 4, 'dlq' FROM main WHERE simulate_fail""", "consumed")
+
+SQL["stream_fan_out"] = SQL["fan_out"]
+
+SQL["stream_usage_windows"] = with_views("""
+SELECT tenant_id, date_trunc('minute', arrival_ts) AS minute_start, count(*) AS seen
+FROM requests WHERE coalesce(length(content), 0) > 0
+GROUP BY tenant_id, date_trunc('minute', arrival_ts)""", "requests")
+
+SQL["stream_status_tables"] = _dispatch("""
+, rows AS (
+  SELECT message_id, tenant_id, 1 AS step, 'received' AS status, retry_count AS attempt
+  FROM outcomes WHERE received_ok
+  UNION ALL
+  SELECT message_id, tenant_id, 2, 'delivered', retry_count
+  FROM outcomes WHERE received_ok AND NOT simulate_fail AND delivered_ok
+  UNION ALL
+  SELECT message_id, tenant_id, 3, outcome, CAST(retry_count + 1 AS INTEGER)
+  FROM outcomes WHERE outcome <> 'delivered')
+SELECT tenant_id, message_id, step, status, attempt FROM (
+  SELECT *, row_number() OVER (PARTITION BY tenant_id, message_id ORDER BY step DESC) AS rn FROM rows)
+WHERE rn = 1""")
+
+SQL["stream_dlq"] = SQL["dlq_write"]
+
+SQL["stream_metrics"] = with_views("""
+SELECT count(*) AS consumed,
+       count(*) FILTER (WHERE outcome = 'delivered') AS delivered,
+       count(*) FILTER (WHERE outcome = 'retry_scheduled') AS retry_scheduled,
+       count(*) FILTER (WHERE outcome = 'dlq') AS dead_lettered,
+       count(*) FILTER (WHERE NOT received_ok)
+         + count(*) FILTER (WHERE received_ok AND NOT simulate_fail AND NOT delivered_ok)
+         AS storage_write_failures,
+       count(*) FILTER (WHERE received_ok AND NOT simulate_fail AND delivered_ok AND NOT push_ok)
+         AS gateway_delivery_failures
+FROM dispatched""", "dispatched")
+
+SQL["stream_recovery"] = SQL["status_expand"]
+
+SQL["sink_with_fallback"] = SQL["status_expand"].replace(
+    "SELECT message_id, tenant_id, correlation_id, 1 AS step, 'received' AS status, retry_count AS attempt,\n"
+    "       '' AS error\n",
+    "SELECT message_id, tenant_id, correlation_id, 1 AS step, 'received' AS status, retry_count AS attempt,\n"
+    "       '' AS error, 'fallback' AS sink\n").replace(
+    "SELECT message_id, tenant_id, correlation_id, 2, 'delivered', retry_count, ''\n",
+    "SELECT message_id, tenant_id, correlation_id, 2, 'delivered', retry_count, '', 'fallback'\n").replace(
+    "SELECT message_id, tenant_id, correlation_id, 3, outcome, CAST(retry_count + 1 AS INTEGER), failure_reason\n",
+    "SELECT message_id, tenant_id, correlation_id, 3, outcome, CAST(retry_count + 1 AS INTEGER), failure_reason,\n"
+    "       'fallback'\n")
