@@ -30,8 +30,7 @@ BEARER = "Bearer "
 DEFAULT_SKEW_SECONDS = 60
 HMAC_BLOCK = 64
 
-HEADER_SCHEMA = "alg string"
-CLAIMS_SCHEMA = "exp string, nbf string, iat string, tenant_id string, tid string"
+CLAIM_FIELDS = ("exp", "nbf", "iat", "tenant_id", "tid")
 
 
 def hmac_sha256(secret: str, message: Column) -> Column:
@@ -88,7 +87,7 @@ def token_audit(df: DataFrame, secret: str, skew_seconds: int = DEFAULT_SKEW_SEC
     })
     df = df.withColumn("_bad_format", F.coalesce(F.length("_h"), F.lit(0)) * F.coalesce(F.length("_p"), F.lit(0))
                        * F.coalesce(F.length("_s"), F.lit(0)) == 0)
-    alg = F.from_json(F.decode(_decode(F.col("_h")), "UTF-8"), HEADER_SCHEMA)["alg"]
+    alg = F.get_json_object(F.decode(_decode(F.col("_h")), "UTF-8"), "$.alg")
     df = df.withColumns({"_alg_ok": F.coalesce(alg == "HS256", F.lit(False)),
                          "_payload": _decode(F.col("_p"))})
     if secret:
@@ -96,10 +95,11 @@ def token_audit(df: DataFrame, secret: str, skew_seconds: int = DEFAULT_SKEW_SEC
         df = df.withColumn("_sig_ok", F.coalesce(_decode(F.col("_s")) == expected, F.lit(False)))
     else:
         df = df.withColumn("_sig_ok", F.lit(False))
-    df = df.withColumn("_claims", F.from_json(F.decode(F.col("_payload"), "UTF-8"), CLAIMS_SCHEMA))
-    claims = F.col("_claims")
-    df = df.withColumns({f"_{name}": int_or(claims[name], None) for name in ("exp", "nbf", "iat")}
-                        | {"_tenant": F.coalesce(claims["tenant_id"], claims["tid"])})
+    # One parse of the claims for all five top-level fields (values as text).
+    df = df.select("*", F.json_tuple(F.decode(F.col("_payload"), "UTF-8"), *CLAIM_FIELDS)
+                   .alias(*[f"_c_{c}" for c in CLAIM_FIELDS]))
+    df = df.withColumns({f"_{name}": int_or(F.col(f"_c_{name}"), None) for name in ("exp", "nbf", "iat")}
+                        | {"_tenant": F.coalesce(F.col("_c_tenant_id"), F.col("_c_tid"))})
     exp, nbf, iat = F.col("_exp"), F.col("_nbf"), F.col("_iat")
     error = (F.when(F.col("_tok").isNull(), F.lit(None).cast("string"))
               .when(F.col("_bad_format"), F.lit(ERR_FORMAT))
@@ -118,7 +118,7 @@ def token_audit(df: DataFrame, secret: str, skew_seconds: int = DEFAULT_SKEW_SEC
               .withColumn("token_error", F.nullif(F.col("_err"), F.lit("")))
               .withColumn("token_tenant", F.when(F.col("token_status") == "valid", F.col("_tenant")))
               .drop("_tok", "_parts", "_h", "_p", "_s", "_bad_format", "_alg_ok", "_payload", "_sig_ok",
-                    "_claims", "_exp", "_nbf", "_iat", "_tenant", "_err"))
+                    "_exp", "_nbf", "_iat", "_tenant", "_err", *[f"_c_{c}" for c in CLAIM_FIELDS]))
 
 
 def tenant_scope(df: DataFrame, asked_col: str = "asked_tenant", require_auth: bool = False) -> DataFrame:

@@ -17,9 +17,6 @@ from sluice.operators.state import newest_per_key
 from sluice.plans.dispatch import dispatch_step
 from sluice.streaming.processors import RATE_QUOTA_OUTPUT, RETRY_OUTPUT, RateQuotaProcessor, RetryProcessor
 
-STATE_BUCKETS = 64
-
-
 def with_event_time(df: DataFrame, ts_col: str = "arrival_ts") -> DataFrame:
     return df.withColumns({"event_ts": F.col(ts_col).cast("timestamp"),
                            "ts_us": F.unix_micros(F.col(ts_col).cast("timestamp"))})
@@ -82,12 +79,11 @@ def status_fan_write(paths: dict, max_retries: int = dsp.MAX_RETRIES, fallback:
     """S05 / T04 / T05 / T10 as one ``foreachBatch`` function.
 
     Per micro-batch, over one persisted batch: the dispatcher pass (C02);
-    status rows appended to ``history``; the latest state per (tenant,
-    message) merged into ``state``; audit lines appended; dead letters and
-    retries appended; per-batch counters appended to ``metrics``.  Every
-    write is keyed by ``batch_id`` (history, audit, dlq, retry, metrics) or
-    is a deterministic merge (state), so a re-run batch leaves the same
-    tables.  ``fallback`` maps a table to a second path used when the first
+    status rows appended to ``history``; the newest status per (tenant,
+    message) appended to the ``state`` log (:func:`read_state` merges);
+    audit lines appended; dead letters and retries appended; per-batch
+    counters appended to ``metrics``.  Every write goes to the batch's own
+    ``batch_id`` folder, so a re-run batch leaves the same tables.  ``fallback`` maps a table to a second path used when the first
     write fails (S07).
     """
     from sluice.operators import records, metrics as mt
@@ -115,37 +111,46 @@ def status_fan_write(paths: dict, max_retries: int = dsp.MAX_RETRIES, fallback:
             write("retry", frames.retries, batch_id)
             write("metrics", mt.dispatch_counters(batch).filter("is_total").drop("tenant_id", "is_total")
                   .withColumn("batch_id", F.lit(batch_id)), batch_id)
-            merge_state(status, paths["state"], paths["staging"], batch_id)
+            append_state_delta(status, paths["state"], batch_id)
         finally:
             batch.unpersist()
 
     return run
 
 
-def merge_state(status: DataFrame, state_path: str, staging_path: str, batch_id: int,
-                buckets: int = STATE_BUCKETS) -> None:
-    """Upsert the newest status per (tenant, message) into a bucketed Parquet table.
+STATE_KEYS = ("tenant_id", "message_id")
+
+
+def append_state_delta(status: DataFrame, state_path: str, batch_id: int) -> None:
+    """Upsert as a log: the batch's newest row per (tenant, message) under its ``batch_id``.
+
+    Overwriting the batch's own folder makes a re-run idempotent; the
+    current state is read with :func:`read_state`, and :func:`compact_state`
+    folds the deltas into a snapshot now and then.
+    """
+    latest = newest_per_key(status, list(STATE_KEYS), ["step"], 1)
+    _overwrite_batch(latest, state_path, batch_id)
+
+
+def read_state(spark, state_path: str, snapshot_path: str | None = None) -> DataFrame:
+    """Latest state: newest row per key over the snapshot and every delta.
+
+    ``row_number() = 1`` per key is planned as ``WindowGroupLimit``: each map
+    task keeps one row per key before the shuffle.
+    """
+    deltas = spark.read.parquet(state_path)
+    if snapshot_path:
+        try:
+            deltas = spark.read.parquet(snapshot_path).unionByName(deltas)
+        except Exception:  # no snapshot written yet
+            pass
+    return newest_per_key(deltas, list(STATE_KEYS), ["batch_id", "step"], 1)
+
+
+def compact_state(spark, state_path: str, snapshot_path: str) -> None:
+    """Batch job: write the current state as a new snapshot folder.
 
-    Only the hash buckets the batch touches are rewritten (dynamic partition
-    overwrite); the merged buckets are staged first, so the table being
-    read is never the one being overwritten.
+    Callers then read ``snapshot + deltas newer than it``; the snapshot keeps
+    ``batch_id`` so the newest-wins order is unchanged.
     """
-    spark = status.sparkSession
-    keys, order = ["tenant_id", "message_id"], ["step"]
-    latest = newest_per_key(status, keys, order, 1).withColumn(
-        "bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-    try:
-        current = spark.read.parquet(state_path)
-        touched = current.join(latest.select("bucket").distinct(), "bucket", "left_semi")
-        merged = newest_per_key(touched.unionByName(latest), keys, ["batch_id"] + order, 1)
-    except Exception:  # first batch: no state table yet
-        merged = latest
-    stage = os.path.join(staging_path, f"batch_id={batch_id}")
-    merged.write.mode("overwrite").parquet(stage)
-    staged = spark.read.parquet(stage)
-    old = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        staged.write.mode("overwrite").partitionBy("bucket").parquet(state_path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
+    read_state(spark, state_path, None).write.mode("overwrite").parquet(snapshot_path)

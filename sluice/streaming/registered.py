@@ -107,8 +107,7 @@ def _dispatch_tables(spark, sf_dir, name, fail_batch: int | None = None, fallbac
     points the history sink at an unwritable path so S07 takes over.
     """
     base, s = feed(spark, name, fx.consumed(spark, sf_dir))
-    paths = {t: os.path.join(base, t) for t in ("history", "audit", "dlq", "retry", "metrics", "state",
-                                                 "staging")}
+    paths = {t: os.path.join(base, t) for t in ("history", "audit", "dlq", "retry", "metrics", "state")}
     fb = None
     if fallback:
         blocked = os.path.join(base, "blocked")
@@ -138,17 +137,29 @@ def _dispatch_tables(spark, sf_dir, name, fail_batch: int | None = None, fallbac
     return paths
 
 
+_RUNS: dict = {}
+
+
+def _dispatch_run(spark, sf_dir):
+    """One normal run of the dispatcher stream per session and input, shared by
+    the queries that read its tables (status, dead letters, metrics)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _RUNS:
+        _RUNS[key] = _dispatch_tables(spark, sf_dir, "dispatch")
+    return _RUNS[key]
+
+
 @register("stream_status_tables")
 def q_stream_status_tables(spark, sf_dir):
     """T05 + S05: latest status per message after merging every micro-batch."""
-    paths = _dispatch_tables(spark, sf_dir, "status-tables")
-    return spark.read.parquet(paths["state"]).select("tenant_id", "message_id", "step", "status", "attempt")
+    paths = _dispatch_run(spark, sf_dir)
+    return jobs.read_state(spark, paths["state"]).select("tenant_id", "message_id", "step", "status", "attempt")
 
 
 @register("stream_dlq")
 def q_stream_dlq(spark, sf_dir):
     """Dead letters written as a side output of the dispatcher stream."""
-    paths = _dispatch_tables(spark, sf_dir, "dlq")
+    paths = _dispatch_run(spark, sf_dir)
     return spark.read.parquet(paths["dlq"]).select(
         "message_id", "tenant_id", "retry_count", "failure_reason", "original_stream_id", "final_retry_count")
 
@@ -156,7 +167,7 @@ def q_stream_dlq(spark, sf_dir):
 @register("stream_metrics")
 def q_stream_metrics(spark, sf_dir):
     """Per-batch dispatcher counters summed over the whole stream."""
-    paths = _dispatch_tables(spark, sf_dir, "metrics")
+    paths = _dispatch_run(spark, sf_dir)
     m = spark.read.parquet(paths["metrics"])
     return m.agg(*[F.sum(c).cast("bigint").alias(c) for c in
                    ("consumed", "delivered", "retry_scheduled", "dead_lettered", "storage_write_failures",
