@@ -110,18 +110,16 @@ def _dispatch_tables(spark, sf_dir, name, fail_batch: int | None = None, fallbac
     paths = {t: os.path.join(base, t) for t in ("history", "audit", "dlq", "retry", "metrics", "state")}
     fb = None
     if fallback:
-        blocked = os.path.join(base, "blocked")
-        with open(blocked, "w") as fh:  # a file where a folder is expected: every write fails
-            fh.write("")
         fb = {"history": paths["history"] + "-fallback"}
-        paths["history"] = os.path.join(blocked, "history")
+        # A filesystem scheme no cluster registers: every write to it fails.
+        paths["history"] = "unreachable-store://primary/history"
     sink = jobs.status_fan_write(paths, fallback=fb)
-    marker = os.path.join(base, "failed-once")
+    failed: set[int] = set()  # foreachBatch runs on the driver
 
     def flaky(batch, batch_id):
         sink(batch, batch_id)
-        if fail_batch is not None and batch_id == fail_batch and not os.path.exists(marker):
-            open(marker, "w").close()
+        if fail_batch is not None and batch_id == fail_batch and batch_id not in failed:
+            failed.add(batch_id)
             raise RuntimeError("injected executor loss after the writes of batch %d" % batch_id)
 
     ck = os.path.join(base, "checkpoint")
