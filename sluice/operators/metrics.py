@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.operators import dispatch as dsp
+from sluice.operators.ordering import position_and_previous
 
 
 def _n(cond: Column) -> Column:
@@ -177,13 +178,15 @@ def correlation_trace(history: DataFrame, key: str = "correlation_id") -> DataFr
 
 
 def retry_chain_step(history: DataFrame, key: str = "correlation_id") -> DataFrame:
-    """Position, gap and previous status inside a correlation chain."""
-    w = Window.partitionBy(key).orderBy("status_ts", "seq")
-    prev_ts = F.lag("status_ts").over(w)
-    return history.select(
-        key, "seq", "status", "status_ts",
-        F.row_number().over(w).cast("bigint").alias("step"),
-        F.lag("status").over(w).alias("prev_status"),
-        (F.unix_micros(F.col("status_ts").cast("timestamp"))
-         - F.unix_micros(prev_ts.cast("timestamp"))).alias("gap_us"))
+    """Position, gap and previous status of each record inside its correlation chain.
 
+    A correlation id comes from the client and may be reused without bound,
+    so the chain is never sorted in one task (see ``position_and_previous``).
+    """
+    h = history.select(key, "seq", "status", "status_ts")
+    p = position_and_previous(h, [key], "status_ts", "seq", ["status", "status_ts"])
+    return p.select(
+        key, "seq", "status", "status_ts", "step",
+        F.col("prev_status").alias("prev_status"),
+        (F.unix_micros(F.col("status_ts").cast("timestamp"))
+         - F.unix_micros(F.col("prev_status_ts").cast("timestamp"))).alias("gap_us"))

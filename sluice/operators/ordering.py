@@ -127,3 +127,40 @@ def _bounds(bucket: int, seconds: int):
     """Literal [start, end) timestamps (NTZ, UTC) of an epoch-aligned bucket."""
     start = dt.datetime(1970, 1, 1) + dt.timedelta(seconds=bucket * seconds)
     return ts_literal(start), ts_literal(start + dt.timedelta(seconds=seconds))
+
+
+def position_and_previous(df: DataFrame, group: Sequence[str], ts_col: str, id_col: str,
+                          carry: Sequence[str]) -> DataFrame:
+    """1-based ``step`` of each row in its group by (ts, id), and ``prev_<c>`` of the row before.
+
+    Nothing sorts a whole group: rows are ordered only inside their (group,
+    second); each second and each day is summarised by its row count and its
+    last row; running sums and ``lag`` over those summary tables (at most
+    86,400 seconds per day, one row per day) give every second's offset and
+    the row before it; one join brings them back.
+    """
+    group, carry = list(group), list(carry)
+    b = df.withColumns({"_d": epoch_day(ts_col), "_s": epoch_second(ts_col)})
+    w_in = Window.partitionBy(*group, "_s").orderBy(ts_col, id_col)
+    b = b.withColumn("_rn", F.row_number().over(w_in))
+    b = b.withColumns({f"_lag_{c}": F.lag(c).over(w_in) for c in carry})
+    last = F.struct(F.col(ts_col).alias("o_t"), F.col(id_col).alias("o_i"), *[F.col(c) for c in carry])
+    secs = b.groupBy(*group, "_d", "_s").agg(F.count(F.lit(1)).alias("_n"), F.max(last).alias("_last"))
+    days = secs.groupBy(*group, "_d").agg(F.sum("_n").alias("_dn"), F.max("_last").alias("_dlast"))
+    w_days = Window.partitionBy(*group).orderBy("_d")
+    days = days.select(*group, "_d",
+                       F.coalesce(F.sum("_dn").over(w_days.rowsBetween(Window.unboundedPreceding, -1)),
+                                  F.lit(0)).alias("_doff"),
+                       F.lag("_dlast").over(w_days).alias("_dprev"))
+    w_secs = Window.partitionBy(*group, "_d").orderBy("_s")
+    secs = secs.join(days, group + ["_d"]).select(
+        *[F.col(g).alias(f"_g_{g}") for g in group], F.col("_s").alias("_g_s"),
+        (F.col("_doff") + F.coalesce(F.sum("_n").over(w_secs.rowsBetween(Window.unboundedPreceding, -1)),
+                                     F.lit(0))).alias("_soff"),
+        F.coalesce(F.lag("_last").over(w_secs), F.col("_dprev")).alias("_sprev"))
+    cond = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group] + [F.col("_s") == F.col("_g_s")]
+    out = b.join(secs, cond).withColumn("step", (F.col("_soff") + F.col("_rn")).cast("bigint"))
+    out = out.withColumns({f"prev_{c}": F.when(F.col("_rn") == 1, F.col(f"_sprev.{c}"))
+                                          .otherwise(F.col(f"_lag_{c}")) for c in carry})
+    return out.drop("_d", "_s", "_rn", "_soff", "_sprev", *[f"_lag_{c}" for c in carry],
+                    *[f"_g_{g}" for g in group], "_g_s")

@@ -104,3 +104,25 @@ def test_empty_inputs(spark):
     assert admission_decisions(empty, None, None, 1, 5, 10, 0).count() == 0
     assert dispatch_step(fx.consumed(spark, SF001).limit(0)).outcomes.count() == 0
     assert state.dlq_newest(fx.dead_letters(spark, SF001), 0).count() == 0
+
+
+def test_chain_position_without_one_task_sort_equals_window(spark):
+    """Hot chain: many rows in one second, across midnight, ties broken by seq."""
+    from pyspark.sql import Window
+    from sluice.operators.metrics import retry_chain_step
+    rows = []
+    base = 1_704_153_599_000_000  # 2024-01-01 23:59:59 UTC in micros
+    for i in range(400):
+        corr = "hot" if i % 4 else f"c{i % 7}"
+        us = base + (i // 50) * 400_000  # 50 rows share each 0.4 s step, crossing midnight
+        rows.append((corr, i, ["received", "delivered", "retry_scheduled"][i % 3], us))
+    df = spark.createDataFrame(rows, "correlation_id string, seq long, status string, us long") \
+              .withColumn("status_ts", F.timestamp_micros("us").cast("timestamp_ntz")).drop("us")
+    got = retry_chain_step(df)
+    w = Window.partitionBy("correlation_id").orderBy("status_ts", "seq")
+    want = df.select("correlation_id", "seq", F.row_number().over(w).cast("bigint").alias("step"),
+                     F.lag("status").over(w).alias("prev_status"),
+                     (F.unix_micros(F.col("status_ts").cast("timestamp"))
+                      - F.unix_micros(F.lag("status_ts").over(w).cast("timestamp"))).alias("gap_us"))
+    cols = ["correlation_id", "seq", "step", "prev_status", "gap_us"]
+    assert sorted(got.select(*cols).collect()) == sorted(want.select(*cols).collect())
