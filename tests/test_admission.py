@@ -90,3 +90,31 @@ def test_one_row_out_per_row_in(spark):
                              1, 5, 300, 50)
     assert df.count() == fx.requests(spark, SF001).count()
     assert df.select("message_id").distinct().count() == df.count()
+
+
+def test_edge_rows_ties_blank_keys_unicode(spark):
+    """Equal timestamps (ties broken by id), blank and missing keys, unicode, empty content."""
+    import datetime as dt
+    t0 = dt.datetime(2024, 3, 1, 12, 0, 59, 999_999)
+    rows = []
+    for i in range(60):
+        ts = t0 + dt.timedelta(microseconds=(i // 6))  # six requests share every timestamp, across a minute edge
+        tenant = ["tënant-α", "tenant-b", "テナント"][i % 3]
+        key = [None, "", "k-ü", "k-ü", f"k{i % 4}"][i % 5]
+        content = "" if i % 17 == 5 else f"héllo {i}"
+        hdr = ["", None, f"h-{i}"][i % 3]
+        rows.append(dict(message_id=1000 - i, arrival_ts=ts, tenant_id=tenant, user_field=None, channel_field="c",
+                         content=content, header_corr=hdr, body_corr=None, idempotency_key=key))
+    schema = ("message_id long, arrival_ts timestamp_ntz, tenant_id string, user_field string, channel_field string, "
+              "content string, header_corr string, body_corr string, idempotency_key string")
+    df = spark.createDataFrame(rows, schema)
+    claims = spark.createDataFrame([("tenant-b", "k1", "")], "tenant_id string, idempotency_key string, "
+                                                               "notification_id string")
+    retry = spark.createDataFrame([(1, t0), (2, t0 + dt.timedelta(microseconds=3))],
+                                  "message_id long, entry_ts timestamp_ntz")
+    claim_rows = [dict(tenant_id="tenant-b", idempotency_key="k1", notification_id="")]
+    for params in [(4, 9, 20, 0), (3, 0, 0, 2), (0, 5, 12, 2), (1, 1, 1, 1)]:
+        expected = simulate(rows, claim_rows, [r["entry_ts"] for r in retry.collect()], *params)
+        got = admission_decisions(df, claims, retry, *params)
+        got = {r["message_id"]: (r["reason"], r["quota_count"], r["canonical_id"]) for r in got.collect()}
+        assert got == expected, params
