@@ -32,7 +32,9 @@ def main() -> None:
     from sluice.session import get_session
     spark = get_session(f"local[{cpus}]", shuffle_partitions=cpus * 2,
                         extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
-    from sluice.queries import REGISTRY
+    import sluice.queries  # noqa: F401
+    import sluice.streaming.registered  # noqa: F401
+    from sluice.registry import REGISTRY
     from sluice.sources.tables import table
     events = table(spark, sf_dir, "events").count()
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
@@ -47,7 +49,6 @@ def main() -> None:
     if os.environ.get("BENCH_STREAMING", "1") == "1" and not only:
         # Stateful streams (T01, T03): input split into 5 time-ordered files,
         # one micro-batch each, run to the end; timed once (includes the split).
-        import sluice.streaming.registered  # noqa: F401
         for name in STREAMING:
             t0 = time.perf_counter()
             REGISTRY[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

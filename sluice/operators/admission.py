@@ -77,18 +77,21 @@ def resolve_tenant(df: DataFrame, require_auth: bool = False,
 
 
 def rate_and_quota(df: DataFrame, limit_per_minute: int, daily_quota: int,
-                   eligible: str = "eligible", keys: Sequence[str] = ("tenant_id",)) -> DataFrame:
+                   eligible: str = "eligible", keys: Sequence[str] = ("tenant_id",),
+                   prior_minute: DataFrame | None = None, prior_day: DataFrame | None = None) -> DataFrame:
     """W01 + W02 in one pass.
 
     W01: in each (tenant, UTC minute) the first ``limit`` eligible rows pass
     (``rate_ok``); ``limit <= 0`` = off.  W02: the daily counter is bumped by
     every rate-passed row, so ``quota_count`` = rank among rate-passed rows of
     the (tenant, UTC day); ``quota_ok`` = ``quota_count <= quota``;
-    ``quota <= 0`` = off.
+    ``quota <= 0`` = off.  ``prior_minute`` / ``prior_day`` carry the counts
+    of earlier micro-batches (see :func:`minute_and_day_rank`).
     """
     df = add_time_buckets(df, "arrival_ts")
     df = minute_and_day_rank(df, keys, "arrival_ts", "message_id", eligible,
-                             minute_cap=max(limit_per_minute, 0))
+                             minute_cap=max(limit_per_minute, 0),
+                             prior_minute=prior_minute, prior_day=prior_day)
     rate_ok = F.col(eligible) & (F.lit(limit_per_minute <= 0)
                                  | (F.col("rank_in_minute") <= limit_per_minute))
     quota_ok = F.col("rate_ok") & (F.lit(daily_quota <= 0) | (F.col("rank_in_day") <= daily_quota))

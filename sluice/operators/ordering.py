@@ -38,7 +38,9 @@ def running_before(df: DataFrame, group: Sequence[str], order: str, value: str,
 
 
 def minute_and_day_rank(df: DataFrame, keys: Sequence[str], ts_col: str, id_col: str,
-                        eligible: str, minute_cap: int = 0) -> DataFrame:
+                        eligible: str, minute_cap: int = 0,
+                        prior_minute: DataFrame | None = None,
+                        prior_day: DataFrame | None = None) -> DataFrame:
     """Rank of every eligible row inside its (keys, minute) and (keys, day).
 
     Adds ``rank_in_minute`` and ``rank_in_day`` (bigint, null for rows that
@@ -47,6 +49,10 @@ def minute_and_day_rank(df: DataFrame, keys: Sequence[str], ts_col: str, id_col:
     the rate-limited ones and never reach the daily counter), and the day
     rank of a capped row is left null.
 
+    ``prior_minute`` (keys, ``bucket_min``, ``seen``) and ``prior_day``
+    (keys, ``bucket_day``, ``passed``) carry counts of rows handled earlier
+    (previous micro-batches); they shift the ranks of this frame.
+
     ``df`` must carry the columns of :func:`add_time_buckets`.
     """
     keys = list(keys)
@@ -57,12 +63,23 @@ def minute_and_day_rank(df: DataFrame, keys: Sequence[str], ts_col: str, id_col:
     sec = running_before(sec, keys + ["bucket_min"], "bucket_sec", "n_sec", "sec_off")
     # Phase 2: per-minute counts (capped) -> offset of a minute inside its day.
     mins = sec.groupBy(*keys, "bucket_day", "bucket_min").agg(F.sum("n_sec").alias("n_min"))
-    counted = F.least(F.col("n_min"), F.lit(minute_cap)) if minute_cap > 0 else F.col("n_min")
+    if prior_minute is not None:
+        mins = mins.join(prior_minute.select(*keys, "bucket_min", F.col("seen").alias("seen_before")),
+                         keys + ["bucket_min"], "left")
+    else:
+        mins = mins.withColumn("seen_before", F.lit(0))
+    mins = mins.withColumn("seen_before", F.coalesce(F.col("seen_before"), F.lit(0)).cast("bigint"))
+    counted = (F.least(F.col("n_min"), F.greatest(F.lit(minute_cap) - F.col("seen_before"), F.lit(0)))
+               if minute_cap > 0 else F.col("n_min"))
     mins = mins.withColumn("n_counted", counted)
     mins = running_before(mins, keys + ["bucket_day"], "bucket_min", "n_counted", "min_off")
-    offsets = (sec.join(mins.select(*keys, "bucket_day", "bucket_min", "min_off"),
+    if prior_day is not None:
+        mins = (mins.join(prior_day.select(*keys, "bucket_day", F.col("passed").alias("passed_before")),
+                          keys + ["bucket_day"], "left")
+                    .withColumn("min_off", F.col("min_off") + F.coalesce(F.col("passed_before"), F.lit(0))))
+    offsets = (sec.join(mins.select(*keys, "bucket_day", "bucket_min", "min_off", "seen_before"),
                         keys + ["bucket_day", "bucket_min"])
-                  .select(*keys, "bucket_sec", "sec_off", "min_off"))
+                  .select(*keys, "bucket_sec", "sec_off", "min_off", "seen_before"))
     # Phase 3: rank inside the second, plus the offsets.  Ineligible rows sort
     # last, so eligible rows are numbered among themselves; the window and the
     # join share the (keys, second) partitioning, so rows shuffle once.
@@ -70,17 +87,18 @@ def minute_and_day_rank(df: DataFrame, keys: Sequence[str], ts_col: str, id_col:
         (~F.col(eligible)), F.col(ts_col), F.col(id_col))
     ranked = df.withColumn("rank_in_sec", F.row_number().over(w))
     offsets = offsets.select(*[F.col(k).alias(f"off_{k}") for k in keys],
-                             F.col("bucket_sec").alias("off_sec"), "sec_off", "min_off")
+                             F.col("bucket_sec").alias("off_sec"), "sec_off", "min_off", "seen_before")
     cond = [F.col(k) == F.col(f"off_{k}") for k in keys] + \
            [F.col("bucket_sec") == F.col("off_sec"), F.col(eligible)]
     joined = ranked.join(offsets, cond, "left").drop(*[f"off_{k}" for k in keys], "off_sec")
-    in_min = (F.col("sec_off") + F.col("rank_in_sec")).cast("bigint")
-    in_day = F.col("min_off") + in_min
+    local = (F.col("sec_off") + F.col("rank_in_sec")).cast("bigint")
+    in_min = F.col("seen_before") + local
+    in_day = F.col("min_off") + local
     if minute_cap > 0:
         in_day = F.when(in_min <= minute_cap, in_day)
     return (joined.withColumn("rank_in_minute", F.when(F.col(eligible), in_min))
                   .withColumn("rank_in_day", F.when(F.col(eligible), in_day.cast("bigint")))
-                  .drop("rank_in_sec", "sec_off", "min_off"))
+                  .drop("rank_in_sec", "sec_off", "min_off", "seen_before"))
 
 
 def nth_in_order(df: DataFrame, n: int, ts_col: str, id_col: str):

@@ -15,19 +15,67 @@ from sluice.operators import dispatch as dsp
 from sluice.operators import fanout
 from sluice.operators.state import newest_per_key
 from sluice.plans.dispatch import dispatch_step
-from sluice.streaming.processors import RATE_QUOTA_OUTPUT, RETRY_OUTPUT, RateQuotaProcessor, RetryProcessor
+from sluice.streaming.processors import RETRY_OUTPUT, RetryProcessor
 
 def with_event_time(df: DataFrame, ts_col: str = "arrival_ts") -> DataFrame:
     return df.withColumns({"event_ts": F.col(ts_col).cast("timestamp"),
                            "ts_us": F.unix_micros(F.col(ts_col).cast("timestamp"))})
 
 
-def stream_rate_quota(stream: DataFrame, limit_per_minute: int, daily_quota: int) -> DataFrame:
-    """W01 + W02 incrementally, state keyed by tenant."""
-    return (stream.select("tenant_id", "message_id", "ts_us")
-                  .groupBy("tenant_id")
-                  .transformWithState(RateQuotaProcessor(limit_per_minute, daily_quota), RATE_QUOTA_OUTPUT,
-                                      "Append", "None"))
+def rate_quota_sink(out_path: str, state_path: str, limit_per_minute: int, daily_quota: int,
+                    keys=("tenant_id",)):
+    """T01 as a ``foreachBatch`` function: W01 + W02 across micro-batches.
+
+    Each micro-batch is ranked with the same distributed two-phase plan as
+    the batch job, so a hot tenant is never handled by one task.  Counts of
+    earlier batches come from a small state log (per (tenant, minute): rows
+    seen; per (tenant, day): rows passed), written under the batch's own
+    ``batch_id`` so a re-run batch replaces its rows.
+    """
+    from pyspark.errors import AnalysisException
+
+    from sluice.operators.admission import rate_and_quota
+
+    keys = list(keys)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(*keys, "message_id", "arrival_ts").withColumn("eligible", F.lit(True)).persist()
+        try:
+            prior_minute = prior_day = None
+            try:
+                # Earlier batches only (a re-run batch ignores its own old rows).
+                # The counts are joined on this batch's minutes and days, so
+                # older entries never match; compact_rate_state drops them.
+                st = spark.read.parquet(state_path).filter(F.col("batch_id") < batch_id)
+                prior_minute = (st.filter(F.col("kind") == "minute").groupBy(*keys, "bucket_min")
+                                  .agg(F.sum("n").alias("seen")))
+                prior_day = (st.filter(F.col("kind") == "day").groupBy(*keys, "bucket_day")
+                               .agg(F.sum("n").alias("passed")))
+            except AnalysisException:  # first batch: no state yet
+                pass
+            ranked = rate_and_quota(rows, limit_per_minute, daily_quota, "eligible", keys,
+                                    prior_minute, prior_day).persist()
+            _overwrite_batch(ranked.select("message_id", *keys, "rank_in_minute", "rate_ok", "quota_count",
+                                           "quota_ok"), out_path, batch_id)
+            seen = (ranked.groupBy(*keys, "bucket_day", "bucket_min").agg(F.count(F.lit(1)).alias("n"))
+                          .withColumn("kind", F.lit("minute")))
+            passed = (ranked.filter("rate_ok").groupBy(*keys, "bucket_day").agg(F.count(F.lit(1)).alias("n"))
+                            .withColumns({"kind": F.lit("day"), "bucket_min": F.lit(None).cast("bigint")}))
+            _overwrite_batch(seen.unionByName(passed), state_path, batch_id)
+            ranked.unpersist()
+        finally:
+            rows.unpersist()
+
+    return run
+
+
+def compact_rate_state(spark, state_path: str, out_path: str, newest_day: int, keep_days: int = 2) -> None:
+    """Batch job: fold the T01 state log into one table of the last ``keep_days``
+    days (the service lets its counters expire after two days)."""
+    st = spark.read.parquet(state_path).filter(F.col("bucket_day") > newest_day - keep_days)
+    (st.groupBy("kind", "tenant_id", "bucket_day", "bucket_min").agg(F.sum("n").alias("n"))
+       .write.mode("overwrite").parquet(out_path))
 
 
 def stream_dedup(stream: DataFrame, horizon: str = "2 days") -> DataFrame:

@@ -1,8 +1,9 @@
-"""Stateful processors for ``transformWithState`` (T01 rate + quota, T03 retry).
+"""Stateful processor for ``transformWithState`` (T03 retry).
 
-These are the only Python row handlers in the library: per-key state
-machines that the DataFrame API cannot express incrementally.  Spark
-partitions and shuffles the keys; each handler sees one key's rows.
+The only Python row handler in the library: a per-message state machine
+with timers, which the DataFrame API cannot express.  Spark partitions and
+shuffles the keys (message ids, so no key is hot); each handler sees one
+message.
 """
 
 from __future__ import annotations
@@ -10,70 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-US_PER_MINUTE = 60_000_000
-US_PER_DAY = 86_400_000_000
-
-RATE_QUOTA_OUTPUT = ("message_id long, tenant_id string, rank_in_minute long, rate_ok boolean, "
-                     "quota_count long, quota_ok boolean")
 RETRY_OUTPUT = "message_id long, tenant_id string, attempt int, status string, at_ms long"
 
 
-class RateQuotaProcessor(StatefulProcessor):
-    """Per tenant, the minute window (W01) and the daily counters.
-
-    State: the current minute and how many requests it has seen, and a map
-    day -> requests counted that day.  Rows of one micro-batch are handled
-    in (ts, id) order; days more than ``keep_days`` before the newest one
-    are dropped (the service lets its counters expire after two days).
-    """
-
-    def __init__(self, limit_per_minute: int, daily_quota: int, keep_days: int = 2):
-        self.limit = limit_per_minute
-        self.quota = daily_quota
-        self.keep_days = keep_days
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.window = handle.getValueState("minute_window", "minute long, seen long")
-        self.days = handle.getMapState("day_counts", "day long", "n long")
-
-    def handleInputRows(self, key, rows, timerValues):
-        tenant = key[0]
-        w = self.window.get() if self.window.exists() else None
-        minute, seen = (w[0], w[1]) if w else (None, 0)
-        counts: dict[int, int] = {}
-        out = []
-        for r in sorted(rows, key=lambda x: (x["ts_us"], x["message_id"])):
-            m = r["ts_us"] // US_PER_MINUTE
-            if m != minute:
-                minute, seen = m, 0
-            seen += 1
-            rate_ok = self.limit <= 0 or seen <= self.limit
-            quota_count, quota_ok = None, rate_ok
-            if rate_ok and self.quota > 0:
-                d = r["ts_us"] // US_PER_DAY
-                if d not in counts:
-                    prev = self.days.getValue((d,)) if self.days.containsKey((d,)) else None
-                    counts[d] = prev[0] if prev else 0
-                counts[d] += 1
-                quota_count = counts[d]
-                quota_ok = quota_count <= self.quota
-            out.append(Row(message_id=r["message_id"], tenant_id=tenant, rank_in_minute=seen,
-                           rate_ok=rate_ok, quota_count=quota_count, quota_ok=quota_ok))
-        if minute is not None:
-            self.window.update((minute, seen))
-        for d, n in counts.items():
-            self.days.updateValue((d,), (n,))
-        if counts:
-            newest = max(counts)
-            for (d,) in list(self.days.keys()):
-                if d <= newest - self.keep_days:
-                    self.days.removeKey((d,))
-        return iter(out)
-
-    def close(self) -> None:
-        pass
-
-
 class RetryProcessor(StatefulProcessor):
     """A failed message waits its backoff, then is tried again.
 

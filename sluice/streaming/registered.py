@@ -62,9 +62,13 @@ def q_stream_read(spark, sf_dir):
 
 @register("stream_rate_quota")
 def q_stream_rate_quota(spark, sf_dir):
-    """Rate limit (2/minute) and daily quota (40) kept in keyed streaming state."""
+    """Rate limit (2/minute) and daily quota (40) carried across micro-batches."""
     base, s = feed(spark, "rate-quota", _eligible(spark, sf_dir))
-    return to_parquet(jobs.stream_rate_quota(s, 2, 40), base)
+    out, state = os.path.join(base, "out"), os.path.join(base, "state")
+    run_to_end(s.writeStream.foreachBatch(jobs.rate_quota_sink(out, state, 2, 40))
+               .option("checkpointLocation", os.path.join(base, "checkpoint")))
+    return spark.read.parquet(out).select("message_id", "tenant_id", "rank_in_minute", "rate_ok",
+                                          "quota_count", "quota_ok")
 
 
 @register("stream_dedup")
