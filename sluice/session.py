@@ -40,9 +40,18 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+RUNTIME_KEYS = ("spark.sql.session.timeZone", "spark.sql.mapKeyDedupPolicy",
+                "spark.sql.streaming.stateStore.providerClass", "spark.sql.adaptive.enabled",
+                "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.adaptive.skewJoin.enabled")
+
+
 def apply_runtime_conf(spark: SparkSession) -> None:
-    """Set the SQL confs the operators need on an existing session."""
-    for k in ("spark.sql.session.timeZone", "spark.sql.mapKeyDedupPolicy"):
+    """Set the SQL confs the operators need on a session built elsewhere.
+
+    Time zone (epoch-aligned buckets), map-key policy (P05), the RocksDB
+    state store (``transformWithState`` needs it) and AQE.
+    """
+    for k in RUNTIME_KEYS:
         spark.conf.set(k, SESSION_CONF[k])
 
 
