@@ -119,13 +119,12 @@ def b64url_decode(c) -> Column:
 
 
 def query_param(path, key: str) -> Column:
-    """Value of the first ``key=`` query parameter (no percent-decoding).
-
-    A missing parameter gives null; ``key=`` with an empty value gives ''.
-    """
-    pattern = r"[?&]" + key + r"=([^&#]*)"
+    """Value of the first ``key=value`` pair of the query string (text after
+    the first ``?``), no percent-decoding.  Missing -> null; ``key=`` -> ''."""
     p = col(path)
-    return F.when(p.rlike(pattern), F.regexp_extract(p, pattern, 1))
+    q = F.when(F.locate("?", p) > 0, F.substring(p, F.locate("?", p) + 1, F.length(p)))
+    pattern = r"(^|&)" + key + r"=([^&]*)"
+    return F.when(q.rlike(pattern), F.regexp_extract(q, pattern, 2))
 
 
 def path_only(path) -> Column:

@@ -75,7 +75,9 @@ def consumer_lag(entries: DataFrame, positions: DataFrame, pending: DataFrame,
                  stream_col: str = "source_stream") -> DataFrame:
     """Per stream lag (entries after the group's last delivered id), else
     pending, else 0; negatives clamp to 0; ``rollup`` adds the total."""
-    lag = (entries.join(positions, stream_col)
+    # One position row per stream (a handful): broadcast, or the join would
+    # hash every entry into as many partitions as there are streams.
+    lag = (entries.join(F.broadcast(positions), stream_col)
                   .groupBy(stream_col)
                   .agg(_n(F.col("message_id") > F.col("last_delivered")).alias("lag")))
     pend = pending.groupBy(stream_col).agg(F.count(F.lit(1)).alias("pending"))

@@ -13,7 +13,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.functions import b64url_decode, clamp, int_or
+from sluice.functions import b64url_decode, clamp, int_or, query_param
 from sluice.operators.state import HISTORY_LIMIT_DEFAULT, HISTORY_LIMIT_MAX, HISTORY_LIMIT_MIN, newest_per_key
 
 # Fixed values of the token rules (texts of the refusals, in rule order).
@@ -198,13 +198,6 @@ TENANT_PREFIX = "/v1/tenants/"
 DELIVERIES_SUFFIX = "/deliveries"
 
 
-def query_value(path: Column, key: str) -> Column:
-    """First ``key=value`` of the query string (after the first ``?``), no decoding."""
-    q = F.when(F.locate("?", path) > 0, F.substring(path, F.locate("?", path) + 1, 1 << 30))
-    pattern = r"(^|&)" + key + r"=([^&]*)"
-    return F.when(q.rlike(pattern), F.regexp_extract(q, pattern, 2))
-
-
 def route_requests(df: DataFrame, method_col: str = "method", path_col: str = "path") -> DataFrame:
     """classify an access log into routes with ids, tenant and limit.
 
@@ -225,7 +218,7 @@ def route_requests(df: DataFrame, method_col: str = "method", path_col: str = "p
         cond = (m == meth) & (bare == path)
         route = F.when(route.isNull() & cond, F.lit(name)).otherwise(route)
         status = F.when(status.isNull() & cond, F.lit(code)).otherwise(status)
-    qt = query_value(p, "tenant_id")
+    qt = query_param(p, "tenant_id")
     note_status = F.when(F.coalesce(qt, F.lit("")) == "", F.lit(400)).otherwise(F.lit(200))
     route = F.when(route.isNull() & is_note, F.lit("notification_state")).otherwise(route)
     status = F.when(status.isNull() & is_note, note_status).otherwise(status)
@@ -237,7 +230,7 @@ def route_requests(df: DataFrame, method_col: str = "method", path_col: str = "p
         status = F.when(status.isNull() & cond, F.lit(code)).otherwise(status)
     route = F.coalesce(route, F.lit("not_found"))
     status = F.coalesce(status, F.lit(404))
-    limit_raw = query_value(p, "limit")
+    limit_raw = query_param(p, "limit")
     parsed = int_or(limit_raw, HISTORY_LIMIT_DEFAULT)
     parsed = F.when((parsed < -(1 << 31)) | (parsed > (1 << 31) - 1), F.lit(HISTORY_LIMIT_DEFAULT)).otherwise(parsed)
     tenant = (F.when(F.col("route") == "notification_state", qt)

@@ -8,7 +8,6 @@ compared with the batch answer of the same operator.
 
 from __future__ import annotations
 
-import datetime as dt
 import os
 
 from pyspark.sql import DataFrame, SparkSession
