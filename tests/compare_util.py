@@ -46,15 +46,25 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+# Spark type -> DuckDB type of the same values.
+TYPE_MAP = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE",
+            "timestamp_ntz": "TIMESTAMP", "date": "DATE", "timestamp": "TIMESTAMP WITH TIME ZONE"}
+
+
 def compare(sdf, con, sql):
-    """Return (ok, message)."""
+    """Return (ok, message): same column names and types, rows and values."""
     scols = sdf.columns
+    stypes = {f.name: TYPE_MAP.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
     srows = [tuple(r) for r in sdf.collect()]
+    rel = con.sql(sql)
+    otypes = dict(zip(rel.columns, [str(t) for t in rel.types]))
     cur = con.execute(sql)
     ocols = [d[0] for d in cur.description]
     orows = cur.fetchall()
     if sorted(scols) != sorted(ocols):
         return False, f"columns differ: {sorted(scols)} vs {sorted(ocols)}"
+    if stypes != otypes:
+        return False, f"types differ: {sorted(set(stypes.items()) ^ set(otypes.items()))}"
     if len(srows) != len(orows):
         return False, f"row count {len(srows)} vs {len(orows)}"
     sh, sl = digest(scols, srows)
