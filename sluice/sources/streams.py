@@ -26,11 +26,16 @@ def stream_read(spark: SparkSession, path: str, schema: StructType, max_files_pe
     ``max_files_per_trigger`` (``maxOffsetsPerTrigger`` for Kafka) caps a
     micro-batch the way the dispatcher caps a read at 10 entries.
     """
-    reader = spark.readStream.schema(schema).format(fmt)
     if fmt == "kafka":
-        reader = reader.option("startingOffsets", "latest").option("maxOffsetsPerTrigger", max_files_per_trigger)
-    else:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+        # The Kafka source has a fixed schema: records are JSON in ``value``,
+        # ``path`` is the topic.  Needs the Kafka connector on the classpath.
+        reader = (spark.readStream.format("kafka").option("subscribe", path)
+                  .option("startingOffsets", "latest").option("maxOffsetsPerTrigger", max_files_per_trigger))
+        for k, v in (options or {}).items():
+            reader = reader.option(k, v)
+        raw = reader.load()
+        return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("r")).select("r.*")
+    reader = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", max_files_per_trigger)
     for k, v in (options or {}).items():
         reader = reader.option(k, v)
     return reader.load(path)

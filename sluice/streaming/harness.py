@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sluice.operators.ordering import ts_literal
 from sluice.session import checkpoint_dir
+from sluice.sources.streams import stream_read
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -52,13 +53,16 @@ def split_to_files(df: DataFrame, ts_col: str, out_dir: str, n_files: int = 5,
 
 def read_files_stream(spark: SparkSession, in_dir: str, schema, max_files: int = 1) -> DataFrame:
     """S01 over the split files: one file per micro-batch, oldest first."""
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-            .option("recursiveFileLookup", "true").parquet(in_dir))
+    return stream_read(spark, in_dir, schema, max_files, options={"recursiveFileLookup": "true"})
 
 
 def run_to_end(writer, timeout_s: int = 600):
     """Start a ``DataStreamWriter`` with ``availableNow`` and wait for it to finish."""
-    q = writer.trigger(availableNow=True).start()
+    return wait(writer.trigger(availableNow=True).start(), timeout_s)
+
+
+def wait(q, timeout_s: int = 600):
+    """Wait for a started query to finish; re-raise its failure."""
     try:
         q.awaitTermination(timeout_s)
     finally:

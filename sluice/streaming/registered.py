@@ -17,7 +17,8 @@ from sluice.operators import admission as adm
 from sluice.registry import register
 from sluice.sources import fixtures as fx
 from sluice.streaming import jobs
-from sluice.streaming.harness import read_files_stream, run_to_end, scratch, split_to_files
+from sluice.sources.streams import stream_append
+from sluice.streaming.harness import read_files_stream, run_to_end, scratch, split_to_files, wait
 
 FLUSH_TENANT = "__flush__"
 
@@ -40,10 +41,10 @@ def feed(spark: SparkSession, name: str, df: DataFrame, flush: bool = False, n_f
     return base, read_files_stream(spark, inp, df.schema)
 
 
-def to_parquet(stream: DataFrame, base: str, mode: str = "append") -> DataFrame:
+def to_parquet(stream: DataFrame, base: str) -> DataFrame:
+    """Append the stream to a Parquet sink, run it to the end, read the sink."""
     out, ck = os.path.join(base, "out"), os.path.join(base, "checkpoint")
-    run_to_end(stream.writeStream.format("parquet").outputMode(mode)
-               .option("path", out).option("checkpointLocation", ck))
+    wait(stream_append(stream, out, ck, {"availableNow": True}))
     return stream.sparkSession.read.parquet(out)
 
 
