@@ -92,13 +92,24 @@ def stream_dedup(stream: DataFrame, horizon: str = "2 days") -> DataFrame:
 
 def stream_retry(stream: DataFrame, max_retries: int = dsp.MAX_RETRIES, base_ms: int = dsp.BASE_BACKOFF_MS,
                  max_ms: int = dsp.MAX_BACKOFF_MS) -> DataFrame:
-    """Wait the backoff, try again, dead-letter after ``max_retries`` (event-time timers)."""
+    """Wait the backoff, try again, dead-letter after ``max_retries`` (event-time timers).
+
+    Messages whose first attempt succeeds need no state: they take a
+    stateless branch, and only failing messages enter the keyed operator.
+    """
+    side_ok = (F.coalesce(F.col("received_ok"), F.lit(True)) & F.coalesce(F.col("delivered_ok"), F.lit(True))
+               & F.coalesce(F.col("push_ok"), F.lit(True)))
+    ok_now = side_ok & ~F.coalesce(F.col("simulate_fail"), F.lit(False)) & (F.col("message_id") >= 0)
+    delivered = stream.filter(ok_now).select(
+        "message_id", "tenant_id", F.coalesce(F.col("retry_count"), F.lit(0)).cast("int").alias("attempt"),
+        F.lit(dsp.STATUS_DELIVERED).alias("status"), F.col("seen_ms").alias("at_ms"))
     cols = ["message_id", "tenant_id", "retry_count", "simulate_fail", "received_ok", "delivered_ok",
             "push_ok", "seen_ms", "event_ts"]
-    return (stream.select(*cols).withWatermark("event_ts", "0 seconds")
-                  .groupBy("message_id")
-                  .transformWithState(RetryProcessor(max_retries, base_ms, max_ms), RETRY_OUTPUT,
-                                      "Append", "EventTime"))
+    retried = (stream.filter(~ok_now).select(*cols).withWatermark("event_ts", "0 seconds")
+                     .groupBy("message_id")
+                     .transformWithState(RetryProcessor(max_retries, base_ms, max_ms), RETRY_OUTPUT,
+                                         "Append", "EventTime"))
+    return retried.unionByName(delivered)
 
 
 def stream_fan_out(stream: DataFrame, sessions: DataFrame) -> DataFrame:

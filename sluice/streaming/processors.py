@@ -36,18 +36,15 @@ class RetryProcessor(StatefulProcessor):
     def _backoff(self, retry_count: int) -> int:
         return max(1, min(self.max_ms, self.base_ms * (1 << max(0, min(retry_count, 20)))))
 
-    def _attempt(self, mid, tenant, attempt, failed, persistent, now_ms, watermark_ms):
+    def _attempt(self, mid, tenant, attempt, failed, persistent, now_ms, watermark_ms, has_state=False):
         """Run attempt ``attempt``; retries already due by the watermark run at once."""
         out = []
         while True:
-            if not failed:
-                self.pending.clear()
-                out.append(Row(message_id=mid, tenant_id=tenant, attempt=attempt, status="delivered",
-                               at_ms=now_ms))
-                return out
-            if attempt + 1 > self.max_retries:
-                self.pending.clear()
-                out.append(Row(message_id=mid, tenant_id=tenant, attempt=attempt + 1, status="dlq", at_ms=now_ms))
+            if not failed or attempt + 1 > self.max_retries:
+                if has_state:
+                    self.pending.clear()
+                status, n = ("delivered", attempt) if not failed else ("dlq", attempt + 1)
+                out.append(Row(message_id=mid, tenant_id=tenant, attempt=n, status=status, at_ms=now_ms))
                 return out
             out.append(Row(message_id=mid, tenant_id=tenant, attempt=attempt + 1, status="retry_scheduled",
                            at_ms=now_ms))
@@ -75,7 +72,8 @@ class RetryProcessor(StatefulProcessor):
             return iter([])
         attempt, persistent, tenant = self.pending.get()
         return iter(self._attempt(key[0], tenant, attempt, persistent, persistent,
-                                  expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()))
+                                  expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs(),
+                                  has_state=True))
 
     def close(self) -> None:
         pass
