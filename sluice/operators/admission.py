@@ -41,11 +41,15 @@ def normalise_request(df: DataFrame) -> DataFrame:
     """
     generated = F.concat(F.lit("corr-"), F.unix_seconds(F.col("arrival_ts").cast("timestamp")).cast("string"),
                          F.lit("-"), F.col("message_id").cast("string"))
+    # The ``Idempotency-Key`` header when given, else the body field.
+    key = blank_to_null("idempotency_key")
+    if "idempotency_header" in df.columns:
+        key = F.coalesce(blank_to_null("idempotency_header"), key)
     return df.withColumns({
         "user_id": F.coalesce(F.col("user_field"), F.lit(DEFAULT_USER)),
         "channel": F.coalesce(F.col("channel_field"), F.lit(DEFAULT_CHANNEL)),
         "correlation_id": F.coalesce(blank_to_null("header_corr"), blank_to_null("body_corr"), generated),
-        "idem_key": blank_to_null("idempotency_key"),
+        "idem_key": key,
     })
 
 
