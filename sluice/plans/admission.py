@@ -10,6 +10,16 @@ from sluice.session import materialize
 
 DECISION_COLUMNS = ["message_id", "tenant_id", "correlation_id", "decision", "reason",
                     "http_status", "quota_count", "canonical_id"]
+# What the steps after a materialization read.  The request payload and the
+# raw header/body fields are not stored twice (at scale they are most of the bytes).
+CARRIED = ["message_id", "arrival_ts", "tenant_id", "correlation_id", "idem_key", "content_ok", "auth_reason",
+           "eligible", "rate_ok", "quota_ok", "quota_count", "rank_in_minute", "rank_in_day"]
+
+
+def _carry(df: DataFrame, keep_columns: bool, extra: tuple = ()) -> DataFrame:
+    if keep_columns:
+        return df.drop("bucket_sec", "bucket_min", "bucket_day")
+    return df.select(*[c for c in df.columns if c in CARRIED or c in extra])
 
 
 def admission_decisions(requests: DataFrame, claims: DataFrame | None = None,
@@ -34,7 +44,7 @@ def admission_decisions(requests: DataFrame, claims: DataFrame | None = None,
         df = adm.rate_and_quota(df, limit_per_minute, daily_quota, eligible="eligible")
         # The claim step reads the ranked rows twice (rows and per-key
         # winners): rank once and store the result in the shared folder.
-        df = materialize(df.drop("bucket_sec", "bucket_min", "bucket_day"), "admission-ranked")
+        df = materialize(_carry(df, keep_columns), "admission-ranked")
     else:
         df = df.withColumns({"rate_ok": F.col("eligible"), "quota_ok": F.col("eligible"),
                              "quota_count": F.lit(None).cast("bigint")})
@@ -44,7 +54,9 @@ def admission_decisions(requests: DataFrame, claims: DataFrame | None = None,
     if main_backlog > 0 or retry_backlog > 0:
         # The cut is global over arrival order: compute the per-row verdicts
         # once, store them in the shared folder, and cut the stored table.
-        df = materialize(df, "admission-claimed")
+        df = materialize(_carry(df, keep_columns, ("survivor", "claimed", "duplicate", "canonical_id",
+                                                   "winner_id", "winner_corr", "publishable")),
+                         "admission-claimed")
     df = adm.backlog_gate(df, "survivor", "publishable", main_backlog, retry_backlog,
                           retry_entries, main_start_len, retry_start_len)
     reason = (F.when(~F.col("content_ok"), F.lit(adm.REASON_CONTENT))
