@@ -117,15 +117,19 @@ def first_claim(df: DataFrame, eligible: str = "eligible",
     """
     keys = list(keys)
     keyed = F.col(eligible) & F.col(keys[-1]).isNotNull()
-    w = Window.partitionBy(*keys).orderBy(*ORDER)
-    winners = (df.filter(keyed)
-                 .withColumn("rn", F.row_number().over(w)).filter(F.col("rn") == 1)
-                 .select(*keys, F.col("message_id").alias("winner_id"),
-                         F.col("correlation_id").alias("winner_corr"),
-                         F.lit(0).cast("bigint").alias("spread")))
+    winners = _winners(df, keyed, keys).withColumn("spread", F.lit(0).cast("bigint"))
     return _join_on_key(df, winners, keys, keyed)
 
 
+def _winners(df: DataFrame, keyed: Column, keys: list[str]) -> DataFrame:
+    """First keyed row per key by (ts, id): its message and correlation id."""
+    w = Window.partitionBy(*keys).orderBy(*ORDER)
+    return (df.filter(keyed)
+              .withColumn("rn", F.row_number().over(w)).filter(F.col("rn") == 1)
+              .select(*keys, F.col("message_id").alias("winner_id"),
+                      F.col("correlation_id").alias("winner_corr")))
+
+
 def _join_on_key(df: DataFrame, info: DataFrame, keys: list[str], keyed: Column) -> DataFrame:
     spread = F.when(keyed, F.lit(0)).otherwise(F.col("message_id")).cast("bigint")
     return df.withColumn("spread", spread).join(info, keys + ["spread"], "left").drop("spread")
@@ -143,11 +147,7 @@ def idempotency_claim(df: DataFrame, claims: DataFrame | None, eligible: str = "
     """
     keys = list(keys)
     keyed = F.col(eligible) & F.col(keys[-1]).isNotNull()
-    w = Window.partitionBy(*keys).orderBy(*ORDER)
-    winners = (df.filter(keyed)
-                 .withColumn("rn", F.row_number().over(w)).filter(F.col("rn") == 1)
-                 .select(*keys, F.col("message_id").alias("winner_id"),
-                         F.col("correlation_id").alias("winner_corr")))
+    winners = _winners(df, keyed, keys)
     if claims is not None:
         prior = claims.select(F.col("tenant_id").alias(keys[0]),
                               F.col("idempotency_key").alias(keys[1]),
