@@ -229,9 +229,8 @@ def q_fan_out(spark, sf_dir):
 
 @register("fan_out_counts")
 def q_fan_out_counts(spark, sf_dir):
-    """Clients reached per message (20 lowest sessions), 0 included."""
-    s = fx.sessions(spark, sf_dir).filter(F.col("session_id") < 20)
-    return fanout.fan_out_counts(_messages(spark, sf_dir), s).select(
+    """Clients reached per message, 0 included (no sessions for its (tenant, channel))."""
+    return fanout.fan_out_counts(_messages(spark, sf_dir), fx.sessions(spark, sf_dir)).select(
         "message_id", "tenant_id", "channel", "clients")
 
 

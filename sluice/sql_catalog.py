@@ -164,8 +164,7 @@ FROM consumed c JOIN sessions s ON c.tenant_id = s.tenant_id AND c.channel = s.c
 
 SQL["fan_out_counts"] = with_views("""
 SELECT c.message_id, c.tenant_id, c.channel,
-       (SELECT count(*) FROM sessions s WHERE s.session_id < 20 AND s.tenant_id = c.tenant_id
-          AND s.channel = c.channel) AS clients
+       (SELECT count(*) FROM sessions s WHERE s.tenant_id = c.tenant_id AND s.channel = c.channel) AS clients
 FROM consumed c""", "consumed", "sessions")
 
 SQL["fan_out_as_of"] = with_views("""

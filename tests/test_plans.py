@@ -45,8 +45,16 @@ def test_scan_reads_only_needed_columns(spark):
 
 
 def test_filters_reach_the_scan(spark):
-    p = REGISTRY["fan_out_counts"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
-    assert "LessThan(s_suppkey,20)" in p
+    """T11's time predicate becomes a parquet filter on the event scan."""
+    p = REGISTRY["retention"](spark, SF001)._jdf.queryExecution().toString()
+    assert "GreaterThan(ts,2024-01-21T00:00)" in p
+
+
+def test_point_read_filters_before_any_shuffle(spark):
+    """L03 filters on the derived key before the first exchange."""
+    p = plan(REGISTRY["clustered_history"](spark, SF001))
+    below_filter = p[p.rindex("Filter"):]  # the tree prints children after parents
+    assert "Exchange" not in below_filter and "Scan parquet" in below_filter
 
 
 def test_pre_aggregated_side_is_broadcast(spark):
