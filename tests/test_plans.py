@@ -53,7 +53,7 @@ def test_filters_reach_the_scan(spark):
 def test_point_read_filters_before_any_shuffle(spark):
     """L03 filters on the derived key before the first exchange."""
     p = plan(REGISTRY["clustered_history"](spark, SF001))
-    below_filter = p[p.rindex("Filter"):]  # the tree prints children after parents
+    below_filter = p[p.rindex("+- Filter "):]  # the tree prints children after parents
     assert "Exchange" not in below_filter and "Scan parquet" in below_filter
 
 
