@@ -89,3 +89,25 @@ def test_latest_state_newest_wins_on_ties_by_seq(spark):
     df = spark.createDataFrame([("t", "n", 1, "a"), ("t", "n", 2, "b")], "tenant_id string, notification_id string, "
                                "seq long, status string").withColumn("status_ts", F.lit("2024-01-01").cast("timestamp_ntz"))
     assert state.latest_state(df).first()["status"] == "b"
+
+
+def test_observed_stream_metrics_equal_batch_counters(spark):
+    from sluice.operators import metrics
+    from sluice.streaming.harness import run_to_end
+    from sluice.streaming.registered import feed
+    base, s = feed(spark, "observe-test", fx.consumed(spark, SF001))
+    collector = jobs.metrics_collector()
+    spark.streams.addListener(collector)
+    try:
+        observed = jobs.observe_dispatch(s)
+        run_to_end(observed.writeStream.format("noop").option("checkpointLocation", os.path.join(base, "ck")))
+        import time
+        for _ in range(50):  # listener events arrive asynchronously
+            if sum(b["consumed"] for b in collector.batches) >= 1000:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(collector)
+    want = metrics.dispatch_counters(fx.consumed(spark, SF001)).filter("is_total").first().asDict()
+    got = collector.totals()
+    assert got and all(got[k] == want[k] for k in got)
