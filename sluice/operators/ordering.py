@@ -1,12 +1,11 @@
 """Order-dependent helpers that never sort a whole hot group in one task.
 
 Rank of a row inside a large group ``(keys, day)`` is computed in phases:
-rows are ranked only inside their (keys, second); per-second counts are
-summed to per-minute counts; running sums over those *aggregated* tables
-(at most 60 rows per minute, 1,440 per day) give each second's and minute's
-offset; one join brings the offsets back.  The global n-th row of an
-ordered set is found the same way, day -> minute -> row, each step a
-scalar subquery over a small aggregate.
+rows are ranked only inside their (keys, second); windows over the
+per-second count table (at most 60 rows per minute, 86,400 per day) give
+each second's offset in its minute and each minute's offset in its day; one
+join brings the offsets back.  The global n-th row of an ordered set is
+found day -> minute -> row, each step a small job that returns one row.
 """
 
 from __future__ import annotations
@@ -57,29 +56,38 @@ def minute_and_day_rank(df: DataFrame, keys: Sequence[str], ts_col: str, id_col:
     """
     keys = list(keys)
     el = df.filter(F.col(eligible))
-    # Phase 1: per-second counts -> offset of a second inside its minute.
+    # Phase 1: per-second counts; a window over each (keys, minute) gives the
+    # second's offset in its minute and the minute's total (<= 60 rows each).
     sec = el.groupBy(*keys, "bucket_day", "bucket_min", "bucket_sec").agg(
         F.count(F.lit(1)).alias("n_sec"))
-    sec = running_before(sec, keys + ["bucket_min"], "bucket_sec", "n_sec", "sec_off")
-    # Phase 2: per-minute counts (capped) -> offset of a minute inside its day.
-    mins = sec.groupBy(*keys, "bucket_day", "bucket_min").agg(F.sum("n_sec").alias("n_min"))
+    w_min = Window.partitionBy(*keys, "bucket_min").orderBy("bucket_sec")
+    sec = sec.withColumns({
+        "sec_off": F.coalesce(F.sum("n_sec").over(w_min.rowsBetween(Window.unboundedPreceding, -1)),
+                              F.lit(0)).cast("bigint"),
+        "n_min": F.sum("n_sec").over(Window.partitionBy(*keys, "bucket_min")),
+        "first_sec": F.row_number().over(w_min) == 1,
+    })
     if prior_minute is not None:
-        mins = mins.join(prior_minute.select(*keys, "bucket_min", F.col("seen").alias("seen_before")),
-                         keys + ["bucket_min"], "left")
+        sec = sec.join(prior_minute.select(*keys, "bucket_min", F.col("seen").alias("seen_before")),
+                       keys + ["bucket_min"], "left")
     else:
-        mins = mins.withColumn("seen_before", F.lit(0))
-    mins = mins.withColumn("seen_before", F.coalesce(F.col("seen_before"), F.lit(0)).cast("bigint"))
+        sec = sec.withColumn("seen_before", F.lit(0))
+    sec = sec.withColumn("seen_before", F.coalesce(F.col("seen_before"), F.lit(0)).cast("bigint"))
+    # Phase 2: minutes inside their day.  Each minute's (capped) count enters
+    # the running sum once, at its first second; a minute's offset is the sum
+    # up to it minus its own count (<= 86,400 rows per (keys, day)).
     counted = (F.least(F.col("n_min"), F.greatest(F.lit(minute_cap) - F.col("seen_before"), F.lit(0)))
                if minute_cap > 0 else F.col("n_min"))
-    mins = mins.withColumn("n_counted", counted)
-    mins = running_before(mins, keys + ["bucket_day"], "bucket_min", "n_counted", "min_off")
+    sec = sec.withColumn("n_counted", counted)
+    w_day = (Window.partitionBy(*keys, "bucket_day").orderBy("bucket_min", "bucket_sec")
+             .rowsBetween(Window.unboundedPreceding, 0))
+    upto = F.sum(F.when(F.col("first_sec"), F.col("n_counted")).otherwise(F.lit(0))).over(w_day)
+    sec = sec.withColumn("min_off", (upto - F.col("n_counted")).cast("bigint"))
     if prior_day is not None:
-        mins = (mins.join(prior_day.select(*keys, "bucket_day", F.col("passed").alias("passed_before")),
-                          keys + ["bucket_day"], "left")
-                    .withColumn("min_off", F.col("min_off") + F.coalesce(F.col("passed_before"), F.lit(0))))
-    offsets = (sec.join(mins.select(*keys, "bucket_day", "bucket_min", "min_off", "seen_before"),
-                        keys + ["bucket_day", "bucket_min"])
-                  .select(*keys, "bucket_sec", "sec_off", "min_off", "seen_before"))
+        sec = (sec.join(prior_day.select(*keys, "bucket_day", F.col("passed").alias("passed_before")),
+                        keys + ["bucket_day"], "left")
+                  .withColumn("min_off", F.col("min_off") + F.coalesce(F.col("passed_before"), F.lit(0))))
+    offsets = sec.select(*keys, "bucket_sec", "sec_off", "min_off", "seen_before")
     # Phase 3: rank inside the second, plus the offsets.  Ineligible rows sort
     # last, so eligible rows are numbered among themselves; the window and the
     # join share the (keys, second) partitioning, so rows shuffle once.
