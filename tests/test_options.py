@@ -111,3 +111,28 @@ def test_observed_stream_metrics_equal_batch_counters(spark):
     want = metrics.dispatch_counters(fx.consumed(spark, SF001)).filter("is_total").first().asDict()
     got = collector.totals()
     assert got and all(got[k] == want[k] for k in got)
+
+
+def test_clustered_writer_partitions_by_date_and_sorts_newest_first(spark):
+    path = os.path.join(checkpoint_dir(spark, "test-clustered"), "history")
+    h = fx.history(spark, SF001)
+    state.write_clustered(h, path, partitions=4)
+    back = spark.read.parquet(path)
+    assert back.count() == h.count()
+    assert "status_date" in back.columns
+    one = state.clustered_history(back, "tenant-2", "n-7").collect()
+    assert [r["seq"] for r in one] == sorted([r["seq"] for r in one], reverse=True) and len(one) == 4
+
+
+def test_rate_state_compaction_keeps_recent_days(spark):
+    base = checkpoint_dir(spark, "test-rate-state")
+    log, out = os.path.join(base, "log"), os.path.join(base, "compact")
+    rows = spark.createDataFrame(
+        [("minute", "t", 100, 144000, 3), ("day", "t", 100, None, 3), ("day", "t", 101, None, 2),
+         ("day", "t", 98, None, 9)],
+        "kind string, tenant_id string, bucket_day long, bucket_min long, n long")
+    rows.write.mode("overwrite").parquet(os.path.join(log, "batch_id=0"))
+    rows.filter("bucket_day = 101").write.mode("overwrite").parquet(os.path.join(log, "batch_id=1"))
+    jobs.compact_rate_state(spark, log, out, newest_day=101, keep_days=2)
+    got = {(r["kind"], r["bucket_day"]): r["n"] for r in spark.read.parquet(out).collect()}
+    assert got == {("minute", 100): 3, ("day", 100): 3, ("day", 101): 4}  # day 98 is dropped
