@@ -10,34 +10,40 @@ from pyspark.sql import functions as F
 from sluice.functions import epoch_micros
 
 KEYS = ("tenant_id", "channel")
-# Largest session side we ship to every task as a broadcast: about 100 B a
-# row after projection, so at most ~200 MB.
-BROADCAST_MAX_ROWS = 2_000_000
+# Largest session side we ship to every executor as a broadcast.
+BROADCAST_MAX_BYTES = 256 * 1024 * 1024
 
 
-def bounded_rows(df: DataFrame, cap: int) -> bool:
-    """True when ``df`` has at most ``cap`` rows.
+def estimated_bytes(df: DataFrame) -> int | None:
+    """The optimizer's size estimate of ``df`` (file sizes scaled by the
+    projection for a parquet scan); no job runs.  None when unavailable."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # e.g. a client without access to the JVM plan
+        return None
 
-    Reads at most ``cap + 1`` rows (the limit is pushed into every scan
-    task), so the check costs the same on a tiny and on a huge table.
-    """
-    return df.limit(cap + 1).count() <= cap
+
+def bounded_bytes(df: DataFrame, cap: int) -> bool:
+    """True when the estimate proves ``df`` is at most ``cap`` bytes."""
+    size = estimated_bytes(df)
+    return size is not None and size <= cap
 
 
 def _maybe_broadcast(small: DataFrame, cap: int) -> DataFrame:
-    return F.broadcast(small) if cap > 0 and bounded_rows(small, cap) else small
+    return F.broadcast(small) if cap > 0 and bounded_bytes(small, cap) else small
 
 
 def fan_out(messages: DataFrame, sessions: DataFrame, keys: Sequence[str] = KEYS,
-            broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+            broadcast_max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """Every message x every session subscribed to its (tenant, channel).
 
-    The session side is broadcast only after its row count is checked;
-    beyond the cap both sides shuffle on the keys and AQE splits a hot
-    (tenant, channel) partition on either side.
+    The session side (projected to keys and id) is broadcast only when its
+    size estimate is under the cap; beyond it both sides shuffle on the
+    keys, AQE may still broadcast from the measured size, and AQE splits a
+    hot (tenant, channel) partition on either side.
     """
     s = sessions.select(*keys, "session_id")
-    return messages.join(_maybe_broadcast(s, broadcast_max_rows), list(keys))
+    return messages.join(_maybe_broadcast(s, broadcast_max_bytes), list(keys))
 
 
 def fan_out_counts(messages: DataFrame, sessions: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

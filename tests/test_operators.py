@@ -64,12 +64,18 @@ def test_audit_file_round_trip(spark):
 def test_fan_out_broadcasts_only_checked_small_side(spark):
     m = fx.consumed(spark, SF001).select("message_id", "tenant_id", "channel")
     s = fx.sessions(spark, SF001)
-    small = fanout.fan_out(m, s, broadcast_max_rows=1000)
-    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString() or \
-        "BroadcastExchange" in small._jdf.queryExecution().toString()
-    assert not fanout.bounded_rows(s, 5)
-    capped = fanout.fan_out(m, s, broadcast_max_rows=5)
-    assert capped.count() == small.count()
+    small = fanout.fan_out(m, s, broadcast_max_bytes=1 << 20)
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+    assert fanout.bounded_bytes(s, 1 << 20) and not fanout.bounded_bytes(s, 16)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        capped = fanout.fan_out(m, s, broadcast_max_bytes=16)
+        assert "BroadcastHashJoin" not in capped._jdf.queryExecution().executedPlan().toString()
+        assert capped.count() == small.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
 
 
 def test_as_of_join_equals_plain_range_join(spark):
