@@ -266,3 +266,16 @@ def metrics_collector(name: str = "dispatch_metrics"):
             return {k: sum(b[k] for b in last.values()) for k in keys}
 
     return MetricsCollector()
+
+
+def late_rows(query) -> int:
+    """Rows a finished or running query dropped as later than its watermark.
+
+    Summed over the progress reports of every stateful operator
+    (``numRowsDroppedByWatermark``), the count of the late path.
+    """
+    total = 0
+    for p in query.recentProgress:
+        for op in p.stateOperators or []:
+            total += op.numRowsDroppedByWatermark or 0
+    return total

@@ -136,3 +136,18 @@ def test_rate_state_compaction_keeps_recent_days(spark):
     jobs.compact_rate_state(spark, log, out, newest_day=101, keep_days=2)
     got = {(r["kind"], r["bucket_day"]): r["n"] for r in spark.read.parquet(out).collect()}
     assert got == {("minute", 100): 3, ("day", 100): 3, ("day", 101): 4}  # day 98 is dropped
+
+
+def test_late_rows_are_counted(spark):
+    """A row far behind the watermark is dropped by T09 and counted on the late path."""
+    from sluice.streaming.harness import read_files_stream, run_to_end, scratch, split_to_files
+    base = scratch(spark, "late-test")
+    eligible = jobs.with_event_time(fx.requests(spark, SF001).filter(F.length("content") > 0)
+                                    .select("message_id", "tenant_id", "arrival_ts"))
+    late = eligible.orderBy("arrival_ts").limit(1).withColumn("message_id", F.lit(-5).cast("bigint"))
+    inp = os.path.join(base, "in")
+    split_to_files(eligible, "arrival_ts", inp, 3, flush_row=late)  # the old row arrives last
+    s = read_files_stream(spark, inp, eligible.schema)
+    q = run_to_end(jobs.stream_usage_windows(s).writeStream.format("noop").outputMode("append")
+                   .option("checkpointLocation", os.path.join(base, "ck")))
+    assert jobs.late_rows(q) == 1
