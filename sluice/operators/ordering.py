@@ -55,11 +55,19 @@ def minute_and_day_rank(df: DataFrame, keys: Sequence[str], ts_col: str, id_col:
     ``df`` must carry the columns of :func:`add_time_buckets`.
     """
     keys = list(keys)
-    el = df.filter(F.col(eligible))
+    # Rank inside the second.  Ineligible rows sort last, so eligible rows are
+    # numbered among themselves.  The rows shuffle once, on (keys, second):
+    # the per-second counts below are aggregated from this same partitioning
+    # (no second scan of the input) and the offsets join back on it.
+    w = Window.partitionBy(*keys, "bucket_sec").orderBy(
+        (~F.col(eligible)), F.col(ts_col), F.col(id_col))
+    ranked = df.withColumn("rank_in_sec", F.row_number().over(w))
     # Phase 1: per-second counts; a window over each (keys, minute) gives the
     # second's offset in its minute and the minute's total (<= 60 rows each).
-    sec = el.groupBy(*keys, "bucket_day", "bucket_min", "bucket_sec").agg(
-        F.count(F.lit(1)).alias("n_sec"))
+    # Eligible rows are numbered 1..n first, so the largest number is the
+    # count; reading it from the window keeps this branch on the same shuffle.
+    sec = ranked.filter(F.col(eligible)).groupBy(*keys, "bucket_day", "bucket_min", "bucket_sec").agg(
+        F.max("rank_in_sec").cast("bigint").alias("n_sec"))
     w_min = Window.partitionBy(*keys, "bucket_min").orderBy("bucket_sec")
     sec = sec.withColumns({
         "sec_off": F.coalesce(F.sum("n_sec").over(w_min.rowsBetween(Window.unboundedPreceding, -1)),
@@ -87,15 +95,9 @@ def minute_and_day_rank(df: DataFrame, keys: Sequence[str], ts_col: str, id_col:
         sec = (sec.join(prior_day.select(*keys, "bucket_day", F.col("passed").alias("passed_before")),
                         keys + ["bucket_day"], "left")
                   .withColumn("min_off", F.col("min_off") + F.coalesce(F.col("passed_before"), F.lit(0))))
-    offsets = sec.select(*keys, "bucket_sec", "sec_off", "min_off", "seen_before")
-    # Phase 3: rank inside the second, plus the offsets.  Ineligible rows sort
-    # last, so eligible rows are numbered among themselves; the window and the
-    # join share the (keys, second) partitioning, so rows shuffle once.
-    w = Window.partitionBy(*keys, "bucket_sec").orderBy(
-        (~F.col(eligible)), F.col(ts_col), F.col(id_col))
-    ranked = df.withColumn("rank_in_sec", F.row_number().over(w))
-    offsets = offsets.select(*[F.col(k).alias(f"off_{k}") for k in keys],
-                             F.col("bucket_sec").alias("off_sec"), "sec_off", "min_off", "seen_before")
+    # Phase 3: offsets back onto the rows (same (keys, second) partitioning).
+    offsets = sec.select(*[F.col(k).alias(f"off_{k}") for k in keys],
+                         F.col("bucket_sec").alias("off_sec"), "sec_off", "min_off", "seen_before")
     cond = [F.col(k) == F.col(f"off_{k}") for k in keys] + \
            [F.col("bucket_sec") == F.col("off_sec"), F.col(eligible)]
     joined = ranked.join(offsets, cond, "left").drop(*[f"off_{k}" for k in keys], "off_sec")

@@ -41,6 +41,10 @@ def admission_decisions(requests: DataFrame, claims: DataFrame | None = None,
     df = adm.resolve_tenant(df, require_auth)
     df = df.withColumn("eligible", F.col("content_ok") & F.col("auth_reason").isNull())
     if limit_per_minute > 0 or daily_quota > 0:
+        # The rank reads its input twice (rows, and per-second counts): give
+        # it the narrow request table, so the payload is read from the source
+        # only once.
+        df = materialize(_carry(df, keep_columns), "admission-requests")
         df = adm.rate_and_quota(df, limit_per_minute, daily_quota, eligible="eligible")
         # The claim step reads the ranked rows twice (rows and per-key
         # winners): rank once and store the result in the shared folder.
