@@ -151,3 +151,32 @@ def test_late_rows_are_counted(spark):
     q = run_to_end(jobs.stream_usage_windows(s).writeStream.format("noop").outputMode("append")
                    .option("checkpointLocation", os.path.join(base, "ck")))
     assert jobs.late_rows(q) == 1
+
+
+def test_rate_quota_stream_survives_a_failed_batch(spark):
+    """T01 + T06: a batch fails after writing its output and state; the restarted
+    query re-runs it (ignoring its own earlier state rows) and matches the batch answer."""
+    from sluice.operators import admission as adm
+    from sluice.streaming.harness import run_to_end
+    from sluice.streaming.registered import _eligible, feed
+    base, s = feed(spark, "rate-restart", _eligible(spark, SF001))
+    out, st, ck = (os.path.join(base, x) for x in ("out", "state", "ck"))
+    sink = jobs.rate_quota_sink(out, st, 1, 5)
+    failed = set()
+
+    def flaky(batch, batch_id):
+        sink(batch, batch_id)
+        if batch_id == 2 and batch_id not in failed:
+            failed.add(batch_id)
+            raise RuntimeError("lost after the writes of batch 2")
+
+    try:
+        run_to_end(s.writeStream.foreachBatch(flaky).option("checkpointLocation", ck))
+    except Exception:
+        run_to_end(s.writeStream.foreachBatch(flaky).option("checkpointLocation", ck))
+    assert failed == {2}
+    got = {r["message_id"]: (r["rate_ok"], r["quota_count"], r["quota_ok"])
+           for r in spark.read.parquet(out).collect()}
+    want_df = adm.rate_and_quota(_eligible(spark, SF001).withColumn("eligible", F.lit(True)), 1, 5)
+    want = {r["message_id"]: (r["rate_ok"], r["quota_count"], r["quota_ok"]) for r in want_df.collect()}
+    assert got == want
