@@ -180,3 +180,31 @@ def test_rate_quota_stream_survives_a_failed_batch(spark):
     want_df = adm.rate_and_quota(_eligible(spark, SF001).withColumn("eligible", F.lit(True)), 1, 5)
     want = {r["message_id"]: (r["rate_ok"], r["quota_count"], r["quota_ok"]) for r in want_df.collect()}
     assert got == want
+
+
+def test_retry_stream_timers_survive_a_failed_batch(spark, duck001):
+    """T03 + T06: pending retries (keyed state and timers) survive a failed batch and a restart."""
+    from __spark_entry__ import oracle_sql
+    from sluice.streaming.harness import run_to_end
+    from sluice.streaming.registered import feed
+    from tests.compare_util import compare
+    main = fx.consumed(spark, SF001).filter(F.col("source_stream") == "main")
+    base, s = feed(spark, "retry-restart", main, flush=True)
+    out, ck = os.path.join(base, "out"), os.path.join(base, "ck")
+    failed = set()
+
+    def write(batch, batch_id):
+        batch.write.mode("overwrite").parquet(os.path.join(out, f"batch_id={batch_id}"))
+        if batch_id == 2 and batch_id not in failed:
+            failed.add(batch_id)
+            raise RuntimeError("lost after the writes of batch 2")
+
+    q = jobs.stream_retry(s).writeStream.foreachBatch(write).option("checkpointLocation", ck)
+    try:
+        run_to_end(q)
+    except Exception:
+        run_to_end(jobs.stream_retry(s).writeStream.foreachBatch(write).option("checkpointLocation", ck))
+    assert failed == {2}
+    got = spark.read.parquet(out).select("message_id", "tenant_id", "attempt", "status")
+    ok, msg = compare(got, duck001, oracle_sql()["stream_retry"])
+    assert ok, msg
