@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sluice.llm import packing
+from sluice.llm import packing, toxicity
 from sluice.llm.common import read
 from sluice.registry import register
 
@@ -12,3 +13,11 @@ from sluice.registry import register
 @register("op7_packing")
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
+
+
+@register("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    lexicon = toxicity.learn(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs.select("doc_id", "text"), lexicon).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_hits")
