@@ -55,6 +55,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, for files that are not tables."""
+    return os.path.join(shared_dir(spark), "llm", f"{name}-{uuid.uuid4().hex}")
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers once per Spark application."""
     sc = spark.sparkContext

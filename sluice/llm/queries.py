@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import packing, toxicity
-from sluice.llm.common import read
+from sluice.llm import packing, toxicity, warc
+from sluice.llm.common import new_folder, read
 from sluice.registry import register
 
 
@@ -21,3 +21,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = toxicity.learn(docs, read(spark, sf_dir, "labels"))
     return toxicity.score(docs.select("doc_id", "text"), lexicon).select(
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_hits")
+
+
+@register("op3_warc")
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "warc")
+    manifest = warc.write(read(spark, sf_dir, "pages"), folder)
+    return warc.read_back(manifest, folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -3,3 +3,17 @@
 from __future__ import annotations
 
 SQL: dict[str, str] = {}
+
+SQL["op3_warc"] = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), d AS (
+  SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM p
+), r AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS newest FROM d
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND newest <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND newest <> page_id THEN newest END AS refers_to
+FROM r
+"""
