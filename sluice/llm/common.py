@@ -14,7 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
 _U = np.uint64
@@ -77,6 +78,31 @@ def ship(spark: SparkSession) -> None:
     sc._llm_shipped = True
 
 
+class Ranges:
+    """Deals rows to shards by ranges of an integer key, the same on any cluster: equal-width bins of the keys are weighed and
+    consecutive bins joined up to ``target``.  There are at most ``bins`` + 1 bins (null keys come first), whatever the input,
+    so their weights are gathered on the driver and the table bin -> shard is broadcast.
+    """
+
+    def __init__(self, rows: DataFrame, key: str, weight: Column, target: int, bins: int = 4096):
+        edge = rows.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+        self.key, self.lo = key, edge["lo"] or 0
+        self.width = ((edge["hi"] or 0) - self.lo) // bins + 1
+        dealt, total = [], 0
+        for r in rows.groupBy(self.bin().alias("bin")).agg(F.sum(weight).alias("w")).orderBy("bin").collect():
+            dealt.append((r["bin"], total // target))
+            total += r["w"]
+        renumber = {old: new for new, old in enumerate(sorted({s for _, s in dealt}))}
+        self.n_shards = max(1, len(renumber))
+        self.table = rows.sparkSession.createDataFrame([(b, renumber[s]) for b, s in dealt], "bin long, shard int")
+
+    def bin(self) -> Column:
+        return F.coalesce(F.floor((F.col(self.key) - F.lit(self.lo)) / F.lit(self.width)), F.lit(-1)).cast("long")
+
+    def with_shard(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("bin", self.bin()).join(F.broadcast(self.table), "bin").drop("bin")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers with good avalanche."""
     x = x ^ (x >> _U(30))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import packing, toxicity, warc
+from sluice.llm import fingerprint, packing, toxicity, url_filter, warc
 from sluice.llm.common import new_folder, read
 from sluice.registry import register
 
@@ -29,3 +29,41 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write(read(spark, sf_dir, "pages"), folder)
     return warc.read_back(manifest, folder).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SPAM_WORDS = "casino|bets|pills|spam|ads-|adult"
+
+
+def derived_captures(pages: DataFrame) -> DataFrame:
+    """Pages with a time of capture derived from page_id, as the table has none."""
+    minutes = F.coalesce(F.col("page_id") * 7919 % 525_600, F.lit(0))
+    return pages.select("page_id", "url", F.timestamp_seconds(F.lit(1_704_067_200) + minutes * 60).alias("fetch_time"))
+
+
+def derived_entries(pages: DataFrame) -> DataFrame:
+    """Dated entries derived from the hosts seen: spam words for good, others on and off a watch list, some sections allowed."""
+    hosts = pages.select(url_filter.host(F.col("url")).alias("host")).where("host is not null").distinct() \
+        .withColumn("h", F.conv(F.substring(F.md5("host"), 1, 6), 16, 10).cast("long"))
+    entry = lambda name, verdict, kind, pattern, action, day: F.struct(
+        F.lit(name).alias("list_name"), F.lit(verdict).alias("verdict"), F.lit(kind).alias("kind"), F.expr(pattern).alias("pattern"),
+        F.lit(action).alias("action"), F.expr(f"timestamp_seconds(1704067200 + 86400 * ({day}))").alias("since"))
+    spam, watched, allowed = f"host rlike '{SPAM_WORDS}'", "h % 3 = 0", "h % 5 = 1"
+    rules = [(spam, entry("spam", "block", "domain", "regexp_replace(host, '^(www|m|blog)[.]', '')", "add", "0")),
+             (watched, entry("watch", "block", "domain", "host", "add", "h % 200")),
+             (watched, entry("watch", "block", "domain", "host", "remove", "h % 200 + 30 + h % 60")),
+             (watched + " and h % 2 = 0", entry("watch", "block", "domain", "host", "add", "300")),
+             (allowed, entry("sections", "allow", "prefix", "concat(host, '/en')", "add", "31 + h % 100"))]
+    return hosts.select(F.explode(F.array(*[F.when(F.expr(when), e) for when, e in rules])).alias("e")).where("e is not null").select("e.*")
+
+
+@register("op4_url_filter")
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return url_filter.evaluate(derived_captures(pages), derived_entries(pages)).select(
+        "page_id", "url", text("fetch_time"), "verdict", "list_name", "kind", "pattern", text("active_since"), text("active_until"), "n_active")
+
+
+@register("op8_fingerprint")
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_next(read(spark, sf_dir, "documents"))

@@ -17,3 +17,36 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND newest <> page_id THEN newest END AS refers_to
 FROM r
 """
+
+SQL["op4_url_filter"] = r"""
+WITH c AS (
+  SELECT DISTINCT page_id, url, TIMESTAMP '2024-01-01' + to_minutes(coalesce(page_id * 7919 % 525600, 0)) AS t,
+         nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') AS host,
+         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda s: s <> '') AS seg
+  FROM pages
+), hosts AS (
+  SELECT DISTINCT host, ('0x' || substr(md5(host), 1, 6))::BIGINT AS h FROM c WHERE host IS NOT NULL AND length(host) <= 253
+), log AS (
+  SELECT 'spam' AS list_name, 'block' AS verdict, 'domain' AS kind, regexp_replace(host, '^(www|m|blog)[.]', '') AS pattern,
+         'add' AS action, 0 AS day FROM hosts WHERE regexp_matches(host, 'casino|bets|pills|spam|ads-|adult')
+  UNION ALL SELECT 'watch', 'block', 'domain', host, 'add', h % 200 FROM hosts WHERE h % 3 = 0
+  UNION ALL SELECT 'watch', 'block', 'domain', host, 'remove', h % 200 + 30 + h % 60 FROM hosts WHERE h % 3 = 0
+  UNION ALL SELECT 'watch', 'block', 'domain', host, 'add', 300 FROM hosts WHERE h % 6 = 0
+  UNION ALL SELECT 'sections', 'allow', 'prefix', host || '/en', 'add', 31 + h % 100 FROM hosts WHERE h % 5 = 1
+), dated AS (
+  SELECT list_name, verdict, kind, pattern, TIMESTAMP '2024-01-01' + to_days(day::INT) AS since, max(action) AS action FROM log GROUP BY ALL
+), spans AS (
+  SELECT *, lead(since) OVER (PARTITION BY list_name, verdict, kind, pattern ORDER BY since) AS until FROM dated
+), hit AS (
+  SELECT c.page_id, c.url, c.t, s.*, row_number() OVER (PARTITION BY c.page_id, c.url, c.t
+           ORDER BY length(s.pattern) DESC, s.verdict = 'allow' DESC, s.list_name DESC, s.pattern DESC) AS place,
+         count(*) OVER (PARTITION BY c.page_id, c.url, c.t) AS n
+  FROM c JOIN spans s ON s.action = 'add' AND c.t >= s.since AND (s.until IS NULL OR c.t < s.until) AND (
+    (s.kind = 'domain' AND (c.host = s.pattern OR ends_with(c.host, '.' || s.pattern)))
+    OR (s.kind = 'prefix' AND (s.pattern = c.host || '/' || c.seg[1] OR s.pattern = c.host || '/' || c.seg[1] || '/' || c.seg[2])))
+)
+SELECT c.page_id, c.url, strftime(c.t, '%Y-%m-%d %H:%M:%S') AS fetch_time, coalesce(hit.verdict, 'none') AS verdict,
+       hit.list_name, hit.kind, hit.pattern, strftime(hit.since, '%Y-%m-%d %H:%M:%S') AS active_since,
+       strftime(hit.until, '%Y-%m-%d %H:%M:%S') AS active_until, coalesce(hit.n, 0) AS n_active
+FROM c LEFT JOIN hit ON c.page_id = hit.page_id AND c.url = hit.url AND c.t = hit.t AND hit.place = 1
+"""

@@ -26,15 +26,14 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import ship, stored
+from sluice.llm.common import Ranges, ship, stored
 
 MIN_REVISIT = 1000
 SHARD_BYTES = 64 << 20
 FILE_BYTES = 16 << 20
-BINS = 4096
 DATE = "2024-01-01T00:00:00Z"  # pages carry no time of capture
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -89,24 +88,6 @@ def open_folder(base: str):
     return fs.FileSystem.from_uri(base if "://" in base else "file://" + base.removeprefix("file:"))
 
 
-def bin_of(lo: int, width: int) -> Column:
-    return F.coalesce(F.floor((F.col("page_id") - F.lit(lo)) / F.lit(width)), F.lit(-1)).cast("long")
-
-
-def shards(narrow: DataFrame, shard_bytes: int, bins: int = BINS) -> tuple[DataFrame, int, int, int]:
-    """(bin -> shard with at most ``bins`` + 1 rows, first id, width of a bin, number of shards)."""
-    edge = narrow.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).first()
-    lo, hi = (edge["lo"] or 0), (edge["hi"] or 0)
-    width = (hi - lo) // bins + 1
-    weights = narrow.groupBy(bin_of(lo, width).alias("bin")).agg(F.sum(F.col("payload_bytes") + 500).alias("w")).orderBy("bin")
-    dealt, total = [], 0
-    for r in weights.collect():
-        dealt.append((r["bin"], total // shard_bytes))
-        total += r["w"]
-    table = narrow.sparkSession.createDataFrame(dealt, "bin long, shard long")
-    return table, lo, width, 1 + (dealt[-1][1] if dealt else 0)
-
-
 class Roller:
     """Writes the records of one task to files that roll by shard and by compressed size."""
 
@@ -146,16 +127,15 @@ def write(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT, shard_b
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
                         F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     narrow = stored(rows.select("page_id", F.octet_length("payload").alias("payload_bytes"), F.sha1("payload").alias("digest")), "digests")
-    by_bin, lo, width, n_shards = shards(narrow, shard_bytes)
+    ranges = Ranges(narrow, "page_id", F.col("payload_bytes") + 500, shard_bytes)
     large = narrow.where((F.col("payload_bytes") >= min_revisit) & F.col("page_id").isNotNull())
     groups = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
     notes = large.join(groups.drop("n"), "digest").select("page_id", "digest", "refers_to").distinct()
     # A note says that a page's payload has others like it; it comes to the page's shard, just before the page.
     both = rows.select("page_id", "url", "payload", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to")) \
         .unionByName(notes.select("page_id", F.lit("").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "refers_to"))
-    dealt = both.withColumn("bin", bin_of(lo, width)).join(F.broadcast(by_bin), "bin") \
-        .select(F.col("shard").cast("int").alias("shard"), "page_id", "url", "payload", "digest", "refers_to") \
-        .repartitionById(n_shards, F.col("shard")) \
+    dealt = ranges.with_shard(both).select("shard", "page_id", "url", "payload", "digest", "refers_to") \
+        .repartitionById(ranges.n_shards, F.col("shard")) \
         .sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), F.col("digest").desc_nulls_last(), "url")
 
     def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
