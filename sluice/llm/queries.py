@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import fingerprint, packing, toxicity, url_filter, warc
+from sluice.llm import fingerprint, language, packing, toxicity, url_filter, warc
 from sluice.llm.common import new_folder, read
 from sluice.registry import register
 
@@ -67,3 +67,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_fingerprint")
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_next(read(spark, sf_dir, "documents"))
+
+
+@register("op6_language")
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language.learn(docs)
+    return language.predict(docs, model).select(
+        "doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
