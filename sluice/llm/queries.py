@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import fingerprint, language, packing, toxicity, url_filter, warc
+from sluice.llm import fingerprint, language, packing, pii, toxicity, url_filter, warc
 from sluice.llm.common import new_folder, read
 from sluice.registry import register
 
@@ -75,3 +75,9 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.learn(docs)
     return language.predict(docs, model).select(
         "doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@register("op5_pii")
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return pii.detect(docs, pii.learn(docs))
