@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import fingerprint, language, packing, pii, toxicity, url_filter, warc
+from sluice.llm import fingerprint, language, line_dedup, packing, pii, toxicity, url_filter, warc
 from sluice.llm.common import new_folder, read
 from sluice.registry import register
 
@@ -81,3 +81,8 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return pii.detect(docs, pii.learn(docs))
+
+
+@register("op1_line_dedup")
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.judge(read(spark, sf_dir, "documents"))

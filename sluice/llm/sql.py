@@ -50,3 +50,30 @@ SELECT c.page_id, c.url, strftime(c.t, '%Y-%m-%d %H:%M:%S') AS fetch_time, coale
        strftime(hit.until, '%Y-%m-%d %H:%M:%S') AS active_until, coalesce(hit.n, 0) AS n_active
 FROM c LEFT JOIN hit ON c.page_id = hit.page_id AND c.url = hit.url AND c.t = hit.t AND hit.place = 1
 """
+
+SQL["op1_line_dedup"] = r"""
+WITH raw AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents
+), w AS (
+  SELECT doc_id, line_no, list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+         lambda x: x <> '') AS words FROM raw
+), l AS (
+  SELECT doc_id, line_no, len(words) AS n, array_to_string(words, ' ') AS line, words FROM w WHERE len(words) > 0
+), d AS (
+  SELECT line, any_value(n) AS n, any_value(words) AS words, min((doc_id, line_no)) AS first FROM l GROUP BY line
+), v AS (
+  SELECT line, first, n, p, array_to_string(words[:p - 1] || words[p + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, n + 1)) AS p FROM d WHERE n >= 8)
+), pair AS (
+  SELECT a.first AS x, b.first AS y FROM v a JOIN v b ON a.rest = b.rest AND a.n = b.n AND a.p = b.p AND b.first < a.first
+  UNION ALL SELECT a.first, b.first FROM v a JOIN d b ON a.rest = b.line AND b.n >= 8 AND b.first < a.first
+  UNION ALL SELECT b.first, a.first FROM v a JOIN d b ON a.rest = b.line AND b.n >= 8 AND a.first < b.first
+), k AS (
+  SELECT x, min(y) AS keeper FROM pair GROUP BY x
+)
+SELECT l.doc_id, l.line_no, l.n AS n_words, k.keeper IS NULL AND d.first = (l.doc_id, l.line_no) AS kept,
+       CASE WHEN d.first <> (l.doc_id, l.line_no) THEN 'exact' WHEN k.keeper IS NOT NULL THEN 'near' END AS reason,
+       CASE WHEN k.keeper IS NOT NULL THEN k.keeper[1] WHEN d.first <> (l.doc_id, l.line_no) THEN d.first[1] END AS keeper_doc_id,
+       CASE WHEN k.keeper IS NOT NULL THEN k.keeper[2] WHEN d.first <> (l.doc_id, l.line_no) THEN d.first[2] END AS keeper_line_no
+FROM l JOIN d USING (line) LEFT JOIN k ON k.x = d.first
+"""
