@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,7 +131,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def row_slices(texts: pa.Array, limit: int = 2 * SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows with at most ``limit`` bytes of text together (one longer row stands alone)."""
-    sizes = pa.compute.binary_length(texts).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
     lo, total = 0, 0
     for i, n in enumerate(sizes):
         n = 0 if n != n or n is None else int(n)
@@ -146,7 +147,7 @@ class Words:
     """Hashes of the words of some rows: ``hash[first[i]:first[i + 1]]`` are those of row ``i``."""
 
     def __init__(self, texts: pa.Array, lower: bool = True):
-        texts = pa.compute.fill_null(texts.cast(pa.large_string()), "")
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
         data = texts.buffers()[2]
         data = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data is not None else np.zeros(0, np.uint8)

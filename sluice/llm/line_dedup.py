@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,7 +89,7 @@ def lines(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            texts = pa.compute.fill_null(batch.column(1).cast(pa.large_string()), "")
+            texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
             for a, b in row_slices(texts):
                 part = texts.slice(a, b - a)
                 words = Words(part)

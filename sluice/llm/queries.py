@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import fingerprint, language, line_dedup, packing, pii, toxicity, url_filter, warc
+from sluice.llm import fingerprint, language, line_dedup, minhash, packing, pii, toxicity, url_filter, warc
 from sluice.llm.common import new_folder, read
 from sluice.registry import register
 
@@ -86,3 +86,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_line_dedup")
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.judge(read(spark, sf_dir, "documents"))
+
+
+@register("op2_minhash")
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
