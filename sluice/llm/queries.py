@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import fingerprint, language, line_dedup, minhash, packing, pii, toxicity, url_filter, warc
+from sluice.llm import decontaminate, fingerprint, language, line_dedup, minhash, packing, pii, toxicity, url_filter, warc
 from sluice.llm.common import new_folder, read
 from sluice.registry import register
 
@@ -91,3 +91,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op2_minhash")
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
+
+
+@register("op9_decontaminate")
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
