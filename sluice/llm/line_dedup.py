@@ -82,34 +82,40 @@ def _half_keys(spans: Spans, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]
     return out
 
 
+class LineTable:
+    """The lines with words of some texts, by arrays: row, line number, first and last word, 128-bit hash."""
+
+    def __init__(self, texts: pa.Array):
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        words = Words(texts)
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        data = texts.buffers()[2]
+        data = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+        row = np.repeat(np.arange(len(texts)), np.diff(words.first))
+        feeds = np.flatnonzero(data == 10)
+        line = np.searchsorted(feeds, words.starts) - np.searchsorted(feeds, offsets[:-1] - offsets[0])[row]
+        new = np.ones(len(row), dtype=bool)
+        new[1:] = (line[1:] != line[:-1]) | (row[1:] != row[:-1])
+        self.lo = np.flatnonzero(new)
+        self.hi = np.append(self.lo[1:], len(row)) if len(row) else self.lo
+        self.row, self.line = row[self.lo], line[self.lo].astype(np.int32)
+        self.spans = Spans(words.hash, 0)
+        salt = (self.hi - self.lo).astype(_U) * _U(0xD6E8FEB86659FD93)
+        self.h1 = signed(mix(self.spans.hash(self.lo, self.hi) + salt))
+        self.h2 = signed(mix(Spans(words.hash, 1).hash(self.lo, self.hi) + salt))
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """All lines with words: their place, number of words, 128-bit hash and keys of their halves."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
-            for a, b in row_slices(texts):
-                part = texts.slice(a, b - a)
-                words = Words(part)
-                if not len(words.hash):
-                    continue
-                offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset:part.offset + len(part) + 1]
-                data = np.frombuffer(part.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
-                row = np.repeat(np.arange(b - a), np.diff(words.first))
-                feeds = np.flatnonzero(data == 10)
-                before = np.searchsorted(feeds, words.starts)
-                line = before - np.searchsorted(feeds, offsets[:-1] - offsets[0])[row]
-                lo = np.flatnonzero(np.concatenate(([True], (line[1:] != line[:-1]) | (row[1:] != row[:-1]))))
-                hi = np.append(lo[1:], len(line))
-                one, two = Spans(words.hash, 0), Spans(words.hash, 1)
-                n = hi - lo
-                salt = n.astype(_U) * _U(0xD6E8FEB86659FD93)
-                columns = [mix(one.hash(lo, hi) + salt), mix(two.hash(lo, hi) + salt), *_half_keys(one, lo, hi)]
+            for a, b in row_slices(batch.column(1)):
+                t = LineTable(batch.column(1).slice(a, b - a))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(a + row[lo])), pa.array(line[lo].astype(np.int32)), pa.array(n.astype(np.int32)),
-                     *[pa.array(signed(c)) for c in columns]], [c.split()[0] for c in LINES.split(", ")])
+                    [batch.column(0).take(pa.array(a + t.row)), pa.array(t.line), pa.array((t.hi - t.lo).astype(np.int32)), pa.array(t.h1), pa.array(t.h2),
+                     *[pa.array(signed(k)) for k in _half_keys(t.spans, t.lo, t.hi)]], [c.split()[0] for c in LINES.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, LINES)
 
@@ -187,7 +193,7 @@ def near(docs: DataFrame, distinct: DataFrame, min_words: int = MIN_WORDS) -> Da
             out: tuple[list, list, list, list] = ([], [], [], [])
             for i in range(batch.num_rows):
                 text = batch.column(1)[i].as_py().split("\n")
-                for one in batch.column(2)[i].as_py():
+                for one in (o for o in batch.column(2)[i].as_py() if o["line_no"] < len(text)):
                     for column, value in zip(out, (batch.column(0)[i].as_py(), one["line_no"], one["shared"], text[one["line_no"]])):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.string()))],
@@ -224,30 +230,32 @@ def judge(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     exact = place() != F.col("first")
     keeper = F.when(F.col("keeper").isNotNull(), F.col("keeper")).when(exact, F.col("first"))
     return every.select("doc_id", "line_no", "n_words", "h1", "h2").join(known, ["h1", "h2"]).select(
-        "doc_id", "line_no", "n_words", keeper.isNull().alias("kept"),
+        "doc_id", "line_no", "n_words", "h1", "h2", keeper.isNull().alias("kept"),
         F.when(exact, F.lit("exact")).when(F.col("keeper").isNotNull(), F.lit("near")).alias("reason"),
         keeper["doc_id"].alias("keeper_doc_id"), keeper["line_no"].alias("keeper_line_no"))
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without repeated lines; documents of which no line with words is left go."""
-    gone = judge(docs, min_words).where("not kept").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
+    gone = judge(docs, min_words).where("not kept").groupBy(F.col("doc_id").alias("_id")) \
+        .agg(F.collect_set(F.struct("line_no", "h1", "h2")).alias("_gone"))  # at most the document's own lines
 
     @F.pandas_udf("string")
     def rest(texts: pd.Series, gone: pd.Series) -> pd.Series:
-        out = []
-        for text, lines_gone in zip(texts, gone):
-            if text is not None and lines_gone is not None:
-                drop = set(lines_gone)
-                text = "\n".join(line for i, line in enumerate(text.split("\n")) if i not in drop)
-                text = text if any(c not in " \t\n\x0b\x0c\r" for c in text) else None
-            out.append(text)
+        out = list(texts)
+        some = [i for i, g in enumerate(gone) if g is not None and out[i] is not None]
+        for a, b in row_slices(pa.array([out[i] for i in some], pa.string())):
+            t = LineTable(pa.array([out[i] for i in some[a:b]], pa.string()))
+            first = np.searchsorted(t.row, np.arange(b - a + 1))
+            for k, i in enumerate(some[a:b]):
+                listed = {(g["line_no"], g["h1"], g["h2"]) for g in gone.iloc[i]}
+                here = range(first[k], first[k + 1])
+                drop = {int(t.line[x]) for x in here if (int(t.line[x]), int(t.h1[x]), int(t.h2[x])) in listed}
+                out[i] = "\n".join(v for n, v in enumerate(out[i].split("\n")) if n not in drop) if len(drop) < len(here) else None
         return pd.Series(out)
 
-    names = docs.columns
-    joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
-    joined = joined.withColumn("_text", rest(F.col("text").cast("string"), F.col("_gone"))) \
-        .where(F.col("_gone").isNull() | F.col("_text").isNotNull())
-    out = [F.col("_text").alias(c) if c == "text" else F.when(F.col("_gone").isNull(), F.col(f"`{c}`")).otherwise(F.length("_text")).cast(docs.schema[c].dataType).alias(c)
-           if c == "n_chars" else F.col(f"`{c}`") for c in names]
-    return joined.select(*out)
+    joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left") \
+        .withColumn("_text", rest(F.col("text").cast("string"), F.col("_gone"))).where("_gone is null or _text is not null")
+    made = {"text": F.col("_text"), "n_chars": F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("_text"))} \
+        if "n_chars" in docs.columns else {"text": F.col("_text")}
+    return joined.select(*[made[c].cast(docs.schema[c].dataType).alias(c) if c in made else F.col(f"`{c}`") for c in docs.columns])

@@ -224,6 +224,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each class."""
-    kept = near_duplicates(docs.select("doc_id", "text"), percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """``docs`` with one document of each class; of rows that share a doc_id one stays, rows with null doc_id all stay."""
+    gone = near_duplicates(docs.select("doc_id", "text"), percent).where("not kept").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return named.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id is null"))

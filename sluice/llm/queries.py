@@ -85,7 +85,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op1_line_dedup")
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.judge(read(spark, sf_dir, "documents"))
+    return line_dedup.judge(read(spark, sf_dir, "documents")).drop("h1", "h2")
 
 
 @register("op2_minhash")

@@ -240,3 +240,14 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> Da
 
     return docs.withColumn("_s", scored(F.col("text").cast("string"))).select(
         *[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"_s.{n}").alias(n) for n in names])
+
+
+def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs``, all columns, without the rows that score at least ``threshold``."""
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("boolean")
+    def toxic(texts: pd.Series) -> pd.Series:
+        return pd.Series([lexicon.score(*lexicon.features(fold(t))[:2]) >= threshold for t in texts], dtype=bool)
+
+    return docs.where(~toxic(F.col("text").cast("string")))
