@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -148,23 +149,32 @@ class Index:
         return best
 
 
+def item_blocks(benchmark: DataFrame, item_block: int = ITEM_BLOCK) -> Iterator[list[tuple[int | None, str]]]:
+    """The items, gathered in blocks of about ``item_block``; there is always a block."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    n_blocks = max(1, -(-items.count() // item_block))
+    for k in range(n_blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()
+        yield sorted(((r["item_id"], r["text"]) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+
+
+def index_of(block: list[tuple[int | None, str]]) -> Index:
+    words = Words(pa.array([t for _, t in block], pa.string()))
+    return Index([(i, words.row(k)) for k, (i, _) in enumerate(block)])
+
+
 def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, item_block: int = ITEM_BLOCK) -> DataFrame:
     """(doc_id, item_id) of all documents that hold an item, with the best similarity and its place."""
-    spark = docs.sparkSession
-    ship(spark)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    n_blocks = max(1, -(-items.count() // item_block))
 
-    def scan(block: list[tuple[int, str]]) -> DataFrame:
+    def scan(block: list[tuple[int | None, str]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = Words(pa.array([t for _, t in block], pa.string()))
-            index = Index([(i, words.row(k)) for k, (i, _) in enumerate(block)])
+            index = index_of(block)
             for batch in batches:
                 out = []
                 for a, b in row_slices(batch.column(1)):
-                    words = Words(batch.column(1).slice(a, b - a))
-                    for (i, j), (similarity, at, distance) in index.matches(words, threshold).items():
+                    for (i, j), (similarity, at, distance) in index.matches(Words(batch.column(1).slice(a, b - a)), threshold).items():
                         out.append((batch.column(0)[a + i].as_py(), index.items[j][0], similarity, at, len(index.items[j][1]), distance))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(
                     (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int32()))], [c.split()[0] for c in MATCHES.split(", ")])
@@ -172,9 +182,7 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, it
         return texts.mapInArrow(run, MATCHES)
 
     found = None
-    for k in range(n_blocks):
-        block = sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in items.where(
-            F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect())  # about item_block rows
+    for block in item_blocks(benchmark, item_block):
         one = scan(block)
         found = one if found is None else found.unionByName(one)
     order = F.struct("similarity", (-F.col("distance")).alias("d"), (-F.col("start_word")).alias("s"), "n_words")
@@ -182,7 +190,26 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, it
         "doc_id", "item_id", "m.similarity", (-F.col("m.s")).alias("start_word"), "m.n_words", (-F.col("m.d")).alias("distance"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents that hold an item."""
-    gone = find(docs, benchmark, threshold).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, item_block: int = ITEM_BLOCK) -> DataFrame:
+    """``docs`` without the rows that hold an item; rows are judged where they lie, without a shuffle."""
+    ship(docs.sparkSession)
+
+    def holds(block: list[tuple[int | None, str]]):
+        made: list[Index] = []
+
+        @F.pandas_udf("boolean")
+        def run(texts: pd.Series) -> pd.Series:
+            if not made:
+                made.append(index_of(block))
+            column = pa.array(texts, pa.string(), from_pandas=True)
+            out = np.zeros(len(texts), dtype=bool)
+            for a, b in row_slices(column):
+                for i, _ in made[0].matches(Words(column.slice(a, b - a)), threshold):
+                    out[a + i] = True
+            return pd.Series(out)
+
+        return run(F.col("text").cast("string"))
+
+    for block in item_blocks(benchmark, item_block):
+        docs = docs.where(~holds(block))
+    return docs

@@ -35,7 +35,8 @@ _U = np.uint64
 _MULTIPLIERS = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 LINES = "doc_id long, line_no int, n_words int, h1 long, h2 long, half0 long, half1 long, half2 long, half3 long"
-VARIANTS = "k1 long, k2 long, whole boolean, doc_id long, line_no int"
+REPLACED, GAINED, WHOLE = 0, 1, 2  # what a key says: one word differs, one word more than the whole line, the whole line
+VARIANTS = "k1 long, k2 long, kind int, doc_id long, line_no int"
 
 
 def _tables(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,10 +148,10 @@ def variants(active: DataFrame) -> DataFrame:
                     gained = mix(rest + (n[row] - 1).astype(_U) * salt + _U(7))
                     keys.append(np.concatenate((replaced, gained, mix(spans.hash(lo[whole], hi[whole]) + n[whole].astype(_U) * salt + _U(7)))))
                 rows = np.concatenate((row, row, whole))
-                is_whole = np.concatenate((np.zeros(2 * len(row), dtype=bool), np.ones(len(whole), dtype=bool)))
+                kind = np.repeat(np.array([REPLACED, GAINED, WHOLE], dtype=np.int32), (len(row), len(row), len(whole)))
                 take = pa.array(a + rows)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(keys[0])), pa.array(signed(keys[1])), pa.array(is_whole),
-                                                  batch.column(0).take(take), batch.column(1).take(take)], ["k1", "k2", "whole", "doc_id", "line_no"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(keys[0])), pa.array(signed(keys[1])), pa.array(kind),
+                                                  batch.column(0).take(take), batch.column(1).take(take)], ["k1", "k2", "kind", "doc_id", "line_no"])
 
     return active.select("doc_id", "line_no", "shared", "line").mapInArrow(run, VARIANTS)
 
@@ -203,10 +204,10 @@ def near(docs: DataFrame, distinct: DataFrame, min_words: int = MIN_WORDS) -> Da
     asked = texts.alias("t").join(by_doc.alias("a"), F.col("t.doc_id").eqNullSafe(F.col("a.doc_id"))).select("t.doc_id", "t.text", "a.asked")
     active = stored(asked.mapInArrow(pick, "doc_id long, line_no int, shared int, line string"), "active_lines")
     keys = variants(active).withColumn("own", place()).drop("doc_id", "line_no")
-    groups = keys.groupBy("k1", "k2").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("whole"), F.col("own"))).alias("whole_one"),
-        F.min(F.when(~F.col("whole"), F.col("own"))).alias("shorter")).where("n > 1").drop("n")
-    other = F.when(F.col("whole"), F.col("shorter")).otherwise(F.coalesce("whole_one", "shorter"))
+    least = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("own")))
+    groups = keys.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), least(REPLACED).alias("replaced"), least(GAINED).alias("gained"),
+                                          least(WHOLE).alias("whole")).where("n > 1").drop("n")
+    other = F.when(F.col("kind") == REPLACED, F.col("replaced")).when(F.col("kind") == GAINED, F.col("whole")).otherwise(F.col("gained"))
     found = keys.join(groups, ["k1", "k2"]).select("own", other.alias("other")).where("other < own") \
         .groupBy("own").agg(F.min("other").alias("other"))
 
@@ -254,8 +255,10 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 out[i] = "\n".join(v for n, v in enumerate(out[i].split("\n")) if n not in drop) if len(drop) < len(here) else None
         return pd.Series(out)
 
-    joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left") \
-        .withColumn("_text", rest(F.col("text").cast("string"), F.col("_gone"))).where("_gone is null or _text is not null")
-    made = {"text": F.col("_text"), "n_chars": F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("_text"))} \
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    own = docs.select(F.struct(*columns).alias("d"))  # in a struct no name of the caller's clashes
+    joined = own.join(gone, F.col("d.doc_id").cast("long").eqNullSafe(F.col("_id")), "left") \
+        .withColumn("_text", rest(F.col("d.text").cast("string"), F.col("_gone"))).where("_gone is null or _text is not null")
+    made = {"text": F.col("_text"), "n_chars": F.when(F.col("_gone").isNull(), F.col("d.n_chars")).otherwise(F.length("_text"))} \
         if "n_chars" in docs.columns else {"text": F.col("_text")}
-    return joined.select(*[made[c].cast(docs.schema[c].dataType).alias(c) if c in made else F.col(f"`{c}`") for c in docs.columns])
+    return joined.select(*[made[c].cast(docs.schema[c].dataType).alias(c) if c in made else F.col(f"d.`{c}`") for c in docs.columns])
