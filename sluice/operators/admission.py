@@ -153,7 +153,7 @@ def idempotency_claim(df: DataFrame, claims: DataFrame | None, eligible: str = "
                               F.col("idempotency_key").alias(keys[1]),
                               F.col("notification_id").alias("prior_id"),
                               F.lit(True).alias("has_prior"))
-        info = winners.join(prior, keys, "full")
+        info = winners.join(prior, keys, "left")  # a key that nothing in the batch uses is not needed
     else:
         info = winners.withColumns({"prior_id": F.lit(None).cast("string"),
                                     "has_prior": F.lit(None).cast("boolean")})

@@ -4,46 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions import epoch_micros
 
 KEYS = ("tenant_id", "channel")
-# Largest session side we ship to every executor as a broadcast.
-BROADCAST_MAX_BYTES = 256 * 1024 * 1024
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate of ``df`` (file sizes scaled by the
-    projection for a parquet scan); no job runs.  None when unavailable."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # e.g. a client without access to the JVM plan
-        return None
-
-
-def bounded_bytes(df: DataFrame, cap: int) -> bool:
-    """True when the estimate proves ``df`` is at most ``cap`` bytes."""
-    size = estimated_bytes(df)
-    return size is not None and size <= cap
-
-
-def _maybe_broadcast(small: DataFrame, cap: int) -> DataFrame:
-    return F.broadcast(small) if cap > 0 and bounded_bytes(small, cap) else small
-
-
-def fan_out(messages: DataFrame, sessions: DataFrame, keys: Sequence[str] = KEYS,
-            broadcast_max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+def fan_out(messages: DataFrame, sessions: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Every message x every session subscribed to its (tenant, channel).
 
-    The session side (projected to keys and id) is broadcast only when its
-    size estimate is under the cap; beyond it both sides shuffle on the
-    keys, AQE may still broadcast from the measured size, and AQE splits a
-    hot (tenant, channel) partition on either side.
+    The session side is projected to keys and id.  No hint: adaptive
+    execution broadcasts it when its measured size allows, and otherwise
+    splits a hot (tenant, channel) partition on either side.  The output is
+    all pairs by definition; J02 counts without making them, and J03 is the
+    form for delivery.
     """
-    s = sessions.select(*keys, "session_id")
-    return messages.join(_maybe_broadcast(s, broadcast_max_bytes), list(keys))
+    return messages.join(sessions.select(*keys, "session_id"), list(keys))
 
 
 def fan_out_counts(messages: DataFrame, sessions: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -57,50 +35,74 @@ def fan_out_counts(messages: DataFrame, sessions: DataFrame, keys: Sequence[str]
                     .withColumn("clients", F.coalesce(F.col("clients"), F.lit(0)).cast("bigint")))
 
 
+# Sizes of the time nodes a session is listed under, in base buckets (hour, day, 30 days).
+NODE_SIZES = (720, 24, 1)
+
+
+def _cover(lo: Column, hi: Column, sizes: Sequence[int] = NODE_SIZES) -> Column:
+    """Array of (size, index) nodes that cover ``[lo, hi)`` exactly once, largest first.
+
+    Whole large nodes cover the middle; the two ends go to the next size.
+    An interval of any length has at most a few dozen nodes besides its
+    30-day ones.
+    """
+    size = sizes[0]
+    first, last = F.ceil(lo / size).cast("bigint"), F.floor(hi / size).cast("bigint")
+    whole = first < last
+    mid = F.when(whole, F.transform(F.sequence(first, last - 1), lambda i: F.struct(F.lit(size).alias("size"), i.alias("node")))) \
+        .otherwise(F.array().cast("array<struct<size:int,node:bigint>>"))
+    if len(sizes) == 1:
+        return mid
+    left = _cover(lo, F.when(whole, first * size).otherwise(hi), sizes[1:])
+    right = _cover(F.when(whole, last * size).otherwise(hi), hi, sizes[1:])
+    return F.concat(left, mid, right)
+
+
 def fan_out_as_of(messages: DataFrame, sessions: DataFrame, ts_col: str = "arrival_ts",
                   keys: Sequence[str] = KEYS, bucket_seconds: int = 3600) -> DataFrame:
-    """Sessions live at delivery time, ``sub_start <= ts < sub_end``.
+    """Sessions live at delivery time, ``sub_start <= ts < sub_end``; null ``sub_end`` = still open.
 
-    A range join as an equi join: each session is listed once per time
-    bucket it overlaps, messages join on (keys, bucket) and the exact range
-    test runs on the matches.  A session is in a message's bucket at most
-    once, so no match is duplicated.
+    A range join as an equi join: each session is listed under the time
+    nodes (hours, days, 30 days) that cover it exactly once, a message under
+    its one node of each size; they join on (keys, node) and the exact range
+    test runs on the matches, so no match is duplicated.  An open session
+    reaches to the last message.
     """
     b = bucket_seconds * 1_000_000
+    last = messages.agg(F.max(F.floor(epoch_micros(ts_col) / b)).alias("b")).first()["b"]
     start_b = F.floor(epoch_micros("sub_start") / b).cast("bigint")
-    end_b = F.floor((epoch_micros("sub_end") - 1) / b).cast("bigint")
-    s = (sessions.filter(F.col("sub_end") > F.col("sub_start"))
-                 .select(*keys, "session_id", "sub_start", "sub_end",
-                         F.explode(F.sequence(start_b, end_b)).alias("bucket")))
-    m = messages.withColumn("bucket", F.floor(epoch_micros(ts_col) / b).cast("bigint"))
-    j = m.join(s, list(keys) + ["bucket"])
-    return j.filter((F.col("sub_start") <= F.col(ts_col)) & (F.col(ts_col) < F.col("sub_end"))).drop("bucket")
+    end_b = F.least(F.coalesce(F.floor((epoch_micros("sub_end") - 1) / b).cast("bigint"), F.lit(last)), F.lit(last)) + 1
+    live = (F.col("sub_end").isNull() | (F.col("sub_end") > F.col("sub_start"))) & (start_b < end_b)
+    s = (sessions.filter(live).select(*keys, "session_id", "sub_start", "sub_end", F.explode(_cover(start_b, end_b)).alias("at"))
+                 .select(*keys, "session_id", "sub_start", "sub_end", "at.size", "at.node"))
+    m = messages.withColumn("at", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("size"), F.floor(epoch_micros(ts_col) / (b * n)).cast("bigint").alias("node")) for n in NODE_SIZES])))
+    m = m.withColumns({"size": F.col("at.size"), "node": F.col("at.node")}).drop("at")
+    j = m.join(s, list(keys) + ["size", "node"])
+    return j.filter((F.col("sub_start") <= F.col(ts_col))
+                    & (F.col("sub_end").isNull() | (F.col(ts_col) < F.col("sub_end")))).drop("size", "node")
 
 
-def active_sessions(sessions: DataFrame, opened: str = "sub_start", closed: str = "sub_end",
-                    bucket_seconds: int = 3600) -> DataFrame:
-    """Sessions open at each bucket boundary where the count changes.
+def active_sessions(sessions: DataFrame, opened: str = "sub_start", closed: str = "sub_end") -> DataFrame:
+    """Sessions open at each instant at which one opens or closes.
 
     A session counts at instant ``t`` when ``opened <= t < closed`` (null
-    ``closed`` = still open).  +1 at the first boundary at or after
-    ``opened``, -1 at the first one at or after ``closed``; deltas are
-    summed per boundary and a running sum over the (per-boundary, so
-    bounded by the time span) delta table gives the count.
+    ``closed`` = still open).  Changes are summed per instant, then per hour;
+    a running sum over the hours (bounded by the time span) gives each
+    hour's start, and one within the hour each instant's count.
     """
-    b = bucket_seconds * 1_000_000
-
-    def ceil_b(c):
-        return (-F.floor(-epoch_micros(c) / b)).cast("bigint")
-
-    deltas = sessions.select(
-        F.explode(F.array(
-            F.struct(ceil_b(opened).alias("bucket"), F.lit(1).alias("d")),
-            F.struct(F.when(F.col(closed).isNotNull(), ceil_b(closed)).alias("bucket"),
-                     F.lit(-1).alias("d")))).alias("x")).select("x.*").filter(F.col("bucket").isNotNull())
-    per_bucket = deltas.groupBy("bucket").agg(F.sum("d").alias("delta"))
-    w = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    out = per_bucket.withColumn("active", F.sum("delta").over(w).cast("bigint"))
-    return out.select(F.timestamp_micros(F.col("bucket") * b).cast("timestamp_ntz").alias("change_ts"), "active")
+    changes = sessions.select(F.explode(F.array(
+        F.struct(F.col(opened).alias("change_ts"), F.lit(1).alias("d")),
+        F.struct(F.col(closed).alias("change_ts"), F.lit(-1).alias("d")))).alias("x")) \
+        .select("x.*").filter(F.col("change_ts").isNotNull())
+    instants = changes.groupBy("change_ts").agg(F.sum("d").alias("delta")) \
+        .withColumn("hour", F.floor(epoch_micros("change_ts") / 3_600_000_000).cast("bigint"))
+    hours = instants.groupBy("hour").agg(F.sum("delta").alias("in_hour"))
+    before = Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select("hour", F.coalesce(F.sum("in_hour").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy("hour").orderBy("change_ts").rowsBetween(Window.unboundedPreceding, 0)
+    return instants.join(hours, "hour").select(
+        "change_ts", (F.col("before") + F.sum("delta").over(within)).cast("bigint").alias("active"))
 
 
 def active_at(sessions: DataFrame, t: str, opened: str = "sub_start", closed: str = "sub_end") -> DataFrame:

@@ -75,9 +75,10 @@ def consumer_lag(entries: DataFrame, positions: DataFrame, pending: DataFrame,
                  stream_col: str = "source_stream") -> DataFrame:
     """Per stream lag (entries after the group's last delivered id), else
     pending, else 0; negatives clamp to 0; ``rollup`` adds the total."""
-    # One position row per stream (a handful): broadcast, or the join would
-    # hash every entry into as many partitions as there are streams.
-    lag = (entries.join(F.broadcast(positions), stream_col)
+    # The join has no hint: positions are one row per stream, which adaptive
+    # execution broadcasts by measured size.  A stream without a position
+    # has no lag (null), so its pending entries count.
+    lag = (entries.join(positions.filter(F.col("last_delivered").isNotNull()), stream_col)
                   .groupBy(stream_col)
                   .agg(_n(F.col("message_id") > F.col("last_delivered")).alias("lag")))
     pend = pending.groupBy(stream_col).agg(F.count(F.lit(1)).alias("pending"))
@@ -148,17 +149,22 @@ def exact_percentiles(df: DataFrame, group: Sequence[str], value: str,
 
 
 def slo_report(consumed: DataFrame, ms_col: str = "duration_ms", target: float = 0.99,
-               max_retries: int = dsp.MAX_RETRIES) -> DataFrame:
+               max_retries: int = dsp.MAX_RETRIES, pending: DataFrame | None = None) -> DataFrame:
     """A10: per tenant p50/p90/p95/p99 latency, delivery success rate and
-    pass/fail against the success objective (> 99 %)."""
+    pass/fail against the success objective (> 99 %); with ``pending`` (J06)
+    also the largest backlog of any one stream (``max_lag``)."""
     o = dsp.outcome(consumed, max_retries)
     pct = exact_percentiles(o, ["tenant_id"], ms_col, [0.5, 0.9, 0.95, 0.99])
     rate = o.groupBy("tenant_id").agg(
         F.count(F.lit(1)).alias("messages"),
         F.avg(F.when(F.col("outcome") == dsp.STATUS_DELIVERED, 1.0).otherwise(0.0)).alias("success_rate"),
         F.max(F.col(ms_col)).alias("max_duration_ms"))
-    return (rate.join(pct, "tenant_id")
-                .withColumn("slo_pass", F.col("success_rate") > F.lit(target)))
+    out = rate.join(pct, "tenant_id").withColumn("slo_pass", F.col("success_rate") > F.lit(target))
+    if pending is None:
+        return out
+    lag = (pending.groupBy("tenant_id", "source_stream").agg(F.count(F.lit(1)).alias("n"))
+                  .groupBy("tenant_id").agg(F.max("n").alias("max_lag")))
+    return out.join(lag, "tenant_id", "left").withColumn("max_lag", F.coalesce("max_lag", F.lit(0).cast("bigint")))
 
 
 def correlation_trace(history: DataFrame, key: str = "correlation_id") -> DataFrame:

@@ -5,7 +5,7 @@ rows are ranked only inside their (keys, second); windows over the
 per-second count table (at most 60 rows per minute, 86,400 per day) give
 each second's offset in its minute and each minute's offset in its day; one
 join brings the offsets back.  The global n-th row of an ordered set is
-found day -> minute -> row, each step a small job that returns one row.
+found day -> minute -> second -> millisecond -> row, each step a small job that returns one row.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.functions import epoch_day, epoch_minute, epoch_second
+from sluice.functions import epoch_day, epoch_micros, epoch_minute, epoch_second
 
 
 def add_time_buckets(df: DataFrame, ts_col: str) -> DataFrame:
@@ -114,35 +114,28 @@ def minute_and_day_rank(df: DataFrame, keys: Sequence[str], ts_col: str, id_col:
 def nth_in_order(df: DataFrame, n: int, ts_col: str, id_col: str):
     """``(ts, id)`` of the ``n``-th row of ``df`` by (ts, id), or None if it has fewer rows.
 
-    Three small jobs, each returning one row to the driver: the day that
-    holds the n-th row (running sum over the per-day count table, one row
-    per calendar day), the minute inside that day (at most 1,440 rows), and
-    the row inside that minute.  The later jobs filter on a literal time
-    range, which reaches the parquet scan as a pushed filter.
+    Small jobs, each returning one row to the driver: the day that holds the
+    n-th row, then the minute, the second and the millisecond inside it (a
+    running sum over a count table of at most 1,440, 60 and 1,000 rows), and
+    last the row inside that millisecond.  The later jobs filter on a literal
+    time range, which reaches the parquet scan as a pushed filter.
     """
     if n <= 0:
         return None
-    b = df.select(F.col(ts_col).alias("t"), F.col(id_col).alias("i"))
-    days = b.groupBy(epoch_day("t").alias("d")).agg(F.count(F.lit(1)).alias("c"))
-    # A global window, but over the day table: its size is the time span.
-    days = days.withColumn("cum", F.sum("c").over(
-        Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0)))
-    hit = days.filter(F.col("cum") >= n).orderBy("d").select("d", (F.col("cum") - F.col("c")).alias("before")).first()
-    if hit is None:
-        return None
-    day, before = hit["d"], hit["before"]
-    lo, hi = _bounds(day, 86_400)
-    in_day = b.filter((F.col("t") >= lo) & (F.col("t") < hi))
-    mins = in_day.groupBy(epoch_minute("t").alias("m")).agg(F.count(F.lit(1)).alias("c"))
-    mins = mins.withColumn("cum", F.lit(before) + F.sum("c").over(
-        Window.orderBy("m").rowsBetween(Window.unboundedPreceding, 0)))
-    hit = mins.filter(F.col("cum") >= n).orderBy("m").select("m", (F.col("cum") - F.col("c")).alias("before")).first()
-    minute, before = hit["m"], hit["before"]
-    lo, hi = _bounds(minute, 60)
-    in_min = b.filter((F.col("t") >= lo) & (F.col("t") < hi))
-    row = (in_min.withColumn("m", F.lit(minute))
-                 .withColumn("rn", F.row_number().over(Window.partitionBy("m").orderBy("t", "i")))
-                 .filter(F.col("rn") == n - before).select("t", "i").first())
+    rows = df.select(F.col(ts_col).alias("t"), F.col(id_col).alias("i"))
+    before = 0
+    for micros in (86_400_000_000, 60_000_000, 1_000_000, 1_000):
+        bucket = F.floor(epoch_micros("t") / micros).cast("bigint")
+        counts = rows.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("c"))
+        upto = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)  # over the count table
+        counts = counts.withColumn("cum", F.lit(before) + F.sum("c").over(upto))
+        hit = counts.filter(F.col("cum") >= n).orderBy("b").select("b", (F.col("cum") - F.col("c")).alias("before")).first()
+        if hit is None:
+            return None
+        before = hit["before"]
+        start = dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=hit["b"] * micros)
+        rows = rows.filter((F.col("t") >= ts_literal(start)) & (F.col("t") < ts_literal(start + dt.timedelta(microseconds=micros))))
+    row = rows.orderBy("t", "i").offset(n - before - 1).limit(1).first()
     return (row["t"], row["i"])
 
 
@@ -151,12 +144,6 @@ def ts_literal(value: dt.datetime):
     return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
-def _bounds(bucket: int, seconds: int):
-    """Literal [start, end) timestamps (NTZ, UTC) of an epoch-aligned bucket."""
-    start = dt.datetime(1970, 1, 1) + dt.timedelta(seconds=bucket * seconds)
-    return ts_literal(start), ts_literal(start + dt.timedelta(seconds=seconds))
-
-
 def position_and_previous(df: DataFrame, group: Sequence[str], ts_col: str, id_col: str,
                           carry: Sequence[str]) -> DataFrame:
     """1-based ``step`` of each row in its group by (ts, id), and ``prev_<c>`` of the row before.

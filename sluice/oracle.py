@@ -27,7 +27,7 @@ VIEWS: dict[str, str] = {
          'claim-' || CAST(min(message_id) AS VARCHAR) AS notification_id,
          min(arrival_ts) AS created_ts
   FROM requests
-  WHERE message_id % 17 = 3 AND message_id < 4000 AND idempotency_key IS NOT NULL
+  WHERE message_id % 17 = 3 AND idempotency_key IS NOT NULL
   GROUP BY tenant_id, idempotency_key""",
     "retry_entries": """
   SELECT event_id AS message_id, ts AS entry_ts FROM events WHERE event_type = 'error'""",
@@ -48,7 +48,8 @@ VIEWS: dict[str, str] = {
          CASE WHEN event_id % 4 > 0 THEN (epoch_us(ts) // 1000) + CAST(floor(value * 100) AS BIGINT) END
            AS next_attempt_at_ms,
          CASE WHEN event_id % 4 > 0 THEN 'retry' ELSE 'main' END AS source_stream,
-         CASE WHEN event_id % 4 > 0 THEN event_id - 1 END AS previous_stream_id,
+         CASE WHEN event_id % 4 > 0 THEN CASE WHEN event_id % 43 = 5 THEN event_id + 1000000000000 ELSE event_id - 1 END END
+           AS previous_stream_id,
          CAST(floor(value) AS BIGINT) AS duration_ms
   FROM events""",
     "history": """
@@ -71,10 +72,11 @@ VIEWS: dict[str, str] = {
   SELECT s_suppkey AS session_id,
          'tenant-' || CAST(s_suppkey % 5 AS VARCHAR) AS tenant_id,
          (['view', 'click', 'purchase', 'signup', 'error'])[s_nationkey % 5 + 1] AS channel,
-         TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST((s_suppkey * 7) % 720 AS BIGINT)) AS sub_start,
-         TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST((s_suppkey * 7) % 720 AS BIGINT))
-           + to_hours(CAST(24 + s_nationkey AS BIGINT)) AS sub_end
-  FROM supplier""",
+         CASE WHEN s_suppkey % 10 = 4 THEN hour + INTERVAL 10 MINUTE ELSE hour END AS sub_start,
+         CASE WHEN s_suppkey % 10 = 4 THEN hour + INTERVAL 50 MINUTE
+              WHEN s_suppkey % 10 = 6 THEN hour + INTERVAL 400 DAY
+              WHEN s_suppkey % 10 <> 3 THEN hour + to_hours(CAST(24 + s_nationkey AS BIGINT)) END AS sub_end
+  FROM (SELECT *, TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST((s_suppkey * 7) % 720 AS BIGINT)) AS hour FROM supplier)""",
     "dispatched": """
   SELECT *,
     CASE WHEN failure_reason IS NULL THEN 'delivered'
@@ -96,11 +98,12 @@ VIEWS: dict[str, str] = {
     "acks": """
   SELECT source_stream, message_id FROM reads WHERE message_id % 10 < 7""",
     "group_positions": """
-  SELECT source_stream, max(message_id) * 9 // 10 AS last_delivered FROM consumed GROUP BY source_stream""",
+  SELECT source_stream, CASE WHEN source_stream = 'main' THEN max(message_id) * 9 // 10 END AS last_delivered FROM consumed GROUP BY source_stream""",
     "persisted": """
   SELECT tenant_id, message_id,
          CASE WHEN message_id % 41 = 6 THEN content || '#altered' ELSE content END AS content
-  FROM consumed WHERE message_id % 37 <> 5""",
+  FROM consumed WHERE message_id % 37 <> 5
+  UNION ALL SELECT tenant_id, message_id + 1000000000000, content FROM consumed WHERE message_id % 53 = 7""",
     "releases": """
   SELECT tenant_id, idempotency_key,
          CASE WHEN length(idempotency_key) % 2 = 0 THEN notification_id

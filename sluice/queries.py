@@ -283,7 +283,7 @@ def q_dlq_replay(spark, sf_dir):
 def q_retry_lineage(spark, sf_dir):
     """Each retry entry linked to the entry it came from."""
     return ledger.retry_lineage(fx.consumed(spark, sf_dir)).select(
-        "message_id", "previous_stream_id", "parent_ts", "parent_retry_count", "parent_stream")
+        "message_id", "previous_stream_id", "parent_ts", "parent_retry_count", "parent_stream", "parent_missing")
 
 
 @register("main_retry_union")
@@ -351,7 +351,8 @@ def q_duplicate_audit(spark, sf_dir):
 @register("slo_report")
 def q_slo_report(spark, sf_dir):
     """A10: latency percentiles, success rate and objective per tenant."""
-    return metrics.slo_report(fx.consumed(spark, sf_dir))
+    pend = ledger.pending_entries(fx.reads(spark, sf_dir), fx.acks(spark, sf_dir))
+    return metrics.slo_report(fx.consumed(spark, sf_dir), pending=pend)
 
 
 # ---- F02-F06, F09 -----------------------------------------------------------

@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 # Settings every job relies on.  UTC makes minute/day buckets epoch aligned
 # (the reference buckets by t/60 and t/86400); LAST_WIN gives "last value
@@ -58,14 +60,16 @@ def apply_runtime_conf(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession, sub: str = "") -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    On a cluster ``spark.checkpoint.dir`` names a folder every executor can
-    reach; we only fall back to a fresh temp folder when it is unset, which
-    happens in local tests.
+    ``spark.checkpoint.dir`` names a folder every executor can reach.  Where
+    it is unset a fresh temp folder is taken on a local master only (tests);
+    on any other master that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="sluice-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -83,4 +87,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark, "tables"), f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
+    delete_on_exit(spark, path)
     return spark.read.parquet(path)
+
+
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system remove an intermediate folder when the application ends."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
+def read_if_present(spark: SparkSession, schema: StructType, path: str) -> DataFrame | None:
+    """A Parquet table, or None where the folder does not exist; any other error is raised."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None

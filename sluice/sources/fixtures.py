@@ -17,6 +17,8 @@ from sluice.sources.tables import table
 # Fixed values of the fixture definition (FIXTURES.md part B).
 CHANNELS_BY_NATION = ["view", "click", "purchase", "signup", "error"]
 SESSION_EPOCH = "2024-01-01 00:00:00"
+MISSING_PARENT = 1_000_000_000_000  # offset of previous_stream_id values that no entry has
+ORPHAN_STATE = 1_000_000_000_000  # offset of persisted ids that no entry has
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +56,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prior idempotency claims: one row per (tenant, key)."""
     r = requests(spark, sf_dir)
-    return (r.filter((F.col("message_id") % 17 == 3) & (F.col("message_id") < 4000)
+    return (r.filter((F.col("message_id") % 17 == 3)
                      & F.col("idempotency_key").isNotNull())
              .groupBy("tenant_id", "idempotency_key")
              .agg(F.concat(F.lit("claim-"), F.min("message_id").cast("string")).alias("notification_id"),
@@ -90,7 +92,7 @@ def consumed(spark: SparkSession, sf_dir: str) -> DataFrame:
         seen.alias("seen_ms"),
         F.when(rc > 0, seen + F.floor(F.col("value") * 100).cast("bigint")).alias("next_attempt_at_ms"),
         F.when(rc > 0, F.lit("retry")).otherwise(F.lit("main")).alias("source_stream"),
-        F.when(rc > 0, eid - 1).alias("previous_stream_id"),
+        F.when(rc > 0, F.when(eid % 43 == 5, eid + MISSING_PARENT).otherwise(eid - 1)).alias("previous_stream_id"),
         F.floor(F.col("value")).cast("bigint").alias("duration_ms"),
     )
 
@@ -124,14 +126,18 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     chan = F.element_at(F.array(*[F.lit(c) for c in CHANNELS_BY_NATION]),
                         (F.col("s_nationkey") % 5 + 1).cast("int"))
-    start = (F.lit(SESSION_EPOCH).cast("timestamp_ntz")
-             + F.make_dt_interval(hours=(F.col("s_suppkey") * 7) % 720))
+    kind = F.col("s_suppkey") % 10  # 3 still open, 4 within an hour, 6 longer than a year
+    hour = F.lit(SESSION_EPOCH).cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("s_suppkey") * 7) % 720)
+    start = F.when(kind == 4, hour + F.make_dt_interval(mins=F.lit(10))).otherwise(hour)
+    end = (F.when(kind == 4, hour + F.make_dt_interval(mins=F.lit(50)))
+            .when(kind == 6, hour + F.make_dt_interval(days=F.lit(400)))
+            .when(kind != 3, hour + F.make_dt_interval(hours=F.lit(24) + F.col("s_nationkey"))))
     return s.select(
         F.col("s_suppkey").alias("session_id"),
         _tenant_of(F.col("s_suppkey")).alias("tenant_id"),
         chan.alias("channel"),
         start.alias("sub_start"),
-        (start + F.make_dt_interval(hours=F.lit(24) + F.col("s_nationkey"))).alias("sub_end"),
+        end.alias("sub_end"),
     )
 
 
@@ -152,18 +158,21 @@ def acks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def group_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Last delivered id of the consumer group per stream."""
+    """Last delivered id of the consumer group; the retry stream has none yet."""
     return (consumed(spark, sf_dir).groupBy("source_stream")
-            .agg(F.expr("max(message_id) * 9 div 10").alias("last_delivered")))
+            .agg(F.expr("max(message_id) * 9 div 10").alias("last_delivered"))
+            .withColumn("last_delivered", F.when(F.col("source_stream") == "main", F.col("last_delivered"))))
 
 
 def persisted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Persisted state rows: some missing, some with altered content."""
+    """Persisted state rows: some missing, some with altered content, some without an entry."""
     c = consumed(spark, sf_dir)
-    return (c.filter(F.col("message_id") % 37 != 5)
+    held = (c.filter(F.col("message_id") % 37 != 5)
              .select("tenant_id", "message_id",
                      F.when(F.col("message_id") % 41 == 6, F.concat(F.col("content"), F.lit("#altered")))
                       .otherwise(F.col("content")).alias("content")))
+    orphans = c.filter(F.col("message_id") % 53 == 7).select("tenant_id", (F.col("message_id") + ORPHAN_STATE).alias("message_id"), "content")
+    return held.unionByName(orphans)
 
 
 def releases(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,18 +11,9 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet scan of one given table; Catalyst prunes columns and pushes filters.
 
-    ``spread``: a table that arrives in fewer scan partitions than the
-    session has cores (one small file is one row group, hence one task) is
-    spread round-robin so per-row work runs on every core.  A large table
-    already has at least that many splits and is left alone, so no shuffle
-    is added at scale.  Filters and column pruning still reach the scan.
+    Split size is a session setting (``spark.sql.files.maxPartitionBytes``).
     """
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    if spread:
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores)
-    return df
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

@@ -170,12 +170,12 @@ FROM consumed c""", "consumed", "sessions")
 SQL["fan_out_as_of"] = with_views("""
 SELECT c.message_id, s.session_id, c.arrival_ts
 FROM consumed c JOIN sessions s ON c.tenant_id = s.tenant_id AND c.channel = s.channel
- AND s.sub_start <= c.arrival_ts AND c.arrival_ts < s.sub_end""", "consumed", "sessions")
+ AND s.sub_start <= c.arrival_ts AND (s.sub_end IS NULL OR c.arrival_ts < s.sub_end)""", "consumed", "sessions")
 
 SQL["active_sessions"] = with_views("""
-, pts AS (SELECT sub_start AS change_ts FROM sessions UNION SELECT sub_end FROM sessions)
+, pts AS (SELECT sub_start AS change_ts FROM sessions UNION SELECT sub_end FROM sessions WHERE sub_end IS NOT NULL)
 SELECT change_ts,
-       (SELECT count(*) FROM sessions s WHERE s.sub_start <= pts.change_ts AND s.sub_end > pts.change_ts)
+       (SELECT count(*) FROM sessions s WHERE s.sub_start <= pts.change_ts AND (s.sub_end IS NULL OR s.sub_end > pts.change_ts))
          AS active
 FROM pts""", "sessions")
 
@@ -206,8 +206,9 @@ FROM dead_letters ORDER BY arrival_ts DESC, message_id DESC LIMIT 50""", "dead_l
 
 SQL["retry_lineage"] = with_views("""
 SELECT c.message_id, c.previous_stream_id, p.arrival_ts AS parent_ts, p.retry_count AS parent_retry_count,
-       p.source_stream AS parent_stream
-FROM consumed c JOIN consumed p ON c.previous_stream_id = p.message_id""", "consumed")
+       p.source_stream AS parent_stream, p.message_id IS NULL AS parent_missing
+FROM consumed c LEFT JOIN consumed p ON c.previous_stream_id = p.message_id
+WHERE c.previous_stream_id IS NOT NULL""", "consumed")
 
 SQL["main_retry_union"] = with_views("""
 SELECT message_id, 'main' AS source_stream, retry_count FROM consumed WHERE retry_count = 0
@@ -253,9 +254,12 @@ GROUP BY source_stream""", "consumed", "dead_letters")
 SQL["consumer_lag"] = with_views("""
 , per AS (
   SELECT g.source_stream,
-         greatest(0, coalesce(
+         greatest(0, coalesce(CASE WHEN g.last_delivered IS NOT NULL THEN
            (SELECT count(*) FROM reads r WHERE r.source_stream = g.source_stream
-              AND r.message_id > g.last_delivered), 0)) AS consumer_lag,
+              AND r.message_id > g.last_delivered) END,
+           (SELECT count(*) FROM (SELECT source_stream, message_id FROM reads
+                                  EXCEPT ALL SELECT source_stream, message_id FROM acks) p
+             WHERE p.source_stream = g.source_stream), 0)) AS consumer_lag,
          (SELECT count(*) FROM (SELECT source_stream, message_id FROM reads
                                 EXCEPT ALL SELECT source_stream, message_id FROM acks) p
            WHERE p.source_stream = g.source_stream) AS pending
@@ -286,8 +290,11 @@ SELECT tenant_id, count(*) AS messages,
        max(duration_ms) AS max_duration_ms,
        quantile_cont(duration_ms, 0.5) AS p50, quantile_cont(duration_ms, 0.9) AS p90,
        quantile_cont(duration_ms, 0.95) AS p95, quantile_cont(duration_ms, 0.99) AS p99,
-       avg(CASE WHEN outcome = 'delivered' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) > 0.99 AS slo_pass
-FROM dispatched GROUP BY tenant_id""", "dispatched")
+       avg(CASE WHEN outcome = 'delivered' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) > 0.99 AS slo_pass,
+       (SELECT coalesce(max(n), 0) FROM (SELECT count(*) AS n FROM reads r WHERE r.tenant_id = d.tenant_id
+          AND NOT EXISTS (SELECT 1 FROM acks a WHERE a.source_stream = r.source_stream AND a.message_id = r.message_id)
+          GROUP BY r.source_stream)) AS max_lag
+FROM dispatched d GROUP BY tenant_id""", "dispatched", "reads", "acks")
 
 # Token verdicts by construction (the defect injected per event id).
 _TOKEN_VERDICT = """
