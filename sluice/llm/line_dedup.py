@@ -34,7 +34,8 @@ MIN_WORDS = 8
 _U = np.uint64
 _MULTIPLIERS = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-LINES = "doc_id long, line_no int, n_words int, h1 long, h2 long, half0 long, half1 long, half2 long, half3 long"
+LINES = "doc_id long, line_no int, n_words int, h1 long, h2 long"
+HALVES = ", half0 long, half1 long, half2 long, half3 long"
 REPLACED, GAINED, WHOLE = 0, 1, 2  # what a key says: one word differs, one word more than the whole line, the whole line
 VARIANTS = "k1 long, k2 long, kind int, doc_id long, line_no int"
 
@@ -106,19 +107,21 @@ class LineTable:
         self.h2 = signed(mix(Spans(words.hash, 1).hash(self.lo, self.hi) + salt))
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """All lines with words: their place, number of words, 128-bit hash and keys of their halves."""
+def lines(docs: DataFrame, halves: bool = False) -> DataFrame:
+    """All lines with words: their place, number of words and 128-bit hash, and on request the keys of their halves."""
     ship(docs.sparkSession)
+    schema = LINES + HALVES * halves
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in row_slices(batch.column(1)):
                 t = LineTable(batch.column(1).slice(a, b - a))
+                keys = [pa.array(signed(k)) for k in _half_keys(t.spans, t.lo, t.hi)] if halves else []
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(a + t.row)), pa.array(t.line), pa.array((t.hi - t.lo).astype(np.int32)), pa.array(t.h1), pa.array(t.h2),
-                     *[pa.array(signed(k)) for k in _half_keys(t.spans, t.lo, t.hi)]], [c.split()[0] for c in LINES.split(", ")])
+                     *keys], [c.split()[0] for c in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, LINES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def variants(active: DataFrame) -> DataFrame:
@@ -223,14 +226,15 @@ def near(docs: DataFrame, distinct: DataFrame, min_words: int = MIN_WORDS) -> Da
 
 def judge(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Every line with words: kept, reason (exact, near) and the place of the line that it repeats."""
-    every = stored(lines(docs), "lines")
-    distinct = stored(every.groupBy("h1", "h2").agg(
-        F.min(place()).alias("first"), *[F.max(c).alias(c) for c in ("n_words", "half0", "half1", "half2", "half3")]), "distinct_lines")
+    distinct = stored(lines(docs, halves=True).groupBy("h1", "h2").agg(
+        F.min(place()).alias("first"), F.count(F.lit(1)).alias("copies"),
+        *[F.max(c).alias(c) for c in ("n_words", "half0", "half1", "half2", "half3")]), "distinct_lines")
     keepers = near(docs, distinct, min_words)
-    known = distinct.select("h1", "h2", "first").join(keepers, "first", "left")
-    exact = place() != F.col("first")
+    # Only classes with more than one line, or with a keeper, have something to say; all other lines stay.
+    known = distinct.select("h1", "h2", "first", "copies").join(keepers, "first", "left").where("copies > 1 or keeper is not null").drop("copies")
+    exact = F.coalesce(place() != F.col("first"), F.lit(False))
     keeper = F.when(F.col("keeper").isNotNull(), F.col("keeper")).when(exact, F.col("first"))
-    return every.select("doc_id", "line_no", "n_words", "h1", "h2").join(known, ["h1", "h2"]).select(
+    return lines(docs).join(known, ["h1", "h2"], "left").select(
         "doc_id", "line_no", "n_words", "h1", "h2", keeper.isNull().alias("kept"),
         F.when(exact, F.lit("exact")).when(F.col("keeper").isNotNull(), F.lit("near")).alias("reason"),
         keeper["doc_id"].alias("keeper_doc_id"), keeper["line_no"].alias("keeper_line_no"))
