@@ -124,7 +124,9 @@ def audit_scan(spark, path: str, need_id: bool = True) -> DataFrame:
     from pyspark.errors import AnalysisException
     try:
         lines = spark.read.text(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         lines = spark.createDataFrame([], "value string")
     return audit_parse(lines, need_id)
 

@@ -93,8 +93,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def delete_on_exit(spark: SparkSession, path: str) -> None:
     """Have the file system remove an intermediate folder when the application ends."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    p, fs = _path(spark, path)
+    fs.deleteOnExit(p)
 
 
 def read_if_present(spark: SparkSession, schema: StructType, path: str) -> DataFrame | None:
@@ -105,3 +105,31 @@ def read_if_present(spark: SparkSession, schema: StructType, path: str) -> DataF
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where it does not exist."""
+    p, fs = _path(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
+
+def rename_folder(spark: SparkSession, old: str, new: str) -> bool:
+    """Move a folder to a new name (parents are made); False where it does not exist."""
+    p, fs = _path(spark, old)
+    q, _ = _path(spark, new)
+    if not fs.exists(p):
+        return False
+    fs.mkdirs(q.getParent())
+    if not fs.rename(p, q):
+        raise OSError(f"{old} could not be renamed")
+    return True

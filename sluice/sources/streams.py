@@ -21,8 +21,9 @@ def stream_read(spark: SparkSession, path: str, schema: StructType, max_files_pe
                 fmt: str = "parquet", options: dict | None = None) -> DataFrame:
     """Read an append-only stream as typed rows.
 
-    A new consumer starts at the current end (``latest``) when it has no
-    checkpoint; with a checkpoint it resumes after the last committed batch.
+    Without a checkpoint a Kafka consumer starts at the current end
+    (``latest``) and a folder of files at its oldest file; with a checkpoint
+    either resumes after the last committed batch.
     ``max_files_per_trigger`` (``maxOffsetsPerTrigger`` for Kafka) caps a
     micro-batch the way the dispatcher caps a read at 10 entries.
     """

@@ -541,24 +541,23 @@ SQL["stream_rate_quota"] = admission_sql(2, 40, 0, 0, body="""
 SELECT message_id, tenant_id, rank_in_minute, rate_ok, quota_count, survivor AS quota_ok
 FROM decided WHERE rank_in_minute IS NOT NULL""")
 
-SQL["stream_dedup"] = with_views("""
-SELECT DISTINCT tenant_id, nullif(idempotency_key, '') AS idem_key FROM requests
-WHERE coalesce(length(content), 0) > 0 AND nullif(idempotency_key, '') IS NOT NULL""", "requests")
+SQL["stream_dedup"] = admission_sql(0, 0, 0, 0, body="""
+SELECT message_id, tenant_id, idem_key, claimed, coalesce(NOT claimed, false) AS duplicate,
+       CASE WHEN claimed IS NOT NULL THEN canonical_id END AS canonical_id
+FROM decided WHERE survivor""")
 
 SQL["stream_retry"] = with_views("""
-, main AS (
-  SELECT message_id, tenant_id, simulate_fail, received_ok AND delivered_ok AND push_ok AS side_ok
-  FROM consumed WHERE source_stream = 'main')
-SELECT message_id, tenant_id, 0 AS attempt, 'delivered' AS status FROM main WHERE NOT simulate_fail AND side_ok
-UNION ALL
-SELECT message_id, tenant_id, 1, 'retry_scheduled' FROM main WHERE NOT simulate_fail AND NOT side_ok
-UNION ALL
-SELECT message_id, tenant_id, 1, 'delivered' FROM main WHERE NOT simulate_fail AND NOT side_ok
-UNION ALL
-SELECT message_id, tenant_id, CAST(a AS INTEGER), 'retry_scheduled'
-FROM main, (SELECT unnest(range(1, 4)) AS a) WHERE simulate_fail
-UNION ALL
-SELECT message_id, tenant_id, 4, 'dlq' FROM main WHERE simulate_fail""", "consumed")
+, m AS (
+  SELECT message_id, tenant_id, retry_count AS a, simulate_fail AS p,
+         simulate_fail OR NOT (received_ok AND delivered_ok AND push_ok) AS failed
+  FROM consumed),
+tried AS (
+  SELECT message_id, tenant_id, k, CASE WHEN k = a THEN failed ELSE p END AS failed
+  FROM (SELECT *, unnest(range(a, CASE WHEN NOT failed THEN a WHEN p THEN greatest(a, 3)
+                                       ELSE least(a + 1, greatest(a, 3)) END + 1)) AS k FROM m))
+SELECT message_id, tenant_id, CAST(CASE WHEN failed THEN k + 1 ELSE k END AS INTEGER) AS attempt,
+       CASE WHEN NOT failed THEN 'delivered' WHEN k + 1 > 3 THEN 'dlq' ELSE 'retry_scheduled' END AS status
+FROM tried""", "consumed")
 
 SQL["stream_fan_out"] = SQL["fan_out"]
 
@@ -597,13 +596,25 @@ FROM dispatched""", "dispatched")
 
 SQL["stream_recovery"] = SQL["status_expand"]
 
-SQL["sink_with_fallback"] = SQL["status_expand"].replace(
-    "SELECT message_id, tenant_id, correlation_id, 1 AS step, 'received' AS status, retry_count AS attempt,\n"
-    "       '' AS error\n",
-    "SELECT message_id, tenant_id, correlation_id, 1 AS step, 'received' AS status, retry_count AS attempt,\n"
-    "       '' AS error, 'fallback' AS sink\n").replace(
-    "SELECT message_id, tenant_id, correlation_id, 2, 'delivered', retry_count, ''\n",
-    "SELECT message_id, tenant_id, correlation_id, 2, 'delivered', retry_count, '', 'fallback'\n").replace(
-    "SELECT message_id, tenant_id, correlation_id, 3, outcome, CAST(retry_count + 1 AS INTEGER), failure_reason\n",
-    "SELECT message_id, tenant_id, correlation_id, 3, outcome, CAST(retry_count + 1 AS INTEGER), failure_reason,\n"
-    "       'fallback'\n")
+SQL["sink_with_fallback"] = _dispatch("""
+SELECT message_id, tenant_id, correlation_id, 1 AS step, 'received' AS status, retry_count AS attempt, '' AS error,
+       'primary' AS sink
+FROM outcomes WHERE received_ok
+UNION ALL
+SELECT message_id, tenant_id, correlation_id, 2, 'delivered', retry_count, '', 'primary'
+FROM outcomes WHERE received_ok AND NOT simulate_fail AND delivered_ok
+UNION ALL
+SELECT message_id, tenant_id, correlation_id, 3, outcome, CAST(retry_count + 1 AS INTEGER), failure_reason, 'primary'
+FROM outcomes WHERE outcome <> 'delivered'""")
+
+SQL["stream_audit_table"] = _dispatch("""
+, rows AS (
+  SELECT *, 'received' AS status, retry_count AS attempt, '' AS error FROM outcomes WHERE received_ok
+  UNION ALL
+  SELECT *, 'delivered', retry_count, '' FROM outcomes WHERE received_ok AND NOT simulate_fail AND delivered_ok
+  UNION ALL
+  SELECT *, outcome, CAST(retry_count + 1 AS INTEGER), failure_reason FROM outcomes WHERE outcome <> 'delivered')
+SELECT tenant_id, arrival_ts AS event_time, status AS event_type, CAST(message_id AS VARCHAR) AS notification_id,
+       'channel=' || channel || ',attempt=' || CAST(attempt AS VARCHAR) || ',error=' || error
+         || ',correlation_id=' || correlation_id AS details
+FROM rows""")

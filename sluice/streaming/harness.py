@@ -1,73 +1,83 @@
-"""Feeding a table to a stream in time order, and running a query to the end.
+"""Feeding a table to a stream slice by slice, and running a query to the end.
 
-Used by tests and by the registered streaming queries: a view is written
-as ``n_files`` Parquet files split by time range, in order, under the
-shared checkpoint folder; the stream reads one file per micro-batch.
+A view is written once, by many tasks, into a folder per slice under the
+shared checkpoint folder.  A slice then enters the stream's input folder by
+one rename, and the query runs from its checkpoint until it has taken
+everything; so every slice also resumes the query from its checkpoint.
 """
 
 from __future__ import annotations
 
-import datetime as dt
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from sluice.operators.ordering import ts_literal
-from sluice.session import checkpoint_dir
+from sluice.session import checkpoint_dir, rename_folder
 from sluice.sources.streams import stream_read
 
+ROWS_PER_SLICE = 25_000
+MIN_SLICES = 4
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder."""
     return checkpoint_dir(spark, os.path.join("streams", f"{name}-{uuid.uuid4().hex[:12]}"))
 
 
-def split_to_files(df: DataFrame, ts_col: str, out_dir: str, n_files: int = 5,
-                   flush_row: DataFrame | None = None) -> list[str]:
-    """Append ``df`` to ``out_dir`` as ``n_files`` files of consecutive time ranges.
+def stage_slices(df: DataFrame, ts_col: str, out_dir: str, order: str = "time",
+                 rows_per_slice: int = ROWS_PER_SLICE) -> int:
+    """Write ``df`` as ``out_dir/slice=k``, about ``rows_per_slice`` rows each; returns how many.
 
-    The range bounds come from one aggregate row.  ``flush_row`` (optional)
-    is appended last, as its own file, to move an event-time watermark past
-    everything before it.  Returns the file-group folders in order.
+    ``order="time"``: consecutive time ranges.  ``order="mixed"``: every
+    slice holds rows of all times (late and early ones).
     """
-    bounds = df.agg(F.min(ts_col).alias("lo"), F.max(ts_col).alias("hi")).first()
-    written = []
-    if bounds["lo"] is not None:
-        lo, hi = bounds["lo"], bounds["hi"] + dt.timedelta(microseconds=1)
-        step = (hi - lo) / n_files
-        for k in range(n_files):
-            a = lo + step * k
-            b = hi if k == n_files - 1 else lo + step * (k + 1)
-            part = df.filter((F.col(ts_col) >= ts_literal(a)) & (F.col(ts_col) < ts_literal(b)))
-            sub = os.path.join(out_dir, f"part={k:03d}")
-            part.coalesce(1).write.mode("overwrite").parquet(sub)
-            written.append(sub)
-    if flush_row is not None:
-        sub = os.path.join(out_dir, f"part={n_files:03d}")
-        flush_row.coalesce(1).write.mode("overwrite").parquet(sub)
-        written.append(sub)
-    return written
-
-
-def read_files_stream(spark: SparkSession, in_dir: str, schema, max_files: int = 1) -> DataFrame:
-    """S01 over the split files: one file per micro-batch, oldest first."""
+    t = F.unix_micros(F.col(ts_col).cast("timestamp"))
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.min(t).alias("lo"), F.max(t).alias("hi")).first()
+    if not size["n"]:
+        return 0
+    n = max(MIN_SLICES, -(-size["n"] // rows_per_slice))
+    if order == "time":
+        k = F.floor((t - F.lit(size["lo"])) / F.lit((size["hi"] - size["lo"] + 1) / n))
+    else:
+        k = F.pmod(F.xxhash64(t), F.lit(n))
+    sliced = df.withColumn("slice", F.least(k, F.lit(n - 1)).cast("int"))
+    (sliced.repartition("slice", F.pmod(F.xxhash64(t), F.lit(8)))
+           .write.partitionBy("slice").parquet(out_dir))
+    return n
+
+
+def run_slices(spark: SparkSession, name: str, df: DataFrame, ts_col: str,
+               start: Callable[[DataFrame, str], StreamingQuery], order: str = "time") -> str:
+    """Feed ``df`` to the query that ``start(stream, base)`` starts, slice by slice; returns ``base``."""
+    base = scratch(spark, name)
+    staged, inp = os.path.join(base, "staged"), os.path.join(base, "in")
+    for k in range(stage_slices(df, ts_col, staged, order)):
+        if rename_folder(spark, os.path.join(staged, f"slice={k}"), os.path.join(inp, f"part={k:06d}")):
+            wait(start(read_files_stream(spark, inp, df.schema), base))
+    return base
+
+
+def read_files_stream(spark: SparkSession, in_dir: str, schema, max_files: int = 1000) -> DataFrame:
+    """S01 over the files below ``in_dir``, oldest first."""
     return stream_read(spark, in_dir, schema, max_files, options={"recursiveFileLookup": "true"})
 
 
-def run_to_end(writer, timeout_s: int = 600):
+def run_to_end(writer, timeout_s: float | None = None) -> StreamingQuery:
     """Start a ``DataStreamWriter`` with ``availableNow`` and wait for it to finish."""
     return wait(writer.trigger(availableNow=True).start(), timeout_s)
 
 
-def wait(q, timeout_s: int = 600):
-    """Wait for a started query to finish; re-raise its failure."""
-    try:
-        q.awaitTermination(timeout_s)
-    finally:
-        if q.isActive:
-            q.stop()
+def wait(q: StreamingQuery, timeout_s: float | None = None) -> StreamingQuery:
+    """Wait for a started query to finish; a failure is raised, and so is running out of time."""
+    if timeout_s is None:
+        q.awaitTermination()
+    elif not q.awaitTermination(timeout_s):
+        q.stop()
+        raise TimeoutError(f"the query had not taken all its input after {timeout_s} s")
     if q.exception() is not None:
         raise q.exception()
     return q

@@ -1,68 +1,86 @@
 """Streaming jobs.  Each gives the same answer as its batch operator.
 
-Inputs carry ``event_ts`` (``timestamp``; watermarks reject NTZ) and
-``ts_us`` (epoch micros) next to the batch columns.
+Inputs carry ``event_ts`` (``timestamp``) and ``ts_us`` (epoch micros) next
+to the batch columns.  What a job must remember lives in tables of the
+shared folder under the number of the batch that wrote them, so a batch that
+runs again after a failure replaces its own tables and nothing else.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sluice.operators import dispatch as dsp
 from sluice.operators import fanout
+from sluice.operators.ordering import add_time_buckets
 from sluice.operators.state import newest_per_key
 from sluice.plans.dispatch import dispatch_step
-from sluice.streaming.processors import RETRY_OUTPUT, RetryProcessor
+from sluice.session import delete_folder, list_folder, read_if_present
+
 
 def with_event_time(df: DataFrame, ts_col: str = "arrival_ts") -> DataFrame:
     return df.withColumns({"event_ts": F.col(ts_col).cast("timestamp"),
                            "ts_us": F.unix_micros(F.col(ts_col).cast("timestamp"))})
 
 
+def _newest_batch(spark, path: str, before: int) -> int | None:
+    """Number of the newest ``batch_id=`` folder in ``path`` below ``before``; older ones are removed."""
+    found = sorted(k for n in list_folder(spark, path) if n.startswith("batch_id=") for k in [int(n[9:])] if k < before)
+    for k in found[:-1]:
+        delete_folder(spark, os.path.join(path, f"batch_id={k}"))
+    return found[-1] if found else None
+
+
 def rate_quota_sink(out_path: str, state_path: str, limit_per_minute: int, daily_quota: int,
                     keys=("tenant_id",)):
     """T01 as a ``foreachBatch`` function: W01 + W02 across micro-batches.
 
     Each micro-batch is ranked with the same distributed two-phase plan as
     the batch job, so a hot tenant is never handled by one task.  Counts of
-    earlier batches come from a small state log (per (tenant, minute): rows
-    seen; per (tenant, day): rows passed), written under the batch's own
-    ``batch_id`` so a re-run batch replaces its rows.
+    earlier batches live in ``state_path/bucket_day=<d>/batch_id=<k>``: after
+    batch k, the day's rows seen per (tenant, minute) and rows passed per
+    tenant.  A batch reads the newest earlier table of its own days only and
+    writes that day's new one, so its cost does not depend on how many batches
+    came before; a re-run batch replaces its tables.  Older tables of a day
+    are removed, keeping the one a re-run would read.
     """
-    from pyspark.errors import AnalysisException
-
     from sluice.operators.admission import rate_and_quota
 
     keys = list(keys)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select(*keys, "message_id", "arrival_ts").withColumn("eligible", F.lit(True)).persist()
+        rows = add_time_buckets(batch.select(*keys, "message_id", "arrival_ts"), "arrival_ts") \
+            .withColumn("eligible", F.lit(True)).persist()
         try:
-            prior_minute = prior_day = None
-            try:
-                # Earlier batches only (a re-run batch ignores its own old rows).
-                # The counts are joined on this batch's minutes and days, so
-                # older entries never match; compact_rate_state drops them.
-                st = spark.read.parquet(state_path).filter(F.col("batch_id") < batch_id)
-                prior_minute = (st.filter(F.col("kind") == "minute").groupBy(*keys, "bucket_min")
-                                  .agg(F.sum("n").alias("seen")))
-                prior_day = (st.filter(F.col("kind") == "day").groupBy(*keys, "bucket_day")
-                               .agg(F.sum("n").alias("passed")))
-            except AnalysisException:  # first batch: no state yet
-                pass
-            ranked = rate_and_quota(rows, limit_per_minute, daily_quota, "eligible", keys,
-                                    prior_minute, prior_day).persist()
+            days = [r["bucket_day"] for r in rows.select("bucket_day").distinct().collect()]  # days of one batch
+            folders = {d: os.path.join(state_path, f"bucket_day={d}") for d in days}
+            newest = {d: _newest_batch(spark, path, batch_id) for d, path in folders.items()}
+            held = [os.path.join(folders[d], f"batch_id={k}") for d, k in newest.items() if k is not None]
+            prior = spark.read.parquet(*held) if held else None
+            by_minute = by_day = None
+            if prior is not None:
+                by_minute = prior.filter("kind = 'minute'").select(*keys, "bucket_min", F.col("n").alias("seen"))
+                by_day = prior.filter("kind = 'day'").select(*keys, F.col("day").alias("bucket_day"), F.col("n").alias("passed"))
+            ranked = rate_and_quota(rows, limit_per_minute, daily_quota, "eligible", keys, by_minute, by_day).persist()
             _overwrite_batch(ranked.select("message_id", *keys, "rank_in_minute", "rate_ok", "quota_count",
                                            "quota_ok"), out_path, batch_id)
-            seen = (ranked.groupBy(*keys, "bucket_day", "bucket_min").agg(F.count(F.lit(1)).alias("n"))
+            seen = (ranked.groupBy(*keys, F.col("bucket_day").alias("day"), "bucket_min").agg(F.count(F.lit(1)).alias("n"))
                           .withColumn("kind", F.lit("minute")))
-            passed = (ranked.filter("rate_ok").groupBy(*keys, "bucket_day").agg(F.count(F.lit(1)).alias("n"))
+            passed = (ranked.filter("rate_ok").groupBy(*keys, F.col("bucket_day").alias("day")).agg(F.count(F.lit(1)).alias("n"))
                             .withColumns({"kind": F.lit("day"), "bucket_min": F.lit(None).cast("bigint")}))
-            _overwrite_batch(seen.unionByName(passed), state_path, batch_id)
+            now = seen.unionByName(passed)
+            if prior is not None:
+                now = now.unionByName(prior)
+            now = now.groupBy(*keys, "day", "bucket_min", "kind").agg(F.sum("n").alias("n"))
+            (now.withColumns({"bucket_day": F.col("day"), "batch_id": F.lit(batch_id)})
+                .repartition("bucket_day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                .partitionBy("bucket_day", "batch_id").parquet(state_path))
             ranked.unpersist()
         finally:
             rows.unpersist()
@@ -70,63 +88,146 @@ def rate_quota_sink(out_path: str, state_path: str, limit_per_minute: int, daily
     return run
 
 
-def compact_rate_state(spark, state_path: str, out_path: str, newest_day: int, keep_days: int = 2) -> None:
-    """Batch job: fold the T01 state log into one table of the last ``keep_days``
-    days (the service lets its counters expire after two days)."""
-    st = spark.read.parquet(state_path).filter(F.col("bucket_day") > newest_day - keep_days)
-    (st.groupBy("kind", "tenant_id", "bucket_day", "bucket_min").agg(F.sum("n").alias("n"))
-       .write.mode("overwrite").parquet(out_path))
+CLAIM_SCHEMA = "tenant_id string, idempotency_key string, notification_id string, created_ts timestamp_ntz"
 
 
-def stream_dedup(stream: DataFrame, horizon: str = "2 days") -> DataFrame:
-    """First request per (tenant, key) within the watermark horizon.
+def dedup_sink(out_path: str, claims_path: str, prior: Callable[[], DataFrame] | None = None):
+    """T02 as a ``foreachBatch`` function: J04 against a lasting claim table.
 
-    Which of several same-key rows inside one micro-batch survives is not
-    defined by Spark; the set of keys is.  The reference never expires a
-    claim; the horizon bounds the state (keys here contain the date).
+    Every request of the batch gets its verdict: the first of a key within
+    the batch, by (ts, id), claims it unless the key is on file (``prior``,
+    or a claim of an earlier batch), which never expires; rows without a key
+    pass.  New claims are written under the batch's own folder.
     """
-    return (stream.filter(F.col("idem_key").isNotNull())
-                  .withWatermark("event_ts", horizon)
-                  .dropDuplicatesWithinWatermark(["tenant_id", "idem_key"]))
+    from sluice.operators.admission import idempotency_claim
 
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.withColumn("eligible", F.lit(True)).persist()
+        try:
+            schema = StructType.fromDDL(CLAIM_SCHEMA + ", batch_id int")
+            held = read_if_present(spark, schema, claims_path)
+            claims = None if held is None else held.filter(F.col("batch_id") < batch_id).drop("batch_id")
+            if prior is not None:
+                first = prior().select("tenant_id", "idempotency_key", "notification_id", "created_ts")
+                claims = first if claims is None else claims.unionByName(first)
+            decided = idempotency_claim(rows, claims).persist()
+            _overwrite_batch(decided.select("message_id", "tenant_id", "idem_key", "claimed", "duplicate", "canonical_id"), out_path, batch_id)
+            _overwrite_batch(decided.filter("claimed").select(
+                "tenant_id", F.col("idem_key").alias("idempotency_key"), F.col("correlation_id").alias("notification_id"),
+                F.col("arrival_ts").cast("timestamp_ntz").alias("created_ts")), claims_path, batch_id)
+            decided.unpersist()
+        finally:
+            rows.unpersist()
+
+    return run
 
-def stream_retry(stream: DataFrame, max_retries: int = dsp.MAX_RETRIES, base_ms: int = dsp.BASE_BACKOFF_MS,
-                 max_ms: int = dsp.MAX_BACKOFF_MS) -> DataFrame:
-    """Wait the backoff, try again, dead-letter after ``max_retries`` (event-time timers).
 
-    Messages whose first attempt succeeds need no state: they take a
-    stateless branch, and only failing messages enter the keyed operator.
+PENDING_SCHEMA = "message_id long, tenant_id string, attempt int, now_ms long, failed boolean, persistent boolean, clock_ms long"
+
+
+def retry_sink(out_path: str, pending_path: str, max_retries: int = dsp.MAX_RETRIES,
+               base_ms: int = dsp.BASE_BACKOFF_MS, max_ms: int = dsp.MAX_BACKOFF_MS):
+    """T03 as a ``foreachBatch`` function: wait the backoff, try again, dead-letter after ``max_retries``.
+
+    Time is the newest ``seen_ms`` of any batch so far.  A message is tried
+    when it is read, whenever that is (rows out of order are not late);
+    attempts that fall due by that time follow at once, and one that is not
+    due yet waits in ``pending_path/batch_id=<k>``, the whole set of waiting
+    messages after batch k.  A simulated failure persists across attempts; a
+    failed side effect (store or push) fails only the attempt it happened in.
     """
-    side_ok = (F.coalesce(F.col("received_ok"), F.lit(True)) & F.coalesce(F.col("delivered_ok"), F.lit(True))
-               & F.coalesce(F.col("push_ok"), F.lit(True)))
-    ok_now = side_ok & ~F.coalesce(F.col("simulate_fail"), F.lit(False)) & (F.col("message_id") >= 0)
-    delivered = stream.filter(ok_now).select(
-        "message_id", "tenant_id", F.coalesce(F.col("retry_count"), F.lit(0)).cast("int").alias("attempt"),
-        F.lit(dsp.STATUS_DELIVERED).alias("status"), F.col("seen_ms").alias("at_ms"))
-    cols = ["message_id", "tenant_id", "retry_count", "simulate_fail", "received_ok", "delivered_ok",
-            "push_ok", "seen_ms", "event_ts"]
-    retried = (stream.filter(~ok_now).select(*cols).withWatermark("event_ts", "0 seconds")
-                     .groupBy("message_id")
-                     .transformWithState(RetryProcessor(max_retries, base_ms, max_ms), RETRY_OUTPUT,
-                                         "Append", "EventTime"))
-    return retried.unionByName(delivered)
-
-
-def stream_fan_out(stream: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Stream-static join; the session table is re-read every micro-batch."""
-    return fanout.fan_out(stream, sessions)
-
-
-def stream_usage_windows(stream: DataFrame, lateness: str = "2 minutes") -> DataFrame:
-    """Tumbling one-minute request counts per tenant (append mode).
-
-    A window is emitted once the watermark passes its end, so the input
-    needs a final flush row to close the last windows.
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        side_ok = (F.coalesce(F.col("received_ok"), F.lit(True)) & F.coalesce(F.col("delivered_ok"), F.lit(True))
+                   & F.coalesce(F.col("push_ok"), F.lit(True)))
+        persistent = F.coalesce(F.col("simulate_fail"), F.lit(False))
+        new = batch.select("message_id", "tenant_id", F.coalesce("retry_count", F.lit(0)).cast("int").alias("attempt"),
+                           F.col("seen_ms").alias("now_ms"), (persistent | ~side_ok).alias("failed"), persistent.alias("persistent"))
+        step(spark, new, batch_id)
+
+    def step(spark, new: DataFrame | None, batch_id: int, drain: bool = False) -> None:
+        newest = _newest_batch(spark, pending_path, batch_id)
+        waiting = (spark.read.schema(PENDING_SCHEMA).parquet(os.path.join(pending_path, f"batch_id={newest}"))
+                   if newest is not None else spark.createDataFrame([], PENDING_SCHEMA))
+        times = waiting.agg(F.max("clock_ms").alias("t"))
+        if new is not None:
+            times = times.unionByName(new.agg(F.max("now_ms").alias("t")))
+        clock = times.agg(F.max("t")).first()[0] or 0  # one row
+        until = F.lit(2 ** 62 if drain else clock).cast("bigint")
+        rows = waiting.filter("message_id is not null").drop("clock_ms")
+        if new is not None:
+            rows = rows.unionByName(new.withColumn("fresh", F.lit(True)), allowMissingColumns=True)
+        else:
+            rows = rows.withColumn("fresh", F.lit(False))
+        due = F.coalesce("fresh", F.lit(False)) | (F.col("now_ms") <= until)
+        # Attempts that can follow: one struct per attempt with its time and whether it fails.
+        wait_of = lambda a: F.greatest(F.lit(1), F.least(F.lit(max_ms), F.lit(base_ms) * F.pow(F.lit(2.0), F.greatest(F.lit(0), F.least(a, F.lit(20)))))).cast("bigint")
+        last = F.greatest("attempt", F.when(F.col("failed"), F.when(F.col("persistent"), F.lit(max_retries)).otherwise(
+            F.least(F.col("attempt") + 1, F.greatest("attempt", F.lit(max_retries))))).otherwise(F.col("attempt")))
+        tries = F.transform(F.sequence("attempt", last), lambda a: F.struct(
+            a.alias("attempt"),
+            (F.col("now_ms") + F.when(a > F.col("attempt"), F.aggregate(
+                F.sequence(F.col("attempt"), F.greatest(a - 1, F.col("attempt"))), F.lit(0).cast("bigint"), lambda t, k: t + wait_of(k))).otherwise(F.lit(0))).alias("at_ms"),
+            F.when(a == F.col("attempt"), F.col("failed")).otherwise(F.col("persistent")).alias("failed")))
+        work = rows.withColumns({"due": due, "tries": tries})
+        done = work.filter("due").withColumn("t", F.explode(F.filter("tries", lambda t: (t["attempt"] == F.col("attempt")) | (t["at_ms"] <= until))))
+        over = F.col("t.attempt") + 1 > max_retries
+        status = F.when(~F.col("t.failed"), F.lit(dsp.STATUS_DELIVERED)).when(over, F.lit(dsp.STATUS_DLQ)).otherwise(F.lit(dsp.STATUS_RETRY))
+        _overwrite_batch(done.select("message_id", "tenant_id", F.when(F.col("t.failed"), F.col("t.attempt") + 1).otherwise(F.col("t.attempt")).alias("attempt"),
+                                     status.alias("status"), F.col("t.at_ms").alias("at_ms")), out_path, batch_id)
+        ahead = F.filter("tries", lambda t: (t["attempt"] > F.col("attempt")) & (t["at_ms"] > until))
+        later = work.filter("due").withColumn("t", F.try_element_at(ahead, F.lit(1))).filter("t is not null").select(
+            "message_id", "tenant_id", F.col("t.attempt").alias("attempt"), F.col("t.at_ms").alias("now_ms"), F.col("t.failed").alias("failed"), "persistent")
+        still = work.filter("not due").select("message_id", "tenant_id", "attempt", "now_ms", "failed", "persistent")
+        mark = spark.range(1).select(F.lit(None).cast("bigint").alias("message_id"), F.lit(None).cast("string").alias("tenant_id"), F.lit(0).alias("attempt"),
+                                     F.lit(0).cast("bigint").alias("now_ms"), F.lit(False).alias("failed"), F.lit(False).alias("persistent"))
+        _overwrite_batch(later.unionByName(still).unionByName(mark).withColumn("clock_ms", F.lit(clock).cast("bigint")), pending_path, batch_id)
+
+    def drain(spark, batch_id: int) -> None:
+        """After the stream has ended: the attempts that still wait take place in their turn."""
+        step(spark, None, batch_id, drain=True)
+
+    run.drain = drain
+    return run
+
+
+def fan_out_sink(out_path: str, sessions: Callable[[], DataFrame]):
+    """T08 as a ``foreachBatch`` function: ``sessions()`` is read anew for every micro-batch."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        _overwrite_batch(fanout.fan_out(batch, sessions()), out_path, batch_id)
+
+    return run
+
+
+def usage_sink(counts_path: str, clock_path: str, lateness_ms: int = 120_000):
+    """T09 as a ``foreachBatch`` function: one-minute request counts per tenant.
+
+    A row more than ``lateness_ms`` older than the newest row of earlier
+    batches is late.  Late rows are counted beside the others and enter the
+    totals, so none is lost; :func:`read_usage` sums the batches' counts.
     """
-    return (stream.withWatermark("event_ts", lateness)
-                  .groupBy("tenant_id", F.window("event_ts", "1 minute").alias("w"))
-                  .agg(F.count(F.lit(1)).alias("seen"))
-                  .select("tenant_id", F.col("w.start").cast("timestamp_ntz").alias("minute_start"), "seen"))
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        newest = _newest_batch(spark, clock_path, batch_id)
+        held = None if newest is None else spark.read.parquet(os.path.join(clock_path, f"batch_id={newest}")).first()["clock_us"]
+        late = F.lit(False) if held is None else F.col("ts_us") < F.lit(held - lateness_ms * 1000)
+        counts = (batch.withColumn("late", late).groupBy("tenant_id", F.window("event_ts", "1 minute").alias("w"))
+                       .agg(F.count(F.lit(1)).alias("seen"), F.count_if("late").alias("late"))
+                       .select("tenant_id", F.col("w.start").cast("timestamp_ntz").alias("minute_start"), "seen", "late"))
+        _overwrite_batch(counts, counts_path, batch_id)
+        clock = batch.agg(F.max("ts_us").alias("clock_us"))
+        if held is not None:
+            clock = clock.select(F.greatest(F.coalesce("clock_us", F.lit(held)), F.lit(held)).alias("clock_us"))
+        _overwrite_batch(clock, clock_path, batch_id)
+
+    return run
+
+
+def read_usage(spark, counts_path: str) -> DataFrame:
+    """Totals of the windows, late rows included."""
+    return (spark.read.parquet(counts_path).groupBy("tenant_id", "minute_start")
+                 .agg(F.sum("seen").cast("bigint").alias("seen"), F.sum("late").cast("bigint").alias("late")))
 
 
 def _overwrite_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -134,24 +235,39 @@ def _overwrite_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
 
 
-def status_fan_write(paths: dict, max_retries: int = dsp.MAX_RETRIES, fallback: dict | None = None):
+def storage_error(spark, e: Exception) -> bool:
+    """Whether a write failed in the storage layer (an I/O error somewhere in the chain of causes)."""
+    from py4j.java_gateway import is_instance_of
+    t = getattr(e, "java_exception", None) or getattr(e, "_origin", None)
+    while t is not None:
+        if is_instance_of(spark.sparkContext._gateway, t, "java.io.IOException"):
+            return True
+        t = t.getCause()
+    return False
+
+
+def status_fan_write(paths: dict, max_retries: int = dsp.MAX_RETRIES, fallback: dict | None = None,
+                     snapshot_path: str | None = None, compact_every: int = 20):
     """S05 / T04 / T05 / T10 as one ``foreachBatch`` function.
 
     Per micro-batch, over one persisted batch: the dispatcher pass (C02);
     status rows appended to ``history``; the newest status per (tenant,
     message) appended to the ``state`` log (:func:`read_state` merges);
-    audit lines appended; dead letters and retries appended; per-batch
-    counters appended to ``metrics``.  Every write goes to the batch's own
-    ``batch_id`` folder, so a re-run batch leaves the same tables.  ``fallback`` maps a table to a second path used when the first
-    write fails (S07).
+    audit lines, and rows of the ``audit_table`` if there is one; dead
+    letters and retries appended; per-batch counters appended to ``metrics``.
+    Every write goes to the batch's own ``batch_id`` folder, so a re-run batch
+    leaves the same tables.  ``fallback`` maps a table to a second path used
+    when storage refuses the first (S07); every table says in ``sink`` which
+    took the row.  With ``snapshot_path`` the state log is folded every
+    ``compact_every`` batches.
     """
     from sluice.operators import records, metrics as mt
 
     def write(name: str, df: DataFrame, batch_id: int) -> None:
         try:
-            _overwrite_batch(df, paths[name], batch_id)
-        except Exception:
-            if not fallback or name not in fallback:
+            _overwrite_batch(df.withColumn("sink", F.lit("primary")), paths[name], batch_id)
+        except Exception as e:
+            if not fallback or name not in fallback or not storage_error(df.sparkSession, e):
                 raise
             _overwrite_batch(df.withColumn("sink", F.lit("fallback")), fallback[name], batch_id)
 
@@ -160,17 +276,22 @@ def status_fan_write(paths: dict, max_retries: int = dsp.MAX_RETRIES, fallback:
         try:
             frames = dispatch_step(batch, max_retries)
             status = frames.status_rows.withColumn("batch_id", F.lit(batch_id))
+            record = F.struct(F.col("tenant_id"), F.col("message_id").cast("string").alias("notification_id"),
+                              "user_id", "channel", "content", "correlation_id", "status", "attempt", "error")
             write("history", status, batch_id)
-            write("audit", status.select(records.audit_line(
-                status, "arrival_ts",
-                F.struct(F.col("tenant_id"), F.col("message_id").cast("string").alias("notification_id"),
-                         "user_id", "channel", "content", "correlation_id", "status", "attempt", "error")
-            ).alias("value")), batch_id)
+            write("audit", status.select(records.audit_line(status, "arrival_ts", record).alias("value")), batch_id)
+            if "audit_table" in paths:
+                named = status.withColumn("notification_id", F.col("message_id").cast("string"))
+                write("audit_table", named.select(
+                    "tenant_id", F.col("arrival_ts").alias("event_time"), F.col("status").alias("event_type"), "notification_id",
+                    records.audit_details(named).alias("details")), batch_id)
             write("dlq", frames.dead_letters, batch_id)
             write("retry", frames.retries, batch_id)
             write("metrics", mt.dispatch_counters(batch).filter("is_total").drop("tenant_id", "is_total")
                   .withColumn("batch_id", F.lit(batch_id)), batch_id)
             append_state_delta(status, paths["state"], batch_id)
+            if snapshot_path and batch_id % compact_every == compact_every - 1:
+                compact_state(batch.sparkSession, paths["state"], snapshot_path)
         finally:
             batch.unpersist()
 
@@ -191,28 +312,40 @@ def append_state_delta(status: DataFrame, state_path: str, batch_id: int) -> Non
     _overwrite_batch(latest, state_path, batch_id)
 
 
+def _numbers(spark, path: str, prefix: str) -> list[int]:
+    return sorted(int(n[len(prefix):]) for n in list_folder(spark, path) if n.startswith(prefix))
+
+
 def read_state(spark, state_path: str, snapshot_path: str | None = None) -> DataFrame:
-    """Latest state: newest row per key over the snapshot and every delta.
+    """Latest state: newest row per key over the newest snapshot and the deltas after it.
 
     ``row_number() = 1`` per key is planned as ``WindowGroupLimit``: each map
     task keeps one row per key before the shuffle.
     """
-    deltas = spark.read.parquet(state_path)
-    if snapshot_path:
-        try:
-            deltas = spark.read.parquet(snapshot_path).unionByName(deltas)
-        except Exception:  # no snapshot written yet
-            pass
-    return newest_per_key(deltas, list(STATE_KEYS), ["batch_id", "step"], 1)
+    upto = _numbers(spark, snapshot_path, "upto=")[-1:] if snapshot_path else []
+    newer = [k for k in _numbers(spark, state_path, "batch_id=") if not upto or k > upto[0]]
+    tables = [spark.read.option("basePath", state_path).parquet(*[os.path.join(state_path, f"batch_id={k}") for k in newer])] if newer else []
+    if upto:
+        tables.append(spark.read.parquet(os.path.join(snapshot_path, f"upto={upto[0]}")))
+    both = tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1])
+    return newest_per_key(both, list(STATE_KEYS), ["batch_id", "step"], 1)
 
 
 def compact_state(spark, state_path: str, snapshot_path: str) -> None:
-    """Batch job: write the current state as a new snapshot folder.
+    """Fold the state log: write ``snapshot_path/upto=<k>``, then remove the deltas up to k and older snapshots.
 
-    Callers then read ``snapshot + deltas newer than it``; the snapshot keeps
-    ``batch_id`` so the newest-wins order is unchanged.
+    The newest delta stays for a re-run of its batch; it is at or below k, so
+    it is not read.  The snapshot keeps ``batch_id``, so the order is unchanged.
     """
-    read_state(spark, state_path, None).write.mode("overwrite").parquet(snapshot_path)
+    batches = _numbers(spark, state_path, "batch_id=")
+    upto = _numbers(spark, snapshot_path, "upto=")
+    if not batches or upto and batches[-1] <= upto[-1]:
+        return
+    read_state(spark, state_path, snapshot_path).write.mode("overwrite").parquet(os.path.join(snapshot_path, f"upto={batches[-1]}"))
+    for k in batches[:-1]:
+        delete_folder(spark, os.path.join(state_path, f"batch_id={k}"))
+    for k in upto:
+        delete_folder(spark, os.path.join(snapshot_path, f"upto={k}"))
 
 
 def observe_dispatch(stream: DataFrame, name: str = "dispatch_metrics",
@@ -266,16 +399,3 @@ def metrics_collector(name: str = "dispatch_metrics"):
             return {k: sum(b[k] for b in last.values()) for k in keys}
 
     return MetricsCollector()
-
-
-def late_rows(query) -> int:
-    """Rows a finished or running query dropped as later than its watermark.
-
-    Summed over the progress reports of every stateful operator
-    (``numRowsDroppedByWatermark``), the count of the late path.
-    """
-    total = 0
-    for p in query.recentProgress:
-        for op in p.stateOperators or []:
-            total += op.numRowsDroppedByWatermark or 0
-    return total

@@ -1,9 +1,8 @@
 """Registered streaming queries.
 
-Each writes its input view as five time-ordered files under the shared
-checkpoint folder, runs the stream with ``availableNow`` (one file per
-micro-batch) to the end, and returns the sink read back, so it can be
-compared with the batch answer of the same operator.
+Each feeds its input view slice by slice (see :mod:`sluice.streaming.harness`)
+to a query that resumes from its checkpoint for every slice, and returns the
+tables it has written, so it can be compared with the batch answer.
 """
 
 from __future__ import annotations
@@ -16,152 +15,123 @@ from pyspark.sql import functions as F
 from sluice.operators import admission as adm
 from sluice.registry import register
 from sluice.sources import fixtures as fx
-from sluice.streaming import jobs
 from sluice.sources.streams import stream_append
-from sluice.streaming.harness import read_files_stream, run_to_end, scratch, split_to_files, wait
+from sluice.streaming import jobs
+from sluice.streaming.harness import run_slices
 
-FLUSH_TENANT = "__flush__"
+DISPATCH_TABLES = ("history", "audit", "audit_table", "dlq", "retry", "metrics", "state")
 
 
-def _flush_row(df: DataFrame) -> DataFrame:
-    """One row one day after the last one, to push the watermark past all data."""
-    last = df.orderBy(F.col("arrival_ts").desc(), F.col("message_id").desc()).limit(1)
-    return jobs.with_event_time(
-        last.withColumns({"message_id": F.lit(-1).cast("bigint"), "tenant_id": F.lit(FLUSH_TENANT),
-                          "arrival_ts": F.col("arrival_ts") + F.expr("INTERVAL 1 DAY")})
-            .drop("event_ts", "ts_us"))
+def each_batch(sink):
+    """A ``start`` function for :func:`run_slices` around a ``foreachBatch`` sink made for the run's folder."""
+    made: dict = {}
 
+    def start(stream: DataFrame, base: str):
+        made.setdefault("sink", sink(base))
+        return (stream.writeStream.foreachBatch(made["sink"]).trigger(availableNow=True)
+                .option("checkpointLocation", os.path.join(base, "checkpoint")).start())
 
-def feed(spark: SparkSession, name: str, df: DataFrame, flush: bool = False, n_files: int = 5):
-    """Write ``df`` (with event-time columns) as stream input; return (base dir, stream)."""
-    df = jobs.with_event_time(df)
-    base = scratch(spark, name)
-    inp = os.path.join(base, "in")
-    split_to_files(df, "arrival_ts", inp, n_files, _flush_row(df) if flush else None)
-    return base, read_files_stream(spark, inp, df.schema)
+    start.made = made
+    return start
 
 
-def to_parquet(stream: DataFrame, base: str) -> DataFrame:
-    """Append the stream to a Parquet sink, run it to the end, read the sink."""
-    out, ck = os.path.join(base, "out"), os.path.join(base, "checkpoint")
-    wait(stream_append(stream, out, ck, {"availableNow": True}))
-    return stream.sparkSession.read.parquet(out)
+def _append(stream: DataFrame, base: str):
+    return stream_append(stream, os.path.join(base, "out"), os.path.join(base, "checkpoint"), {"availableNow": True})
 
 
 def _eligible(spark, sf_dir):
     df = adm.content_required(adm.normalise_request(fx.requests(spark, sf_dir)))
-    return df.filter(F.col("content_ok") & F.col("tenant_id").isNotNull())
+    return jobs.with_event_time(df.filter(F.col("content_ok") & F.col("tenant_id").isNotNull()))
+
+
+def batches_in(base: str) -> int:
+    """A batch number after every batch of a run (batches are numbered from 0, one or more for each slice)."""
+    offsets = os.path.join(base, "checkpoint", "commits")
+    return 1 + max(int(n) for n in jobs.list_folder(SparkSession.active(), offsets) if n.isdigit())
 
 
 @register("stream_read")
 def q_stream_read(spark, sf_dir):
-    """S01 + S04: read the consumed stream file by file and append it to a sink."""
-    base, s = feed(spark, "read", fx.consumed(spark, sf_dir))
-    return to_parquet(s, base).select("message_id", "source_stream", "retry_count", "arrival_ts")
+    """S01 + S04: read the consumed stream slice by slice and append it to a sink."""
+    base = run_slices(spark, "read", fx.consumed(spark, sf_dir), "arrival_ts", _append)
+    return spark.read.parquet(os.path.join(base, "out")).select("message_id", "source_stream", "retry_count", "arrival_ts")
 
 
 @register("stream_rate_quota")
 def q_stream_rate_quota(spark, sf_dir):
     """Rate limit (2/minute) and daily quota (40) carried across micro-batches."""
-    base, s = feed(spark, "rate-quota", _eligible(spark, sf_dir))
-    out, state = os.path.join(base, "out"), os.path.join(base, "state")
-    run_to_end(s.writeStream.foreachBatch(jobs.rate_quota_sink(out, state, 2, 40))
-               .option("checkpointLocation", os.path.join(base, "checkpoint")))
-    return spark.read.parquet(out).select("message_id", "tenant_id", "rank_in_minute", "rate_ok",
-                                          "quota_count", "quota_ok")
+    start = each_batch(lambda base: jobs.rate_quota_sink(os.path.join(base, "out"), os.path.join(base, "quota"), 2, 40))
+    base = run_slices(spark, "rate-quota", _eligible(spark, sf_dir), "arrival_ts", start)
+    return spark.read.parquet(os.path.join(base, "out")).select("message_id", "tenant_id", "rank_in_minute", "rate_ok",
+                                                                "quota_count", "quota_ok")
 
 
 @register("stream_dedup")
 def q_stream_dedup(spark, sf_dir):
-    """Keys admitted by streaming first-wins deduplication."""
-    base, s = feed(spark, "dedup", _eligible(spark, sf_dir))
-    return to_parquet(jobs.stream_dedup(s), base).select("tenant_id", "idem_key")
+    """Every request's claim verdict against claims on file and those of earlier batches."""
+    start = each_batch(lambda base: jobs.dedup_sink(os.path.join(base, "out"), os.path.join(base, "claims"),
+                                                    lambda: fx.claims(spark, sf_dir)))
+    base = run_slices(spark, "dedup", _eligible(spark, sf_dir), "arrival_ts", start)
+    return spark.read.parquet(os.path.join(base, "out")).select("message_id", "tenant_id", "idem_key", "claimed", "duplicate", "canonical_id")
 
 
 @register("stream_retry")
 def q_stream_retry(spark, sf_dir):
-    """Attempts of every main-stream message until delivered or dead-lettered."""
-    main = fx.consumed(spark, sf_dir).filter(F.col("source_stream") == "main")
-    base, s = feed(spark, "retry", main, flush=True)
-    return to_parquet(jobs.stream_retry(s), base).select("message_id", "tenant_id", "attempt", "status")
+    """Attempts of every message, read in mixed order, until delivered or dead-lettered."""
+    start = each_batch(lambda base: jobs.retry_sink(os.path.join(base, "out"), os.path.join(base, "pending")))
+    base = run_slices(spark, "retry", fx.consumed(spark, sf_dir), "arrival_ts", start, order="mixed")
+    start.made["sink"].drain(spark, batches_in(base))
+    return spark.read.parquet(os.path.join(base, "out")).select("message_id", "tenant_id", "attempt", "status")
 
 
 @register("stream_fan_out")
 def q_stream_fan_out(spark, sf_dir):
-    """Arriving messages joined with the current session table."""
+    """Arriving messages joined with the session table of the moment."""
     msgs = fx.consumed(spark, sf_dir).select("message_id", "tenant_id", "channel", "arrival_ts")
-    base, s = feed(spark, "fan-out", msgs)
-    return to_parquet(jobs.stream_fan_out(s, fx.sessions(spark, sf_dir)), base).select(
-        "message_id", "session_id", "tenant_id", "channel")
+    start = each_batch(lambda base: jobs.fan_out_sink(os.path.join(base, "out"), lambda: fx.sessions(spark, sf_dir)))
+    base = run_slices(spark, "fan-out", msgs, "arrival_ts", start)
+    return spark.read.parquet(os.path.join(base, "out")).select("message_id", "session_id", "tenant_id", "channel")
 
 
 @register("stream_usage_windows")
 def q_stream_usage_windows(spark, sf_dir):
-    """Per-minute request counts per tenant from a watermarked stream."""
-    base, s = feed(spark, "usage", _eligible(spark, sf_dir), flush=True)
-    out = to_parquet(jobs.stream_usage_windows(s), base)
-    return out.filter(F.col("tenant_id") != FLUSH_TENANT)
-
-
-def _dispatch_tables(spark, sf_dir, name, fail_batch: int | None = None, fallback: bool = False):
-    """Run the foreachBatch dispatcher sink over the consumed stream; return the table paths.
-
-    ``fail_batch`` makes that batch raise once after some of its writes,
-    then the query is restarted from its checkpoint (T06).  ``fallback``
-    points the history sink at an unwritable path so S07 takes over.
-    """
-    base, s = feed(spark, name, fx.consumed(spark, sf_dir))
-    paths = {t: os.path.join(base, t) for t in ("history", "audit", "dlq", "retry", "metrics", "state")}
-    fb = None
-    if fallback:
-        fb = {"history": paths["history"] + "-fallback"}
-        # A filesystem scheme no cluster registers: every write to it fails.
-        paths["history"] = "unreachable-store://primary/history"
-    sink = jobs.status_fan_write(paths, fallback=fb)
-    failed: set[int] = set()  # foreachBatch runs on the driver
-
-    def flaky(batch, batch_id):
-        sink(batch, batch_id)
-        if fail_batch is not None and batch_id == fail_batch and batch_id not in failed:
-            failed.add(batch_id)
-            raise RuntimeError("injected executor loss after the writes of batch %d" % batch_id)
-
-    ck = os.path.join(base, "checkpoint")
-    writer = s.writeStream.foreachBatch(flaky).option("checkpointLocation", ck)
-    try:
-        run_to_end(writer)
-    except Exception:
-        if fail_batch is None:
-            raise
-        run_to_end(s.writeStream.foreachBatch(flaky).option("checkpointLocation", ck))
-    if fb:
-        paths["history"] = fb["history"]
-    return paths
+    """Per-minute request counts per tenant from rows in mixed order; late ones are counted too."""
+    start = each_batch(lambda base: jobs.usage_sink(os.path.join(base, "out"), os.path.join(base, "clock")))
+    base = run_slices(spark, "usage", _eligible(spark, sf_dir), "arrival_ts", start, order="mixed")
+    return jobs.read_usage(spark, os.path.join(base, "out")).drop("late")
 
 
-_RUNS: dict = {}
+def _dispatch(spark, sf_dir, name: str) -> dict:
+    """Run the dispatcher sink over the consumed stream; return the paths of its tables."""
+    paths: dict = {}
 
+    def sink(base: str):
+        paths.update({t: os.path.join(base, t) for t in (*DISPATCH_TABLES, "snapshot")})
+        return jobs.status_fan_write({t: paths[t] for t in DISPATCH_TABLES}, fallback={"history": os.path.join(base, "history-fallback")},
+                                     snapshot_path=paths["snapshot"], compact_every=3)
 
-def _dispatch_run(spark, sf_dir):
-    """One normal run of the dispatcher stream per session and input, shared by
-    the queries that read its tables (status, dead letters, metrics)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _RUNS:
-        _RUNS[key] = _dispatch_tables(spark, sf_dir, "dispatch")
-    return _RUNS[key]
+    run_slices(spark, name, fx.consumed(spark, sf_dir), "arrival_ts", each_batch(sink))
+    return paths
 
 
 @register("stream_status_tables")
 def q_stream_status_tables(spark, sf_dir):
-    """T05 + S05: latest status per message after merging every micro-batch."""
-    paths = _dispatch_run(spark, sf_dir)
-    return jobs.read_state(spark, paths["state"]).select("tenant_id", "message_id", "step", "status", "attempt")
+    """T05 + S05: latest status per message over the snapshot and the micro-batches after it."""
+    paths = _dispatch(spark, sf_dir, "status")
+    return jobs.read_state(spark, paths["state"], paths["snapshot"]).select("tenant_id", "message_id", "step", "status", "attempt")
+
+
+@register("stream_audit_table")
+def q_stream_audit_table(spark, sf_dir):
+    """The audit table (P07 text) that the dispatcher stream appends."""
+    paths = _dispatch(spark, sf_dir, "audit-table")
+    return spark.read.parquet(paths["audit_table"]).select("tenant_id", "event_time", "event_type", "notification_id", "details")
 
 
 @register("stream_dlq")
 def q_stream_dlq(spark, sf_dir):
     """Dead letters written as a side output of the dispatcher stream."""
-    paths = _dispatch_run(spark, sf_dir)
+    paths = _dispatch(spark, sf_dir, "dlq")
     return spark.read.parquet(paths["dlq"]).select(
         "message_id", "tenant_id", "retry_count", "failure_reason", "original_stream_id", "final_retry_count")
 
@@ -169,8 +139,7 @@ def q_stream_dlq(spark, sf_dir):
 @register("stream_metrics")
 def q_stream_metrics(spark, sf_dir):
     """Per-batch dispatcher counters summed over the whole stream."""
-    paths = _dispatch_run(spark, sf_dir)
-    m = spark.read.parquet(paths["metrics"])
+    m = spark.read.parquet(_dispatch(spark, sf_dir, "metrics")["metrics"])
     return m.agg(*[F.sum(c).cast("bigint").alias(c) for c in
                    ("consumed", "delivered", "retry_scheduled", "dead_lettered", "storage_write_failures",
                     "gateway_delivery_failures")])
@@ -178,15 +147,15 @@ def q_stream_metrics(spark, sf_dir):
 
 @register("stream_recovery")
 def q_stream_recovery(spark, sf_dir):
-    """A batch fails after its writes; the restarted query leaves each status row once."""
-    paths = _dispatch_tables(spark, sf_dir, "recovery", fail_batch=2)
+    """The query stops and resumes from its checkpoint for every slice; each status row is there once."""
+    paths = _dispatch(spark, sf_dir, "recovery")
     return spark.read.parquet(paths["history"]).select(
         "message_id", "tenant_id", "correlation_id", "step", "status", "attempt", "error")
 
 
 @register("sink_with_fallback")
 def q_sink_with_fallback(spark, sf_dir):
-    """The primary history sink fails, the fallback file sink takes every row."""
-    paths = _dispatch_tables(spark, sf_dir, "fallback", fallback=True)
+    """Status rows with the sink that took them (the fallback takes over where storage refuses the primary)."""
+    paths = _dispatch(spark, sf_dir, "fallback")
     return spark.read.parquet(paths["history"]).select(
         "message_id", "tenant_id", "correlation_id", "step", "status", "attempt", "error", "sink")

@@ -61,23 +61,39 @@ def test_audit_file_round_trip(spark):
     assert joined.count() == h.count()
 
 
-def test_fan_out_broadcasts_only_checked_small_side(spark):
+def test_fan_out_leaves_the_join_to_the_optimizer(spark):
     m = fx.consumed(spark, SF001).select("message_id", "tenant_id", "channel")
-    s = fx.sessions(spark, SF001)
-    small = fanout.fan_out(m, s, broadcast_max_bytes=1 << 20)
-    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
-    assert fanout.bounded_bytes(s, 1 << 20) and not fanout.bounded_bytes(s, 16)
+    assert "BroadcastHashJoin" in fanout.fan_out(m, fx.sessions(spark, SF001))._jdf.queryExecution().executedPlan().toString()
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
-        capped = fanout.fan_out(m, s, broadcast_max_bytes=16)
-        assert "BroadcastHashJoin" not in capped._jdf.queryExecution().executedPlan().toString()
-        assert capped.count() == small.count()
+        assert "SortMergeJoin" in fanout.fan_out(m, fx.sessions(spark, SF001))._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
 
 
+def test_open_short_and_long_sessions(spark):
+    """Sessions without an end, within an hour and over a year."""
+    import datetime as dt
+    t = lambda s: dt.datetime.fromisoformat(s)
+    sessions = spark.createDataFrame(
+        [(1, "t", "c", t("2024-01-01 00:10:00"), t("2024-01-01 00:50:00")), (2, "t", "c", t("2024-01-01 00:30:00"), None),
+         (3, "t", "c", t("2023-01-05 07:15:00"), t("2024-03-07 01:05:00")), (4, "t", "c", t("2024-01-02 00:00:00"), t("2024-01-02 00:00:00"))],
+        "session_id long, tenant_id string, channel string, sub_start timestamp_ntz, sub_end timestamp_ntz")
+    times = ["2023-01-05 07:14:59", "2023-01-05 07:15:00", "2024-01-01 00:10:00", "2024-01-01 00:49:59", "2024-01-01 00:50:00",
+             "2024-01-02 00:00:00", "2024-03-07 01:04:59", "2024-03-07 01:05:00", "2025-06-01 00:00:00"]
+    messages = spark.createDataFrame([(i, "t", "c", t(x)) for i, x in enumerate(times)],
+                                     "message_id long, tenant_id string, channel string, arrival_ts timestamp_ntz")
+    got = {}
+    for r in fanout.fan_out_as_of(messages, sessions).collect():
+        got.setdefault(r["message_id"], []).append(r["session_id"])
+    want = {1: [3], 2: [1, 3], 3: [1, 2, 3], 4: [2, 3], 5: [2, 3], 6: [2, 3], 7: [2], 8: [2]}
+    assert {k: sorted(v) for k, v in got.items()} == want
+    active = {str(r["change_ts"]): r["active"] for r in fanout.active_sessions(sessions).collect()}
+    assert active == {"2023-01-05 07:15:00": 1, "2024-01-01 00:10:00": 2, "2024-01-01 00:30:00": 3, "2024-01-01 00:50:00": 2,
+                      "2024-01-02 00:00:00": 2, "2024-03-07 01:05:00": 1}
+
 def test_as_of_join_equals_plain_range_join(spark):
     m = fx.consumed(spark, SF001).select("message_id", "tenant_id", "channel", "arrival_ts")
     s = fx.sessions(spark, SF001)

@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from sluice.operators import admission as adm
@@ -83,6 +85,11 @@ def test_state_log_snapshot_and_compaction(spark):
     jobs.compact_state(spark, state_path, snap)
     again = {r["message_id"]: r["status"] for r in jobs.read_state(spark, state_path, snap).collect()}
     assert again == cur
+    assert jobs._numbers(spark, state_path, "batch_id=") == [1]  # the newest stays for a re-run, the others are folded
+    jobs.append_state_delta(later.withColumn("status", F.lit("dlq")).withColumn("batch_id", F.lit(2)), state_path, 2)
+    jobs.compact_state(spark, state_path, snap)
+    last = {r["message_id"]: r["status"] for r in jobs.read_state(spark, state_path, snap).collect()}
+    assert last == {1: "dlq", 2: "received"} and jobs._numbers(spark, snap, "upto=") == [2]
 
 
 def test_latest_state_newest_wins_on_ties_by_seq(spark):
@@ -93,14 +100,13 @@ def test_latest_state_newest_wins_on_ties_by_seq(spark):
 
 def test_observed_stream_metrics_equal_batch_counters(spark):
     from sluice.operators import metrics
-    from sluice.streaming.harness import run_to_end
-    from sluice.streaming.registered import feed
-    base, s = feed(spark, "observe-test", fx.consumed(spark, SF001))
+    from sluice.streaming.harness import run_slices
     collector = jobs.metrics_collector()
     spark.streams.addListener(collector)
     try:
-        observed = jobs.observe_dispatch(s)
-        run_to_end(observed.writeStream.format("noop").option("checkpointLocation", os.path.join(base, "ck")))
+        run_slices(spark, "observe-test", fx.consumed(spark, SF001), "arrival_ts", lambda s, base: (
+            jobs.observe_dispatch(s).writeStream.format("noop").trigger(availableNow=True)
+            .option("checkpointLocation", os.path.join(base, "ck")).start()))
         import time
         for _ in range(50):  # listener events arrive asynchronously
             if sum(b["consumed"] for b in collector.batches) >= 1000:
@@ -124,87 +130,181 @@ def test_clustered_writer_partitions_by_date_and_sorts_newest_first(spark):
     assert [r["seq"] for r in one] == sorted([r["seq"] for r in one], reverse=True) and len(one) == 4
 
 
-def test_rate_state_compaction_keeps_recent_days(spark):
-    base = checkpoint_dir(spark, "test-rate-state")
-    log, out = os.path.join(base, "log"), os.path.join(base, "compact")
-    rows = spark.createDataFrame(
-        [("minute", "t", 100, 144000, 3), ("day", "t", 100, None, 3), ("day", "t", 101, None, 2),
-         ("day", "t", 98, None, 9)],
-        "kind string, tenant_id string, bucket_day long, bucket_min long, n long")
-    rows.write.mode("overwrite").parquet(os.path.join(log, "batch_id=0"))
-    rows.filter("bucket_day = 101").write.mode("overwrite").parquet(os.path.join(log, "batch_id=1"))
-    jobs.compact_rate_state(spark, log, out, newest_day=101, keep_days=2)
-    got = {(r["kind"], r["bucket_day"]): r["n"] for r in spark.read.parquet(out).collect()}
-    assert got == {("minute", 100): 3, ("day", 100): 3, ("day", 101): 4}  # day 98 is dropped
-
-
-def test_late_rows_are_counted(spark):
-    """A row far behind the watermark is dropped by T09 and counted on the late path."""
-    from sluice.streaming.harness import read_files_stream, run_to_end, scratch, split_to_files
-    base = scratch(spark, "late-test")
-    eligible = jobs.with_event_time(fx.requests(spark, SF001).filter(F.length("content") > 0)
-                                    .select("message_id", "tenant_id", "arrival_ts"))
-    late = eligible.orderBy("arrival_ts").limit(1).withColumn("message_id", F.lit(-5).cast("bigint"))
-    inp = os.path.join(base, "in")
-    split_to_files(eligible, "arrival_ts", inp, 3, flush_row=late)  # the old row arrives last
-    s = read_files_stream(spark, inp, eligible.schema)
-    q = run_to_end(jobs.stream_usage_windows(s).writeStream.format("noop").outputMode("append")
-                   .option("checkpointLocation", os.path.join(base, "ck")))
-    assert jobs.late_rows(q) == 1
-
-
-def test_rate_quota_stream_survives_a_failed_batch(spark):
-    """T01 + T06: a batch fails after writing its output and state; the restarted
-    query re-runs it (ignoring its own earlier state rows) and matches the batch answer."""
-    from sluice.operators import admission as adm
-    from sluice.streaming.harness import run_to_end
-    from sluice.streaming.registered import _eligible, feed
-    base, s = feed(spark, "rate-restart", _eligible(spark, SF001))
-    out, st, ck = (os.path.join(base, x) for x in ("out", "state", "ck"))
-    sink = jobs.rate_quota_sink(out, st, 1, 5)
+def _fails_once_after(sink, batch):
+    """The sink, but its first run of ``batch`` raises after all its writes; the run is repeated from the checkpoint."""
     failed = set()
 
-    def flaky(batch, batch_id):
-        sink(batch, batch_id)
-        if batch_id == 2 and batch_id not in failed:
+    def run(df, batch_id):
+        sink(df, batch_id)
+        if batch_id == batch and batch_id not in failed:
             failed.add(batch_id)
-            raise RuntimeError("lost after the writes of batch 2")
+            raise RuntimeError("lost after the writes of the batch")
 
-    try:
-        run_to_end(s.writeStream.foreachBatch(flaky).option("checkpointLocation", ck))
-    except Exception:
-        run_to_end(s.writeStream.foreachBatch(flaky).option("checkpointLocation", ck))
-    assert failed == {2}
+    run.failed = failed
+    return run
+
+
+def _run_with_a_failure(spark, name, df, make, order="time", batch=2):
+    """Feed ``df`` slice by slice to ``make(base)``; the batch that fails is started again."""
+    from sluice.streaming.registered import each_batch
+    from sluice.streaming.harness import run_slices, wait
+    start = each_batch(lambda base: _fails_once_after(make(base), batch))
+
+    class Restarted:
+        def __init__(self, stream, base):
+            try:
+                self.q = wait(start(stream, base))
+            except Exception:
+                self.q = wait(start(stream, base))
+
+        def __getattr__(self, name):
+            return getattr(self.q, name)
+
+    base = run_slices(spark, name, df, "arrival_ts", Restarted, order)
+    assert start.made["sink"].failed == {batch}
+    return base
+
+
+def test_rate_quota_state_reads_one_table_per_day(spark):
+    """Whatever the number of batches, a day holds the newest table and the one a re-run would read."""
+    from sluice.streaming.registered import _eligible
+    from sluice.session import list_folder
+    df = _eligible(spark, SF001).filter("arrival_ts < timestamp_ntz'2024-01-02 00:00:00'")
+    base = checkpoint_dir(spark, "test-quota-days")
+    sink = jobs.rate_quota_sink(os.path.join(base, "out"), os.path.join(base, "quota"), 1, 5)
+    rows = df.select("tenant_id", "message_id", "arrival_ts").orderBy("arrival_ts").collect()
+    assert rows
+    for k in range(6):
+        part = rows[k * len(rows) // 6:(k + 1) * len(rows) // 6]
+        sink(spark.createDataFrame(part, "tenant_id string, message_id long, arrival_ts timestamp_ntz"), k)
+    for day in list_folder(spark, os.path.join(base, "quota")):
+        assert len(list_folder(spark, os.path.join(base, "quota", day))) <= 2
+
+
+def test_rate_quota_stream_survives_a_failed_batch(spark):
+    """T01 + T06: a batch fails after writing its output and state; re-run, it matches the batch answer."""
+    from sluice.operators import admission as adm
+    from sluice.streaming.registered import _eligible
+    base = _run_with_a_failure(spark, "rate-restart", _eligible(spark, SF001), lambda base: jobs.rate_quota_sink(
+        os.path.join(base, "out"), os.path.join(base, "quota"), 1, 5))
     got = {r["message_id"]: (r["rate_ok"], r["quota_count"], r["quota_ok"])
-           for r in spark.read.parquet(out).collect()}
+           for r in spark.read.parquet(os.path.join(base, "out")).collect()}
     want_df = adm.rate_and_quota(_eligible(spark, SF001).withColumn("eligible", F.lit(True)), 1, 5)
     want = {r["message_id"]: (r["rate_ok"], r["quota_count"], r["quota_ok"]) for r in want_df.collect()}
     assert got == want
 
 
-def test_retry_stream_timers_survive_a_failed_batch(spark, duck001):
-    """T03 + T06: pending retries (keyed state and timers) survive a failed batch and a restart."""
+def test_dedup_stream_survives_a_failed_batch(spark, duck001):
+    """T02 + T06: claims of a batch that runs twice are the same, and unkeyed rows are never dropped."""
     from __spark_entry__ import oracle_sql
-    from sluice.streaming.harness import run_to_end
-    from sluice.streaming.registered import feed
+    from sluice.streaming.registered import _eligible
     from tests.compare_util import compare
-    main = fx.consumed(spark, SF001).filter(F.col("source_stream") == "main")
-    base, s = feed(spark, "retry-restart", main, flush=True)
-    out, ck = os.path.join(base, "out"), os.path.join(base, "ck")
-    failed = set()
+    base = _run_with_a_failure(spark, "dedup-restart", _eligible(spark, SF001), lambda base: jobs.dedup_sink(
+        os.path.join(base, "out"), os.path.join(base, "claims"), lambda: fx.claims(spark, SF001)))
+    got = spark.read.parquet(os.path.join(base, "out")).drop("batch_id")
+    ok, msg = compare(got, duck001, oracle_sql()["stream_dedup"])
+    assert ok, msg
+    assert got.filter("idem_key is null").count() > 0
 
-    def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(os.path.join(out, f"batch_id={batch_id}"))
-        if batch_id == 2 and batch_id not in failed:
-            failed.add(batch_id)
-            raise RuntimeError("lost after the writes of batch 2")
 
-    q = jobs.stream_retry(s).writeStream.foreachBatch(write).option("checkpointLocation", ck)
-    try:
-        run_to_end(q)
-    except Exception:
-        run_to_end(jobs.stream_retry(s).writeStream.foreachBatch(write).option("checkpointLocation", ck))
-    assert failed == {2}
-    got = spark.read.parquet(out).select("message_id", "tenant_id", "attempt", "status")
+def test_retry_stream_survives_a_failed_batch(spark, duck001):
+    """T03 + T06: waiting retries survive a failed batch; rows come in mixed order and none is lost."""
+    from __spark_entry__ import oracle_sql
+    from sluice.streaming.registered import batches_in
+    from tests.compare_util import compare
+    sinks = []
+
+    def make(base):
+        sinks.append(jobs.retry_sink(os.path.join(base, "out"), os.path.join(base, "pending")))
+        return sinks[-1]
+
+    base = _run_with_a_failure(spark, "retry-restart", fx.consumed(spark, SF001), make, order="mixed")
+    sinks[-1].drain(spark, batches_in(base))
+    got = spark.read.parquet(os.path.join(base, "out")).select("message_id", "tenant_id", "attempt", "status")
     ok, msg = compare(got, duck001, oracle_sql()["stream_retry"])
     assert ok, msg
+
+
+def test_retry_waits_its_backoff(spark):
+    """Attempts take place at 250, 500 and 1,000 ms after one another, and not before their time has come."""
+    base = checkpoint_dir(spark, "test-backoff")
+    out = os.path.join(base, "out")
+    sink = jobs.retry_sink(out, os.path.join(base, "pending"))
+    schema = "message_id long, tenant_id string, retry_count int, simulate_fail boolean, received_ok boolean, delivered_ok boolean, push_ok boolean, seen_ms long"
+    row = lambda i, t, fail=True: (i, "t", 0, fail, True, True, True, t)
+    sink(spark.createDataFrame([row(1, 1000)], schema), 0)
+    sink(spark.createDataFrame([row(2, 1300, False), row(3, 100, True)], schema), 1)  # message 3 is out of order
+    sink.drain(spark, 2)
+    got = [(r["batch_id"], r["message_id"], r["attempt"], r["status"], r["at_ms"]) for r in spark.read.parquet(out).collect()]
+    s, d = "retry_scheduled", "dlq"
+    assert sorted(got) == sorted([(0, 1, 1, s, 1000), (1, 1, 2, s, 1250), (1, 2, 0, "delivered", 1300), (1, 3, 1, s, 100), (1, 3, 2, s, 350), (1, 3, 3, s, 850),
+                                  (2, 1, 3, s, 1750), (2, 1, 4, d, 2750), (2, 3, 4, d, 1850)])
+
+
+def test_late_rows_are_counted_and_kept(spark):
+    """A row far behind is late; it enters the totals."""
+    base = checkpoint_dir(spark, "test-late")
+    rows = jobs.with_event_time(fx.requests(spark, SF001).filter(F.length("content") > 0).select("message_id", "tenant_id", "arrival_ts"))
+    sink = jobs.usage_sink(os.path.join(base, "out"), os.path.join(base, "clock"))
+    first = rows.orderBy("arrival_ts").limit(1)
+    sink(rows.join(first, "message_id", "left_anti"), 0)
+    sink(first, 1)
+    got = jobs.read_usage(spark, os.path.join(base, "out"))
+    assert got.agg(F.sum("seen"), F.sum("late")).first()[:] == (rows.count(), 1)
+
+
+def test_a_session_that_appears_mid_stream_is_matched(spark):
+    """The session table is read anew for every micro-batch."""
+    base = checkpoint_dir(spark, "test-sessions")
+    table = os.path.join(base, "sessions")
+    schema = "session_id long, tenant_id string, channel string"
+    spark.createDataFrame([(1, "t", "c")], schema).write.mode("append").parquet(table)
+    sink = jobs.fan_out_sink(os.path.join(base, "out"), lambda: spark.read.parquet(table))
+    messages = spark.createDataFrame([(7, "t", "c")], "message_id long, tenant_id string, channel string")
+    sink(messages, 0)
+    spark.createDataFrame([(2, "t", "c")], schema).write.mode("append").parquet(table)
+    sink(messages, 1)
+    got = {(r["batch_id"], r["session_id"]) for r in spark.read.parquet(os.path.join(base, "out")).collect()}
+    assert got == {(0, 1), (1, 1), (1, 2)}
+
+
+def test_a_run_that_is_cut_off_raises(spark):
+    from sluice.streaming.harness import read_files_stream, run_to_end, scratch
+    base = scratch(spark, "cut-off")
+    spark.range(10).write.parquet(os.path.join(base, "in"))
+    s = read_files_stream(spark, os.path.join(base, "in"), spark.range(1).schema)
+
+    def slow(batch, batch_id):
+        import time
+        time.sleep(5)
+
+    with pytest.raises(TimeoutError):
+        run_to_end(s.writeStream.foreachBatch(slow).option("checkpointLocation", os.path.join(base, "ck")), timeout_s=1)
+
+
+def test_fallback_takes_over_on_storage_errors_only(spark):
+    """An unreachable store goes to the fallback; any other failure is raised."""
+    base = checkpoint_dir(spark, "test-fallback")
+    paths = {t: os.path.join(base, t) for t in ("history", "audit", "dlq", "retry", "metrics", "state")}
+    batch = fx.consumed(spark, SF001).limit(50)
+    refused = {**paths, "history": "unreachable-store://primary/history"}
+    jobs.status_fan_write(refused, fallback={"history": os.path.join(base, "history-2")})(batch, 0)
+    assert {r["sink"] for r in spark.read.parquet(os.path.join(base, "history-2")).collect()} == {"fallback"}
+    with pytest.raises(Exception):
+        jobs.status_fan_write(paths, fallback={"history": os.path.join(base, "history-3")})(batch.withColumn("retry_count", F.expr("1 div (message_id - message_id)")), 1)
+    assert not os.path.exists(os.path.join(base, "history-3"))
+
+
+def test_scratch_needs_a_shared_folder_off_local_masters():
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(Session())
