@@ -6,11 +6,11 @@ element, so there are half as many hash evaluations as values; the share of equa
 similarity.  ``ROWS`` values make a band: documents that agree in a band share a bucket and are candidates.  With 32 bands of 6
 values a pair at similarity 0.85 shares none with probability 3e-7.
 
-Equal sets are collapsed first.  Candidates are confirmed on full sets, in three steps that link all that is linked without
-making all pairs of a group: (1) every document with the smallest member of its buckets, one candidate each; (2) with the
-smallest member of each bucket, where the two are not yet in one component; (3) in buckets that still hold several components,
-the pairs across components, in blocks of ``BLOCK`` members by ``BLOCK``, whose signatures do not rule the similarity out
-(``SIGMAS`` standard errors).  Pairs within one component need no check, as they cannot change it.
+Equal sets are collapsed first.  Candidates are confirmed on full sets, in two steps that join all that is linked without
+making all pairs of a group: (1) every document with the smallest member of its buckets, one candidate each; (2) buckets
+that still hold several components, in blocks of at most ``BLOCK`` members and ``BLOCK_SHINGLES`` shingles on a side: there the
+pairs across components that the signatures do not rule out (``SIGMAS`` standard errors) are checked in place, and only
+links leave the task.  Pairs within one component need no check, as they cannot change it.
 
 Null text is empty text.  A row with null doc_id is linked with nothing.  Rows that share a doc_id are one document.  Empty tables give
 empty results.  ``dedup`` keeps all columns of its input.
@@ -32,7 +32,8 @@ PERMUTATIONS = 96
 ROWS = 6
 BANDS = 2 * PERMUTATIONS // ROWS
 PERCENT = 80
-BLOCK = 1024
+BLOCK = 4096
+BLOCK_SHINGLES = 2_000_000
 SIGMAS = 6.0
 _U = np.uint64
 _SEEDS = mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)).reshape(2, PERMUTATIONS)
@@ -126,38 +127,59 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket that the signatures do not rule out, each from its first common band.
+    """Links (a, b) between components that share a bucket, enough of them to join all components that are linked.
 
-    ``members`` has (key, band, rep, n, component, signature, size of the bucket).  Buckets are cut into chunks of about
-    ``BLOCK`` members, and every pair of chunks is a block of its own.
+    ``members`` has (key, band, rep, n, component, signature, text, chunks).  A bucket is cut into ``chunks``, and every pair of
+    chunks is a block of its own, which a task holds at a time.  Within a block the members outside its largest component meet
+    all members of other components whose signature does not rule the similarity out, the likeliest first, each pair only in
+    the first band that it has in common; a pair whose components a link has joined meanwhile needs no check.
     """
     t = percent / 100
     floor = t - SIGMAS * math.sqrt(t * (1 - t) / (2 * PERMUTATIONS))
-    chunks = F.ceil(F.col("size") / BLOCK)
-    dealt = members.withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks)) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))) \
-        .select("key", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "band", "chunk", "rep", "n", "component", "signature")
+    dealt = members.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks"))) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))) \
+        .select("key", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "band", "chunk", "rep", "n", "component", "signature", "text")
     dealt = dealt.repartition(F.col("key"), F.col("x"), F.col("y")).sortWithinPartitions("key", "x", "y")
 
-    def pairs_of(block: list[tuple]) -> list[tuple[int, int]]:
+    def links_of(block: list[tuple]) -> list[tuple[int, int]]:
         _, x, y, band, *_ = block[0]
-        chunk = np.array([r[4] for r in block])
-        rep, n, component = (np.array([r[k] for r in block]) for k in (5, 6, 7))
-        if component.min() == component.max():
+        chunk, rep, n, component = (np.array([r[k] for r in block]) for k in (4, 5, 6, 7))
+        labels, size = np.unique(component, return_counts=True)
+        if len(labels) == 1:
             return []
         sig = np.frombuffer(b"".join(r[8] for r in block), "<u2").reshape(len(block), 2 * PERMUTATIONS)
+        few = component != labels[np.argmax(size)]
+        parent = {c: c for c in labels.tolist()}
+        sets: dict[int, np.ndarray] = {}
+        place = np.arange(len(block))
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                c = parent[c]
+            return c
+
+        def set_of(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = np.unique(shingles(Words(pa.array([block[k][9]], pa.string())).row(0)))
+            return sets[k]
+
         out = []
-        right = np.flatnonzero(chunk == y)
-        for i in np.flatnonzero(chunk == x):
-            j = right[(component[right] != component[i]) & (rep[right] != rep[i])]
-            if x == y:
-                j = j[j > i]
+        for i in np.flatnonzero(few):
+            j = np.flatnonzero((component != component[i]) & (~few | (place > i)) & ((chunk != chunk[i]) if x != y else True))
             j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
             if not len(j):
                 continue
             equal = sig[j] == sig[i]
-            j_ok = (equal.mean(axis=1) >= floor) & (np.argmax(equal.reshape(len(j), BANDS, ROWS).all(axis=2), axis=1) == band)
-            out += [(min(rep[i], rep[k]), max(rep[i], rep[k])) for k in j[j_ok]]
+            share = equal.mean(axis=1)
+            ok = (share >= floor) & (np.argmax(equal.reshape(len(j), BANDS, ROWS).all(axis=2), axis=1) == band)
+            for k in j[ok][np.argsort(-share[ok], kind="stable")].tolist():
+                one, two = root(int(component[i])), root(int(component[k]))
+                if one == two:
+                    continue
+                a, b = set_of(int(i)), set_of(k)
+                if similar(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b), percent):
+                    parent[max(one, two)] = min(one, two)
+                    out.append((int(min(rep[i], rep[k])), int(max(rep[i], rep[k]))))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,18 +188,12 @@ def across(members: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if block and row[:3] != block[0][:3]:
-                    found += pairs_of(block)
+                    found += links_of(block)
                     block = []
                 block.append(row)
-                if len(found) > 50_000:
-                    yield batch_of(found)
-                    found = []
         if block:
-            found += pairs_of(block)
-        yield batch_of(found)
-
-    def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([int(f[i]) for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+            found += links_of(block)
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -190,34 +206,28 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     reps = stored(named.join(classes, ["d1", "d2", "n_shingles"]).where("doc_id = rep")
                   .select("rep", F.col("n_shingles").alias("n"), "signature").dropDuplicates(["rep"]), "representatives")
     banded = buckets(reps)
-    hubs = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size"), F.min("n").alias("low"), F.max("n").alias("high")) \
-        .where("size > 1")
-    star = stored(banded.join(hubs, "key").select("rep", "hub", "key"), "stars")
-    pairs = star.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    hubs = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    star = stored(banded.join(hubs, "key"), "stars")
     asked = star.select(F.col("rep").alias("doc_id")).distinct()
     texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
                    .join(asked, "doc_id").dropDuplicates(["doc_id"]), "candidate_texts")
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    first = star.where("rep <> hub").groupBy(F.col("rep").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
     edges = stored(confirm(first, texts, percent), "links")
     known = stored(components(edges), "components")
 
-    def component_of(ids: DataFrame, column: str, name: str) -> DataFrame:
-        return ids.join(known.select(F.col("rep").alias(column), F.col("component").alias(name)), column, "left") \
-            .withColumn(name, F.coalesce(name, column))
-
-    apart = component_of(component_of(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    edges = stored(edges.unionByName(confirm(apart.join(first, ["a", "b"], "left_anti"), texts, percent)), "links")
-    known = stored(components(edges), "components")
+    def component_of(ids: DataFrame) -> DataFrame:
+        return ids.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
-    member = component_of(star.select("key", "rep").distinct(), "rep", "component")
-    mixed = member.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")) \
-        .where("lo <> hi").select("key", "size")
-    inside = banded.join(mixed, "key").join(member, ["key", "rep"]).join(reps.select("rep", "signature"), "rep")
-    left = across(inside, percent).join(pairs, ["a", "b"], "left_anti")
-    edges = stored(edges.unionByName(confirm(left, texts, percent)), "links")
+    member = component_of(star.drop("hub"))
+    chunks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("chunks")
+    mixed = member.groupBy("key").agg(chunks, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "chunks")
+    inside = member.join(mixed, "key").join(reps.select("rep", "signature"), "rep") \
+        .join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    more = stored(across(inside, percent), "links")
+    edges = edges.unionByName(more)
     known = stored(components(edges), "components")
 
-    rep_of = component_of(classes, "rep", "component").select("d1", "d2", "n_shingles", "component")
+    rep_of = component_of(classes).select("d1", "d2", "n_shingles", "component")
     linked = every.select("doc_id", "n_shingles", "d1", "d2").join(rep_of, ["d1", "d2", "n_shingles"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return linked.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -85,7 +85,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op1_line_dedup")
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.judge(read(spark, sf_dir, "documents")).drop("h1", "h2")
+    judged = line_dedup.judge(read(spark, sf_dir, "documents")).drop("h1", "h2")
+    return judged.select(*[F.col(c).cast("long").alias(c) if t == "int" else c for c, t in judged.dtypes])
 
 
 @register("op2_minhash")
