@@ -27,6 +27,7 @@ REASON_QUOTA = "daily_quota_exceeded"
 REASON_MAIN_BACKLOG = "stream_backpressure"
 REASON_RETRY_BACKLOG = "retry_stream_backpressure"
 REASON_DUPLICATE = "duplicate_idempotency_key"
+REASON_PUBLISH = "redis_publish_failed"
 REASON_OK = "ok"
 
 ORDER = ("arrival_ts", "message_id")
@@ -117,7 +118,7 @@ def first_claim(df: DataFrame, eligible: str = "eligible",
     """
     keys = list(keys)
     keyed = F.col(eligible) & F.col(keys[-1]).isNotNull()
-    winners = _winners(df, keyed, keys).withColumn("spread", F.lit(0).cast("bigint"))
+    winners = _winners(df, keyed, keys).drop("winner_ts").withColumn("spread", F.lit(0).cast("bigint"))
     return _join_on_key(df, winners, keys, keyed)
 
 
@@ -127,7 +128,7 @@ def _winners(df: DataFrame, keyed: Column, keys: list[str]) -> DataFrame:
     return (df.filter(keyed)
               .withColumn("rn", F.row_number().over(w)).filter(F.col("rn") == 1)
               .select(*keys, F.col("message_id").alias("winner_id"),
-                      F.col("correlation_id").alias("winner_corr")))
+                      F.col("correlation_id").alias("winner_corr"), F.col("arrival_ts").alias("winner_ts")))
 
 
 def _join_on_key(df: DataFrame, info: DataFrame, keys: list[str], keyed: Column) -> DataFrame:
@@ -136,7 +137,7 @@ def _join_on_key(df: DataFrame, info: DataFrame, keys: list[str], keyed: Column)
 
 
 def idempotency_claim(df: DataFrame, claims: DataFrame | None, eligible: str = "eligible",
-                      keys: Sequence[str] = ("tenant_id", "idem_key")) -> DataFrame:
+                      keys: Sequence[str] = ("tenant_id", "idem_key"), publishes: str | None = None) -> DataFrame:
     """Insert-if-absent against existing claims plus first-wins in the batch.
 
     Adds ``claimed`` (this row takes the key), ``duplicate`` and
@@ -144,10 +145,21 @@ def idempotency_claim(df: DataFrame, claims: DataFrame | None, eligible: str = "
     claim's id, else the in-batch winner's correlation id), or its own id
     when that is blank.  Existing claims beat in-batch ones.  Rows without a
     key are never deduplicated (``claimed`` null, ``duplicate`` false).
+
+    ``publishes`` names a flag: a request that takes its key but fails to
+    publish releases it again (``publish_failed``), so the first row that
+    publishes wins; later rows of the key are duplicates whether they could
+    publish or not.
     """
     keys = list(keys)
     keyed = F.col(eligible) & F.col(keys[-1]).isNotNull()
-    winners = _winners(df, keyed, keys)
+    can = F.coalesce(F.col(publishes), F.lit(True)) if publishes else F.lit(True)
+    if publishes:  # a row for every key in the batch, without a winner where none of its rows publishes
+        first = F.min(F.when(can, F.struct("arrival_ts", "message_id", "correlation_id"))).alias("w")
+        winners = df.filter(keyed).groupBy(*keys).agg(first).select(
+            *keys, F.col("w.message_id").alias("winner_id"), F.col("w.correlation_id").alias("winner_corr"), F.col("w.arrival_ts").alias("winner_ts"))
+    else:
+        winners = _winners(df, keyed, keys)
     if claims is not None:
         prior = claims.select(F.col("tenant_id").alias(keys[0]),
                               F.col("idempotency_key").alias(keys[1]),
@@ -160,14 +172,17 @@ def idempotency_claim(df: DataFrame, claims: DataFrame | None, eligible: str = "
     info = info.withColumn("spread", F.lit(0).cast("bigint"))
     out = _join_on_key(df, info, keys, keyed)
     has_prior = F.coalesce(F.col("has_prior"), F.lit(False))
-    claimed = F.when(keyed, ~has_prior & (F.col("message_id") == F.col("winner_id")))
+    claimed = F.when(keyed, ~has_prior & F.coalesce(F.col("message_id") == F.col("winner_id"), F.lit(False)))
+    before = F.col("winner_id").isNull() | (F.struct(*ORDER) < F.struct("winner_ts", "winner_id"))
+    failed = F.col(eligible) & ~can & (~keyed | (~has_prior & before))
     stored = F.when(has_prior, F.col("prior_id")).otherwise(F.col("winner_corr"))
-    canonical = F.when(claimed, F.col("correlation_id")).when(
+    canonical = F.when(failed, F.lit(None).cast("string")).when(claimed, F.col("correlation_id")).when(
         keyed, F.coalesce(blank_to_null(stored), F.col("correlation_id")))
     return (out.withColumn("claimed", claimed)
-               .withColumn("duplicate", F.coalesce(~F.col("claimed"), F.lit(False)))
+               .withColumn("publish_failed", failed)
+               .withColumn("duplicate", F.coalesce(~F.col("claimed"), F.lit(False)) & ~F.col("publish_failed"))
                .withColumn("canonical_id", canonical)
-               .drop("prior_id", "has_prior"))
+               .drop("prior_id", "has_prior", "winner_ts"))
 
 
 def backlog_gate(df: DataFrame, survivor: str, publishable: str,

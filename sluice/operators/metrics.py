@@ -23,8 +23,7 @@ def _n(cond: Column) -> Column:
 def admission_counters(decisions: DataFrame) -> DataFrame:
     """Requests / accepted / duplicates / rejected / rate-limited / backpressure.
 
-    ``rejected`` counts every 429 of the submit path (and would count its
-    503s); 400 and 401 are not counted, and duplicates are neither accepted
+    ``rejected`` counts every 429 and 503 of the submit path; 400 and 401 are not counted, and duplicates are neither accepted
     nor rejected.  One row per tenant plus the total (``is_total``).
     """
     r = F.col("reason")
@@ -33,7 +32,7 @@ def admission_counters(decisions: DataFrame) -> DataFrame:
         _n(r == "ok").alias("accepted"),
         _n(r == "duplicate_idempotency_key").alias("duplicates"),
         _n(r.isin("rate_limited", "daily_quota_exceeded", "stream_backpressure",
-                  "retry_stream_backpressure")).alias("rejected"),
+                  "retry_stream_backpressure", "redis_publish_failed")).alias("rejected"),
         _n(r == "rate_limited").alias("rate_limited"),
         _n(r.isin("stream_backpressure", "retry_stream_backpressure")).alias("backpressure_rejected"),
         (F.grouping("tenant_id") == 1).alias("is_total")))

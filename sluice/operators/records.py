@@ -171,10 +171,10 @@ def event_log(decisions: DataFrame, main_backlog: int = 0, main_start_len: int =
     r = F.col("reason")
     logged = decisions.filter(r.isin("ok", "duplicate_idempotency_key", "rate_limited",
                                      "daily_quota_exceeded", "stream_backpressure",
-                                     "retry_stream_backpressure"))
+                                     "retry_stream_backpressure", "redis_publish_failed"))
     event = F.when(r.isin("ok", "duplicate_idempotency_key"), F.lit("notification_accepted")) \
              .otherwise(F.lit("notification_rejected"))
-    corr = (F.when(r == "ok", F.col("correlation_id"))
+    corr = (F.when(r.isin("ok", "redis_publish_failed"), F.col("correlation_id"))
              .when(r == "duplicate_idempotency_key", F.col("canonical_id")))
     main_len = max(main_backlog, main_start_len)
     detail = (F.when(r == "daily_quota_exceeded",

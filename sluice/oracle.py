@@ -20,7 +20,8 @@ VIEWS: dict[str, str] = {
          CASE WHEN event_id % 4 IN (1, 2) THEN 'corr-b-' || CAST(event_id AS VARCHAR) END AS body_corr,
          CASE WHEN event_id % 10 <> 0 THEN
               concat_ws('#', CAST(user_id AS VARCHAR), event_type, CAST(CAST(ts AS DATE) AS VARCHAR)) END
-           AS idempotency_key
+           AS idempotency_key,
+         event_id % 211 <> 5 AS publish_ok
   FROM events""",
     "claims": """
   SELECT tenant_id, idempotency_key,
@@ -147,8 +148,11 @@ def with_views(sql: str, *names: str) -> str:
     return f"WITH {ctes}\n{sql}"
 
 
-def admission_sql(limit: int, quota: int, main: int, retry: int, body: str | None = None) -> str:
-    """Set-based C01 with plain windows; ``body`` selects from CTE ``decided``."""
+def admission_sql(limit: int, quota: int, main: int, retry: int, body: str | None = None, publish: bool = False) -> str:
+    """Set-based C01 with plain windows; ``body`` selects from CTE ``decided``.
+
+    ``publish``: a request whose ``publish_ok`` is false fails to publish and releases its claim.
+    """
     body = body or """SELECT message_id, tenant_id, correlation_id, decision, reason,
        http_status, quota_count, canonical_id FROM decided"""
     main_cut = (f"""(SELECT arrival_ts AS cut_ts, message_id AS cut_id FROM flagged WHERE publishable
@@ -164,7 +168,8 @@ def admission_sql(limit: int, quota: int, main: int, retry: int, body: str | Non
                   'corr-' || CAST(epoch_us(arrival_ts) // 1000000 AS VARCHAR) || '-' || CAST(message_id AS VARCHAR))
            AS correlation_id,
          nullif(idempotency_key, '') AS idem_key,
-         coalesce(length(content), 0) > 0 AS content_ok
+         coalesce(length(content), 0) > 0 AS content_ok,
+         {'publish_ok' if publish else 'true'} AS can_publish
   FROM requests),
 el AS (SELECT *, content_ok AND tenant_id IS NOT NULL AS eligible FROM base),
 rk AS (
@@ -180,16 +185,18 @@ qd AS (
   FROM rl),
 sv AS (SELECT *, rate_ok AND ({quota} <= 0 OR rank_in_day <= {quota}) AS survivor FROM qd),
 win AS (
-  SELECT tenant_id, idem_key, message_id AS winner_id, correlation_id AS winner_corr FROM (
+  SELECT tenant_id, idem_key, message_id AS winner_id, correlation_id AS winner_corr, arrival_ts AS winner_ts FROM (
     SELECT *, row_number() OVER (PARTITION BY tenant_id, idem_key ORDER BY arrival_ts, message_id) AS rn
-    FROM sv WHERE survivor AND idem_key IS NOT NULL) WHERE rn = 1),
+    FROM sv WHERE survivor AND can_publish AND idem_key IS NOT NULL) WHERE rn = 1),
 flagged AS (
   SELECT sv.*, w.winner_id, w.winner_corr, c.notification_id AS prior_id,
          c.tenant_id IS NOT NULL AS has_prior,
          CASE WHEN sv.survivor AND sv.idem_key IS NOT NULL THEN
-              c.tenant_id IS NULL AND sv.message_id = w.winner_id END AS claimed,
-         sv.survivor AND (sv.idem_key IS NULL OR (c.tenant_id IS NULL AND sv.message_id = w.winner_id))
-           AS publishable
+              c.tenant_id IS NULL AND coalesce(sv.message_id = w.winner_id, false) END AS claimed,
+         sv.survivor AND sv.can_publish AND (sv.idem_key IS NULL OR (c.tenant_id IS NULL AND sv.message_id = w.winner_id))
+           AS publishable,
+         sv.survivor AND NOT sv.can_publish AND (sv.idem_key IS NULL OR (c.tenant_id IS NULL AND (w.winner_id IS NULL
+           OR (sv.arrival_ts, sv.message_id) < (w.winner_ts, w.winner_id)))) AS publish_failed
   FROM sv
   LEFT JOIN win w ON sv.survivor AND sv.tenant_id = w.tenant_id AND sv.idem_key = w.idem_key
   LEFT JOIN claims c ON sv.survivor AND sv.tenant_id = c.tenant_id AND sv.idem_key = c.idempotency_key),
@@ -217,6 +224,7 @@ reasoned AS (
          WHEN NOT rate_ok THEN 'rate_limited'
          WHEN NOT survivor THEN 'daily_quota_exceeded'
          WHEN gate_reason IS NOT NULL THEN gate_reason
+         WHEN publish_failed THEN 'redis_publish_failed'
          WHEN idem_key IS NOT NULL AND NOT claimed THEN 'duplicate_idempotency_key'
          ELSE 'ok' END AS reason
   FROM gated),
@@ -227,6 +235,7 @@ decided AS (
               ELSE 'rejected' END AS decision,
          CAST(CASE WHEN reason IN ('ok', 'duplicate_idempotency_key') THEN 202
               WHEN reason = 'content_required' THEN 400
+              WHEN reason = 'redis_publish_failed' THEN 503
               WHEN reason = 'tenant_missing' THEN 401 ELSE 429 END AS INTEGER) AS http_status,
          CASE WHEN rate_ok AND {quota} > 0 THEN rank_in_day END AS quota_count,
          CASE WHEN reason = 'ok' THEN correlation_id

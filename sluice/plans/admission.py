@@ -13,7 +13,7 @@ DECISION_COLUMNS = ["message_id", "tenant_id", "correlation_id", "decision", "re
 # What the steps after a materialization read.  The request payload and the
 # raw header/body fields are not stored twice (at scale they are most of the bytes).
 CARRIED = ["message_id", "arrival_ts", "tenant_id", "correlation_id", "idem_key", "content_ok", "auth_reason",
-           "eligible", "rate_ok", "quota_ok", "quota_count", "rank_in_minute", "rank_in_day"]
+           "eligible", "publish_ok", "rate_ok", "quota_ok", "quota_count", "rank_in_minute", "rank_in_day"]
 
 
 def _carry(df: DataFrame, keep_columns: bool, extra: tuple = ()) -> DataFrame:
@@ -28,8 +28,11 @@ def admission_decisions(requests: DataFrame, claims: DataFrame | None = None,
                         main_backlog: int = 0, retry_backlog: int = 0,
                         require_auth: bool = False,
                         main_start_len: int = 0, retry_start_len: int = 0,
-                        keep_columns: bool = False) -> DataFrame:
-    """Decide every request: F01 -> F02 -> W01 -> W02 -> W07 main -> W07 retry -> W03/J04.
+                        keep_columns: bool = False, publish: str | None = None) -> DataFrame:
+    """Decide every request: F01 -> F02 -> W01 -> W02 -> W07 main -> W07 retry -> W03/J04 -> publish.
+
+    ``publish`` names a column that says whether the publish itself works;
+    a failed one is a 503, releases its claim and does not lengthen the stream.
 
     Output: ``decision`` (accepted / duplicate / rejected), ``reason``,
     ``http_status``, ``quota_count`` (rank in the tenant's day when the quota
@@ -53,13 +56,13 @@ def admission_decisions(requests: DataFrame, claims: DataFrame | None = None,
         df = df.withColumns({"rate_ok": F.col("eligible"), "quota_ok": F.col("eligible"),
                              "quota_count": F.lit(None).cast("bigint")})
     df = df.withColumn("survivor", F.col("quota_ok"))
-    df = adm.idempotency_claim(df, claims, eligible="survivor")
-    df = df.withColumn("publishable", F.col("survivor") & (F.col("idem_key").isNull() | F.col("claimed")))
+    df = adm.idempotency_claim(df, claims, eligible="survivor", publishes=publish)
+    df = df.withColumn("publishable", F.col("survivor") & ~F.col("publish_failed") & (F.col("idem_key").isNull() | F.col("claimed")))
     if main_backlog > 0 or retry_backlog > 0:
         # The cut is global over arrival order: compute the per-row verdicts
         # once, store them in the shared folder, and cut the stored table.
         df = materialize(_carry(df, keep_columns, ("survivor", "claimed", "duplicate", "canonical_id",
-                                                   "winner_id", "winner_corr", "publishable")),
+                                                   "winner_id", "winner_corr", "publishable", "publish_failed")),
                          "admission-claimed")
     df = adm.backlog_gate(df, "survivor", "publishable", main_backlog, retry_backlog,
                           retry_entries, main_start_len, retry_start_len)
@@ -68,6 +71,7 @@ def admission_decisions(requests: DataFrame, claims: DataFrame | None = None,
                .when(~F.col("rate_ok"), F.lit(adm.REASON_RATE))
                .when(~F.col("quota_ok"), F.lit(adm.REASON_QUOTA))
                .when(F.col("gate_reason").isNotNull(), F.col("gate_reason"))
+               .when(F.col("publish_failed"), F.lit(adm.REASON_PUBLISH))
                .when(F.col("duplicate"), F.lit(adm.REASON_DUPLICATE))
                .otherwise(F.lit(adm.REASON_OK)))
     df = df.withColumn("reason", reason)
@@ -76,6 +80,7 @@ def admission_decisions(requests: DataFrame, claims: DataFrame | None = None,
                  .otherwise(F.lit("rejected")))
     status = (F.when(F.col("reason").isin(adm.REASON_OK, adm.REASON_DUPLICATE), F.lit(202))
                .when(F.col("reason") == adm.REASON_CONTENT, F.lit(400))
+               .when(F.col("reason") == adm.REASON_PUBLISH, F.lit(503))
                .when(F.col("auth_reason").isNotNull(), F.lit(401))
                .otherwise(F.lit(429)))
     df = df.withColumns({

@@ -21,7 +21,7 @@ from sluice.sources import streams
 
 # Threshold set used by the registered admission queries (FIXTURES.md, row 2):
 # 1 request/minute, 50/day, main backlog 3,000, retry backlog off.
-C01_PARAMS = dict(limit_per_minute=1, daily_quota=50, main_backlog=3000, retry_backlog=0)
+C01_PARAMS = dict(limit_per_minute=1, daily_quota=50, main_backlog=3000, retry_backlog=0, publish="publish_ok")
 
 
 # ---- W04-W06, L01-L03, T11 ------------------------------------------------

@@ -45,6 +45,7 @@ def _request_columns() -> list:
         F.when(eid % 10 != 0,
                F.concat_ws("#", F.col("user_id").cast("string"), F.col("event_type"),
                            F.to_date("ts").cast("string"))).alias("idempotency_key"),
+        (eid % 211 != 5).alias("publish_ok"),
     ]
 
 

@@ -12,7 +12,7 @@ SELECT tenant_id, notification_id, status, attempt, seq, status_ts, error FROM (
                                ORDER BY status_ts DESC, seq DESC) AS rn
   FROM history) WHERE rn = 1""", "history")
 
-SQL["admission_decisions"] = admission_sql(1, 50, 3000, 0)
+SQL["admission_decisions"] = admission_sql(1, 50, 3000, 0, publish=True)
 
 SQL["content_required"] = with_views("""
 SELECT message_id, tenant_id, coalesce(length(content), 0) > 0 AS content_ok FROM requests""",
@@ -215,12 +215,12 @@ SELECT message_id, 'main' AS source_stream, retry_count FROM consumed WHERE retr
 UNION ALL
 SELECT message_id, 'retry', retry_count FROM consumed WHERE retry_count > 0""", "consumed")
 
-SQL["admission_counters"] = admission_sql(1, 50, 3000, 0, body="""
+SQL["admission_counters"] = admission_sql(1, 50, 3000, 0, publish=True, body="""
 SELECT tenant_id, count(*) AS requests,
        count(*) FILTER (WHERE reason = 'ok') AS accepted,
        count(*) FILTER (WHERE reason = 'duplicate_idempotency_key') AS duplicates,
        count(*) FILTER (WHERE reason IN ('rate_limited', 'daily_quota_exceeded', 'stream_backpressure',
-                                         'retry_stream_backpressure')) AS rejected,
+                                         'retry_stream_backpressure', 'redis_publish_failed')) AS rejected,
        count(*) FILTER (WHERE reason = 'rate_limited') AS rate_limited,
        count(*) FILTER (WHERE reason IN ('stream_backpressure', 'retry_stream_backpressure'))
          AS backpressure_rejected,
@@ -507,13 +507,13 @@ SELECT seq, json_object('ts', epoch_us(status_ts) // 1000000,
                                               'attempt', attempt, 'error', error))::VARCHAR AS value
 FROM history""", "history")
 
-SQL["event_log"] = admission_sql(1, 50, 3000, 0, body="""
+SQL["event_log"] = admission_sql(1, 50, 3000, 0, publish=True, body="""
 SELECT message_id,
   '{"ts":' || CAST(epoch_us(arrival_ts) // 1000000 AS VARCHAR) || ',"service":"gateway","event":"'
   || CASE WHEN reason IN ('ok', 'duplicate_idempotency_key') THEN 'notification_accepted'
           ELSE 'notification_rejected' END
   || '","outcome":"' || reason || '","tenant_id":"' || tenant_id || '"'
-  || CASE WHEN reason = 'ok' AND coalesce(correlation_id, '') <> ''
+  || CASE WHEN reason IN ('ok', 'redis_publish_failed') AND coalesce(correlation_id, '') <> ''
             THEN ',"correlation_id":"' || correlation_id || '"'
           WHEN reason = 'duplicate_idempotency_key' AND coalesce(canonical_id, '') <> ''
             THEN ',"correlation_id":"' || canonical_id || '"' ELSE '' END
@@ -524,7 +524,7 @@ SELECT message_id,
   || '}' AS log_line
 FROM decided
 WHERE reason IN ('ok', 'duplicate_idempotency_key', 'rate_limited', 'daily_quota_exceeded',
-                 'stream_backpressure', 'retry_stream_backpressure')""")
+                 'stream_backpressure', 'retry_stream_backpressure', 'redis_publish_failed')""")
 
 SQL["tenant_audit_report"] = with_views("""
 SELECT tenant_id, status, count(*) AS records, max(status_ts) AS newest_ts,

@@ -17,7 +17,7 @@ def _micros(ts: dt.datetime) -> int:
     return (ts - EPOCH) // dt.timedelta(microseconds=1)
 
 
-def simulate(rows, claims, retry_times, limit, quota, main, retry, main_start=0, retry_start=0):
+def simulate(rows, claims, retry_times, limit, quota, main, retry, main_start=0, retry_start=0, publish=False):
     """rows: dicts with the ``requests`` columns; returns {message_id: (reason, quota_count, canonical)}."""
     window: dict[str, list[int]] = {}
     daily: dict[tuple[str, int], int] = {}
@@ -62,6 +62,10 @@ def simulate(rows, claims, retry_times, limit, quota, main, retry, main_start=0,
             if (tenant, key) in stored:
                 out[mid] = ("duplicate_idempotency_key", qc, stored[(tenant, key)] or corr)
                 continue
+        if publish and not r["publish_ok"]:  # the claim it took is released again
+            out[mid] = ("redis_publish_failed", qc, None)
+            continue
+        if key is not None:
             stored[(tenant, key)] = corr
         main_len += 1
         out[mid] = ("ok", qc, corr)

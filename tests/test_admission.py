@@ -15,14 +15,14 @@ REASONS = ["ok", "duplicate_idempotency_key", "content_required", "rate_limited"
 
 # FIXTURES.md: expected C01 counts at sf0.01 per (limit, quota, main, retry).
 EXPECTED = {
-    (0, 0, 0, 0): [8048, 1752, 200, 0, 0, 0, 0],
-    (1, 50, 3000, 0): [3000, 603, 200, 235, 2073, 3889, 0],
+    (0, 0, 0, 0): [7740, 2060, 200, 0, 0, 0, 0],
+    (1, 50, 3000, 0): [3000, 646, 200, 235, 2073, 3846, 0],
     (0, 50, 0, 500): [1608, 367, 200, 0, 2304, 0, 5521],
     (1, 0, 3000, 800): [3000, 775, 200, 235, 0, 5790, 0],
     (2, 40, 2500, 400): [1001, 199, 200, 7, 3793, 0, 4800],
     (1, 30, 3000, 790): [1569, 231, 200, 235, 5065, 0, 2700],
     (1, 30, 1200, 900): [1200, 177, 200, 235, 5065, 3123, 0],
-    (1, 50, 8000, 1900): [6032, 1039, 200, 235, 2073, 0, 421],
+    (1, 50, 8000, 1900): [5796, 1275, 200, 235, 2073, 0, 421],
 }
 
 
@@ -39,6 +39,18 @@ def test_sequential_model_matches_published_counts(inputs01, params):
     assert [c.get(r, 0) for r in REASONS] == EXPECTED[params]
 
 
+def test_failed_publishes_release_their_claims(spark, inputs01):
+    """503s: the claim is free again, the next request of the key that publishes takes it, and the stream does not grow."""
+    rows, claims, retry = inputs01
+    for params in [(1, 50, 3000, 0), (0, 0, 0, 0), (2, 40, 2500, 400)]:
+        expected = simulate(rows, claims, retry, *params, publish=True)
+        df = admission_decisions(fx.requests(spark, SF01), fx.claims(spark, SF01), fx.retry_entries(spark, SF01), *params, publish="publish_ok")
+        got = {r["message_id"]: (r["reason"], r["quota_count"], r["canonical_id"]) for r in df.collect()}
+        assert got == expected
+        assert Counter(v[0] for v in got.values())["redis_publish_failed"] > 0
+    assert {r["http_status"] for r in df.filter("reason = 'redis_publish_failed'").collect()} == {503}
+
+
 def _spark_decisions(spark, sf, params):
     lim, quota, main, retry = params
     df = admission_decisions(fx.requests(spark, sf), fx.claims(spark, sf), fx.retry_entries(spark, sf),
