@@ -39,17 +39,24 @@ def admission_counters(decisions: DataFrame) -> DataFrame:
 
 
 def dispatch_counters(consumed: DataFrame, max_retries: int = dsp.MAX_RETRIES) -> DataFrame:
-    """Consumed / delivered / retry-scheduled / dead-lettered / failures."""
+    """Consumed / delivered / retry-scheduled / dead-lettered / failures.
+
+    An outcome counts once its last step worked: the ack of a delivered row,
+    the re-publish and ack of the others (``ack_ok``); a row whose last step
+    failed is a processing error and stays pending.
+    """
     o = dsp.outcome(consumed, max_retries)
+    ack = F.coalesce(F.col("ack_ok"), F.lit(True)) if "ack_ok" in consumed.columns else F.lit(True)
     rec = F.coalesce(F.col("received_ok"), F.lit(True))
     sim = F.coalesce(F.col("simulate_fail"), F.lit(False))
     dlv = F.coalesce(F.col("delivered_ok"), F.lit(True))
     push = F.coalesce(F.col("push_ok"), F.lit(True))
     return o.rollup("tenant_id").agg(
         F.count(F.lit(1)).alias("consumed"),
-        _n(F.col("outcome") == dsp.STATUS_DELIVERED).alias("delivered"),
-        _n(F.col("outcome") == dsp.STATUS_RETRY).alias("retry_scheduled"),
-        _n(F.col("outcome") == dsp.STATUS_DLQ).alias("dead_lettered"),
+        _n((F.col("outcome") == dsp.STATUS_DELIVERED) & ack).alias("delivered"),
+        _n((F.col("outcome") == dsp.STATUS_RETRY) & ack).alias("retry_scheduled"),
+        _n((F.col("outcome") == dsp.STATUS_DLQ) & ack).alias("dead_lettered"),
+        _n(~ack).alias("processing_errors"),
         (_n(~rec) + _n(rec & ~sim & ~dlv)).alias("storage_write_failures"),
         _n(rec & ~sim & dlv & ~push).alias("gateway_delivery_failures"),
         (F.grouping("tenant_id") == 1).alias("is_total"))

@@ -56,9 +56,10 @@ def minute_and_day_rank(df: DataFrame, keys: Sequence[str], ts_col: str, id_col:
     """
     keys = list(keys)
     # Rank inside the second.  Ineligible rows sort last, so eligible rows are
-    # numbered among themselves.  The rows shuffle once, on (keys, second):
-    # the per-second counts below are aggregated from this same partitioning
-    # (no second scan of the input) and the offsets join back on it.
+    # numbered among themselves.  The per-second counts below are a second
+    # branch of the plan that reads the input again (its columns differ, so
+    # the exchange is not shared): give this a narrow or stored input, as C01
+    # does.
     w = Window.partitionBy(*keys, "bucket_sec").orderBy(
         (~F.col(eligible)), F.col(ts_col), F.col(id_col))
     ranked = df.withColumn("rank_in_sec", F.row_number().over(w))

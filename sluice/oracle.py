@@ -45,6 +45,7 @@ VIEWS: dict[str, str] = {
          event_id % 101 <> 0 AS received_ok,
          event_id % 103 <> 0 AS delivered_ok,
          event_id % 97 <> 0 AS push_ok,
+         event_id % 107 <> 0 AS ack_ok,
          (epoch_us(ts) // 1000) AS seen_ms,
          CASE WHEN event_id % 4 > 0 THEN (epoch_us(ts) // 1000) + CAST(floor(value * 100) AS BIGINT) END
            AS next_attempt_at_ms,

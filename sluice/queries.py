@@ -460,3 +460,11 @@ def q_event_log(spark, sf_dir):
 def q_tenant_audit_report(spark, sf_dir):
     """Per tenant and status: records, newest time, dead-letter share; totals."""
     return audit_report.tenant_audit_report(fx.history(spark, sf_dir))
+
+
+@register("normalise_stages")
+def q_normalise_stages(spark, sf_dir):
+    """P02 (dispatch, storage and read stages): defaults over records with gaps."""
+    h = fx.gapped_records(spark, sf_dir)
+    stages = [records.normalise(h, stage).withColumn("stage", F.lit(stage)) for stage in ("dispatch", "storage", "read")]
+    return stages[0].unionByName(stages[1]).unionByName(stages[2])

@@ -90,6 +90,7 @@ def consumed(spark: SparkSession, sf_dir: str) -> DataFrame:
         (eid % 101 != 0).alias("received_ok"),
         (eid % 103 != 0).alias("delivered_ok"),
         (eid % 97 != 0).alias("push_ok"),
+        (eid % 107 != 0).alias("ack_ok"),
         seen.alias("seen_ms"),
         F.when(rc > 0, seen + F.floor(F.col("value") * 100).cast("bigint")).alias("next_attempt_at_ms"),
         F.when(rc > 0, F.lit("retry")).otherwise(F.lit("main")).alias("source_stream"),
@@ -330,3 +331,9 @@ def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit('{"ts":'), F.unix_seconds(F.col("status_ts").cast("timestamp")).cast("string"),
                  F.lit(',"record":'), F.col("payload"), F.lit("}")))
     return p.select("seq", line.alias("value"))
+
+
+def gapped_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status records with missing fields, each field by its own modulus of ``seq``."""
+    gaps = {"tenant_id": 3, "user_id": 5, "channel": 7, "content": 11, "correlation_id": 13, "error": 2, "attempt": 17, "status": 19}
+    return history(spark, sf_dir).select("seq", *[F.when(F.col("seq") % n != 0, F.col(c)).alias(c) for c, n in gaps.items()])

@@ -229,9 +229,10 @@ FROM decided GROUP BY ROLLUP (tenant_id)""")
 
 SQL["dispatch_counters"] = with_views("""
 SELECT tenant_id, count(*) AS consumed,
-       count(*) FILTER (WHERE outcome = 'delivered') AS delivered,
-       count(*) FILTER (WHERE outcome = 'retry_scheduled') AS retry_scheduled,
-       count(*) FILTER (WHERE outcome = 'dlq') AS dead_lettered,
+       count(*) FILTER (WHERE outcome = 'delivered' AND ack_ok) AS delivered,
+       count(*) FILTER (WHERE outcome = 'retry_scheduled' AND ack_ok) AS retry_scheduled,
+       count(*) FILTER (WHERE outcome = 'dlq' AND ack_ok) AS dead_lettered,
+       count(*) FILTER (WHERE NOT ack_ok) AS processing_errors,
        count(*) FILTER (WHERE NOT received_ok)
          + count(*) FILTER (WHERE received_ok AND NOT simulate_fail AND NOT delivered_ok)
          AS storage_write_failures,
@@ -584,9 +585,10 @@ SQL["stream_dlq"] = SQL["dlq_write"]
 
 SQL["stream_metrics"] = with_views("""
 SELECT count(*) AS consumed,
-       count(*) FILTER (WHERE outcome = 'delivered') AS delivered,
-       count(*) FILTER (WHERE outcome = 'retry_scheduled') AS retry_scheduled,
-       count(*) FILTER (WHERE outcome = 'dlq') AS dead_lettered,
+       count(*) FILTER (WHERE outcome = 'delivered' AND ack_ok) AS delivered,
+       count(*) FILTER (WHERE outcome = 'retry_scheduled' AND ack_ok) AS retry_scheduled,
+       count(*) FILTER (WHERE outcome = 'dlq' AND ack_ok) AS dead_lettered,
+       count(*) FILTER (WHERE NOT ack_ok) AS processing_errors,
        count(*) FILTER (WHERE NOT received_ok)
          + count(*) FILTER (WHERE received_ok AND NOT simulate_fail AND NOT delivered_ok)
          AS storage_write_failures,
@@ -618,3 +620,20 @@ SELECT tenant_id, arrival_ts AS event_time, status AS event_type, CAST(message_i
        'channel=' || channel || ',attempt=' || CAST(attempt AS VARCHAR) || ',error=' || error
          || ',correlation_id=' || correlation_id AS details
 FROM rows""")
+
+SQL["normalise_stages"] = with_views("""
+, gaps AS (
+  SELECT seq, CASE WHEN seq % 3 <> 0 THEN tenant_id END AS tenant_id, CASE WHEN seq % 5 <> 0 THEN user_id END AS user_id,
+         CASE WHEN seq % 7 <> 0 THEN channel END AS channel, CASE WHEN seq % 11 <> 0 THEN content END AS content,
+         CASE WHEN seq % 13 <> 0 THEN correlation_id END AS correlation_id, CASE WHEN seq % 2 <> 0 THEN error END AS error,
+         CASE WHEN seq % 17 <> 0 THEN attempt END AS attempt, CASE WHEN seq % 19 <> 0 THEN status END AS status
+  FROM history)
+SELECT seq, 'dispatch' AS stage, coalesce(tenant_id, 'unknown') AS tenant_id, coalesce(user_id, 'unknown') AS user_id,
+       coalesce(channel, 'default') AS channel, coalesce(content, '') AS content, coalesce(correlation_id, '') AS correlation_id,
+       error, attempt, status FROM gaps
+UNION ALL
+SELECT seq, 'storage', tenant_id, coalesce(user_id, 'unknown'), coalesce(channel, 'default'), coalesce(content, ''),
+       coalesce(correlation_id, ''), coalesce(error, ''), coalesce(attempt, 0), status FROM gaps
+UNION ALL
+SELECT seq, 'read', tenant_id, coalesce(user_id, 'unknown'), coalesce(channel, 'default'), coalesce(content, ''),
+       coalesce(correlation_id, ''), coalesce(error, ''), coalesce(attempt, 0), coalesce(status, 'unknown') FROM gaps""", "history")

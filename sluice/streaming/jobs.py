@@ -360,12 +360,14 @@ def observe_dispatch(stream: DataFrame, name: str = "dispatch_metrics",
     sim = F.coalesce(F.col("simulate_fail"), F.lit(False))
     dlv = F.coalesce(F.col("delivered_ok"), F.lit(True))
     push = F.coalesce(F.col("push_ok"), F.lit(True))
+    ack = F.coalesce(F.col("ack_ok"), F.lit(True)) if "ack_ok" in stream.columns else F.lit(True)
     return o.observe(
         name,
         F.count(F.lit(1)).alias("consumed"),
-        F.count_if(F.col("outcome") == dsp.STATUS_DELIVERED).alias("delivered"),
-        F.count_if(F.col("outcome") == dsp.STATUS_RETRY).alias("retry_scheduled"),
-        F.count_if(F.col("outcome") == dsp.STATUS_DLQ).alias("dead_lettered"),
+        F.count_if((F.col("outcome") == dsp.STATUS_DELIVERED) & ack).alias("delivered"),
+        F.count_if((F.col("outcome") == dsp.STATUS_RETRY) & ack).alias("retry_scheduled"),
+        F.count_if((F.col("outcome") == dsp.STATUS_DLQ) & ack).alias("dead_lettered"),
+        F.count_if(~ack).alias("processing_errors"),
         (F.count_if(~rec) + F.count_if(rec & ~sim & ~dlv)).alias("storage_write_failures"),
         F.count_if(rec & ~sim & dlv & ~push).alias("gateway_delivery_failures"),
     ).drop("failure_reason", "outcome")

@@ -141,7 +141,7 @@ def q_stream_metrics(spark, sf_dir):
     """Per-batch dispatcher counters summed over the whole stream."""
     m = spark.read.parquet(_dispatch(spark, sf_dir, "metrics")["metrics"])
     return m.agg(*[F.sum(c).cast("bigint").alias(c) for c in
-                   ("consumed", "delivered", "retry_scheduled", "dead_lettered", "storage_write_failures",
+                   ("consumed", "delivered", "retry_scheduled", "dead_lettered", "processing_errors", "storage_write_failures",
                     "gateway_delivery_failures")])
 
 
