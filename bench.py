@@ -6,8 +6,10 @@ Runs each job over ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) on
     {"metric": "total_sec", "value": N, "unit": "sec", "queries": {...}, "sf": ...}
 
 Each job is executed completely into the ``noop`` sink (no collect), once to
-warm up the JVM and once timed.  ``rows_per_sec`` reports input events per
-second of each job.
+warm up the JVM and once timed; streaming jobs run once.  ``rows`` is what each
+job reads (events; the retry stream reads all of them) and ``rows_per_sec``
+follows from it.  ``growth`` compares the time with that of a tenth of the data
+(``$BENCH_SMALL_DIR``, default sf0.01): 10 would be in proportion.
 """
 
 from __future__ import annotations
@@ -22,12 +24,19 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = ["admission_decisions", "dispatch_step", "status_expand", "latest_state", "delivery_history",
             "fan_out", "fan_out_counts", "fan_out_as_of", "admission_counters", "slo_report", "token_audit",
-            "route_requests"]
+            "route_requests", "retry_chain_step", "consumer_lag", "idempotency_claim", "stream_state_reconcile"]
 STREAMING = ["stream_rate_quota", "stream_retry"]
 
 
+def run(registry, spark, name: str, sf_dir: str) -> float:
+    t0 = time.perf_counter()
+    registry[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - t0
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+    small_dir = os.environ.get("BENCH_SMALL_DIR", "/root/testdata/sf0.01")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     from sluice.session import get_session
     spark = get_session(f"local[{cpus}]", shuffle_partitions=cpus * 2,
@@ -36,32 +45,32 @@ def main() -> None:
     import sluice.streaming.registered  # noqa: F401
     from sluice.registry import REGISTRY
     from sluice.sources.tables import table
-    events = table(spark, sf_dir, "events").count()
+    counted: dict[str, int] = {}
+
+    def rows_of(name: str) -> int:
+        extra = {"route_requests": ["pages"]}.get(name, [])
+        return sum(counted.setdefault(t, table(spark, sf_dir, t).count()) for t in ["events", *extra])
+
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
-    names = only or HEADLINE
     timings: dict[str, float] = {}
-    for name in names:
-        q = REGISTRY[name]
-        q(spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
-        t0 = time.perf_counter()
-        q(spark, sf_dir).write.format("noop").mode("overwrite").save()
-        timings[name] = round(time.perf_counter() - t0, 3)
+    growth: dict[str, float] = {}
+    for name in only or HEADLINE:
+        small = min(run(REGISTRY, spark, name, small_dir) for _ in range(2))  # also the warm-up
+        timings[name] = round(run(REGISTRY, spark, name, sf_dir), 3)
+        growth[name] = round(timings[name] / small, 2)
     if os.environ.get("BENCH_STREAMING", "1") == "1" and not only:
-        # Stateful streams (T01, T03): input split into 5 time-ordered files,
-        # one micro-batch each, run to the end; timed once (includes the split).
         for name in STREAMING:
-            t0 = time.perf_counter()
-            REGISTRY[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            timings[name] = round(time.perf_counter() - t0, 3)
-    total = round(sum(timings.values()), 3)
+            timings[name] = round(run(REGISTRY, spark, name, sf_dir), 3)
+    rows = {name: rows_of(name) for name in timings}
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
         "metric": "total_sec",
-        "value": total,
+        "value": round(sum(timings.values()), 3),
         "unit": "sec",
         "queries": timings,
-        "rows_per_sec": {k: round(events / v, 1) for k, v in timings.items() if v > 0},
-        "events": events,
+        "rows": rows,
+        "rows_per_sec": {k: round(rows[k] / v, 1) for k, v in timings.items() if v > 0},
+        "growth": growth,
         "sf": float(m.group(1)) if m else sf_dir,
         "cpus": cpus,
     }))
