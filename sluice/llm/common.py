@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.session import delete_on_exit
+
 SLICE_BYTES = 1 << 20
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -50,10 +52,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends, and lost executors cost nothing."""
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends, and lost executors cost nothing.
+
+    The file system removes the table when the application ends.
+    """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), "llm", f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
