@@ -149,11 +149,18 @@ def with_views(sql: str, *names: str) -> str:
     return f"WITH {ctes}\n{sql}"
 
 
-def admission_sql(limit: int, quota: int, main: int, retry: int, body: str | None = None, publish: bool = False) -> str:
+def admission_sql(limit: int, quota: int, main: int, retry: int, body: str | None = None, publish: bool = False,
+                  tokens: bool = False) -> str:
     """Set-based C01 with plain windows; ``body`` selects from CTE ``decided``.
 
     ``publish``: a request whose ``publish_ok`` is false fails to publish and releases its claim.
+    ``tokens``: a valid bearer token names the tenant and an invalid one refuses the request.
     """
+    tenant = "CASE v.token_status WHEN 'valid' THEN v.token_tenant WHEN 'invalid' THEN NULL ELSE r.tenant_id END" if tokens else "r.tenant_id"
+    auth = "CASE WHEN v.token_status = 'invalid' THEN 'invalid_bearer_token' " if tokens else "CASE "
+    verdicts = """ JOIN (
+    SELECT event_id, CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 10 <= 2 THEN 'valid' ELSE 'invalid' END AS token_status,
+           'tenant-' || CAST((user_id + event_id % 3) % 5 AS VARCHAR) AS token_tenant FROM events) v ON v.event_id = r.message_id""" if tokens else ""
     body = body or """SELECT message_id, tenant_id, correlation_id, decision, reason,
        http_status, quota_count, canonical_id FROM decided"""
     main_cut = (f"""(SELECT arrival_ts AS cut_ts, message_id AS cut_id FROM flagged WHERE publishable
@@ -164,15 +171,15 @@ def admission_sql(limit: int, quota: int, main: int, retry: int, body: str | Non
                  "(SELECT NULL::TIMESTAMP AS rcut_ts WHERE false)")
     sql = f"""
 , base AS (
-  SELECT message_id, arrival_ts, tenant_id,
+  SELECT message_id, arrival_ts, {tenant} AS tenant_id, {auth}WHEN r.tenant_id IS NULL THEN 'tenant_missing' END AS auth_reason,
          coalesce(nullif(header_corr, ''), nullif(body_corr, ''),
                   'corr-' || CAST(epoch_us(arrival_ts) // 1000000 AS VARCHAR) || '-' || CAST(message_id AS VARCHAR))
            AS correlation_id,
          nullif(idempotency_key, '') AS idem_key,
          coalesce(length(content), 0) > 0 AS content_ok,
          {'publish_ok' if publish else 'true'} AS can_publish
-  FROM requests),
-el AS (SELECT *, content_ok AND tenant_id IS NOT NULL AS eligible FROM base),
+  FROM requests r{verdicts}),
+el AS (SELECT *, content_ok AND auth_reason IS NULL AS eligible FROM base),
 rk AS (
   SELECT *, CASE WHEN eligible THEN row_number() OVER (
            PARTITION BY eligible, tenant_id, epoch_us(arrival_ts) // 60000000
@@ -221,7 +228,7 @@ gated AS (
 reasoned AS (
   SELECT *,
     CASE WHEN NOT content_ok THEN 'content_required'
-         WHEN tenant_id IS NULL THEN 'tenant_missing'
+         WHEN auth_reason IS NOT NULL THEN auth_reason
          WHEN NOT rate_ok THEN 'rate_limited'
          WHEN NOT survivor THEN 'daily_quota_exceeded'
          WHEN gate_reason IS NOT NULL THEN gate_reason
@@ -230,14 +237,14 @@ reasoned AS (
          ELSE 'ok' END AS reason
   FROM gated),
 decided AS (
-  SELECT message_id, CASE WHEN reason = 'tenant_missing' THEN NULL ELSE tenant_id END AS tenant_id,
+  SELECT message_id, CASE WHEN auth_reason IS NULL THEN tenant_id END AS tenant_id,
          correlation_id, reason,
          CASE reason WHEN 'ok' THEN 'accepted' WHEN 'duplicate_idempotency_key' THEN 'duplicate'
               ELSE 'rejected' END AS decision,
          CAST(CASE WHEN reason IN ('ok', 'duplicate_idempotency_key') THEN 202
               WHEN reason = 'content_required' THEN 400
               WHEN reason = 'redis_publish_failed' THEN 503
-              WHEN reason = 'tenant_missing' THEN 401 ELSE 429 END AS INTEGER) AS http_status,
+              WHEN reason = auth_reason THEN 401 ELSE 429 END AS INTEGER) AS http_status,
          CASE WHEN rate_ok AND {quota} > 0 THEN rank_in_day END AS quota_count,
          CASE WHEN reason = 'ok' THEN correlation_id
               WHEN reason = 'duplicate_idempotency_key' THEN

@@ -468,3 +468,10 @@ def q_normalise_stages(spark, sf_dir):
     h = fx.gapped_records(spark, sf_dir)
     stages = [records.normalise(h, stage).withColumn("stage", F.lit(stage)) for stage in ("dispatch", "storage", "read")]
     return stages[0].unionByName(stages[1]).unionByName(stages[2])
+
+
+@register("admission_with_tokens")
+def q_admission_with_tokens(spark, sf_dir):
+    """C01 with bearer tokens: a valid token names the tenant, an invalid one is a 401."""
+    return admission_decisions(_audited_requests(spark, sf_dir), fx.claims(spark, sf_dir),
+                               fx.retry_entries(spark, sf_dir), **C01_PARAMS)

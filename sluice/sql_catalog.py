@@ -637,3 +637,5 @@ SELECT seq, 'storage', tenant_id, coalesce(user_id, 'unknown'), coalesce(channel
 UNION ALL
 SELECT seq, 'read', tenant_id, coalesce(user_id, 'unknown'), coalesce(channel, 'default'), coalesce(content, ''),
        coalesce(correlation_id, ''), coalesce(error, ''), coalesce(attempt, 0), coalesce(status, 'unknown') FROM gaps""", "history")
+
+SQL["admission_with_tokens"] = admission_sql(1, 50, 3000, 0, publish=True, tokens=True)
