@@ -189,17 +189,19 @@ def current_subscriptions(verdicts: DataFrame, session_col: str = "session_id",
     return newest_per_key(acc, [session_col], [order_col], 1)
 
 
-# Fixed values of the gateway routes (method, path) and their names.
-ROUTES_EXACT = [("GET", "/health", "health", 200), ("GET", "/metrics", "metrics", 200),
-                ("GET", "/ws", "websocket", 101), ("POST", "/v1/internal/deliver", "internal_deliver", 200),
-                ("POST", "/v1/notifications", "submit", 202)]
-NOTIFICATION_PREFIX = "/v1/notifications/"
-TENANT_PREFIX = "/v1/tenants/"
+# Fixed values of the routes (method, path, name, nominal status) of both services that answer reads.
+GATEWAY_ROUTES = [("GET", "/health", "health", 200), ("GET", "/metrics", "metrics", 200),
+                  ("GET", "/ws", "websocket", 101), ("POST", "/v1/internal/deliver", "internal_deliver", 200),
+                  ("POST", "/v1/notifications", "submit", 202)]
+STORAGE_ROUTES = [("GET", "/health", "health", 200), ("POST", "/v1/internal/idempotency/claim", "claim", 200),
+                  ("POST", "/v1/internal/idempotency/release", "release", 200), ("POST", "/v1/internal/store", "store", 200)]
+GATEWAY_PREFIXES = ("/v1/notifications/", "/v1/tenants/")
+STORAGE_PREFIXES = ("/v1/internal/notifications/", "/v1/internal/tenants/")
 DELIVERIES_SUFFIX = "/deliveries"
 
 
-def route_requests(df: DataFrame, method_col: str = "method", path_col: str = "path") -> DataFrame:
-    """classify an access log into routes with ids, tenant and limit.
+def route_requests(df: DataFrame, method_col: str = "method", path_col: str = "path", service: str = "gateway") -> DataFrame:
+    """classify an access log of the gateway or of the storage service into routes with ids, tenant and limit.
 
     Adds ``route``, ``http_status`` (nominal: 404 unknown, 400 missing
     ``tenant_id``), ``resource_id``, ``tenant_id`` and ``limit`` (history
@@ -207,14 +209,15 @@ def route_requests(df: DataFrame, method_col: str = "method", path_col: str = "p
     """
     m, p = F.col(method_col), F.col(path_col)
     bare = F.substring_index(p, "?", 1)
-    np_len, tp_len, ds_len = len(NOTIFICATION_PREFIX), len(TENANT_PREFIX), len(DELIVERIES_SUFFIX)
-    is_note = (m == "GET") & bare.startswith(NOTIFICATION_PREFIX) & (F.length(bare) > np_len)
+    exact, (note_prefix, tenant_prefix) = {"gateway": (GATEWAY_ROUTES, GATEWAY_PREFIXES), "storage": (STORAGE_ROUTES, STORAGE_PREFIXES)}[service]
+    np_len, tp_len, ds_len = len(note_prefix), len(tenant_prefix), len(DELIVERIES_SUFFIX)
+    is_note = (m == "GET") & bare.startswith(note_prefix) & (F.length(bare) > np_len)
     tenant_part = F.substring(bare, tp_len + 1, 1 << 30)
-    is_deliv = ((m == "GET") & bare.startswith(TENANT_PREFIX) & (F.length(bare) > tp_len)
+    is_deliv = ((m == "GET") & bare.startswith(tenant_prefix) & (F.length(bare) > tp_len)
                 & (F.length(tenant_part) > ds_len) & tenant_part.endswith(DELIVERIES_SUFFIX))
     route = F.lit(None).cast("string")
     status = F.lit(None).cast("int")
-    for meth, path, name, code in ROUTES_EXACT[:3]:
+    for meth, path, name, code in exact:
         cond = (m == meth) & (bare == path)
         route = F.when(route.isNull() & cond, F.lit(name)).otherwise(route)
         status = F.when(status.isNull() & cond, F.lit(code)).otherwise(status)
@@ -224,10 +227,6 @@ def route_requests(df: DataFrame, method_col: str = "method", path_col: str = "p
     status = F.when(status.isNull() & is_note, note_status).otherwise(status)
     route = F.when(route.isNull() & is_deliv, F.lit("tenant_deliveries")).otherwise(route)
     status = F.when(status.isNull() & is_deliv, F.lit(200)).otherwise(status)
-    for meth, path, name, code in ROUTES_EXACT[3:]:
-        cond = (m == meth) & (bare == path)
-        route = F.when(route.isNull() & cond, F.lit(name)).otherwise(route)
-        status = F.when(status.isNull() & cond, F.lit(code)).otherwise(status)
     route = F.coalesce(route, F.lit("not_found"))
     status = F.coalesce(status, F.lit(404))
     limit_raw = query_param(p, "limit")

@@ -475,3 +475,10 @@ def q_admission_with_tokens(spark, sf_dir):
     """C01 with bearer tokens: a valid token names the tenant, an invalid one is a 401."""
     return admission_decisions(_audited_requests(spark, sf_dir), fx.claims(spark, sf_dir),
                                fx.retry_entries(spark, sf_dir), **C01_PARAMS)
+
+
+@register("route_storage_requests")
+def q_route_storage_requests(spark, sf_dir):
+    """F09 (storage service): route, status, id, tenant and limit of every request."""
+    return validation.route_requests(fx.storage_log(spark, sf_dir), service="storage").select(
+        "request_id", "route", "http_status", "resource_id", "tenant_id", "limit")

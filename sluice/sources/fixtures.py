@@ -337,3 +337,21 @@ def gapped_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status records with missing fields, each field by its own modulus of ``seq``."""
     gaps = {"tenant_id": 3, "user_id": 5, "channel": 7, "content": 11, "correlation_id": 13, "error": 2, "attempt": 17, "status": 19}
     return history(spark, sf_dir).select("seq", *[F.when(F.col("seq") % n != 0, F.col(c)).alias(c) for c, n in gaps.items()])
+
+
+def storage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HTTP requests to the storage service covering every route of it, and paths it does not know."""
+    e = _events(spark, sf_dir)
+    eid = F.col("event_id")
+    d = eid % 10
+    ten = F.concat(F.lit("tenant-"), (F.col("user_id") % 5).cast("string"))
+    note = F.concat(F.lit("/v1/internal/notifications/n-"), F.expr("event_id div 4").cast("string"))
+    tenant = F.concat(F.lit("/v1/internal/tenants/"), ten)
+    lim = F.element_at(F.array(*[F.lit(x) for x in LIMIT_TEXTS]), (F.expr("event_id div 10") % 4 + 1).cast("int"))
+    path = (F.when(d == 0, F.lit("/health")).when(d == 1, F.lit("/v1/internal/idempotency/claim"))
+             .when(d == 2, F.lit("/v1/internal/idempotency/release")).when(d == 3, F.lit("/v1/internal/store"))
+             .when(d == 4, F.concat(note, F.lit("?tenant_id="), ten)).when(d == 5, note)
+             .when(d == 6, F.concat(tenant, F.lit("/deliveries?limit="), lim)).when(d == 7, F.concat(tenant, F.lit("/deliveries")))
+             .when(d == 8, F.lit("/v1/notifications")).otherwise(tenant))
+    method = F.when(d.isin(1, 2, 3) & (eid % 30 < 20), F.lit("POST")).otherwise(F.lit("GET"))
+    return e.select(eid.alias("request_id"), method.alias("method"), path.alias("path"))

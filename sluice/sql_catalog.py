@@ -639,3 +639,31 @@ SELECT seq, 'read', tenant_id, coalesce(user_id, 'unknown'), coalesce(channel, '
        coalesce(correlation_id, ''), coalesce(error, ''), coalesce(attempt, 0), coalesce(status, 'unknown') FROM gaps""", "history")
 
 SQL["admission_with_tokens"] = admission_sql(1, 50, 3000, 0, publish=True, tokens=True)
+
+SQL["route_storage_requests"] = """
+WITH log AS (
+  SELECT event_id AS request_id, CASE WHEN event_id % 10 IN (1, 2, 3) AND event_id % 30 < 20 THEN 'POST' ELSE 'GET' END AS method,
+         CASE event_id % 10
+           WHEN 0 THEN '/health' WHEN 1 THEN '/v1/internal/idempotency/claim' WHEN 2 THEN '/v1/internal/idempotency/release'
+           WHEN 3 THEN '/v1/internal/store'
+           WHEN 4 THEN '/v1/internal/notifications/n-' || CAST(event_id // 4 AS VARCHAR) || '?tenant_id=tenant-' || CAST(user_id % 5 AS VARCHAR)
+           WHEN 5 THEN '/v1/internal/notifications/n-' || CAST(event_id // 4 AS VARCHAR)
+           WHEN 6 THEN '/v1/internal/tenants/tenant-' || CAST(user_id % 5 AS VARCHAR) || '/deliveries?limit='
+                       || (['7', '0', '9999', 'abc'])[(event_id // 10) % 4 + 1]
+           WHEN 7 THEN '/v1/internal/tenants/tenant-' || CAST(user_id % 5 AS VARCHAR) || '/deliveries'
+           WHEN 8 THEN '/v1/notifications' ELSE '/v1/internal/tenants/tenant-' || CAST(user_id % 5 AS VARCHAR) END AS path,
+         event_id, user_id
+  FROM events),
+routed AS (
+  SELECT *, CASE event_id % 10 WHEN 0 THEN 'health' WHEN 4 THEN 'notification_state' WHEN 5 THEN 'notification_state'
+                 WHEN 6 THEN 'tenant_deliveries' WHEN 7 THEN 'tenant_deliveries' ELSE
+            CASE WHEN method = 'POST' AND path = '/v1/internal/idempotency/claim' THEN 'claim'
+                 WHEN method = 'POST' AND path = '/v1/internal/idempotency/release' THEN 'release'
+                 WHEN method = 'POST' AND path = '/v1/internal/store' THEN 'store' ELSE 'not_found' END END AS route
+  FROM log)
+SELECT request_id, route,
+       CAST(CASE WHEN route = 'not_found' THEN 404 WHEN event_id % 10 = 5 THEN 400 ELSE 200 END AS INTEGER) AS http_status,
+       CASE WHEN route = 'notification_state' THEN 'n-' || CAST(event_id // 4 AS VARCHAR) END AS resource_id,
+       CASE WHEN event_id % 10 IN (4, 6, 7) THEN 'tenant-' || CAST(user_id % 5 AS VARCHAR) END AS tenant_id,
+       CAST(CASE event_id % 10 WHEN 7 THEN 50 WHEN 6 THEN (ARRAY[7, 1, 500, 50])[(event_id // 10) % 4 + 1] END AS INTEGER) AS "limit"
+FROM routed"""
