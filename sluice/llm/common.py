@@ -68,8 +68,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), "llm", f"{name}-{uuid.uuid4().hex}")
 
 
+# Rows and bytes that a Python worker gets at a time; long texts make large batches otherwise.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers once per Spark application."""
+    """Send this package to the Python workers once per Spark application; keep batches small where the session does not say."""
+    for key, value in BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     sc = spark.sparkContext
     if getattr(sc, "_llm_shipped", False):
         return

@@ -34,6 +34,7 @@ STEM_SIZES = range(3, 10)
 MIN_WEIGHT = 2.0
 MAX_TERMS = 5_000
 MAX_PHRASES = 1_000
+HELD_TERMS = 100_000
 
 # Letters of other scripts that look like Latin ones, and digits or signs that stand for letters.
 LOOKALIKES = dict(zip("аεеорсухіјѕԁһкмтвɡαβικνορτυχ", "aeeopcyxijsdhkmtbgabiknoptux"))
@@ -182,12 +183,21 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     def count_terms(only: frozenset[str] | None):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found: tuple[Counter, Counter] = (Counter(), Counter())
+
+            def counts() -> pd.DataFrame:
+                names = list(found[0].keys() | found[1].keys())
+                out = pd.DataFrame({"term": names, "p": [found[0][t] for t in names], "n": [found[1][t] for t in names]})
+                found[0].clear()
+                found[1].clear()
+                return out
+
             for batch in batches:
                 for text, toxic in zip(batch["text"], batch["toxic"]):
                     have = terms_of(fold(text))
                     found[1 - toxic].update(have if only is None else have & only)
-            names = list(found[0].keys() | found[1].keys())
-            yield pd.DataFrame({"term": names, "p": [found[0][t] for t in names], "n": [found[1][t] for t in names]})
+                    if len(found[0]) + len(found[1]) > HELD_TERMS:  # partial counts; Spark sums them
+                        yield counts()
+            yield counts()
         return run
 
     def counted(part: DataFrame, only: frozenset[str] | None) -> DataFrame:
