@@ -6,10 +6,13 @@ assignments to secret-like names, long keys.  Boosted trees score every proposal
 odds are calibrated per kind on held-back proposals, and a proposal whose probability reaches the kind's threshold is
 selected.  Of overlapping selections the likeliest stays; none overlaps a base span.
 
-No document carries labels for personal data, so the trees learn from self-evident cases: a proposal that agrees with a base span,
-or with a secret's fixed prefix, is a positive, any other a negative.  The checks that make a case self-evident (digit sums,
-ranges, fixed prefixes) are no features, so proposals that look like positives in like contexts are selected too.  The fit
-uses the proposals of at most ``max_documents`` documents (smallest hash of doc_id) and at most ``max_candidates`` of them.
+No document carries labels for personal data, so the trees learn from self-evident cases.  Positives agree with a base span, pass
+the check of their kind (mod 97 for accounts, the email pattern for the plain form of an "(at)" address, a secret's fixed prefix)
+or follow a word of their kind; negatives fail the check of their kind without such a word, or lie on a base span of another
+kind; all other proposals are unlabelled and left out of fit and calibration.  The checks are no features, so proposals that look like
+positives in like contexts are selected too; an obfuscated address is measured in its plain form.  Accounts, "(at)" addresses
+and prefixed secrets that pass their check are selected whatever the trees say.  The fit uses the labelled proposals of at most
+``max_documents`` documents (smallest hash of doc_id) and at most ``max_candidates`` of them.
 
 Null text is empty text.  Offsets are code points, ends exclusive.  Repeated rows are answered alike.  An empty table gives an empty result.
 Only doc_id and text are read; ``redact`` also keeps the other columns.
@@ -56,11 +59,19 @@ GENERATORS = (
     ("assigned", re.compile(r"[:=]"), re.compile(r"\b(?:pass(?:word|wd)?|token|secret|api[_-]?key|access[_-]?key|auth|private[_-]?key)\b ?[:=] ?[\"']?([^\s\"']{6,256})", re.I)),
     ("key", _DIGIT, re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{16,512}(?![A-Za-z0-9+/_-])")),
 )
+_SIGN = re.compile(r" ?(?:\(at\)|\[at\]|@) ?", re.I)
+_DOT = re.compile(r" ?(?:\(dot\)|\[dot\]|\.) ?", re.I)
+_OBFUSCATED = re.compile(r"[(\[](?:at|dot)[)\]]", re.I)
+_SENTENCE = re.compile(r"(?<! )\. ")
+_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
+_ASSIGNED = re.compile(r"(?:password|token|secret|key) ?[:=] ?[\"']?$", re.I)
+_WORDY = re.compile(r"[+/_-]*(?:[A-Za-z]+|[0-9]+)(?:[+/_-]+(?:[A-Za-z]+|[0-9]+))*[+/_-]*")  # words and numbers, as in a path
 _SEED_SECRET = re.compile(r"AKIA[A-Z0-9]{16}$|ghp_[A-Za-z0-9]{36}$|sk-[A-Za-z0-9]{20,}$")
 _CONTEXT_WORDS = (re.compile(r"\b(?:call|tel|phone|fax|mobile|cell)\b", re.I), re.compile(r"\b(?:mail|contact|write|e-mail)\b", re.I),
                   re.compile(r"\b(?:card|visa|credit|pay|iban|account|konto|compte|cuenta)\b", re.I),
                   re.compile(r"(?:pass|token|secret|key|auth)", re.I), re.compile(r"\b(?:ip|host|server|address|addr)\b", re.I),
                   re.compile(r"\b(?:version|release|section|isbn|issn|doi|page|id|nr|no)\b", re.I))
+_WORD_OF = {"phone": _CONTEXT_WORDS[0], "card": _CONTEXT_WORDS[2], "account": _CONTEXT_WORDS[2], "secret": _CONTEXT_WORDS[3], "ip": _CONTEXT_WORDS[4]}
 
 
 def luhn(digits: str) -> bool:
@@ -73,6 +84,17 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def mod97(value: str) -> bool:
+    """Whether a bank account number has the length and the check digits of an IBAN."""
+    plain = value.replace(" ", "")
+    return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def plain_address(value: str) -> str:
+    """An address with its sign and dots put right."""
+    return _DOT.sub(".", _SIGN.sub("@", value))
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the fixed patterns, by start and then kind."""
     out = []
@@ -116,13 +138,18 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             for m in pattern.finditer(text):
                 s, e = m.span(m.re.groups and 1)
                 out.add((s, e, kind_of(name, text[s:e])))
+                if name == "at" and (stop := _SENTENCE.search(text, s, e)):  # the address may end its sentence
+                    out.add((s, stop.start(), "email"))
+                if name == "account" and not mod97(text[s:e]):  # words in capitals may follow the number
+                    ends = [k for k in range(s, e) if text[k] == " " and mod97(text[s:k])]
+                    out.update((s, k, "account") for k in ends[-1:])
     return sorted(out)
 
 
 def features(text: str, span: tuple[int, int, str]) -> list[float]:
     """Format and context of a proposal, without the checks that label it."""
     start, end, kind = span
-    value = text[start:end]
+    value = plain_address(text[start:end]) if kind == "email" else text[start:end]
     n = len(value)
     digits = sum(c.isdigit() for c in value)
     upper, lower = sum(c.isupper() for c in value), sum(c.islower() for c in value)
@@ -138,18 +165,47 @@ def features(text: str, span: tuple[int, int, str]) -> list[float]:
             *[float(bool(w.search(before))) for w in _CONTEXT_WORDS]]
 
 
-def self_evident(text: str, span: tuple[int, int, str], base: list[tuple[int, int, str]]) -> bool:
-    """Whether a proposal agrees with a base span of its kind, or a secret has a fixed prefix or is assigned as one."""
+def certain(value: str, kind: str) -> bool:
+    """Whether a value passes a check that hardly any other text passes."""
+    if kind == "account":
+        return mod97(value)
+    if kind == "email":
+        return bool(_OBFUSCATED.search(value)) and not _SENTENCE.search(value) and bool(_ADDRESS.fullmatch(plain_address(value)))
+    return kind == "secret" and bool(_SEED_SECRET.match(value))
+
+
+def evidence(text: str, span: tuple[int, int, str], base: list[tuple[int, int, str]]) -> int:
+    """1: a proposal is self-evident; -1: it is evidently something else; 0: unlabelled."""
     start, end, kind = span
-    if kind == "secret":
-        value = text[start:end]
-        return bool(_SEED_SECRET.match(value)) or bool(re.search(r"(?:password|token|secret|key) ?[:=] ?[\"']?$", text[max(0, start - CONTEXT):start], re.I))
+    value, before = text[start:end], text[max(0, start - CONTEXT):start]
     i = bisect_left(base, (start - 2, -1, ""))
-    return any(k == kind and abs(s - start) <= 2 and abs(e - end) <= 2 for s, e, k in base[i:i + 4])
+    if any(k == kind and abs(s - start) <= 2 and abs(e - end) <= 2 for s, e, k in base[i:i + 4]):
+        return 1
+    if certain(value, kind) or (kind == "secret" and _ASSIGNED.search(before)):
+        return 1
+    over = {k for s, e, k in base[max(0, i - 4):i + 4] if s < end and start < e}
+    if over:
+        return 0 if kind in over else -1
+    said, denied = kind in _WORD_OF and bool(_WORD_OF[kind].search(before)), bool(_CONTEXT_WORDS[5].search(before))
+    if kind == "email":  # without a dotted domain it is no address
+        return 0 if _ADDRESS.fullmatch(plain_address(value)) else -1
+    if kind == "card":
+        right = luhn(_NON_DIGIT.sub("", value))
+        return int(said and not denied) if right else 0 if said else -1
+    if kind == "phone":
+        inside = text[start - 1:start].isalnum() or text[end:end + 1].isalnum()
+        if inside or len(_NON_DIGIT.sub("", value)) > 15:
+            return -1
+        if said:
+            return int(not denied)
+        return -1 if denied or value.isdigit() else 0  # a bare run of digits is a count
+    if kind == "secret":
+        return 0 if said else -1 if denied or _WORDY.fullmatch(value) else 0
+    return 0 if said else -1  # ip, account
 
 
 class Detector:
-    """Trees, calibration and thresholds by kind; None selects nothing."""
+    """Trees, calibration and thresholds by kind; without trees only what is certain is selected."""
 
     def __init__(self, trees: BoostedTrees | None, calibration: dict[str, tuple[float, float]], thresholds: dict[str, float]):
         self.trees, self.calibration, self.thresholds = trees, calibration, thresholds
@@ -162,8 +218,6 @@ class Detector:
     def select(self, texts: list[str], bases: list[list[tuple[int, int, str]]]) -> list[list[tuple[int, int, str]]]:
         """The added spans of every text."""
         out: list[list] = [[] for _ in texts]
-        if self.trees is None:
-            return out
         which, spans, rows = [], [], []
         for i, text in enumerate(texts):
             for c in candidates(text):
@@ -173,10 +227,11 @@ class Detector:
         if not rows:
             return out
         kinds = [s[2] for s in spans]
-        p = self.probabilities(np.array(rows), kinds)
+        sure = np.array([certain(texts[i][s:e], k) for i, (s, e, k) in zip(which, spans)])
+        p = np.where(sure, 1.0, self.probabilities(np.array(rows), kinds) if self.trees is not None else 0.0)
         taken = [sorted((s, e) for s, e, _ in b) for b in bases]
-        for k in np.lexsort(([s[0] for s in spans], which, -p)):
-            if p[k] < self.thresholds.get(kinds[k], 2.0):
+        for k in np.lexsort(([-s[1] for s in spans], [s[0] for s in spans], which, -p, ~sure)):
+            if not sure[k] and p[k] < self.thresholds.get(kinds[k], 2.0):
                 continue
             start, end, _ = spans[k]
             held = taken[which[k]]
@@ -206,7 +261,7 @@ def calibrate(odds: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def learn(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, max_candidates: int = MAX_CANDIDATES, precision: float = PRECISION) -> Detector:
-    """Fit on the proposals of a bounded sample of documents; a quarter of them is held back for calibration."""
+    """Fit on the labelled proposals of a bounded sample of documents; a quarter of them is held back for calibration."""
     ship(docs.sparkSession)
     ids = docs.where("doc_id is not null and text is not null").select("doc_id").distinct() \
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents)
@@ -218,8 +273,11 @@ def learn(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, max_candidates: i
             for text in batch["text"]:
                 base = base_spans(text)
                 for c in candidates(text):
+                    label = evidence(text, c, base)
+                    if not label:
+                        continue
                     key = hashlib.md5(f"{c[2]}|{text[max(0, c[0] - 8):c[1] + 8]}".encode("utf-8", "surrogatepass")).hexdigest()
-                    rows.append((key, c[2], features(text, c), int(self_evident(text, c, base))))
+                    rows.append((key, c[2], features(text, c), int(label > 0)))
             yield pd.DataFrame(rows, columns=["key", "kind", "x", "y"])
 
     found = sample.mapInPandas(measure, "key string, kind string, x array<double>, y int") \

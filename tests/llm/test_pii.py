@@ -98,3 +98,38 @@ def test_calibration_is_near_the_rates():
     y = (rnd.random(4000) < 1 / (1 + np.exp(-(0.5 * odds - 1)))).astype(float)
     a, b = pii.calibrate(odds, y)
     assert abs(a - 0.5) < 0.08 and abs(b + 1) < 0.15
+
+
+def iban(rnd, country="DE", n=18):
+    digits = "".join(rnd.choice("0123456789") for _ in range(n))
+    check = 98 - int("".join(str(int(c, 36)) for c in digits + country + "00")) % 97
+    plain = f"{country}{check:02d}{digits}"
+    return " ".join(plain[i:i + 4] for i in range(0, len(plain), 4))
+
+
+def test_accounts_and_at_addresses_are_learned_and_selected(spark):
+    rnd = random.Random(4)
+    rows = [(d, f"{text} and {rnd.choice([f'pay to {iban(rnd)} soon', f'jo{d} (at) mail{d % 5} (dot) example.com wrote', f'part AB12 {rnd.randint(1000, 9999)} {rnd.randint(1000, 9999)} here'])}")
+            for d, text in corpus(rnd, 600)]
+    one, two = iban(rnd), iban(rnd, "BE", 12)
+    odd = [(9000, f"see {one} there"), (9001, f"see {two} PAID there"), (9002, "write ann.lee (at) example (dot) org. Then rest"), (9003, "look (at) this")]
+    docs = docs_of(spark, rows + odd)
+    detector = pii.learn(docs)
+    assert {"account", "email"} <= detector.thresholds.keys()
+    assert pii.Detector(None, {}, {}).select([odd[0][1]], [[]]) == [[(4, 4 + len(one), "account")]]
+    got = {r.doc_id: r.spans for r in pii.detect(docs, detector).collect()}
+    assert got[9000] == f"account:4:{4 + len(one)}" and got[9001] == f"account:4:{4 + len(two)}"
+    assert got[9002] == f"email:6:{odd[2][1].index('. Then')}" and got[9003] == ""
+    for d, text in rows:
+        for kind, pattern in (("account", r"(?<=pay to )DE[0-9 ]+[0-9]"), ("email", r"jo[0-9]+ \(at\) \S+ \(dot\) example\.com")):
+            for m in re.finditer(pattern, text):
+                assert f"{kind}:{m.start()}:{m.end()}" in got[d].split(",")
+
+
+def test_unlabelled_proposals_are_no_negatives():
+    def label(text, kind):
+        return {pii.evidence(text, c, pii.base_spans(text)) for c in pii.candidates(text) if c[2] == kind}
+    assert label("ring 555-123-4567 then", "phone") == {0} and label("call 555-123-4567 then", "phone") == {1}
+    assert label("the 12345678 things", "phone") == {-1} and label("at 10.20.30.40 now", "phone") == {-1}
+    assert label("card 4111 1111 1111 1112 now", "card") == {0} and label("the 4111 1111 1111 1112 now", "card") == {-1}
+    assert label("bob (at) example (dot) com", "email") == {1} and label("look (at) this", "email") == {-1}
