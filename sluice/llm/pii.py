@@ -50,14 +50,15 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NON_DIGIT = re.compile(r"[^0-9]+")
 
-# Generators: (name, needed characters, pattern).  Each pattern scans in time linear in the text.
+# Generators: (name, needed characters, pattern).  Each pattern scans in time linear in the text: a run is entered at its start only
+# and taken whole, whatever its length.
 GENERATORS = (
     ("number", _DIGIT, re.compile(r"(?<![0-9])\+?[0-9](?:[ ().-]{0,2}[0-9]){6,}")),
-    ("dotted", _DIGIT, re.compile(r"(?<![0-9.])[0-9]{1,5}(?:\.[0-9]{1,5}){3,}")),
+    ("dotted", _DIGIT, re.compile(r"(?<![0-9.])[0-9]++(?:\.[0-9]++){3,}")),
     ("account", _DIGIT, re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,8}(?: ?[A-Z0-9]{1,3})?\b")),
-    ("at", re.compile(r"@|\bat\b", re.I), re.compile(r"(?<![^\s<(\[\"',;:])[A-Za-z0-9._%+-]{1,64} ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{1,63})*", re.I)),
-    ("assigned", re.compile(r"[:=]"), re.compile(r"\b(?:pass(?:word|wd)?|token|secret|api[_-]?key|access[_-]?key|auth|private[_-]?key)\b ?[:=] ?[\"']?([^\s\"']{6,256})", re.I)),
-    ("key", _DIGIT, re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{16,512}(?![A-Za-z0-9+/_-])")),
+    ("at", re.compile(r"@|\bat\b", re.I), re.compile(r"(?<![^\s<(\[\"',;:])[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)*", re.I)),
+    ("assigned", re.compile(r"[:=]"), re.compile(r"\b(?:pass(?:word|wd)?|token|secret|api[_-]?key|access[_-]?key|auth|private[_-]?key)\b ?[:=] ?[\"']?([^\s\"']{6,})", re.I)),
+    ("key", _DIGIT, re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+")),
 )
 _SIGN = re.compile(r" ?(?:\(at\)|\[at\]|@) ?", re.I)
 _DOT = re.compile(r" ?(?:\(dot\)|\[dot\]|\.) ?", re.I)

@@ -133,3 +133,20 @@ def test_unlabelled_proposals_are_no_negatives():
     assert label("the 12345678 things", "phone") == {-1} and label("at 10.20.30.40 now", "phone") == {-1}
     assert label("card 4111 1111 1111 1112 now", "card") == {0} and label("the 4111 1111 1111 1112 now", "card") == {-1}
     assert label("bob (at) example (dot) com", "email") == {1} and label("look (at) this", "email") == {-1}
+
+
+def test_long_values_are_proposed_whole():
+    rnd = random.Random(9)
+    blob = "".join(rnd.choice("abcdefXYZ0123456789") for _ in range(3000))
+    for value, kind, lead in ((blob, "secret", "token = "), (blob, "secret", "the "), ("q" * 400 + "7" + "q" * 400, "secret", "the "), ("a" * 300 + "(at)example.com", "email", "write "),
+                              ("joe (at) " + "b" * 200 + ".com", "email", "write "), ("1.2.3.4567890", "ip", "see ")):
+        assert (len(lead), len(lead) + len(value), kind) in pii.candidates(f"{lead}{value} end")
+    for text in ("a" * 200_000, "token=" * 30_000, "a1" * 100_000, "a." * 100_000, "1." * 100_000, "a (at) " * 30_000, "a@b." * 50_000):
+        pii.candidates(text)  # in linear time
+    text = f"token = {blob} end"
+    assert pii.Detector(FlatTrees(), {}, {"secret": 0.5}).select([text], [[]]) == [[(8, 3008, "secret")]]
+
+
+class FlatTrees:
+    def score(self, x):
+        return np.ones(len(x))
