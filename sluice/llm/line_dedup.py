@@ -13,8 +13,8 @@ Most lines have no neighbour.  An exact sieve finds those first: within one edit
 equal, so only lines that share a half (for their own length or one more) with another line give out variants, and only those
 of the other half.  Equal lines are collapsed before anything else.  Candidates are verified on the words themselves.
 
-Lines without words are never repeats.  Null text has no lines.  Rows that share a doc_id count as one document; a null doc_id sorts
-first.  Empty tables give empty results.  Other columns are kept by ``dedup``; n_chars is made anew if it is there.
+Lines without words are never repeats.  Null text has no lines.  Of lines at one place (rows that share a doc_id, or have none) no
+one is earlier; rows are told apart by a hash of doc_id and text.  A null doc_id sorts first.  Empty tables give empty results.  Other columns are kept by ``dedup``; n_chars is made anew if it is there.
 """
 
 from __future__ import annotations
@@ -34,10 +34,10 @@ MIN_WORDS = 8
 _U = np.uint64
 _MULTIPLIERS = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-LINES = "doc_id long, line_no int, n_words int, h1 long, h2 long"
+LINES = "doc_id long, row long, line_no int, n_words int, h1 long, h2 long"
 HALVES = ", half0 long, half1 long, half2 long, half3 long"
 REPLACED, GAINED, WHOLE = 0, 1, 2  # what a key says: one word differs, one word more than the whole line, the whole line
-VARIANTS = "k1 long, k2 long, kind int, doc_id long, line_no int"
+VARIANTS = "k1 long, k2 long, kind int, doc_id long, row long, line_no int"
 
 
 def _tables(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,6 +107,12 @@ class LineTable:
         self.h2 = signed(mix(Spans(words.hash, 1).hash(self.lo, self.hi) + salt))
 
 
+def rows_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, text); ``row`` tells rows of one doc_id apart, unless their texts are equal too."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.select("doc_id", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text").alias("row"), "text")
+
+
 def lines(docs: DataFrame, halves: bool = False) -> DataFrame:
     """All lines with words: their place, number of words and 128-bit hash, and on request the keys of their halves."""
     ship(docs.sparkSession)
@@ -114,25 +120,25 @@ def lines(docs: DataFrame, halves: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in row_slices(batch.column(1)):
-                t = LineTable(batch.column(1).slice(a, b - a))
+            for a, b in row_slices(batch.column(2)):
+                t = LineTable(batch.column(2).slice(a, b - a))
                 keys = [pa.array(signed(k)) for k in _half_keys(t.spans, t.lo, t.hi)] if halves else []
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(a + t.row)), pa.array(t.line), pa.array((t.hi - t.lo).astype(np.int32)), pa.array(t.h1), pa.array(t.h2),
+                    [*(batch.column(c).take(pa.array(a + t.row)) for c in (0, 1)), pa.array(t.line), pa.array((t.hi - t.lo).astype(np.int32)), pa.array(t.h1), pa.array(t.h2),
                      *keys], [c.split()[0] for c in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return rows_of(docs).mapInArrow(run, schema)
 
 
 def variants(active: DataFrame) -> DataFrame:
-    """Keys of the neighbourhood of the active lines (doc_id, line_no, shared, line); bit i of shared: half i is shared."""
+    """Keys of the neighbourhood of the active lines (doc_id, row, line_no, shared, line); bit i of shared: half i is shared."""
     ship(active.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared = batch.column(2).to_numpy(zero_copy_only=False)
-            for a, b in row_slices(batch.column(3), 1 << 18):
-                words = Words(batch.column(3).slice(a, b - a))
+            shared = batch.column(3).to_numpy(zero_copy_only=False)
+            for a, b in row_slices(batch.column(4), 1 << 18):
+                words = Words(batch.column(4).slice(a, b - a))
                 lo, hi = words.first[:-1], words.first[1:]
                 n, bits = hi - lo, shared[a:b]
                 middle = n // 2
@@ -154,9 +160,9 @@ def variants(active: DataFrame) -> DataFrame:
                 kind = np.repeat(np.array([REPLACED, GAINED, WHOLE], dtype=np.int32), (len(row), len(row), len(whole)))
                 take = pa.array(a + rows)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(keys[0])), pa.array(signed(keys[1])), pa.array(kind),
-                                                  batch.column(0).take(take), batch.column(1).take(take)], ["k1", "k2", "kind", "doc_id", "line_no"])
+                                                  *(batch.column(c).take(take) for c in range(3))], ["k1", "k2", "kind", "doc_id", "row", "line_no"])
 
-    return active.select("doc_id", "line_no", "shared", "line").mapInArrow(run, VARIANTS)
+    return active.select("doc_id", "row", "line_no", "shared", "line").mapInArrow(run, VARIANTS)
 
 
 def within_one_edit(a: str, b: str) -> bool:
@@ -180,8 +186,14 @@ def _words(line: str) -> list[str]:
     return [w for w in line.translate(_LOWER).translate(_SEPARATORS).split(" ") if w]
 
 
-def place(prefix: str = "") -> Column:
-    return F.struct(F.col(f"{prefix}doc_id").alias("doc_id"), F.col(f"{prefix}line_no").alias("line_no"))
+def place(of: str = "") -> Column:
+    """Where a line stands, or the line ``of`` (see ``own``)."""
+    return F.struct(F.col(f"{of}doc_id").alias("doc_id"), F.col(f"{of}line_no").alias("line_no"))
+
+
+def own() -> Column:
+    """The place and the row, which no two lines share; ordered by place."""
+    return F.struct("doc_id", "line_no", "row")
 
 
 def near(docs: DataFrame, distinct: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -190,60 +202,66 @@ def near(docs: DataFrame, distinct: DataFrame, min_words: int = MIN_WORDS) -> Da
         "first", F.posexplode(F.array("half0", "half1", "half2", "half3")).alias("i", "half"))
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
     mine = halves.join(shared, "half").groupBy("first").agg(F.bit_or(F.element_at(F.array(*map(F.lit, (1, 2, 4, 8))), F.col("i") + 1)).alias("shared"))
-    by_doc = mine.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("first.line_no", "shared")).alias("asked"))
+    by_row = mine.groupBy(F.col("first.row").alias("row"), F.coalesce("first.doc_id", F.lit(0)).alias("_id")) \
+        .agg(F.collect_list(F.struct("first.line_no", "shared")).alias("asked"))  # at most the row's own lines
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
+            out: tuple[list, list, list, list, list] = ([], [], [], [], [])
             for i in range(batch.num_rows):
-                text = batch.column(1)[i].as_py().split("\n")
-                for one in (o for o in batch.column(2)[i].as_py() if o["line_no"] < len(text)):
-                    for column, value in zip(out, (batch.column(0)[i].as_py(), one["line_no"], one["shared"], text[one["line_no"]])):
+                text = batch.column(2)[i].as_py().split("\n")
+                for one in (o for o in batch.column(3)[i].as_py() if o["line_no"] < len(text)):
+                    for column, value in zip(out, (batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), one["line_no"], one["shared"], text[one["line_no"]])):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.string()))],
-                                             ["doc_id", "line_no", "shared", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()))],
+                                             ["doc_id", "row", "line_no", "shared", "line"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    asked = texts.alias("t").join(by_doc.alias("a"), F.col("t.doc_id").eqNullSafe(F.col("a.doc_id"))).select("t.doc_id", "t.text", "a.asked")
-    active = stored(asked.mapInArrow(pick, "doc_id long, line_no int, shared int, line string"), "active_lines")
-    keys = variants(active).withColumn("own", place()).drop("doc_id", "line_no")
+    texts = rows_of(docs).where("text is not null").withColumn("_id", F.coalesce("doc_id", F.lit(0)))
+    asked = texts.join(by_row, ["row", "_id"]).dropDuplicates(["row", "_id"]).select("doc_id", "row", "text", "asked")  # equal rows ask once
+    active = stored(asked.mapInArrow(pick, "doc_id long, row long, line_no int, shared int, line string"), "active_lines")
+    keys = variants(active).withColumn("own", own()).drop("doc_id", "row", "line_no")
     least = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("own")))
     groups = keys.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), least(REPLACED).alias("replaced"), least(GAINED).alias("gained"),
                                           least(WHOLE).alias("whole")).where("n > 1").drop("n")
     other = F.when(F.col("kind") == REPLACED, F.col("replaced")).when(F.col("kind") == GAINED, F.col("whole")).otherwise(F.col("gained"))
-    found = keys.join(groups, ["k1", "k2"]).select("own", other.alias("other")).where("other < own") \
+    found = keys.join(groups, ["k1", "k2"]).select("own", other.alias("other")).where(place("other.") < place("own.")) \
         .groupBy("own").agg(F.min("other").alias("other"))
 
     @F.pandas_udf("boolean")
     def verified(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([within_one_edit(x, y) for x, y in zip(a, b)], dtype=bool)
 
-    line = active.select(place().alias("p"), "line")
+    line = active.select(own().alias("p"), "line")
     return found.join(line.select(F.col("p").alias("own"), F.col("line").alias("a")), "own") \
         .join(line.select(F.col("p").alias("other"), F.col("line").alias("b")), "other") \
         .where(verified("a", "b")).select(F.col("own").alias("first"), F.col("other").alias("keeper"))
 
 
-def judge(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Every line with words: kept, reason (exact, near) and the place of the line that it repeats."""
+def judged(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """As ``judge``, with the row that holds the line."""
     distinct = stored(lines(docs, halves=True).groupBy("h1", "h2").agg(
-        F.min(place()).alias("first"), F.count(F.lit(1)).alias("copies"),
+        F.min(own()).alias("first"), F.count(F.lit(1)).alias("copies"),
         *[F.max(c).alias(c) for c in ("n_words", "half0", "half1", "half2", "half3")]), "distinct_lines")
     keepers = near(docs, distinct, min_words)
     # Only classes with more than one line, or with a keeper, have something to say; all other lines stay.
     known = distinct.select("h1", "h2", "first", "copies").join(keepers, "first", "left").where("copies > 1 or keeper is not null").drop("copies")
-    exact = F.coalesce(place() != F.col("first"), F.lit(False))
+    exact = F.coalesce((place() != place("first.")) & F.col("first").isNotNull(), F.lit(False))
     keeper = F.when(F.col("keeper").isNotNull(), F.col("keeper")).when(exact, F.col("first"))
     return lines(docs).join(known, ["h1", "h2"], "left").select(
-        "doc_id", "line_no", "n_words", "h1", "h2", keeper.isNull().alias("kept"),
+        "doc_id", "row", "line_no", "n_words", "h1", "h2", keeper.isNull().alias("kept"),
         F.when(exact, F.lit("exact")).when(F.col("keeper").isNotNull(), F.lit("near")).alias("reason"),
         keeper["doc_id"].alias("keeper_doc_id"), keeper["line_no"].alias("keeper_line_no"))
 
 
+def judge(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Every line with words: kept, reason (exact, near) and the place of the line that it repeats."""
+    return judged(docs, min_words).drop("row")
+
+
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without repeated lines; documents of which no line with words is left go."""
-    gone = judge(docs, min_words).where("not kept").groupBy(F.col("doc_id").alias("_id")) \
-        .agg(F.collect_set(F.struct("line_no", "h1", "h2")).alias("_gone"))  # at most the document's own lines
+    gone = judged(docs, min_words).where("not kept").groupBy(F.col("row").alias("_row"), F.coalesce("doc_id", F.lit(0)).alias("_id")) \
+        .agg(F.collect_set(F.struct("line_no", "h1", "h2")).alias("_gone"))  # at most the row's own lines
 
     @F.pandas_udf("string")
     def rest(texts: pd.Series, gone: pd.Series) -> pd.Series:
@@ -260,8 +278,10 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return pd.Series(out)
 
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    own = docs.select(F.struct(*columns).alias("d"))  # in a struct no name of the caller's clashes
-    joined = own.join(gone, F.col("d.doc_id").cast("long").eqNullSafe(F.col("_id")), "left") \
+    whole = docs.select(F.struct(*columns).alias("d"))  # in a struct no name of the caller's clashes
+    doc_id = F.col("d.doc_id").cast("long")
+    row = F.xxhash64(doc_id, doc_id.isNull(), F.col("d.text").cast("string"))  # as in rows_of
+    joined = whole.join(gone, (row == F.col("_row")) & (F.coalesce(doc_id, F.lit(0)) == F.col("_id")), "left") \
         .withColumn("_text", rest(F.col("d.text").cast("string"), F.col("_gone"))).where("_gone is null or _text is not null")
     made = {"text": F.col("_text"), "n_chars": F.when(F.col("_gone").isNull(), F.col("d.n_chars")).otherwise(F.length("_text"))} \
         if "n_chars" in docs.columns else {"text": F.col("_text")}

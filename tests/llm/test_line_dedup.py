@@ -83,3 +83,17 @@ def test_verification():
     assert line_dedup.within_one_edit("a b c", "a c") and line_dedup.within_one_edit("a c", "a b c")
     assert line_dedup.within_one_edit("a b c", "a x c") and not line_dedup.within_one_edit("a b c", "a c b")
     assert not line_dedup.within_one_edit("a b c d", "a b")
+
+
+def test_near_lines_under_repeated_and_null_ids(spark):
+    line = [f"w{i}" for i in range(12)]
+    near = [" ".join([*line[:k], f"n{k}", *line[k + 1:]]) for k in (3, 7)]
+    other = [" ".join(f"{c}{i}" for i in range(12)) for c in "xyz"]
+    rows = [(1, " ".join(line)), (5, near[0]), (5, other[0]), (5, f"{other[1]}\n{near[1]}"), (6, near[0]), (6, near[0]), (7, other[2]), (7, other[2])]
+    got = sorted((r.doc_id, r.line_no, r.reason or "", r.keeper_doc_id) for r in line_dedup.judge(docs_of(spark, rows).repartition(3)).collect() if r.doc_id != 1)
+    assert got == [(5, 0, "", None), (5, 0, "", None), (5, 0, "near", 1), (5, 1, "near", 1), (6, 0, "exact", 1), (6, 0, "exact", 1), (7, 0, "", None), (7, 0, "", None)]
+    kept = sorted((r.doc_id, r.text) for r in line_dedup.dedup(docs_of(spark, rows)).collect())
+    assert kept == [(1, " ".join(line)), (5, other[0]), (5, other[1]), (7, other[2]), (7, other[2])]
+    nulls = [(None, f"{' '.join(line)}\n{near[0]}"), (None, f"{other[0]}\n{other[1]}"), (None, None), (None, other[2]), (2, near[1])]
+    kept = {(r.doc_id, r.text) for r in line_dedup.dedup(docs_of(spark, nulls)).collect()}
+    assert kept == {(None, " ".join(line)), (None, f"{other[0]}\n{other[1]}"), (None, None), (None, other[2])}
