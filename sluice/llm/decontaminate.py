@@ -4,7 +4,9 @@ Every benchmark item of ``MIN_WORDS`` words or more gives two windows, its first
 within 0.8 of its length.  A window's fingerprint is the 64-bit SimHash of its word pairs.  Documents are read in windows of the
 same sizes, a sixteenth of a window apart, whose fingerprints come from prefix sums.  The fingerprint has four blocks of 16
 bits; two fingerprints within ``RADIUS`` = 11 bits differ in at most 2 bits of some block, and the index lists every block
-value within 2 bits, so no fingerprint within the radius is missed.  What is found is verified: the item's place in the document
+value within 2 bits, so no fingerprint within the radius is missed.  Edits can move both windows beyond the radius, so the rarest
+shingles of every item are looked up as well, as many as weigh more than 1 - ``THRESHOLD`` of the item: a place without any of
+them is below the threshold.  What is found is verified: the item's place in the document
 follows from the window, and the weighted share of the item's distinct 5-word shingles found in the item-sized window there
 (widened by the step) must be at least ``THRESHOLD``.  A shingle's weight is the log of items over items that have it, plus one.
 
@@ -82,6 +84,9 @@ class Index:
             counts = bit_counts(pairs(w))
             for at in sorted({0, len(w) - size}):
                 windows[size].append((int(simhashes(counts, np.array([at]), size - 1)[0]), k, at))
+        self.rare: dict[float, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.steps = np.array([max(1, size_of(n) // 16) for n in self.lengths], dtype=np.int64)
+        self.n_shingles = np.array([len(s) for s in self.shingles], dtype=np.int64)
         self.sizes = {}
         for size, rows in windows.items():
             prints = np.array([r[0] for r in rows], dtype=_U)
@@ -94,6 +99,24 @@ class Index:
                 tables.append((first, (order // len(flips)).astype(np.int32)))
             self.sizes[size] = (prints, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), tables)
 
+    def rarest(self, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, first, item, place): shingles of which every place with at least ``threshold`` of an item holds one; those of key i
+        are the items and places from first[i] to first[i + 1]."""
+        if threshold not in self.rare:
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for k, (_, w) in enumerate(self.items):
+                order = np.argsort(-self.weights[k], kind="stable")
+                weight = np.cumsum(self.weights[k][order])
+                n = 1 + np.searchsorted(weight, (1 - threshold + 1e-9) * weight[-1], "right")
+                every = shingles(w)
+                at = np.flatnonzero(np.isin(every, self.shingles[k][order[:n]]))
+                found.append((every[at], np.full(len(at), k), at))
+            key, item, place = (np.concatenate(c) for c in zip(*found))
+            order = np.argsort(key, kind="stable")
+            keys, first = np.unique(key[order], return_index=True)
+            self.rare[threshold] = keys, np.append(first, len(key)), item[order], place[order]
+        return self.rare[threshold]
+
     def near(self, size: int, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in ``found``, window, distance) of all pairs within the radius; a pair may come from several blocks."""
         prints, _, _, tables = self.sizes[size]
@@ -117,35 +140,55 @@ class Index:
             return best
         row = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
         end_of = words.first[1:][row]  # where the text that holds a word ends
-        own, two, hit = shingles(words.hash), pairs(words.hash), None
+        own, two = shingles(words.hash), pairs(words.hash)
+        inside = np.arange(total) - words.first[row]
+        place = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+        hit = np.concatenate(([0], np.cumsum(self.known[place] == own)))  # how many shingles of any item lie before each place
+
+        def distance_at(text: int, start: int, j: int) -> int:
+            """Distance of the item's first window from the text's window at ``start``, or as near to it as the text has one."""
+            size = min(size_of(len(self.items[j][1])), int(words.first[text + 1] - words.first[text]))
+            start = min(max(start, int(words.first[text])), int(words.first[text + 1]) - size)
+            one, other = (int(simhashes(bit_counts(pairs(w)), np.array([0]), size - 1)[0]) for w in (words.hash[start:start + size], self.items[j][1][:size]))
+            return (one ^ other).bit_count()
+
+        def verify(text: np.ndarray, k: np.ndarray, start: np.ndarray, distance: np.ndarray) -> None:
+            """Keep the best of the items ``k`` that may begin at the places ``start``; a distance of -1 is measured if needed."""
+            first, last = words.first[text], words.first[text + 1] - 4
+            begin = np.clip(start - self.steps[k], first, np.maximum(first, last))
+            end = np.clip(start + self.lengths[k] - 4 + self.steps[k], begin, np.maximum(begin, last))
+            some = np.flatnonzero(hit[end] - hit[begin] >= np.maximum(1, 0.2 * threshold * self.n_shingles[k]))
+            for r, b, e, j, d, s in sorted(set(zip(*(c[some].tolist() for c in (text, begin, end, k, distance, start))))):
+                share = np.isin(self.shingles[j], own[b:e])
+                similarity = float(self.weights[j][share].sum() / self.weights[j].sum())
+                have = best.get((r, j))
+                if similarity < threshold or (have is not None and similarity < have[0]):
+                    continue
+                d = distance_at(r, s, j) if d < 0 else d
+                b -= int(words.first[r])
+                if have is None or (-similarity, d, b) < (-have[0], have[2], have[1]):
+                    best[r, j] = (similarity, b, d)
+
         for lo in range(0, total, SEGMENT):
             counts = bit_counts(two[lo:lo + SEGMENT + max(self.sizes)])
             ends = words.first[np.searchsorted(words.first, lo, "right"):np.searchsorted(words.first, lo + SEGMENT + max(self.sizes), "right")]
             for size, (_, item, at, _) in self.sizes.items():
-                mark = np.zeros(min(SEGMENT, total - lo), dtype=bool)
-                mark[::max(1, size // 16)] = True
+                mark = inside[lo:lo + SEGMENT] % max(1, size // 16) == 0
                 last = ends - size - lo
                 mark[last[(last >= 0) & (last < len(mark))]] = True
                 starts = np.flatnonzero(mark) + lo
                 starts = starts[starts + size <= end_of[starts]]  # windows lie within one text; its last window is among them
                 which, window, distance = self.near(size, simhashes(counts, starts - lo, size - 1))
-                if not len(which):
-                    continue
-                if hit is None:  # how many shingles of any item lie before each place
-                    place = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
-                    hit = np.concatenate(([0], np.cumsum(self.known[place] == own)))
-                k, text, step = item[window], row[starts[which]], max(1, size // 16)
-                first, last = words.first[text], words.first[text + 1] - 4
-                begin = np.clip(starts[which] - at[window] - step, first, np.maximum(first, last))
-                end = np.clip(starts[which] - at[window] + self.lengths[k] - 4 + step, begin, np.maximum(begin, last))
-                some = np.flatnonzero(hit[end] - hit[begin] >= np.maximum(1, 0.2 * threshold * (self.lengths[k] - 4)))
-                for r, b, e, j, d in sorted(set(zip(*(c[some].tolist() for c in (text, begin, end, k, distance))))):
-                    share = np.isin(self.shingles[j], own[b:e])
-                    similarity = float(self.weights[j][share].sum() / self.weights[j].sum())
-                    b -= int(words.first[r])
-                    have = best.get((r, j))
-                    if similarity >= threshold and (have is None or (-similarity, d, b) < (-have[0], have[2], have[1])):
-                        best[r, j] = (similarity, b, d)
+                if len(which):
+                    verify(row[starts[which]], item[window], starts[which] - at[window], distance.astype(np.int64))
+        keys, first, item, place = self.rarest(threshold)
+        slot = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        where = np.flatnonzero((keys[slot] == own) & (np.arange(len(own)) + 5 <= end_of[:len(own)]))
+        slot = slot[where]
+        many = first[slot + 1] - first[slot]
+        where = np.repeat(where, many)
+        which = np.arange(len(where)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[slot], many)
+        verify(row[where], item[which], where - place[which], np.full(len(where), -1))
         return best
 
 

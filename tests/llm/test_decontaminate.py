@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from sluice.llm import decontaminate as dc
 from tests.llm.helpers import LONG_TEXT, clashing, docs_of, shingle_set
@@ -73,3 +74,18 @@ def test_empty_tables(spark):
     assert dc.find(docs_of(spark, [(1, "a b c d e f g h")]), none).count() == 0
     assert dc.decontaminate(docs_of(spark, [(1, "a b c d e f g h")]), none).count() == 1
     assert dc.find(docs_of(spark, []), none).count() == 0
+
+
+def test_edited_copies_near_the_threshold_against_brute_force():
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(6))
+    for n, edits in ((50, (23, 25, 27)), (48, (22, 24, 25)), (50, (23, 24, 25, 26)), (50, (24, 26)), (80, (20, 40, 60)), (200, range(90, 124)), (12, (0,))):
+        items = [[word() for _ in range(n)] for _ in range(60)]
+        index = dc.index_of([(i, " ".join(w)) for i, w in enumerate(items)])
+        texts, want = [], set()
+        for i, item in enumerate(items):
+            copy = [word() if at in edits else w for at, w in enumerate(item)]
+            texts.append(" ".join([word() for _ in range(rnd.randint(0, 90))] + copy + [word() for _ in range(rnd.randint(0, 90))]))
+            one, two = shingle_set(" ".join(item)), shingle_set(" ".join(copy))
+            want |= {(i, i)} if len(one & two) >= 0.8 * len(one) else set()
+        assert len(want) == 60 and index.matches(dc.Words(pa.array(texts))).keys() == want
