@@ -32,7 +32,6 @@ MAX_LABELLED = 20_000
 THRESHOLD = 0.3
 STEM_SIZES = range(3, 10)
 MIN_WEIGHT = 2.0
-MAX_TERMS = 5_000
 MAX_PHRASES = 1_000
 HELD_TERMS = 100_000
 
@@ -146,10 +145,15 @@ def choose(counts: dict[str, tuple[int, int]], positives: int, negatives: int) -
         if p >= least and weight >= MIN_WEIGHT:
             scored.append((p * weight, len(term.rstrip("$")), term, weight))
     out: dict[str, float] = {}
+    words: set[str] = set()
+    starts: set[str] = set()  # every beginning of the words taken
     for _, _, term, weight in sorted(scored, key=lambda x: (-round(x[0], 6), -x[1], x[2])):
         word = term.rstrip("$")
-        if not any(word.startswith(t.rstrip("$")) or t.rstrip("$").startswith(word) for t in out):
+        mine = {word[:n] for n in range(1, len(word) + 1)}
+        if word not in starts and words.isdisjoint(mine):
             out[term] = weight
+            words.add(word)
+            starts |= mine
     return out
 
 
@@ -180,34 +184,28 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     if not positives:
         return Lexicon({})
 
-    def count_terms(only: frozenset[str] | None):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            found: tuple[Counter, Counter] = (Counter(), Counter())
-
-            def counts() -> pd.DataFrame:
-                names = list(found[0].keys() | found[1].keys())
-                out = pd.DataFrame({"term": names, "p": [found[0][t] for t in names], "n": [found[1][t] for t in names]})
-                found[0].clear()
-                found[1].clear()
-                return out
-
-            for batch in batches:
-                for text, toxic in zip(batch["text"], batch["toxic"]):
-                    have = terms_of(fold(text))
-                    found[1 - toxic].update(have if only is None else have & only)
-                    if len(found[0]) + len(found[1]) > HELD_TERMS:  # partial counts; Spark sums them
-                        yield counts()
-            yield counts()
-        return run
-
-    def counted(part: DataFrame, only: frozenset[str] | None) -> DataFrame:
-        return part.mapInPandas(count_terms(only), "term string, p long, n long") \
-            .groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    def count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def counts() -> pd.DataFrame:
+            names = list(found[0].keys() | found[1].keys())
+            out = pd.DataFrame({"term": names, "p": [found[0][t] for t in names], "n": [found[1][t] for t in names]})
+            found[0].clear()
+            found[1].clear()
+            return out
+
+        for batch in batches:
+            for text, toxic in zip(batch["text"], batch["toxic"]):
+                found[1 - toxic].update(terms_of(fold(text)))
+                if len(found[0]) + len(found[1]) > HELD_TERMS:  # partial counts; Spark sums them
+                    yield counts()
+        yield counts()
 
     least = max(4, round(0.005 * positives))
-    often = counted(texts.where("toxic = 1"), None).where(F.col("p") >= least).orderBy(F.desc("p"), "term").limit(MAX_TERMS)
-    only = frozenset(r["term"] for r in often.collect())
-    counts = {r["term"]: (r["p"], r["n"]) for r in counted(texts, only).collect()}  # at most MAX_TERMS rows
+    weight = F.log((F.col("p") + 0.5) / (positives + 1)) - F.log((F.col("n") + 0.5) / (negatives + 1))
+    heavy = texts.mapInPandas(count_terms, "term string, p long, n long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n")) \
+        .where((F.col("p") >= least) & (weight >= MIN_WEIGHT - 1e-6))  # only terms that ``choose`` may take come to the driver
+    counts = {r["term"]: (r["p"], r["n"]) for r in heavy.collect()}
     lexicon = Lexicon(choose(counts, positives, negatives))
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -72,3 +72,12 @@ def test_nothing_to_learn_from(spark):
     lexicon = toxicity.learn(docs_of(spark, [(1, "a")]), none)
     assert [(r.score, r.predicted) for r in toxicity.score(docs_of(spark, [(1, "a")]), lexicon).collect()] == [(0.0, 0)]
     assert toxicity.score(docs_of(spark, []), lexicon).count() == 0
+
+
+def test_rare_toxic_words_among_many_common_ones(spark):
+    common = " ".join(f"{c}{d}{e}word" for c in "abcdefghij" for d in "klmnopqrst" for e in "abcdefghijklmnopqrstuvwxyz")
+    assert len(toxicity.terms_of(common)) > 5_000
+    rows = [(i, common + (" snarfle" if i % 2 and i < 20 else "")) for i in range(80)]
+    rows = [(i, f"{text} n{i}") for i, text in rows]
+    lexicon = toxicity.learn(docs_of(spark, rows), spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], LABELS))
+    assert [e.rstrip("$") for e in lexicon.weights] == ["snarfle"]
