@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import decontaminate, fingerprint, language, line_dedup, minhash, packing, pii, toxicity, url_filter, warc
+from sluice.llm import bpe, decontaminate, fingerprint, language, line_dedup, merkle, minhash, packing, pii, spelling, toxicity, url_filter, warc
 from sluice.llm.common import new_folder, read
 from sluice.registry import register
 
@@ -97,3 +97,20 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_decontaminate")
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@register("op11_spelling")
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(read(spark, sf_dir, "documents")))
+
+
+@register("op12_bpe")
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.decode(bpe.encode(read(spark, sf_dir, "documents"))).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
+
+
+@register("op13_merkle")
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
+    return merkle.verify(read(spark, sf_dir, "documents"), tampered)

@@ -102,3 +102,78 @@ WITH RECURSIVE w AS (
 SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, c.doc_id = c.component_id AS kept
 FROM c LEFT JOIN n USING (doc_id)
 """
+
+
+def crc32(text: str) -> str:
+    """The unsigned crc32 of a text's UTF-8 bytes."""
+    bits = "list_reduce(list_prepend(xor(c, b), range(8)), lambda v, k: xor(v >> 1, (v & 1) * 3988292384))"
+    octets = f"list_transform(range(0, octet_length(encode({text}))), lambda i: ('0x' || substr(hex({text}), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: {bits}), 4294967295::BIGINT)"
+
+
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL["op11_spelling"] = f"""
+WITH RECURSIVE r AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS doc, unnest(regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[a-z\u00C0-\u00FF]+')) AS run
+  FROM documents
+), d AS (
+  SELECT doc || ':' || run AS named, run, count(*) AS c FROM r WHERE length(run) >= 5 GROUP BY ALL
+), h AS (
+  SELECT run, c, {crc32("named")} AS h FROM d
+), o AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h
+), v AS (
+  SELECT word, sum(c)::BIGINT AS n FROM o WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3
+), x AS (
+  SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM v)
+), pair AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM x a JOIN x b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM x a JOIN v b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM x a JOIN v b ON a.rest = b.word
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place, count(*) OVER (PARTITION BY word) AS n_near FROM pair
+), j AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * v.n THEN near END AS form, CASE WHEN near_n >= 2 * v.n THEN near_n END AS form_n
+  FROM v LEFT JOIN best ON best.word = v.word AND place = 1
+), chain(word, tip) AS (
+  SELECT word, word FROM j UNION ALL SELECT chain.word, j.form FROM chain JOIN j ON j.word = chain.tip WHERE j.form IS NOT NULL
+)
+SELECT j.word, j.form, chain.tip AS root, j.n, j.n_near, j.form_n
+FROM j JOIN chain ON chain.word = j.word JOIN j AS last ON last.word = chain.tip AND last.form IS NULL
+"""
+
+_FIELD = "coalesce(octet_length(encode({0}::VARCHAR)) || ':' || {0}::VARCHAR, '-')"
+_HEAD = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_RUN = "t.nodes[w.idx // 8 * 8 + 1:w.idx // 8 * 8 + 8]"
+_BEFORE = f"array_to_string({_RUN}[1:w.idx % 8], '')"
+_AFTER = f"array_to_string({_RUN}[w.idx % 8 + 2:], '')"
+_RAISE = "list_transform(range(0, (len(nodes) + 7) // 8), lambda i: sha256(array_to_string(nodes[i * 8 + 1:i * 8 + 8], '')))"
+
+SQL["op13_merkle"] = f"""
+WITH RECURSIVE k AS (
+  SELECT doc_id, lang, sha256({_HEAD} || {_FIELD.format("text")}) AS leaf,
+         CASE WHEN {crc32("doc_id::VARCHAR")} % 3 = 0 THEN sha256({_HEAD} || {_FIELD.format(LOWER.format("text"))}) END AS folded
+  FROM documents
+), p AS (
+  SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM k
+), t(lang, level, nodes) AS (
+  SELECT lang, 0, list(leaf ORDER BY pos) FROM p GROUP BY lang
+  UNION ALL SELECT lang, level + 1, {_RAISE} FROM t WHERE len(nodes) > 1
+), s AS (
+  SELECT lang, level, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS no FROM t WHERE len(nodes) = 1
+), u(level, nodes) AS (
+  SELECT 0, list(subroot ORDER BY no) FROM s
+  UNION ALL SELECT level + 1, {_RAISE} FROM u WHERE len(nodes) > 1
+), w(id, lang, level, idx, proof, node) AS (
+  SELECT id, lang, 0, pos, '', coalesce(folded, leaf) FROM p
+  UNION ALL SELECT w.id, w.lang, w.level + 1, w.idx // 8, w.proof || {_BEFORE} || {_AFTER}, sha256({_BEFORE} || w.node || {_AFTER})
+  FROM w JOIN t ON t.lang IS NOT DISTINCT FROM w.lang AND t.level = w.level AND len(t.nodes) > 1
+), y(id, level, idx, proof, node) AS (
+  SELECT w.id, 0, s.no, w.proof, w.node FROM w JOIN s ON s.lang IS NOT DISTINCT FROM w.lang AND s.level = w.level
+  UNION ALL SELECT w.id, w.level + 1, w.idx // 8, w.proof || {_BEFORE} || {_AFTER}, sha256({_BEFORE} || w.node || {_AFTER})
+  FROM y AS w JOIN u AS t ON t.level = w.level AND len(t.nodes) > 1
+)
+SELECT p.doc_id, p.leaf, s.subroot, u.nodes[1] AS root, sha256(y.proof) AS proof_sha256, y.node AS folded_root, y.node = u.nodes[1] AS verified
+FROM p JOIN s ON s.lang IS NOT DISTINCT FROM p.lang JOIN u ON len(u.nodes) = 1 JOIN y ON y.id = p.id AND y.level = u.level
+"""
