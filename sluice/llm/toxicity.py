@@ -6,7 +6,7 @@ finds them all in one pass, and boundaries are checked at the hits only.  A hit
 weights of the hits, as they are and per hundred words, give the score through a logistic curve.
 
 The lexicon, the exception phrases and the curve are learned from labelled rows: at most ``max_labelled`` of them (those
-with the smallest hash of doc_id), counted once per distinct text.  Everything else covers every whole text.
+with the smallest hash of doc_id), counted once per distinct text; tasks without rows or words count nothing.  Everything else covers every whole text.
 
 Null text is empty text.  A text without hits gets the base score.  Repeated rows score alike.  Several labels of one doc_id
 count as the highest.  With no labelled toxic row every score is 0.  Only doc_id and text of documents and doc_id and toxic of
@@ -23,6 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,6 @@ MAX_LABELLED = 20_000
 THRESHOLD = 0.3
 STEM_SIZES = range(3, 10)
 MIN_WEIGHT = 2.0
-MAX_PHRASES = 1_000
 HELD_TERMS = 100_000
 
 # Letters of other scripts that look like Latin ones, and digits or signs that stand for letters.
@@ -184,50 +184,52 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     if not positives:
         return Lexicon({})
 
-    def count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: tuple[Counter, Counter] = (Counter(), Counter())
 
-        def counts() -> pd.DataFrame:
+        def counted() -> pa.RecordBatch:
             names = list(found[0].keys() | found[1].keys())
-            out = pd.DataFrame({"term": names, "p": [found[0][t] for t in names], "n": [found[1][t] for t in names]})
+            out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[t] for t in names], pa.int64()) for c in found)], ["term", "p", "n"])
             found[0].clear()
             found[1].clear()
             return out
 
         for batch in batches:
-            for text, toxic in zip(batch["text"], batch["toxic"]):
+            for text, toxic in zip(*(c.to_pylist() for c in batch.columns)):
                 found[1 - toxic].update(terms_of(fold(text)))
                 if len(found[0]) + len(found[1]) > HELD_TERMS:  # partial counts; Spark sums them
-                    yield counts()
-        yield counts()
+                    yield counted()
+        if found[0] or found[1]:
+            yield counted()
 
     least = max(4, round(0.005 * positives))
     weight = F.log((F.col("p") + 0.5) / (positives + 1)) - F.log((F.col("n") + 0.5) / (negatives + 1))
-    heavy = texts.mapInPandas(count_terms, "term string, p long, n long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n")) \
+    heavy = texts.select("text", "toxic").mapInArrow(count_terms, "term string, p long, n long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n")) \
         .where((F.col("p") >= least) & (weight >= MIN_WEIGHT - 1e-6))  # only terms that ``choose`` may take come to the driver
     counts = {r["term"]: (r["p"], r["n"]) for r in heavy.collect()}
     lexicon = Lexicon(choose(counts, positives, negatives))
 
-    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, toxic in zip(batch["text"], batch["toxic"]):
+            out: tuple[list[str], list[int]] = ([], [])
+            for text, toxic in zip(*(c.to_pylist() for c in batch.columns)):
                 text = fold(text)
-                found = {p for s, e, _ in lexicon.hits(text) for p in lexicon.phrases(text, s, e)[1:] if " " in p}
-                out += [(p, int(toxic)) for p in found]
-            yield pd.DataFrame(out, columns=["phrase", "toxic"])
+                for phrase in {p for s, e, _ in lexicon.hits(text) for p in lexicon.phrases(text, s, e)[1:] if " " in p}:
+                    out[0].append(phrase)
+                    out[1].append(toxic)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32())], ["phrase", "toxic"])
 
-    seen = texts.mapInPandas(contexts, "phrase string, toxic int").groupBy("phrase").agg(
+    seen = texts.select("text", "toxic").mapInArrow(contexts, "phrase string, toxic int").groupBy("phrase").agg(
         F.sum("toxic").alias("p"), F.count(F.lit(1)).alias("all"))
-    clean = seen.where((F.col("all") >= 4) & (F.col("p") * 5 <= F.col("all"))).orderBy(F.desc("all"), "phrase").limit(MAX_PHRASES)
+    clean = seen.where((F.col("all") >= 4) & (F.col("p") * 5 <= F.col("all")))  # four texts each: bounded by the labelled sample
     lexicon = Lexicon(lexicon.weights, [r["phrase"] for r in clean.collect()])
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [lexicon.features(fold(t)) for t in batch["text"]]
-            yield pd.DataFrame({"a": [v[0] for v in x], "b": [v[1] for v in x], "toxic": batch["toxic"].astype(int)})
+            x = [lexicon.features(fold(t)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(pa.array([v[k] for v in x], pa.float64()) for k in (0, 1)), batch.column(1)], ["a", "b", "toxic"])
 
-    rows = texts.mapInPandas(measure, "a double, b double, toxic int").groupBy("a", "b", "toxic").count() \
+    rows = texts.select("text", "toxic").mapInArrow(measure, "a double, b double, toxic int").groupBy("a", "b", "toxic").count() \
         .orderBy("a", "b", "toxic").toPandas()  # at most max_labelled rows
     rows = rows.loc[rows.index.repeat(rows["count"])]
     curve = fit_curve(rows["a"].to_numpy(float), rows["b"].to_numpy(float), rows["toxic"].to_numpy(float))
@@ -246,8 +248,7 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> Da
         s = [lexicon.score(a, b) for a, b, _ in x]
         return pd.DataFrame({"score": s, "predicted": [int(v >= threshold) for v in s], "n_hits": [v[2] for v in x]})
 
-    return docs.withColumn("_s", scored(F.col("text").cast("string"))).select(
-        *[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"_s.{n}").alias(n) for n in names])
+    return docs.select(F.struct("*").alias("row"), scored(F.col("text").cast("string")).alias("judged")).select("row.*", "judged.*")
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:

@@ -29,6 +29,6 @@ def shingle_set(text: str | None, k: int = 5) -> set[tuple[str, ...]]:
 def clashing(df: DataFrame) -> DataFrame:
     """Columns whose names the operators use inside."""
     from pyspark.sql import functions as F
-    for name in ("shard", "score", "key", "band", "rep", "first", "_gone", "_text", "h1", "component", "digest", "item_id", "rank", "chunk"):
+    for name in ("shard", "score", "key", "band", "rep", "first", "_gone", "_text", "h1", "component", "digest", "item_id", "rank", "chunk", "_s", "row", "judged", "t", "tree", "word"):
         df = df.withColumn(name, F.lit("mine"))
     return df

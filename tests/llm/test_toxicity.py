@@ -81,3 +81,43 @@ def test_rare_toxic_words_among_many_common_ones(spark):
     rows = [(i, f"{text} n{i}") for i, text in rows]
     lexicon = toxicity.learn(docs_of(spark, rows), spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], LABELS))
     assert [e.rstrip("$") for e in lexicon.weights] == ["snarfle"]
+
+
+def test_labelled_texts_without_words(spark):
+    """Nothing to count in any task, in some tasks, or after the last part was sent."""
+    learn = lambda rows, labels: toxicity.learn(docs_of(spark, rows).repartition(4), spark.createDataFrame(labels, LABELS))
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2]
+    labels = [(i, 1, i % 2) for i in ids]
+    assert learn([(i, None if i % 3 else "") for i in ids], labels).weights == {}
+    assert learn([(i, "...!" * (1 + i)) for i in ids], labels).weights == {}
+    assert learn([], labels).weights == {} and learn([(1, "a b")], []).weights == {}
+
+
+def test_many_small_tasks_and_parts(spark, monkeypatch):
+    rows, labels = corpus(random.Random(5), 300)
+    marks = spark.createDataFrame(labels, LABELS)
+    whole = toxicity.learn(docs_of(spark, rows), marks)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        monkeypatch.setattr(toxicity, "HELD_TERMS", 3)  # every text is the last one of a part
+        small = toxicity.learn(docs_of(spark, rows + [(9000 + i, "!?") for i in range(50)]).repartition(64),
+                               spark.createDataFrame(labels + [(9000 + i, 1, 0) for i in range(50)], LABELS))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert small.weights.keys() == whole.weights.keys() and "grumbler fish" in small.exceptions
+
+
+def test_scores_by_hand(spark):
+    """A fixed lexicon over a few rows: the sum of weights, as it is and per hundred words, through the curve."""
+    import math
+    lexicon = toxicity.Lexicon({"clown$": 3.0, "idio": 2.0}, ["sad clown"], (-4.0, 1.0, 0.5))
+    hand = {1: (0.0, 1), 2: (3.0, 2), 3: (5.0, 3), 4: (0.0, 2), 5: (0.0, 1)}  # weight, 1 + blanks and line ends
+    docs = docs_of(spark, [(1, "hello"), (2, "CL0WN town"), (3, "idiotic the clown"), (4, "sad clown"), (5, None)])
+    for r in toxicity.score(clashing(docs), lexicon).collect():
+        weight, words = hand[r.doc_id]
+        z = -4.0 + math.log1p(weight) + 0.5 * math.log1p(100 * weight / words)
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-12 and r.predicted == int(r.score >= 0.3) and r._s == "mine" and r.judged == "mine"
+
