@@ -6,7 +6,8 @@ k-means, and a text takes the language of the centroid with the highest cosine;
 A text farther from its centroid than nearly all of the texts it was made from is marked ``rejected``.
 
 Document frequencies are counted over all training rows.  The centroids are fitted on at most ``per_language`` documents of
-each of the ``max_languages`` most frequent languages (those with the smallest hash of doc_id), each language in a task of its own.
+each language (those with the smallest hash of doc_id), each language in a task of its own.  A language none of whose sampled
+texts has a letter gets no centroid.
 
 Null text and text without a letter: "und", score 0, not rejected.  Without training rows everything is "und".  Rows with null
 lang train nothing.  Repeated rows get equal answers.  Only doc_id, text and, for training, lang are read.
@@ -27,7 +28,7 @@ from sluice.llm.common import ship, stored
 
 DIMENSIONS = 1 << 12
 PER_LANGUAGE = 600
-MAX_LANGUAGES = 1_000
+BROADCAST_LANGUAGES = 100_000
 CLUSTERS = 4
 ROUNDS = 12
 FAR_QUANTILE = 0.01
@@ -120,7 +121,7 @@ class Model:
         return langs, scores, rejected
 
 
-def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Model:
+def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Fit on the rows of ``docs`` (doc_id, text, lang) outside the held-out part."""
     ship(docs.sparkSession)
     rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
@@ -141,16 +142,18 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, max_languages: int
         total[r["place"]] = r["df"]
     idf = np.log((1 + total[-1]) / (1 + total[:-1])).astype(np.float32) + np.float32(1)
 
-    often = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
+    often = stored(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    if often.count() <= BROADCAST_LANGUAGES:  # else a plain join, whose hot languages are split at run time
+        often = F.broadcast(often)
     share = F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("n"))  # twice the bound, of which the task takes the smallest
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    sample = rows.join(F.broadcast(often), "lang").where(place < share * (1 << 30)).select("lang", "text", place.alias("place"))
+    sample = rows.join(often, "lang").where(place < share * (1 << 30)).select("lang", "text", place.alias("place"))
 
     def centroids(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["place", "text"]).head(per_language)
         _, x = vectors(part["text"].tolist(), idf)
         if not len(x):
-            return pd.DataFrame({"lang": [], "centroid": [], "far": []})
+            return pd.DataFrame({"lang": pd.Series(dtype=object), "centroid": pd.Series(dtype=object), "far": pd.Series(dtype=float)})
         c, far = cluster(x)
         return pd.DataFrame({"lang": part["lang"].iloc[0], "centroid": [row.tobytes() for row in c], "far": far})
 

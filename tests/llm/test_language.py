@@ -68,3 +68,38 @@ def test_clusters_are_unit_vectors():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     c, far = language.cluster(x, 3)
     assert np.allclose(np.linalg.norm(c, axis=1), 1, atol=1e-5) and len(far) == 3
+
+
+def test_a_language_without_letters(spark):
+    """It gets no centroid; the others are learned and every row is answered."""
+    rows = corpus(random.Random(6), 120)
+    odd = [(d, t, "xx") for d, t in zip(range(2000, 2040), ["12345 67", None, "", "... !"] * 10)]
+    model = language.learn(docs_of(spark, rows + odd))
+    assert set(model.langs) == set(PARTS)
+    got = {r.doc_id: r.lang_pred for r in language.predict(docs_of(spark, rows + odd), model).collect()}
+    assert all(got[d] == "und" for d, _, _ in odd) and len(got) == 160
+    only = language.learn(docs_of(spark, odd))
+    assert only.langs == [] and {r.lang_pred for r in language.predict(docs_of(spark, odd + [(1, "abc", None)]), only).collect()} == {"und"}
+
+
+def test_languages_beyond_the_broadcast_bound(spark, monkeypatch):
+    docs = docs_of(spark, corpus(random.Random(7), 120))
+    one = language.learn(docs)
+    monkeypatch.setattr(language, "BROADCAST_LANGUAGES", 0)
+    two = language.learn(docs)
+    assert one.langs == two.langs and np.array_equal(one.centroids, two.centroids)
+
+
+def test_centroid_and_cosine_by_hand(spark):
+    """One language of one text: its centroid is the text's normalised TF-IDF vector, and the cosine follows from the counts."""
+    rows = [(d, "abc abc", "l") for d in range(8)] + [(d, "xyz", "m") for d in range(8, 16)]
+    model = language.learn(docs_of(spark, rows))
+    x = np.log1p(language.counts("abc abc")) * model.idf
+    mine = model.centroids[[k for k, v in enumerate(model.langs) if v == "l"]]
+    assert np.allclose(mine, x / np.linalg.norm(x), atol=1e-6)
+    q = np.log1p(language.counts("abc q")) * model.idf
+    cosine = [float(q @ c / np.linalg.norm(q)) for c in model.centroids]
+    best = {v: max(c for c, w in zip(cosine, model.langs) if w == v) for v in ("l", "m")}
+    odds = {v: np.exp(c / language.TEMPERATURE) for v, c in best.items()}
+    got = language.predict(docs_of(spark, [(1, "abc q")]), model).first()
+    assert got.lang_pred == "l" and abs(got.score - odds["l"] / sum(odds.values())) < 1e-5
