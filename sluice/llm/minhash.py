@@ -6,14 +6,16 @@ element, so there are half as many hash evaluations as values; the share of equa
 similarity.  ``ROWS`` values make a band: documents that agree in a band share a bucket and are candidates.  With 32 bands of 6
 values a pair at similarity 0.85 shares none with probability 3e-7.
 
-Equal sets are collapsed first.  Candidates are confirmed on full sets, in two steps that join all that is linked without
+A row is named by its doc_id and the digest of its text, so rows that share a doc_id are judged each by its own text.  Equal sets are
+collapsed first; the least (doc_id, digest) of a class stands for it.  Candidates are confirmed on full sets, in two steps that join all that is linked without
 making all pairs of a group: (1) every document with the smallest member of its buckets, one candidate each; (2) buckets
-that still hold several components, in blocks of at most ``BLOCK`` members and ``BLOCK_SHINGLES`` shingles on a side: there the
-pairs across components that the signatures do not rule out (``SIGMAS`` standard errors) are checked in place, and only
-links leave the task.  Pairs within one component need no check, as they cannot change it.
+that still hold several components, in blocks of at most ``BLOCK`` members and ``BLOCK_SHINGLES`` shingles on a side: the members
+outside a bucket's largest component meet each other and the rest, which is not multiplied for them.  Pairs across components
+that the signatures do not rule out (``SIGMAS`` standard errors) are checked in place, and only links leave the task.  Pairs within one
+component need no check, as they cannot change it.
 
-Null text is empty text.  A row with null doc_id is linked with nothing.  Rows that share a doc_id are one document.  Empty tables give
-empty results.  ``dedup`` keeps all columns of its input.
+Null text is empty text.  A row with null doc_id is linked with nothing.  Rows of one doc_id with unlike texts keep their own classes, all
+with that doc_id or a smaller one as component_id.  Empty tables give empty results.  ``dedup`` keeps all columns of its input.
 """
 
 from __future__ import annotations
@@ -38,7 +40,10 @@ SIGMAS = 6.0
 _U = np.uint64
 _SEEDS = mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)).reshape(2, PERMUTATIONS)
 _XOR, _FACTOR = _SEEDS[0][:, None], (_SEEDS[1] | _U(1))[:, None]
-SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, signature binary"
+SIGNED = "doc_id long, t binary, n_shingles long, d1 long, d2 long, signature binary"
+NAME = "struct<doc_id:long,t:binary>"
+_NAME = pa.struct([("doc_id", pa.int64()), ("t", pa.binary())])
+SET = ["d1", "d2", "n_shingles"]
 
 
 def signature(elements: np.ndarray) -> bytes:
@@ -52,6 +57,12 @@ def signature(elements: np.ndarray) -> bytes:
     return (mix(np.concatenate((low, high))) >> _U(48)).astype("<u2").tobytes()
 
 
+def named_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the digest t of the text of every row."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("t"))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """Size, 128-bit digest and signature of every row's set; the signature of an empty set is null."""
     ship(docs.sparkSession)
@@ -68,10 +79,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                     d2.append(mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U))
                     sigs.append(signature(s) if len(s) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(signed(np.array(d1, _U))), pa.array(signed(np.array(d2, _U))),
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(n, pa.int64()), pa.array(signed(np.array(d1, _U))), pa.array(signed(np.array(d2, _U))),
                      pa.array(sigs, pa.binary())], [c.split()[0] for c in SIGNED.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNED)
+    return named_texts(docs).mapInArrow(run, SIGNED)
 
 
 def buckets(reps: DataFrame) -> DataFrame:
@@ -87,7 +98,7 @@ def similar(n_common: int, n_a: int, n_b: int, percent: int) -> bool:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; ``texts`` has (doc_id, text), one row per document."""
+    """The pairs (a, b) whose full sets are similar enough; ``texts`` has (rep, text), one row per representative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,9 +113,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             take = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take)], ["a", "b"])
 
-    return pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b") \
-        .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a") \
-        .select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b") \
+        .join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a") \
+        .select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {NAME}, b {NAME}")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -126,30 +137,46 @@ def components(edges: DataFrame) -> DataFrame:
         now = stored(small.where("u <> v").distinct(), "edges")
 
 
+def blocks(members: DataFrame) -> DataFrame:
+    """The members of mixed buckets dealt to blocks (key, x, y) of two chunks.
+
+    ``members`` has key, rep, component and, of its bucket, main (the largest component), few (chunks of the members outside it) and
+    many (chunks of its own).  Chunk x < few always lies outside the largest component; ``inner`` marks the one block of a chunk
+    x in which the pairs inside x are looked at too.
+    """
+    place = lambda of: F.pmod(F.xxhash64("rep"), of)
+    block = lambda x, y, inner: F.struct(x.alias("x"), y.alias("y"), inner.alias("inner"))
+    few, many, zero = F.col("few"), F.col("many"), F.lit(0).cast("long")
+    outside = F.col("component") != F.col("main")
+    chunk = F.when(outside, place(few)).otherwise(few + place(many))
+    beside = F.transform(F.filter(F.sequence(zero, few - 1), lambda g: g != F.col("chunk")), lambda g: block(F.least("chunk", g), F.greatest("chunk", g), F.lit(False)))
+    across_ = F.transform(F.sequence(zero, many - 1), lambda c: block(F.col("chunk"), few + c, c == 0))
+    from_main = F.transform(F.sequence(zero, few - 1), lambda g: block(g, F.col("chunk"), F.col("chunk") == few))
+    return members.withColumn("chunk", chunk).withColumn("s", F.explode(F.when(outside, F.concat(beside, across_)).otherwise(from_main)))
+
+
 def across(members: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components that share a bucket, enough of them to join all components that are linked.
 
-    ``members`` has (key, band, rep, n, component, signature, text, chunks).  A bucket is cut into ``chunks``, and every pair of
-    chunks is a block of its own, which a task holds at a time.  Within a block the members outside its largest component meet
-    all members of other components whose signature does not rule the similarity out, the likeliest first, each pair only in
-    the first band that it has in common; a pair whose components a link has joined meanwhile needs no check.
+    A task holds one block at a time.  Within a block the members of chunk x meet the members of other components whose
+    signature does not rule the similarity out, the likeliest first, each pair only in the first band that it has in common; a
+    pair whose components a link has joined meanwhile needs no check.
     """
     t = percent / 100
     floor = t - SIGMAS * math.sqrt(t * (1 - t) / (2 * PERMUTATIONS))
-    dealt = members.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks"))) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))) \
-        .select("key", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "band", "chunk", "rep", "n", "component", "signature", "text")
+    dealt = blocks(members).select("key", "s.x", "s.y", "s.inner", "band", "chunk", "rep", "n", "component", "signature", "text")
     dealt = dealt.repartition(F.col("key"), F.col("x"), F.col("y")).sortWithinPartitions("key", "x", "y")
 
-    def links_of(block: list[tuple]) -> list[tuple[int, int]]:
-        _, x, y, band, *_ = block[0]
-        chunk, rep, n, component = (np.array([r[k] for r in block]) for k in (4, 5, 6, 7))
-        labels, size = np.unique(component, return_counts=True)
-        if len(labels) == 1:
+    def links_of(block: list[tuple]) -> list[tuple[dict, dict]]:
+        _, x, _, inner, band, *_ = block[0]
+        names = [(r[8]["doc_id"], r[8]["t"]) for r in block]
+        label = {c: k for k, c in enumerate(sorted(set(names)))}
+        if len(label) == 1:
             return []
-        sig = np.frombuffer(b"".join(r[8] for r in block), "<u2").reshape(len(block), 2 * PERMUTATIONS)
-        few = component != labels[np.argmax(size)]
-        parent = {c: c for c in labels.tolist()}
+        component = np.array([label[c] for c in names])
+        chunk, n = (np.array([r[k] for r in block]) for k in (5, 7))
+        sig = np.frombuffer(b"".join(r[9] for r in block), "<u2").reshape(len(block), 2 * PERMUTATIONS)
+        parent = list(range(len(label)))
         sets: dict[int, np.ndarray] = {}
         place = np.arange(len(block))
 
@@ -160,12 +187,12 @@ def across(members: DataFrame, percent: int) -> DataFrame:
 
         def set_of(k: int) -> np.ndarray:
             if k not in sets:
-                sets[k] = np.unique(shingles(Words(pa.array([block[k][9]], pa.string())).row(0)))
+                sets[k] = np.unique(shingles(Words(pa.array([block[k][10]], pa.string())).row(0)))
             return sets[k]
 
         out = []
-        for i in np.flatnonzero(few):
-            j = np.flatnonzero((component != component[i]) & (~few | (place > i)) & ((chunk != chunk[i]) if x != y else True))
+        for i in np.flatnonzero(chunk == x):
+            j = np.flatnonzero((component != component[i]) & ((chunk != x) | (inner & (place > i))))
             j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
             if not len(j):
                 continue
@@ -179,7 +206,7 @@ def across(members: DataFrame, percent: int) -> DataFrame:
                 a, b = set_of(int(i)), set_of(k)
                 if similar(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b), percent):
                     parent[max(one, two)] = min(one, two)
-                    out.append((int(min(rep[i], rep[k])), int(max(rep[i], rep[k]))))
+                    out.append((block[i][6], block[k][6]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,24 +220,24 @@ def across(members: DataFrame, percent: int) -> DataFrame:
                 block.append(row)
         if block:
             found += links_of(block)
-        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], _NAME) for k in (0, 1)], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, f"a {NAME}, b {NAME}")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable) and kept (whether it is that document)."""
+def judged(docs: DataFrame, percent: int) -> DataFrame:
+    """Per row: doc_id, t, n_shingles and component, the name of the row that stands for all rows linked with it (null: linked with nothing)."""
     every = stored(signatures(docs), "signatures")
+    own = F.struct("doc_id", "t")
     named = every.where("n_shingles > 0 and doc_id is not null")
-    classes = stored(named.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = stored(named.join(classes, ["d1", "d2", "n_shingles"]).where("doc_id = rep")
+    classes = stored(named.groupBy(*SET).agg(F.min(own).alias("rep")), "classes")
+    reps = stored(named.join(classes, SET).where(own == F.col("rep"))
                   .select("rep", F.col("n_shingles").alias("n"), "signature").dropDuplicates(["rep"]), "representatives")
     banded = buckets(reps)
     hubs = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
     star = stored(banded.join(hubs, "key"), "stars")
-    asked = star.select(F.col("rep").alias("doc_id")).distinct()
-    texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-                   .join(asked, "doc_id").dropDuplicates(["doc_id"]), "candidate_texts")
+    asked = star.select("rep").distinct()
+    texts = stored(named_texts(docs).select(own.alias("rep"), "text").join(asked, "rep").dropDuplicates(["rep"]), "candidate_texts")
     first = star.where("rep <> hub").groupBy(F.col("rep").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
     edges = stored(confirm(first, texts, percent), "links")
     known = stored(components(edges), "components")
@@ -219,22 +246,30 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         return ids.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
     member = component_of(star.drop("hub"))
-    chunks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("chunks")
-    mixed = member.groupBy("key").agg(chunks, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "chunks")
-    inside = member.join(mixed, "key").join(reps.select("rep", "signature"), "rep") \
-        .join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    parts = member.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+    chunks = lambda c, n: F.greatest(F.lit(1), F.ceil(c / BLOCK), F.ceil(n / BLOCK_SHINGLES)).cast("long")
+    main = F.max(F.struct("c", "component", "n"))
+    mixed = parts.groupBy("key").agg(main.alias("main"), F.sum("c").alias("c"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("components")) \
+        .where("components > 1").select("key", chunks(F.col("c") - F.col("main.c"), F.col("n") - F.col("main.n")).alias("few"),
+                                        chunks(F.col("main.c"), F.col("main.n")).alias("many"), F.col("main.component").alias("main"))
+    inside = member.join(mixed, "key").join(reps.select("rep", "signature"), "rep").join(texts, "rep")
     more = stored(across(inside, percent), "links")
     edges = edges.unionByName(more)
     known = stored(components(edges), "components")
+    linked = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).alias("component")
+    return every.select("doc_id", "t", *SET).join(component_of(classes).select(*SET, "component"), SET, "left").select("doc_id", "t", "n_shingles", linked)
+
 
-    rep_of = component_of(classes).select("d1", "d2", "n_shingles", "component")
-    linked = every.select("doc_id", "n_shingles", "d1", "d2").join(rep_of, ["d1", "d2", "n_shingles"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return linked.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable) and kept (whether it is that document)."""
+    component = F.coalesce("component.doc_id", "doc_id")
+    return judged(docs, percent).select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each class; of rows that share a doc_id one stays, rows with null doc_id all stay."""
-    gone = near_duplicates(docs.select("doc_id", "text"), percent).where("not kept").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id is null"))
+    """``docs`` with one row of each class; of rows that share doc_id and text one stays, rows with null doc_id all stay."""
+    gone = judged(docs.select("doc_id", "text"), percent).where(F.struct("doc_id", "t") != F.col("component")).select("doc_id", "t").distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("t"))
+    named = rows.where("doc_id is not null").join(gone, ["doc_id", "t"], "left_anti").dropDuplicates(["doc_id", "t"])
+    return named.unionByName(rows.where("doc_id is null")).select("row.*")

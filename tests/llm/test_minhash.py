@@ -90,3 +90,64 @@ def test_signatures_estimate_similarity():
         y = np.concatenate((x[:int(2000 * share / (1 + share))], rnd.integers(0, 2 ** 63, 1000 - int(2000 * share / (1 + share)), dtype=np.uint64)))
         a, b = (np.frombuffer(minhash.signature(s), "<u2") for s in (x, y))
         assert abs((a == b).mean() - share) < 0.12
+
+
+A, B, C = ("alpha " + " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40)), " ".join(f"c{i}" for i in range(40)))
+
+
+def test_rows_of_one_doc_id_are_judged_each_by_its_text(spark):
+    """B has no copy anywhere and stays, however the rows are dealt."""
+    rows = [(3, A), (5, A), (5, B)]
+    for n in range(1, 6):
+        docs = docs_of(spark, rows if n % 2 else rows[::-1]).repartition(n)
+        assert sorted((r.doc_id, r.text) for r in minhash.dedup(docs).collect()) == [(3, A), (5, B)]
+        got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect())
+        assert got == [(3, 37, 3, True), (5, 36, 5, True), (5, 37, 3, False)]
+
+
+def test_classes_that_share_their_least_doc_id(spark):
+    """Both classes are represented, each by its own signature and text."""
+    near_b, near_c = B.replace("b20", "zz"), C.replace("c39", "zz")
+    rows = [(1, B), (1, C), (2, near_b), (3, near_c), (3, B), (4, near_c)]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs_of(spark, rows), 70).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (3, 1, False), (4, 1, False)]
+    kept = sorted((r.doc_id, r.text) for r in minhash.dedup(docs_of(spark, rows), 70).collect())
+    assert kept == [(1, B), (1, C)]
+
+
+def test_equal_rows_and_null_texts_of_one_doc_id(spark):
+    rows = [(7, B), (7, B), (8, None), (8, ""), (8, "x y"), (9, "X y"), (None, B), (None, B)]
+    assert sorted(((r.doc_id, r.text or "") for r in minhash.dedup(docs_of(spark, rows)).collect()), key=str) == sorted(
+        [(7, B), (8, ""), (8, "x y"), (None, B), (None, B)], key=str)
+
+
+def test_only_members_outside_the_largest_component_are_multiplied(spark, monkeypatch):
+    """A bucket of 20,000 near copies and one odd member: each near copy is in one block, the odd one in all."""
+    from pyspark.sql import functions as F
+    name = lambda c: F.struct(c.cast("long").alias("doc_id"), F.lit(b"t").alias("t"))
+    members = spark.range(20_001).select(F.lit(1).alias("key"), name(F.col("id")).alias("rep"), name(F.when(F.col("id") == 77, 77).otherwise(0)).alias("component"),
+                                         name(F.lit(0)).alias("main"), F.lit(1).cast("long").alias("few"), F.lit(5).cast("long").alias("many"))
+    got = minhash.blocks(members)
+    assert got.count() == 20_000 + 5
+    sizes = [r["count"] for r in got.groupBy("s.x", "s.y").count().collect()]
+    assert len(sizes) == 5 and max(sizes) < 4_500
+
+
+def test_all_pairs_outside_the_largest_component_meet_once(spark):
+    from pyspark.sql import functions as F
+    name = lambda c: F.struct(c.cast("long").alias("doc_id"), F.lit(b"t").alias("t"))
+    members = spark.range(60).select(F.lit(1).alias("key"), F.col("id"), name(F.col("id")).alias("rep"), name(F.when(F.col("id") < 30, F.col("id") + 1).otherwise(0)).alias("component"),
+                                     name(F.lit(0)).alias("main"), F.lit(3).cast("long").alias("few"), F.lit(2).cast("long").alias("many"))
+    met = {}
+    by_block = {}
+    for r in minhash.blocks(members).select("id", "chunk", "s.*").collect():
+        by_block.setdefault((r.x, r.y, r.inner), []).append((r.id, r.chunk))
+    assert len({k[:2] for k in by_block}) == len(by_block)
+    for (x, y, inner), rows in by_block.items():
+        assert {c for _, c in rows} <= {x, y}
+        for i, c in rows:
+            for j, d in rows:
+                if c == x and (d != x or (inner and j > i)):
+                    pair = frozenset((i, j))
+                    met[pair] = met.get(pair, 0) + 1
+    assert met == {frozenset((i, j)): 1 for i in range(30) for j in range(60) if i < j or j >= 30}
