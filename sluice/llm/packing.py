@@ -9,7 +9,7 @@ plan is made on the driver; documents and ids never leave the executors.
 Pieces of one length take the plan's slots by rank.  A hot length is split: ranks are counted within (length, chunk) and
 chunks are laid end to end.
 
-Null text is empty text (one piece, the end id).  Repeated rows are packed each on its own.  Null doc_id is kept.
+The text of an added token (such as ``<|endoftext|>``) is that token.  Null text is empty text (one piece, the end id).  Repeated rows are packed each on its own.  Null doc_id is kept.
 An empty table gives an empty result.  Columns other than doc_id and text are ignored.
 """
 
@@ -36,7 +36,11 @@ _ENCODERS: dict[str, object] = {}
 
 
 def encoder(path: str | None = None):
-    """text -> list of ids.  The rank file holds the vocabulary of the JSON file; the ids are the same (tested)."""
+    """text -> list of ids, those of the JSON file's tokenizer without added special tokens.
+
+    The rank file holds the same vocabulary and its library is faster, so texts go there, but for those that hold an added token's text
+    or a run too long for its merges: the tokenizer itself encodes these.
+    """
     import public_tokenizers as tokens
     key = path or "byte_bpe_50k"
     if key not in _ENCODERS:
@@ -44,25 +48,17 @@ def encoder(path: str | None = None):
 
         import tiktoken
         from tokenizers import Tokenizer
-        if path:
-            whole = Tokenizer.from_file(path)
-            whole.encode_special_tokens = True
-            _ENCODERS[key] = lambda text: whole.encode(text, add_special_tokens=False).ids
-        else:
+        whole = Tokenizer.from_file(path or tokens.path("byte_bpe_50k.json"))
+        encode = lambda text: whole.encode(text, add_special_tokens=False).ids
+        if not path:
             with open(tokens.path("byte_bpe_50k.tiktoken"), "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             fast = tiktoken.Encoding("byte_bpe_50k", pat_str=tokens.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            run = re.compile(r"\S{%d}|\s{%d}" % (LONGEST_RUN, LONGEST_RUN))
-            slow: list = []
-
-            def encode(text: str) -> list[int]:
-                if run.search(text):
-                    if not slow:
-                        slow.append(Tokenizer.from_file(tokens.path("byte_bpe_50k.json")))
-                        slow[0].encode_special_tokens = True
-                    return slow[0].encode(text, add_special_tokens=False).ids
-                return fast.encode_ordinary(text)
-            _ENCODERS[key] = encode
+            added = [re.escape(t.content) for t in whole.get_added_tokens_decoder().values()]
+            odd = re.compile("|".join([*added, r"\S{%d}" % LONGEST_RUN, r"\s{%d}" % LONGEST_RUN]))
+            slow = encode
+            encode = lambda text: slow(text) if odd.search(text) else fast.encode_ordinary(text)
+        _ENCODERS[key] = encode
     return _ENCODERS[key]
 
 

@@ -13,7 +13,6 @@ from tests.llm.helpers import LONG_TEXT, clashing, docs_of
 @pytest.fixture(scope="module")
 def reference():
     t = Tokenizer.from_file(tokens.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids + [1]
 
 
@@ -40,13 +39,13 @@ def check(rows, ids, size=2048):
 
 def test_ids_are_those_of_the_tokenizer_file(reference):
     encode = packing.encoder()
-    for text in ["", " a  b\n\n c", "don't  stop\t\t!", "<|endoftext|> x", "é" * 50, "x" * 5000, " " * 5000 + "y", "\x1c\x1d a \x85b", LONG_TEXT[:20_000], "日本語 ½ Ⅷ"]:
+    for text in ["", " a  b\n\n c", "don't  stop\t\t!", "<|endoftext|> x", "hi <|endoftext|> there", "<|endoftext|>" * 3, "é" * 50, "x" * 5000, " " * 5000 + "y", "\x1c\x1d a \x85b", LONG_TEXT[:20_000], "日本語 ½ Ⅷ"]:
         assert encode(text) + [1] == reference(text)
 
 
 def test_pack(spark, reference):
     rows = [(i, " ".join(["word"] * (1 + i * 37 % 900))) for i in range(150)] + [(1000 + i, "the same text") for i in range(300)]
-    rows += [(2000, None), (2001, ""), (2002, LONG_TEXT), (2002, LONG_TEXT)]
+    rows += [(2000, None), (2001, ""), (2002, LONG_TEXT), (2002, LONG_TEXT), (2003, "hi <|endoftext|> there")]
     got = packing.pack(clashing(docs_of(spark, rows))).collect()
     check(got, {d: reference(t) for d, t in rows})
     total, used = sum(r.length for r in got), len({r.sequence_id for r in got})
