@@ -8,9 +8,11 @@ value within 2 bits, so no fingerprint within the radius is missed.  Edits can m
 shingles of every item are looked up as well, as many as weigh more than 1 - ``THRESHOLD`` of the item: a place without any of
 them is below the threshold.  What is found is verified: the item's place in the document
 follows from the window, and the weighted share of the item's distinct 5-word shingles found in the item-sized window there
-(widened by the step) must be at least ``THRESHOLD``.  A shingle's weight is the log of items over items that have it, plus one.
+(widened by the step) must be at least ``THRESHOLD``.  A shingle's weight is the log of items over items that have it, plus one, counted
+over the whole benchmark, so a similarity does not depend on how items are dealt.
 
-Items are handled in blocks of about ``ITEM_BLOCK``, one pass over the documents each, so a task never holds more than a block.
+Items are handled in blocks of about ``ITEM_BLOCK``, so a task never holds more than a block's index (about 5 KB an item) at a time.  A block
+carries its items and the counts of their shingles.
 
 Null text and short texts match nothing; null items and items with fewer words than ``MIN_WORDS`` match nothing.  Repeated items are
 reported each; of rows that share a doc_id the best match is reported.  Empty tables give empty results.  Only doc_id, text and
@@ -29,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import Words, mix, row_slices, shingles, ship
+from sluice.llm.common import Words, mix, row_slices, shingles, ship, signed, stored
 
 MIN_WORDS = 8
 THRESHOLD = 0.8
 RADIUS = 11
 BLOCKS = 4
-ITEM_BLOCK = 500
+ITEM_BLOCK = 20_000
 SEGMENT = 4096  # words whose bit counts are held together
 MATCHES = "doc_id long, item_id long, similarity double, start_word long, n_words long, distance int"
 _U = np.uint64
@@ -66,18 +68,25 @@ def size_of(n_words: int) -> int:
 
 
 class Index:
-    """Fingerprints of the windows of some items, by window size and block."""
+    """Fingerprints of the windows of some items, by window size and block.
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], radius: int = RADIUS):
+    ``counted`` is what the weights rest on: shingles in order, how many items of the whole benchmark have each, and the number of items;
+    without it these items are the whole benchmark.
+    """
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], radius: int = RADIUS, counted: tuple[np.ndarray, np.ndarray, int] | None = None):
         self.items = [(i, w) for i, w in items if len(w) >= MIN_WORDS]
         self.radius = radius
         self.lengths = np.array([len(w) for _, w in self.items], dtype=np.int64)
         per_block = radius // BLOCKS
         flips = np.array([sum(1 << b for b in some) for n in range(per_block + 1) for some in combinations(range(16), n)], dtype=np.uint16)
         self.shingles = [np.unique(shingles(w)) for _, w in self.items]
-        every, n_items = np.unique(np.concatenate(self.shingles), return_counts=True) if self.items else (np.zeros(0, _U), np.zeros(0))
-        self.known, weight = every, 1 + np.log(max(1, len(self.items)) / np.maximum(n_items, 1))
+        if counted is None:
+            counted = (*(np.unique(np.concatenate(self.shingles), return_counts=True) if self.items else (np.zeros(0, _U), np.zeros(0))), len(self.items))
+        every, n_items, total = counted
+        self.known, weight = every, 1 + np.log(max(1, total) / np.maximum(n_items, 1))
         self.weights = [weight[np.searchsorted(every, s)] for s in self.shingles]
+        self.least = np.array([w.sum() / w.max() for w in self.weights])  # a share of the weight needs that share of so many shingles
         windows: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # size -> (fingerprint, item, where it lies)
         for k, (_, w) in enumerate(self.items):
             size = size_of(len(w))
@@ -86,7 +95,6 @@ class Index:
                 windows[size].append((int(simhashes(counts, np.array([at]), size - 1)[0]), k, at))
         self.rare: dict[float, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         self.steps = np.array([max(1, size_of(n) // 16) for n in self.lengths], dtype=np.int64)
-        self.n_shingles = np.array([len(s) for s in self.shingles], dtype=np.int64)
         self.sizes = {}
         for size, rows in windows.items():
             prints = np.array([r[0] for r in rows], dtype=_U)
@@ -157,7 +165,7 @@ class Index:
             first, last = words.first[text], words.first[text + 1] - 4
             begin = np.clip(start - self.steps[k], first, np.maximum(first, last))
             end = np.clip(start + self.lengths[k] - 4 + self.steps[k], begin, np.maximum(begin, last))
-            some = np.flatnonzero(hit[end] - hit[begin] >= np.maximum(1, 0.2 * threshold * self.n_shingles[k]))
+            some = np.flatnonzero(hit[end] - hit[begin] >= np.maximum(1, threshold * self.least[k] - 1e-6))
             for r, b, e, j, d, s in sorted(set(zip(*(c[some].tolist() for c in (text, begin, end, k, distance, start))))):
                 share = np.isin(self.shingles[j], own[b:e])
                 similarity = float(self.weights[j][share].sum() / self.weights[j].sum())
@@ -192,18 +200,41 @@ class Index:
         return best
 
 
-def item_blocks(benchmark: DataFrame, item_block: int = ITEM_BLOCK) -> Iterator[list[tuple[int | None, str]]]:
-    """The items, gathered in blocks of about ``item_block``; there is always a block."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    n_blocks = max(1, -(-items.count() // item_block))
-    for k in range(n_blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()
-        yield sorted(((r["item_id"], r["text"]) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+Block = tuple[list[tuple[int | None, str]], np.ndarray, np.ndarray, int]
+
+
+def item_blocks(benchmark: DataFrame, item_block: int = ITEM_BLOCK) -> Iterator[Block]:
+    """Items in blocks of about ``item_block``, each with the counts of its shingles over the whole benchmark; there is always a block."""
+    ship(benchmark.sparkSession)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = Words(batch.column(1))
+            rows = [np.unique(shingles(words.row(i))) if len(words.row(i)) >= MIN_WORDS else np.zeros(0, _U) for i in range(batch.num_rows)]
+            block = np.repeat(batch.column(2).to_numpy(), [len(r) for r in rows])
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(signed(np.concatenate(rows)))], ["block", "shingle"])
+
+    given = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    n_blocks = max(1, -(-given.count() // item_block))
+    items = stored(given.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))), "items")
+    by_block = stored(items.mapInArrow(split, "block long, shingle long").groupBy("block", "shingle").agg(F.count(F.lit(1)).alias("n")), "item_shingles")
+    whole = by_block.groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = stored(by_block.select("block", "shingle").join(whole, "shingle"), "shingle_counts")
+    n_words = F.size(F.filter(F.split("text", "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != ""))
+    total = items.where(n_words >= MIN_WORDS).count()
+    for k in range(n_blocks):  # a block of items and of their shingles at a time
+        rows = items.where(F.col("block") == k).select("item_id", "text").collect()
+        table = counts.where(F.col("block") == k).select("shingle", "n").toArrow()
+        keys = table.column("shingle").to_numpy().astype(np.int64).view(_U)
+        order = np.argsort(keys)
+        yield (sorted(((r["item_id"], r["text"]) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1])),
+               keys[order], table.column("n").to_numpy()[order], total)
 
 
-def index_of(block: list[tuple[int | None, str]]) -> Index:
-    words = Words(pa.array([t for _, t in block], pa.string()))
-    return Index([(i, words.row(k)) for k, (i, _) in enumerate(block)])
+def index_of(items: list[tuple[int | None, str]], *counted) -> Index:
+    """The index of some items; ``counted`` as in a block, else these items are the whole benchmark."""
+    words = Words(pa.array([t for _, t in items], pa.string()))
+    return Index([(i, words.row(k)) for k, (i, _) in enumerate(items)], counted=counted or None)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, item_block: int = ITEM_BLOCK) -> DataFrame:
@@ -211,9 +242,9 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, it
     ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
-    def scan(block: list[tuple[int | None, str]]) -> DataFrame:
+    def scan(block: Block) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = index_of(block)
+            index = index_of(*block)
             for batch in batches:
                 out = []
                 for a, b in row_slices(batch.column(1)):
@@ -237,13 +268,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     """``docs`` without the rows that hold an item; rows are judged where they lie, without a shuffle."""
     ship(docs.sparkSession)
 
-    def holds(block: list[tuple[int | None, str]]):
+    def holds(block: Block):
         made: list[Index] = []
 
         @F.pandas_udf("boolean")
         def run(texts: pd.Series) -> pd.Series:
             if not made:
-                made.append(index_of(block))
+                made.append(index_of(*block))
             column = pa.array(texts, pa.string(), from_pandas=True)
             out = np.zeros(len(texts), dtype=bool)
             for a, b in row_slices(column):

@@ -89,3 +89,21 @@ def test_edited_copies_near_the_threshold_against_brute_force():
             one, two = shingle_set(" ".join(item)), shingle_set(" ".join(copy))
             want |= {(i, i)} if len(one & two) >= 0.8 * len(one) else set()
         assert len(want) == 60 and index.matches(dc.Words(pa.array(texts))).keys() == want
+
+
+def test_similarity_does_not_depend_on_blocks(spark):
+    """Weights are counted over the whole benchmark: common shingles weigh the same in every block."""
+    rnd = random.Random(21)
+    shared = text_of(rnd, 12)
+    items = [(i, (shared + " " if i % 3 else "") + text_of(rnd, rnd.randint(10, 40))) for i in range(60)] + [(60, None), (61, "too short"), (3, "a copy of an id")]
+    rows = []
+    for d in range(60):
+        words = items[d % 60][1].split()
+        for _ in range(rnd.randint(0, 2)):
+            words[rnd.randrange(len(words))] = "edit"
+        rows.append((d, text_of(rnd, 30) + " " + " ".join(words) + " " + text_of(rnd, 30)))
+    docs, benchmark = docs_of(spark, rows), spark.createDataFrame(items, ITEMS)
+    found = [sorted(tuple(r) for r in dc.find(docs, benchmark, item_block=n).collect()) for n in (5, 25, 10_000)]
+    assert found[0] == found[1] == found[2] and any(r[2] < 1 for r in found[0]) and len(found[0]) > 30
+    kept = [sorted(r.doc_id for r in dc.decontaminate(docs, benchmark, item_block=n).collect()) for n in (5, 10_000)]
+    assert kept[0] == kept[1] == sorted({d for d, _ in rows} - {r[0] for r in found[0]})
