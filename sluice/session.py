@@ -6,9 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
 
 # Settings every job relies on.  UTC makes minute/day buckets epoch aligned
 # (the reference buckets by t/60 and t/86400); LAST_WIN gives "last value
@@ -97,16 +95,6 @@ def delete_on_exit(spark: SparkSession, path: str) -> None:
     fs.deleteOnExit(p)
 
 
-def read_if_present(spark: SparkSession, schema: StructType, path: str) -> DataFrame | None:
-    """A Parquet table, or None where the folder does not exist; any other error is raised."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
 def _path(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -133,3 +121,27 @@ def rename_folder(spark: SparkSession, old: str, new: str) -> bool:
     if not fs.rename(p, q):
         raise OSError(f"{old} could not be renamed")
     return True
+
+
+def write_file(spark: SparkSession, path: str) -> None:
+    """An empty plain file."""
+    p, fs = _path(spark, path)
+    fs.create(p).close()
+
+
+def data_files(spark: SparkSession, path: str) -> list[str]:
+    """Paths of the data files anywhere below a folder."""
+    p, fs = _path(spark, path)
+    out, found = [], fs.listFiles(p, True)
+    while found.hasNext():
+        f = found.next().getPath()
+        if not f.getName().startswith(("_", ".")):
+            out.append(f.toString())
+    return sorted(out)
+
+
+def set_modified(spark: SparkSession, path: str, millis: int) -> None:
+    """Give every data file below a folder a time of change (file streams take the oldest first)."""
+    for f in data_files(spark, path):
+        p, fs = _path(spark, f)
+        fs.setTimes(p, millis, -1)

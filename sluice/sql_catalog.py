@@ -598,16 +598,33 @@ FROM dispatched""", "dispatched")
 
 SQL["stream_recovery"] = SQL["status_expand"]
 
-SQL["sink_with_fallback"] = _dispatch("""
-SELECT message_id, tenant_id, correlation_id, 1 AS step, 'received' AS status, retry_count AS attempt, '' AS error,
-       'primary' AS sink
+# The slices that the streaming harness cuts: at least 4, at most 32 time ranges of about 25,000 rows.
+_SLICES = """
+, size AS (
+  SELECT min(epoch_us(arrival_ts)) AS lo, max(epoch_us(arrival_ts)) AS hi, least(32, greatest(4, (count(*) + 24999) // 25000)) AS n FROM consumed),
+ranged AS (
+  SELECT c.message_id, least(CAST(floor((epoch_us(c.arrival_ts) - lo) / ((hi - lo + 1) / n)) AS INTEGER), n - 1) AS slice FROM consumed c, size),
+sliced AS (SELECT message_id, dense_rank() OVER (ORDER BY slice) - 1 AS batch_id FROM ranged)"""
+
+SQL["sink_with_fallback"] = _dispatch(_SLICES + """
+, rows AS (
+SELECT message_id, tenant_id, correlation_id, 1 AS step, 'received' AS status, retry_count AS attempt, '' AS error
 FROM outcomes WHERE received_ok
 UNION ALL
-SELECT message_id, tenant_id, correlation_id, 2, 'delivered', retry_count, '', 'primary'
+SELECT message_id, tenant_id, correlation_id, 2, 'delivered', retry_count, ''
 FROM outcomes WHERE received_ok AND NOT simulate_fail AND delivered_ok
 UNION ALL
-SELECT message_id, tenant_id, correlation_id, 3, outcome, CAST(retry_count + 1 AS INTEGER), failure_reason, 'primary'
-FROM outcomes WHERE outcome <> 'delivered'""")
+SELECT message_id, tenant_id, correlation_id, 3, outcome, CAST(retry_count + 1 AS INTEGER), failure_reason
+FROM outcomes WHERE outcome <> 'delivered')
+SELECT rows.*, CASE WHEN batch_id < 2 THEN 'fallback' ELSE 'primary' END AS sink FROM rows JOIN sliced USING (message_id)""")
+
+SQL["stream_lag"] = with_views(_SLICES + """
+SELECT batch_id, count(*) AS consumed, CAST((SELECT count(*) FROM consumed) - sum(count(*)) OVER (ORDER BY batch_id) AS BIGINT) AS lag
+FROM sliced GROUP BY batch_id""", "consumed")
+
+SQL["stream_closed_windows"] = SQL["stream_usage_windows"]
+
+SQL["stream_fan_out_as_of"] = SQL["fan_out_as_of"]
 
 SQL["stream_audit_table"] = _dispatch("""
 , rows AS (

@@ -13,14 +13,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from sluice.operators import dispatch as dsp
 from sluice.operators import fanout
 from sluice.operators.ordering import add_time_buckets
 from sluice.operators.state import newest_per_key
 from sluice.plans.dispatch import dispatch_step
-from sluice.session import delete_folder, list_folder, read_if_present
+from sluice.session import data_files, delete_folder, list_folder
+from sluice.streaming import claims
 
 
 def with_event_time(df: DataFrame, ts_col: str = "arrival_ts") -> DataFrame:
@@ -36,8 +36,16 @@ def _newest_batch(spark, path: str, before: int) -> int | None:
     return found[-1] if found else None
 
 
+def _expire_days(spark, state_path: str, in_use: list[int], keep_days: int) -> None:
+    """Remove the state of days more than ``keep_days`` behind the newest one, but for days in use."""
+    held = [int(n[11:]) for n in list_folder(spark, state_path) if n.startswith("bucket_day=") and n[11:].lstrip("-").isdigit()]
+    for d in held:
+        if d < max(held) - keep_days and d not in in_use:
+            delete_folder(spark, os.path.join(state_path, f"bucket_day={d}"))
+
+
 def rate_quota_sink(out_path: str, state_path: str, limit_per_minute: int, daily_quota: int,
-                    keys=("tenant_id",)):
+                    keys=("tenant_id",), keep_days: int = 2):
     """T01 as a ``foreachBatch`` function: W01 + W02 across micro-batches.
 
     Each micro-batch is ranked with the same distributed two-phase plan as
@@ -47,7 +55,10 @@ def rate_quota_sink(out_path: str, state_path: str, limit_per_minute: int, daily
     tenant.  A batch reads the newest earlier table of its own days only and
     writes that day's new one, so its cost does not depend on how many batches
     came before; a re-run batch replaces its tables.  Older tables of a day
-    are removed, keeping the one a re-run would read.
+    are removed, keeping the one a re-run would read.  A day's state expires
+    once it is more than ``keep_days`` behind the newest day of earlier batches
+    and the batch at hand has no row of it; like the service's counters, which
+    live for two days, counts of a day begin anew after that.
     """
     from sluice.operators.admission import rate_and_quota
 
@@ -59,6 +70,7 @@ def rate_quota_sink(out_path: str, state_path: str, limit_per_minute: int, daily
             .withColumn("eligible", F.lit(True)).persist()
         try:
             days = [r["bucket_day"] for r in rows.select("bucket_day").distinct().collect()]  # days of one batch
+            _expire_days(spark, state_path, days, keep_days)
             folders = {d: os.path.join(state_path, f"bucket_day={d}") for d in days}
             newest = {d: _newest_batch(spark, path, batch_id) for d, path in folders.items()}
             held = [os.path.join(folders[d], f"batch_id={k}") for d, k in newest.items() if k is not None]
@@ -88,37 +100,37 @@ def rate_quota_sink(out_path: str, state_path: str, limit_per_minute: int, daily
     return run
 
 
-CLAIM_SCHEMA = "tenant_id string, idempotency_key string, notification_id string, created_ts timestamp_ntz"
-
-
-def dedup_sink(out_path: str, claims_path: str, prior: Callable[[], DataFrame] | None = None):
+def dedup_sink(out_path: str, claims_path: str, prior: Callable[[], DataFrame] | None = None,
+               buckets: int = claims.BUCKETS, compact_every: int = claims.COMPACT_EVERY):
     """T02 as a ``foreachBatch`` function: J04 against a lasting claim table.
 
     Every request of the batch gets its verdict: the first of a key within
     the batch, by (ts, id), claims it unless the key is on file (``prior``,
     or a claim of an earlier batch), which never expires; rows without a key
-    pass.  New claims are written under the batch's own folder.
+    pass.  The claims on file enter the table once; it is bucketed by key, so
+    a batch reads only the buckets of its own keys, and folded every
+    ``compact_every`` batches (:mod:`sluice.streaming.claims`).
     """
     from sluice.operators.admission import idempotency_claim
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        if prior is not None:
+            claims.seed(prior(), claims_path, buckets)
         rows = batch.withColumn("eligible", F.lit(True)).persist()
         try:
-            schema = StructType.fromDDL(CLAIM_SCHEMA + ", batch_id int")
-            held = read_if_present(spark, schema, claims_path)
-            claims = None if held is None else held.filter(F.col("batch_id") < batch_id).drop("batch_id")
-            if prior is not None:
-                first = prior().select("tenant_id", "idempotency_key", "notification_id", "created_ts")
-                claims = first if claims is None else claims.unionByName(first)
-            decided = idempotency_claim(rows, claims).persist()
+            wanted = [r["b"] for r in rows.filter("idem_key is not null").select(claims.bucket_of("idem_key", buckets).alias("b"))
+                      .distinct().collect()]  # at most one row per bucket
+            decided = idempotency_claim(rows, claims.held(spark, claims_path, sorted(wanted), batch_id)).persist()
             _overwrite_batch(decided.select("message_id", "tenant_id", "idem_key", "claimed", "duplicate", "canonical_id"), out_path, batch_id)
-            _overwrite_batch(decided.filter("claimed").select(
+            claims.add(decided.filter("claimed").select(
                 "tenant_id", F.col("idem_key").alias("idempotency_key"), F.col("correlation_id").alias("notification_id"),
-                F.col("arrival_ts").cast("timestamp_ntz").alias("created_ts")), claims_path, batch_id)
+                F.col("arrival_ts").cast("timestamp_ntz").alias("created_ts")), claims_path, batch_id, buckets)
             decided.unpersist()
         finally:
             rows.unpersist()
+        if batch_id % compact_every == compact_every - 1:
+            claims.compact(spark, claims_path, batch_id, buckets)  # this batch's own folders stay for a re-run
 
     return run
 
@@ -348,6 +360,33 @@ def compact_state(spark, state_path: str, snapshot_path: str) -> None:
         delete_folder(spark, os.path.join(snapshot_path, f"upto={k}"))
 
 
+def lag_sink(in_path: str, out_path: str, taken_path: str):
+    """T10 per batch as a ``foreachBatch`` function: rows taken, and the lag after the batch.
+
+    The batch has a column ``file`` (``_metadata.file_path``).  Lag is latest
+    minus committed: the rows of the files that are in the stream's folder and
+    that neither this batch nor an earlier one has taken, counted from the
+    files' footers.  The files of a batch are kept under its own number, so a
+    batch that runs again reports the same.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        own = batch.groupBy("file").agg(F.count(F.lit(1)).alias("n")).persist()
+        try:
+            _overwrite_batch(own, taken_path, batch_id)
+            present = spark.createDataFrame([(f,) for f in data_files(spark, in_path)], "file string")
+            name = F.regexp_extract("file", "[^/]+/[^/]+$", 0)  # folder and file: schemes are written in more than one way
+            taken = spark.read.schema("file string, n long").parquet(*[os.path.join(taken_path, f"batch_id={k}") for k in _numbers(spark, taken_path, "batch_id=") if k <= batch_id])
+            waiting = [r["file"] for r in present.join(taken.select(name.alias("name")), name == F.col("name"), "left_anti").collect()]  # names of files
+            lag = spark.read.parquet(*waiting).count() if waiting else 0
+            _overwrite_batch(own.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("consumed")).select(
+                F.lit(batch_id).cast("long").alias("batch_id"), "consumed", F.lit(lag).cast("long").alias("lag")), out_path, batch_id)
+        finally:
+            own.unpersist()
+
+    return run
+
+
 def observe_dispatch(stream: DataFrame, name: str = "dispatch_metrics",
                      max_retries: int = dsp.MAX_RETRIES) -> DataFrame:
     """T10 (live form): attach the dispatcher counters to every micro-batch.

@@ -9,15 +9,17 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.operators import admission as adm
 from sluice.registry import register
+from sluice.session import delete_folder, write_file
 from sluice.sources import fixtures as fx
 from sluice.sources.streams import stream_append
-from sluice.streaming import jobs
-from sluice.streaming.harness import run_slices
+from sluice.streaming import intervals, jobs, windows
+from sluice.streaming.harness import run_backlog, run_slices, wait
 
 DISPATCH_TABLES = ("history", "audit", "audit_table", "dlq", "retry", "metrics", "state")
 
@@ -101,16 +103,90 @@ def q_stream_usage_windows(spark, sf_dir):
     return jobs.read_usage(spark, os.path.join(base, "out")).drop("late")
 
 
-def _dispatch(spark, sf_dir, name: str) -> dict:
+@register("stream_closed_windows")
+def q_stream_closed_windows(spark, sf_dir):
+    """T09 in the state store: every window once when it closes, late rows merged in on reading."""
+    route = each_batch(windows.route_sink)
+
+    def start(stream: DataFrame, base: str):
+        wait(route(stream, base))
+        return windows.start_windows(spark, base)
+
+    base = run_slices(spark, "closed-windows", _eligible(spark, sf_dir), "arrival_ts", start, order="mixed")
+    windows.close_all(spark, base)
+    return windows.totals(spark, base)
+
+
+@register("stream_fan_out_as_of")
+def q_stream_fan_out_as_of(spark, sf_dir):
+    """J03 on streams: arriving messages met with arriving session intervals."""
+    both = intervals.both_sides(fx.consumed(spark, sf_dir), fx.sessions(spark, sf_dir))
+    start = each_batch(lambda base: intervals.as_of_sink(*(os.path.join(base, n) for n in ("out", "held", "late"))))
+    base = run_slices(spark, "fan-out-as-of", both, "at", start)
+    return spark.read.parquet(os.path.join(base, "out")).select("message_id", "session_id", "arrival_ts")
+
+
+@register("stream_lag")
+def q_stream_lag(spark, sf_dir):
+    """T10 per batch: entries taken and entries that still wait in the stream, while a backlog is worked off."""
+    count = each_batch(lambda base: jobs.lag_sink(os.path.join(base, "in"), os.path.join(base, "out"), os.path.join(base, "taken")))
+    base = run_backlog(spark, "lag", fx.consumed(spark, sf_dir), "arrival_ts",
+                       lambda stream, base: count(stream.select(F.col("_metadata.file_path").alias("file")), base))
+    return spark.read.parquet(os.path.join(base, "out")).select(F.col("batch_id").cast("long").alias("batch_id"), "consumed", "lag")
+
+
+def losing_once(sink):
+    """A sink whose every batch is lost once after its writes."""
+    lost: set[int] = set()
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        sink(batch, batch_id)
+        if batch_id not in lost:
+            lost.add(batch_id)
+            raise RuntimeError(f"batch {batch_id} is lost after its writes")
+
+    return run
+
+
+def restarted(start):
+    """Starts a query again from its checkpoint for as long as its batches are lost."""
+    def run(stream: DataFrame, base: str):
+        while True:
+            try:
+                return wait(start(stream, base))
+            except StreamingQueryException as e:
+                if "is lost after its writes" not in str(e):
+                    raise
+
+    return run
+
+
+def refused_at_first(start, table: str, slices: int):
+    """Storage refuses a table's folder (a plain file is in its place) for the first slices of a run."""
+    seen: list[str] = []
+
+    def run(stream: DataFrame, base: str):
+        folder = os.path.join(base, table)
+        if not seen:
+            write_file(stream.sparkSession, folder)
+        elif len(seen) == slices:
+            delete_folder(stream.sparkSession, folder)
+        seen.append(base)
+        return start(stream, base)
+
+    return run
+
+
+def _dispatch(spark, sf_dir, name: str, around=lambda start: start, wrap=lambda sink: sink) -> dict:
     """Run the dispatcher sink over the consumed stream; return the paths of its tables."""
     paths: dict = {}
 
     def sink(base: str):
-        paths.update({t: os.path.join(base, t) for t in (*DISPATCH_TABLES, "snapshot")})
-        return jobs.status_fan_write({t: paths[t] for t in DISPATCH_TABLES}, fallback={"history": os.path.join(base, "history-fallback")},
-                                     snapshot_path=paths["snapshot"], compact_every=3)
+        paths.update({t: os.path.join(base, t) for t in (*DISPATCH_TABLES, "snapshot", "history-fallback")})
+        return wrap(jobs.status_fan_write({t: paths[t] for t in DISPATCH_TABLES}, fallback={"history": paths["history-fallback"]},
+                                          snapshot_path=paths["snapshot"], compact_every=3))
 
-    run_slices(spark, name, fx.consumed(spark, sf_dir), "arrival_ts", each_batch(sink))
+    run_slices(spark, name, fx.consumed(spark, sf_dir), "arrival_ts", around(each_batch(sink)))
     return paths
 
 
@@ -147,15 +223,15 @@ def q_stream_metrics(spark, sf_dir):
 
 @register("stream_recovery")
 def q_stream_recovery(spark, sf_dir):
-    """The query stops and resumes from its checkpoint for every slice; each status row is there once."""
-    paths = _dispatch(spark, sf_dir, "recovery")
+    """Every batch is lost once after its writes and run again from the checkpoint; each status row is there once."""
+    paths = _dispatch(spark, sf_dir, "recovery", restarted, losing_once)
     return spark.read.parquet(paths["history"]).select(
         "message_id", "tenant_id", "correlation_id", "step", "status", "attempt", "error")
 
 
 @register("sink_with_fallback")
 def q_sink_with_fallback(spark, sf_dir):
-    """Status rows with the sink that took them (the fallback takes over where storage refuses the primary)."""
-    paths = _dispatch(spark, sf_dir, "fallback")
-    return spark.read.parquet(paths["history"]).select(
+    """Storage refuses the primary history for the first two slices, whose rows the fallback takes; then it works again."""
+    paths = _dispatch(spark, sf_dir, "fallback", lambda start: refused_at_first(start, "history", 2))
+    return spark.read.parquet(paths["history"]).unionByName(spark.read.parquet(paths["history-fallback"])).select(
         "message_id", "tenant_id", "correlation_id", "step", "status", "attempt", "error", "sink")
