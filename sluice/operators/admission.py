@@ -29,6 +29,9 @@ REASON_RETRY_BACKLOG = "retry_stream_backpressure"
 REASON_DUPLICATE = "duplicate_idempotency_key"
 REASON_PUBLISH = "redis_publish_failed"
 REASON_OK = "ok"
+# A check that could not be made (503), by the step it belongs to.
+FAILED_CHECKS = {"quota": "quota_check_failed", "main_backlog": "backpressure_check_failed",
+                 "retry_backlog": "retry_backpressure_check_failed", "claim": "idempotency_claim_failed"}
 
 ORDER = ("arrival_ts", "message_id")
 
@@ -106,6 +109,20 @@ def rate_and_quota(df: DataFrame, limit_per_minute: int, daily_quota: int,
                                                 F.col("rank_in_day"))))
 
 
+def quota_where_checked(df: DataFrame, daily_quota: int, checked: str, keys: Sequence[str] = ("tenant_id",)) -> DataFrame:
+    """W02 where the counter cannot always be asked: only rate-passed rows with ``checked`` use it up.
+
+    Replaces ``quota_ok`` and ``quota_count``; a row whose check failed has neither.  Give it a stored frame with
+    ``rate_ok``: the rank reads its input twice.
+    """
+    asked = F.col("rate_ok") & F.coalesce(F.col(checked), F.lit(True))
+    kept = df.drop("quota_ok", "quota_count", "rank_in_minute", "rank_in_day").withColumn("asked", asked)
+    ranked = minute_and_day_rank(add_time_buckets(kept, "arrival_ts"), keys, "arrival_ts", "message_id", "asked")
+    return (ranked.withColumn("quota_ok", F.col("asked") & (F.col("rank_in_day") <= daily_quota))
+                  .withColumn("quota_count", F.when(F.col("asked"), F.col("rank_in_day")))
+                  .drop("asked", "rank_in_minute"))
+
+
 def first_claim(df: DataFrame, eligible: str = "eligible",
                 keys: Sequence[str] = ("tenant_id", "idem_key")) -> DataFrame:
     """First eligible row per (tenant, key) by (ts, id) wins.

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.operators import dispatch as dsp
+from sluice.operators.admission import FAILED_CHECKS
 from sluice.operators.ordering import position_and_previous
 
 
@@ -31,8 +32,8 @@ def admission_counters(decisions: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("requests"),
         _n(r == "ok").alias("accepted"),
         _n(r == "duplicate_idempotency_key").alias("duplicates"),
-        _n(r.isin("rate_limited", "daily_quota_exceeded", "stream_backpressure",
-                  "retry_stream_backpressure", "redis_publish_failed")).alias("rejected"),
+        _n(r.isin("rate_limited", "daily_quota_exceeded", "stream_backpressure", "retry_stream_backpressure",
+                  "redis_publish_failed", *FAILED_CHECKS.values())).alias("rejected"),
         _n(r == "rate_limited").alias("rate_limited"),
         _n(r.isin("stream_backpressure", "retry_stream_backpressure")).alias("backpressure_rejected"),
         (F.grouping("tenant_id") == 1).alias("is_total")))
@@ -173,6 +174,34 @@ def slo_report(consumed: DataFrame, ms_col: str = "duration_ms", target: float =
     return out.join(lag, "tenant_id", "left").withColumn("max_lag", F.coalesce("max_lag", F.lit(0).cast("bigint")))
 
 
+SKETCH_ERROR = 0.01
+
+
+def latency_sketches(rows: DataFrame, keys: Sequence[str] = ("tenant_id",), value: str = "duration_ms",
+                     ts_col: str = "arrival_ts", error: float = SKETCH_ERROR) -> DataFrame:
+    """A10 at scale: a quantile sketch per (keys, hour), one row per non-empty bin.
+
+    Bin i holds the values in (g**(i-1), g**i] with g = (1 + error) / (1 - error), bin null those of zero or less.  Sketches merge by
+    adding counts, so stored ones answer for any span; a value has at most some 2,000 bins, whatever the rows.
+    """
+    g = (1 + error) / (1 - error)
+    i = F.when(F.col(value) > 0, F.ceil(F.log(F.col(value).cast("double")) / F.log(F.lit(g)))).cast("int")
+    hour = F.date_trunc("hour", F.col(ts_col)).cast("timestamp_ntz")
+    return rows.filter(F.col(value).isNotNull()).groupBy(*keys, hour.alias("hour"), i.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def sketch_quantiles(sketches: DataFrame, probs: Sequence[float], keys: Sequence[str] = ("tenant_id",), error: float = SKETCH_ERROR) -> DataFrame:
+    """Quantiles of merged sketches: each within ``error`` (relative) of the value of rank floor(p * (n - 1))."""
+    keys = list(keys)
+    g = (1 + error) / (1 - error)
+    merged = sketches.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy(*keys)
+    run = merged.withColumns({"upto": F.sum("n").over(w.orderBy(F.col("bin").asc_nulls_first())), "total": F.sum("n").over(w)})
+    middle = F.when(F.col("bin").isNull(), F.lit(0.0)).otherwise(2 * F.pow(F.lit(g), F.col("bin")) / (g + 1))
+    at = lambda p: F.min(F.when(F.col("upto") > F.floor(F.lit(p) * (F.col("total") - 1)), middle)).alias(f"p{int(round(p * 100))}")
+    return run.groupBy(*keys).agg(F.max("total").alias("messages"), *[at(p) for p in probs])
+
+
 def correlation_trace(history: DataFrame, key: str = "correlation_id") -> DataFrame:
     """The story of one business id: records, attempts, first and last status.
 

@@ -180,3 +180,21 @@ def position_and_previous(df: DataFrame, group: Sequence[str], ts_col: str, id_c
                                           .otherwise(F.col(f"_lag_{c}")) for c in carry})
     return out.drop("_d", "_s", "_rn", "_soff", "_sprev", *[f"_lag_{c}" for c in carry],
                     *[f"_g_{g}" for g in group], "_g_s")
+
+
+def entries_before(rows: DataFrame, entries: DataFrame, ts_col: str, entry_col: str, id_col: str = "message_id") -> DataFrame:
+    """(id, ``n_before``): how many entries lie strictly before each row's time.
+
+    Counts per second are summed up within the hour, and per hour over the hours; only within one second are rows and
+    entries ordered.  No window spans all rows.
+    """
+    marked = (rows.select(epoch_micros(ts_col).alias("us"), F.col(id_col).alias("id"), F.lit(0).alias("entry"))
+                  .unionByName(entries.select(epoch_micros(entry_col).alias("us"), F.lit(None).cast("bigint").alias("id"), F.lit(1).alias("entry"))))
+    marked = marked.withColumns({"sec": F.floor(F.col("us") / 1_000_000).cast("bigint"), "hour": F.floor(F.col("us") / 3_600_000_000).cast("bigint")})
+    seconds = marked.groupBy("hour", "sec").agg(F.sum("entry").alias("n"))
+    hours = running_before(seconds.groupBy("hour").agg(F.sum("n").alias("n")).withColumn("all", F.lit(0)), ["all"], "hour", "n", "hours_before")
+    base = running_before(seconds, ["hour"], "sec", "n", "secs_before").join(hours.select("hour", "hours_before"), "hour")
+    within = Window.partitionBy("sec").orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
+    inside = marked.withColumn("inside", F.coalesce(F.sum("entry").over(within), F.lit(0))).filter("entry = 0")
+    return inside.join(base.select("sec", "secs_before", "hours_before"), "sec").select(
+        F.col("id").alias(id_col), (F.col("hours_before") + F.col("secs_before") + F.col("inside")).cast("bigint").alias("n_before"))

@@ -9,11 +9,16 @@ rows to one task.  A global newest-N is ``orderBy().limit()``, planned as
 
 from __future__ import annotations
 
+import datetime as dt
+import os
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.session import delete_folder, list_folder, rename_folder
+
 # Fixed values of the read API (newest-N history reads).
 HISTORY_LIMIT_DEFAULT = 50
 HISTORY_LIMIT_MIN = 1
@@ -114,16 +119,78 @@ def clustered_history(history: DataFrame, tenant_id: str, notification_id: str,
                    .orderBy(*_desc(order)))
 
 
-def write_clustered(history: DataFrame, path: str, partitions: int | None = None) -> None:
+def bucket_of(tenant_id, notification_id, buckets: int):
+    """The bucket of one (tenant, notification) in a clustered table."""
+    return F.pmod(F.xxhash64(tenant_id, notification_id), F.lit(buckets)).cast("int")
+
+
+def write_clustered(history: DataFrame, path: str, partitions: int | None = None, buckets: int = 0) -> None:
     """Writer side of L03: cluster by tenant, newest first within a file,
-    so row-group min/max statistics prune point reads."""
+    so row-group min/max statistics prune point reads.  With ``buckets`` every
+    day is also split by hash of (tenant, notification), so a point
+    read opens one bucket's files only (:func:`point_rows`)."""
     df = history.withColumn("status_date", F.to_date("status_ts"))
+    if buckets > 0:
+        df = df.withColumn("bucket", bucket_of(F.col("tenant_id"), F.col("notification_id"), buckets))
+        (df.repartition("bucket").sortWithinPartitions("status_date", "tenant_id", "notification_id", F.col("status_ts").desc())
+           .write.mode("append").partitionBy("status_date", "bucket").parquet(path))
+        return
     by = ["tenant_id", "notification_id"]  # ranges, so a busy tenant spans several files
     df = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
     (df.sortWithinPartitions("tenant_id", "notification_id", F.col("status_ts").desc())
        .write.mode("append").partitionBy("status_date").parquet(path))
 
 
+def point_rows(spark, path: str, tenant_id: str, notification_id: str, buckets: int) -> DataFrame:
+    """L03 / W05 on the clustered table: rows of one (tenant, notification).
+
+    The bucket is a literal, so other buckets' files are pruned by their
+    folder, and row groups by the two pushed equality filters.
+    """
+    bucket = spark.range(1).select(bucket_of(F.lit(tenant_id), F.lit(notification_id), buckets).alias("b")).first()["b"]
+    return spark.read.parquet(path).filter((F.col("bucket") == bucket) & (F.col("tenant_id") == tenant_id)
+                                           & (F.col("notification_id") == notification_id)).drop("bucket", "status_date")
+
+
+def purge(spark, path: str, as_of: str, ttl_seconds: int, ts_col: str = "status_ts", date_col: str = "status_date") -> dict[str, list[str]]:
+    """T11 as a job on a table partitioned by day: whole expired days are dropped by listing; only the day on the boundary is rewritten.
+
+    The rewritten day is complete beside the table before it is swapped in by
+    rename; a run that ends in between is finished by the next one, and a
+    second run changes nothing.  Rows without a time stay (reads skip them).
+    Returns which days were dropped and which rewritten.
+    """
+    done: dict[str, list[str]] = {"dropped": [], "rewritten": []}
+    if ttl_seconds <= 0:
+        return done
+    fresh, old = os.path.join(path, "_purge_new"), os.path.join(path, "_purge_old")
+    for day in list_folder(spark, old):  # a swap that was cut short
+        if day not in list_folder(spark, path):
+            rename_folder(spark, os.path.join(fresh if day in list_folder(spark, fresh) else old, day), os.path.join(path, day))
+    for leftover in (fresh, old):
+        delete_folder(spark, leftover)
+    limit = dt.datetime.fromisoformat(as_of) - dt.timedelta(seconds=ttl_seconds)
+    boundary = limit.date().isoformat()
+    for day in [d for d in list_folder(spark, path) if re.fullmatch(date_col + r"=\d{4}-\d\d-\d\d", d)]:
+        name = day.split("=")[1]
+        if name < boundary:
+            delete_folder(spark, os.path.join(path, day))
+            done["dropped"].append(name)
+        elif name == boundary:
+            rows = spark.read.parquet(os.path.join(path, day))
+            expired = F.col(ts_col) <= F.lit(limit)
+            if rows.filter(expired).isEmpty():
+                continue
+            writer = rows.filter(~expired).write.mode("overwrite")
+            (writer.partitionBy("bucket") if "bucket" in rows.columns else writer).parquet(os.path.join(fresh, day))
+            rename_folder(spark, os.path.join(path, day), os.path.join(old, day))
+            rename_folder(spark, os.path.join(fresh, day), os.path.join(path, day))
+            delete_folder(spark, old)
+            done["rewritten"].append(name)
+    delete_folder(spark, fresh)
+    return done
+
+
 def retention(records: DataFrame, as_of: str, ttl_seconds: int,
               ts_col: str = "status_ts") -> DataFrame:
     """Rows still alive at ``as_of``; ``ttl_seconds <= 0`` keeps everything."""

@@ -150,12 +150,16 @@ def with_views(sql: str, *names: str) -> str:
 
 
 def admission_sql(limit: int, quota: int, main: int, retry: int, body: str | None = None, publish: bool = False,
-                  tokens: bool = False) -> str:
+                  tokens: bool = False, checks: bool = False) -> str:
     """Set-based C01 with plain windows; ``body`` selects from CTE ``decided``.
 
     ``publish``: a request whose ``publish_ok`` is false fails to publish and releases its claim.
     ``tokens``: a valid bearer token names the tenant and an invalid one refuses the request.
+    ``checks``: the checks of some requests cannot be made (fixed moduli of message_id).
     """
+    quota_made, main_made, retry_made, claim_made = (
+        f"r.message_id % {m} <> {k}" if checks and on else "true" for m, k, on in
+        ((223, 6, quota > 0), (227, 9, main > 0), (229, 11, retry > 0), (233, 13, True)))
     tenant = "CASE v.token_status WHEN 'valid' THEN v.token_tenant WHEN 'invalid' THEN NULL ELSE r.tenant_id END" if tokens else "r.tenant_id"
     auth = "CASE WHEN v.token_status = 'invalid' THEN 'invalid_bearer_token' " if tokens else "CASE "
     verdicts = """ JOIN (
@@ -177,7 +181,8 @@ def admission_sql(limit: int, quota: int, main: int, retry: int, body: str | Non
            AS correlation_id,
          nullif(idempotency_key, '') AS idem_key,
          coalesce(length(content), 0) > 0 AS content_ok,
-         {'publish_ok' if publish else 'true'} AS can_publish
+         {'publish_ok' if publish else 'true'} AS can_publish,
+         {quota_made} AS quota_made, {main_made} AS main_made, {retry_made} AS retry_made, {claim_made} AS claim_made
   FROM requests r{verdicts}),
 el AS (SELECT *, content_ok AND auth_reason IS NULL AS eligible FROM base),
 rk AS (
@@ -187,27 +192,33 @@ rk AS (
   FROM el),
 rl AS (SELECT *, eligible AND ({limit} <= 0 OR rank_in_minute <= {limit}) AS rate_ok FROM rk),
 qd AS (
-  SELECT *, CASE WHEN rate_ok THEN row_number() OVER (
-           PARTITION BY rate_ok, tenant_id, epoch_us(arrival_ts) // 86400000000
+  SELECT *, CASE WHEN rate_ok AND quota_made THEN row_number() OVER (
+           PARTITION BY rate_ok AND quota_made, tenant_id, epoch_us(arrival_ts) // 86400000000
            ORDER BY arrival_ts, message_id) END AS rank_in_day
   FROM rl),
-sv AS (SELECT *, rate_ok AND ({quota} <= 0 OR rank_in_day <= {quota}) AS survivor FROM qd),
+kept AS (SELECT *, rate_ok AND quota_made AND ({quota} <= 0 OR rank_in_day <= {quota}) AS survivor FROM qd),
+sv AS (
+  SELECT *, unmade IS NULL AND survivor AS reaches FROM (
+    SELECT *, CASE WHEN rate_ok AND NOT quota_made THEN 'quota_check_failed' WHEN NOT survivor THEN NULL
+                   WHEN NOT main_made THEN 'backpressure_check_failed' WHEN NOT retry_made THEN 'retry_backpressure_check_failed'
+                   WHEN idem_key IS NOT NULL AND NOT claim_made THEN 'idempotency_claim_failed' END AS unmade
+    FROM kept)),
 win AS (
   SELECT tenant_id, idem_key, message_id AS winner_id, correlation_id AS winner_corr, arrival_ts AS winner_ts FROM (
     SELECT *, row_number() OVER (PARTITION BY tenant_id, idem_key ORDER BY arrival_ts, message_id) AS rn
-    FROM sv WHERE survivor AND can_publish AND idem_key IS NOT NULL) WHERE rn = 1),
+    FROM sv WHERE reaches AND can_publish AND idem_key IS NOT NULL) WHERE rn = 1),
 flagged AS (
   SELECT sv.*, w.winner_id, w.winner_corr, c.notification_id AS prior_id,
          c.tenant_id IS NOT NULL AS has_prior,
-         CASE WHEN sv.survivor AND sv.idem_key IS NOT NULL THEN
+         CASE WHEN sv.reaches AND sv.idem_key IS NOT NULL THEN
               c.tenant_id IS NULL AND coalesce(sv.message_id = w.winner_id, false) END AS claimed,
-         sv.survivor AND sv.can_publish AND (sv.idem_key IS NULL OR (c.tenant_id IS NULL AND sv.message_id = w.winner_id))
+         sv.reaches AND sv.can_publish AND (sv.idem_key IS NULL OR (c.tenant_id IS NULL AND sv.message_id = w.winner_id))
            AS publishable,
-         sv.survivor AND NOT sv.can_publish AND (sv.idem_key IS NULL OR (c.tenant_id IS NULL AND (w.winner_id IS NULL
+         sv.reaches AND NOT sv.can_publish AND (sv.idem_key IS NULL OR (c.tenant_id IS NULL AND (w.winner_id IS NULL
            OR (sv.arrival_ts, sv.message_id) < (w.winner_ts, w.winner_id)))) AS publish_failed
   FROM sv
-  LEFT JOIN win w ON sv.survivor AND sv.tenant_id = w.tenant_id AND sv.idem_key = w.idem_key
-  LEFT JOIN claims c ON sv.survivor AND sv.tenant_id = c.tenant_id AND sv.idem_key = c.idempotency_key),
+  LEFT JOIN win w ON sv.reaches AND sv.tenant_id = w.tenant_id AND sv.idem_key = w.idem_key
+  LEFT JOIN claims c ON sv.reaches AND sv.tenant_id = c.tenant_id AND sv.idem_key = c.idempotency_key),
 mcut AS {main_cut},
 rcut AS {retry_cut},
 gated AS (
@@ -230,8 +241,13 @@ reasoned AS (
     CASE WHEN NOT content_ok THEN 'content_required'
          WHEN auth_reason IS NOT NULL THEN auth_reason
          WHEN NOT rate_ok THEN 'rate_limited'
+         WHEN unmade = 'quota_check_failed' THEN unmade
          WHEN NOT survivor THEN 'daily_quota_exceeded'
+         WHEN unmade = 'backpressure_check_failed' THEN unmade
+         WHEN gate_reason = 'stream_backpressure' THEN gate_reason
+         WHEN unmade = 'retry_backpressure_check_failed' THEN unmade
          WHEN gate_reason IS NOT NULL THEN gate_reason
+         WHEN unmade IS NOT NULL THEN unmade
          WHEN publish_failed THEN 'redis_publish_failed'
          WHEN idem_key IS NOT NULL AND NOT claimed THEN 'duplicate_idempotency_key'
          ELSE 'ok' END AS reason
@@ -243,9 +259,9 @@ decided AS (
               ELSE 'rejected' END AS decision,
          CAST(CASE WHEN reason IN ('ok', 'duplicate_idempotency_key') THEN 202
               WHEN reason = 'content_required' THEN 400
-              WHEN reason = 'redis_publish_failed' THEN 503
+              WHEN reason = 'redis_publish_failed' OR reason = unmade THEN 503
               WHEN reason = auth_reason THEN 401 ELSE 429 END AS INTEGER) AS http_status,
-         CASE WHEN rate_ok AND {quota} > 0 THEN rank_in_day END AS quota_count,
+         CASE WHEN rate_ok AND quota_made AND {quota} > 0 THEN rank_in_day END AS quota_count,
          CASE WHEN reason = 'ok' THEN correlation_id
               WHEN reason = 'duplicate_idempotency_key' THEN
                 coalesce(nullif(CASE WHEN has_prior THEN prior_id ELSE winner_corr END, ''), correlation_id)

@@ -6,10 +6,14 @@ production); a consumer group is a Structured Streaming checkpoint.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sluice.session import list_folder
+
 
 def union_streams(main: DataFrame, retry: DataFrame, stream_col: str = "source_stream") -> DataFrame:
     """Main and retry entries as one input, each row tagged with its stream."""
@@ -51,3 +55,17 @@ def stream_append(df: DataFrame, path: str, checkpoint: str | None = None, trigg
         return w.trigger(**(trigger or {"availableNow": True})).start()
     df.write.mode("append").parquet(path)
     return None
+
+
+def start_at_latest(stream: DataFrame, checkpoint: str) -> bool:
+    """Have a query that is new begin after what the folder holds now; returns whether it was new.
+
+    The files present are recorded in the new checkpoint as taken, without
+    being read; a query that has a checkpoint resumes after its last batch
+    and is left alone.  For queries with a ``foreachBatch`` sink on this stream.
+    """
+    if list_folder(stream.sparkSession, os.path.join(checkpoint, "offsets")):
+        return False
+    (stream.writeStream.foreachBatch(lambda batch, batch_id: None).option("checkpointLocation", checkpoint)
+           .trigger(availableNow=True).start().awaitTermination())
+    return True

@@ -227,6 +227,17 @@ SELECT tenant_id, count(*) AS requests,
        grouping(tenant_id) = 1 AS is_total
 FROM decided GROUP BY ROLLUP (tenant_id)""")
 
+SQL["admission_failed_counters"] = admission_sql(2, 40, 3000, 800, publish=True, checks=True, body="""
+SELECT tenant_id, count(*) AS requests,
+       count(*) FILTER (WHERE reason = 'ok') AS accepted,
+       count(*) FILTER (WHERE reason = 'duplicate_idempotency_key') AS duplicates,
+       count(*) FILTER (WHERE http_status IN (429, 503)) AS rejected,
+       count(*) FILTER (WHERE reason = 'rate_limited') AS rate_limited,
+       count(*) FILTER (WHERE reason IN ('stream_backpressure', 'retry_stream_backpressure'))
+         AS backpressure_rejected,
+       grouping(tenant_id) = 1 AS is_total
+FROM decided GROUP BY ROLLUP (tenant_id)""")
+
 SQL["dispatch_counters"] = with_views("""
 SELECT tenant_id, count(*) AS consumed,
        count(*) FILTER (WHERE outcome = 'delivered' AND ack_ok) AS delivered,
@@ -508,24 +519,79 @@ SELECT seq, json_object('ts', epoch_us(status_ts) // 1000000,
                                               'attempt', attempt, 'error', error))::VARCHAR AS value
 FROM history""", "history")
 
-SQL["event_log"] = admission_sql(1, 50, 3000, 0, publish=True, body="""
+
+def _event_log(main: int, params: tuple, **how) -> str:
+    return admission_sql(*params, publish=True, body=f"""
 SELECT message_id,
-  '{"ts":' || CAST(epoch_us(arrival_ts) // 1000000 AS VARCHAR) || ',"service":"gateway","event":"'
+  '{{"ts":' || CAST(epoch_us(arrival_ts) // 1000000 AS VARCHAR) || ',"service":"gateway","event":"'
   || CASE WHEN reason IN ('ok', 'duplicate_idempotency_key') THEN 'notification_accepted'
           ELSE 'notification_rejected' END
   || '","outcome":"' || reason || '","tenant_id":"' || tenant_id || '"'
-  || CASE WHEN reason IN ('ok', 'redis_publish_failed') AND coalesce(correlation_id, '') <> ''
+  || CASE WHEN reason IN ('ok', 'redis_publish_failed', 'idempotency_claim_failed') AND coalesce(correlation_id, '') <> ''
             THEN ',"correlation_id":"' || correlation_id || '"'
           WHEN reason = 'duplicate_idempotency_key' AND coalesce(canonical_id, '') <> ''
             THEN ',"correlation_id":"' || canonical_id || '"' ELSE '' END
   || CASE WHEN reason = 'daily_quota_exceeded' THEN ',"detail":"quota_count=' || CAST(quota_count AS VARCHAR) || '"'
-          WHEN reason = 'stream_backpressure' THEN ',"detail":"stream=notifications_stream,length=3000"'
-          WHEN reason = 'retry_stream_backpressure' THEN ',"detail":"stream=notifications_retry_stream"'
+          WHEN reason = 'stream_backpressure' THEN ',"detail":"stream=notifications_stream,length={main}"'
+          WHEN reason = 'retry_stream_backpressure' THEN ',"detail":"stream=notifications_retry_stream,length='
+            || CAST((SELECT count(*) FROM retry_entries x WHERE x.entry_ts < decided.arrival_ts) AS VARCHAR) || '"'
           ELSE '' END
-  || '}' AS log_line
+  || '}}' AS log_line
 FROM decided
 WHERE reason IN ('ok', 'duplicate_idempotency_key', 'rate_limited', 'daily_quota_exceeded',
-                 'stream_backpressure', 'retry_stream_backpressure', 'redis_publish_failed')""")
+                 'stream_backpressure', 'retry_stream_backpressure', 'redis_publish_failed', 'quota_check_failed',
+                 'backpressure_check_failed', 'retry_backpressure_check_failed', 'idempotency_claim_failed')""", **how)
+
+
+SQL["event_log"] = _event_log(3000, (1, 50, 3000, 0))
+
+# All checks on, and some of each that cannot be made.
+_CHECKED = (2, 40, 3000, 800)
+
+SQL["admission_failed_checks"] = admission_sql(*_CHECKED, publish=True, checks=True)
+
+SQL["event_log_failed_checks"] = _event_log(3000, _CHECKED, checks=True)
+
+SQL["dispatch_log"] = with_views("""
+SELECT message_id,
+  '{"ts":"' || strftime(epoch_ms(seen_ms), '%Y-%m-%dT%H:%M:%S.%g') || 'Z","service":"notification-dispatcher","event":"notification_dispatch","outcome":"'
+  || CASE outcome WHEN 'dlq' THEN 'dlq_routed' ELSE outcome END || '","tenant_id":"' || tenant_id || '","notification_id":"' || message_id
+  || '","correlation_id":"' || correlation_id || '"'
+  || CASE outcome WHEN 'delivered' THEN ''
+       WHEN 'dlq' THEN ',"reason":"' || failure_reason || '"'
+       ELSE ',"reason":"' || failure_reason || ',backoff_ms=' || CAST(CAST(greatest(1, least(10000, 250 * power(2, retry_count))) AS BIGINT) AS VARCHAR) || '"' END
+  || ',"retry_count":' || CAST(CASE outcome WHEN 'delivered' THEN retry_count ELSE retry_count + 1 END AS VARCHAR) || '}' AS log_line
+FROM dispatched WHERE ack_ok""", "dispatched")
+
+SQL["purged_history"] = SQL["retention"]
+
+SQL["clustered_point_read"] = SQL["clustered_history"]
+
+SQL["audit_files"] = with_views(_PAYLOAD + """
+, audit AS (
+  SELECT seq, CASE WHEN payload = '' THEN ''
+              ELSE '{"ts":' || CAST(epoch_us(status_ts) // 1000000 AS VARCHAR) || ',"record":' || payload || '}'
+         END AS value
+  FROM lines),
+judged AS (
+  SELECT seq % 4 AS part, json_valid(value) AND json_extract_string(CASE WHEN json_valid(value) THEN value END, '$.record.tenant_id') IS NOT NULL
+         AND json_extract_string(CASE WHEN json_valid(value) THEN value END, '$.record.notification_id') IS NOT NULL AS good
+  FROM audit WHERE length(trim(value)) > 0)
+SELECT part, count(*) FILTER (WHERE good) AS records, count(*) FILTER (WHERE NOT good) AS quarantined FROM judged GROUP BY part""",
+                                "history")
+
+SQL["slo_sketches"] = with_views("""
+, binned AS (
+  SELECT tenant_id, CASE WHEN duration_ms > 0 THEN CAST(ceil(ln(CAST(duration_ms AS DOUBLE)) / ln(1.01 / 0.99)) AS INTEGER) END AS bin, count(*) AS n
+  FROM consumed WHERE duration_ms IS NOT NULL GROUP BY ALL),
+run AS (
+  SELECT *, sum(n) OVER (PARTITION BY tenant_id ORDER BY bin NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY tenant_id) AS total,
+         CASE WHEN bin IS NULL THEN 0.0::DOUBLE ELSE 2 * power(1.01 / 0.99, bin) / (1.01 / 0.99 + 1) END AS middle FROM binned)
+SELECT tenant_id, CAST(max(total) AS BIGINT) AS messages,
+       CAST(round(min(middle) FILTER (WHERE upto > floor(0.5::DOUBLE * (total - 1))) * 1000) AS BIGINT) AS p50_us,
+       CAST(round(min(middle) FILTER (WHERE upto > floor(0.95::DOUBLE * (total - 1))) * 1000) AS BIGINT) AS p95_us,
+       CAST(round(min(middle) FILTER (WHERE upto > floor(0.99::DOUBLE * (total - 1))) * 1000) AS BIGINT) AS p99_us
+FROM run GROUP BY tenant_id""", "consumed")
 
 SQL["tenant_audit_report"] = with_views("""
 SELECT tenant_id, status, count(*) AS records, max(status_ts) AS newest_ts,

@@ -17,8 +17,9 @@ def _micros(ts: dt.datetime) -> int:
     return (ts - EPOCH) // dt.timedelta(microseconds=1)
 
 
-def simulate(rows, claims, retry_times, limit, quota, main, retry, main_start=0, retry_start=0, publish=False):
-    """rows: dicts with the ``requests`` columns; returns {message_id: (reason, quota_count, canonical)}."""
+def simulate(rows, claims, retry_times, limit, quota, main, retry, main_start=0, retry_start=0, publish=False, made=None):
+    """``made(step, row)`` says whether a check can be made.  rows: dicts with the ``requests`` columns; returns {message_id: (reason, quota_count, canonical)}."""
+    made = made or (lambda step, row: True)
     window: dict[str, list[int]] = {}
     daily: dict[tuple[str, int], int] = {}
     stored = {(c["tenant_id"], c["idempotency_key"]): c["notification_id"] for c in claims}
@@ -42,16 +43,25 @@ def simulate(rows, claims, retry_times, limit, quota, main, retry, main_start=0,
             w[1] += 1
         qc = None
         if quota > 0:
+            if not made("quota", r):
+                out[mid] = ("quota_check_failed", None, None)
+                continue
             k = (tenant, us // 86_400_000_000)
             daily[k] = daily.get(k, 0) + 1
             qc = daily[k]
             if qc > quota:
                 out[mid] = ("daily_quota_exceeded", qc, None)
                 continue
+        if main > 0 and not made("main_backlog", r):
+            out[mid] = ("backpressure_check_failed", qc, None)
+            continue
         if main > 0 and main_len >= main:
             out[mid] = ("stream_backpressure", qc, None)
             continue
         if retry > 0:
+            if not made("retry_backlog", r):
+                out[mid] = ("retry_backpressure_check_failed", qc, None)
+                continue
             retry_len = retry_start + bisect.bisect_left(retry_sorted, r["arrival_ts"])
             if retry_len >= retry:
                 out[mid] = ("retry_stream_backpressure", qc, None)
@@ -59,6 +69,9 @@ def simulate(rows, claims, retry_times, limit, quota, main, retry, main_start=0,
         corr = r["header_corr"] or r["body_corr"] or f"corr-{us // 1_000_000}-{mid}"
         key = r["idempotency_key"] or None
         if key is not None:
+            if not made("claim", r):
+                out[mid] = ("idempotency_claim_failed", qc, None)
+                continue
             if (tenant, key) in stored:
                 out[mid] = ("duplicate_idempotency_key", qc, stored[(tenant, key)] or corr)
                 continue
