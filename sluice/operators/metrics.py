@@ -78,23 +78,33 @@ def stream_length(entries: DataFrame, stream_col: str = "source_stream") -> Data
     return entries.groupBy(stream_col).agg(F.count(F.lit(1)).alias("length"))
 
 
+STREAM_NAMES = 1_000  # positions up to here enter the plan as literals
+
+
 def consumer_lag(entries: DataFrame, positions: DataFrame, pending: DataFrame,
                  stream_col: str = "source_stream") -> DataFrame:
     """Per stream lag (entries after the group's last delivered id), else
-    pending, else 0; negatives clamp to 0; ``rollup`` adds the total."""
-    # The join has no hint: positions are one row per stream, which adaptive
-    # execution broadcasts by measured size.  A stream without a position
-    # has no lag (null), so its pending entries count.
-    lag = (entries.join(positions.filter(F.col("last_delivered").isNotNull()), stream_col)
-                  .groupBy(stream_col)
-                  .agg(_n(F.col("message_id") > F.col("last_delivered")).alias("lag")))
-    pend = pending.groupBy(stream_col).agg(F.count(F.lit(1)).alias("pending"))
-    per = (positions.select(stream_col).join(lag, stream_col, "left").join(pend, stream_col, "left")
-                    .withColumn("consumer_lag", F.greatest(F.lit(0).cast("bigint"),
-                                F.coalesce(F.col("lag"), F.col("pending"), F.lit(0).cast("bigint")))))
-    return per.rollup(stream_col).agg(
-        F.sum("consumer_lag").cast("bigint").alias("consumer_lag"),
-        F.sum(F.coalesce(F.col("pending"), F.lit(0))).cast("bigint").alias("pending"),
+    pending, else 0; ``rollup`` adds the total.
+
+    Positions are one row per stream; up to ``STREAM_NAMES`` of them are
+    literals, so entries and pending ids are counted in one pass and one
+    aggregate, and nothing is joined.  With more, positions are joined.
+    A stream without a position has no lag, so its pending entries count.
+    """
+    known = positions.select(stream_col, "last_delivered").limit(STREAM_NAMES + 1).collect()
+    seen = entries.select(stream_col, "message_id", F.lit(0).alias("pending"))
+    waits = pending.select(stream_col, F.lit(None).cast("bigint").alias("message_id"), F.lit(1).alias("pending"))
+    named = positions.select(stream_col, F.lit(None).cast("bigint").alias("message_id"), F.lit(0).alias("pending"))
+    rows = seen.unionByName(waits).unionByName(named)
+    if 0 < len(known) <= STREAM_NAMES:
+        last = F.create_map(*[F.lit(x) for r in known for x in (r[0], r["last_delivered"] if r["last_delivered"] is not None else -2 ** 63)])
+        rows = rows.filter(F.col(stream_col).isin([r[0] for r in known])).withColumn("last", F.nullif(F.element_at(last, F.col(stream_col)), F.lit(-2 ** 63)))
+    else:
+        rows = rows.join(positions.select(stream_col, F.col("last_delivered").alias("last")), stream_col)
+    behind = F.when(F.col("last").isNull(), F.col("pending")).otherwise(F.coalesce((F.col("message_id") > F.col("last")).cast("int"), F.lit(0)))
+    return rows.rollup(stream_col).agg(
+        F.sum(behind).cast("bigint").alias("consumer_lag"),
+        F.sum("pending").cast("bigint").alias("pending"),
         (F.grouping(stream_col) == 1).alias("is_total"))
 
 
