@@ -39,7 +39,7 @@ MAX_DOCUMENTS = 6_000
 MAX_CANDIDATES = 60_000
 PRECISION = 0.95
 CONTEXT = 32
-SPANS = ("doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+SPANS = ("doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_secret long, n_account long, n_spans long")
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*$")
 _NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
@@ -125,9 +125,11 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def kind_of(generator: str, value: str) -> str:
+def kind_of(generator: str, value: str) -> str | None:
+    """The kind of a proposal; None where it has more digits than any kind allows."""
     if generator == "number":
-        return "card" if 13 <= len(_NON_DIGIT.sub("", value)) <= 19 and not value.startswith("+") else "phone"
+        n = len(_NON_DIGIT.sub("", value))
+        return "card" if 13 <= n <= 19 and not value.startswith("+") else "phone" if n <= 15 else None
     return {"dotted": "ip", "account": "account", "at": "email"}.get(generator, "secret")
 
 
@@ -138,7 +140,8 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         if needed.search(text):
             for m in pattern.finditer(text):
                 s, e = m.span(m.re.groups and 1)
-                out.add((s, e, kind_of(name, text[s:e])))
+                if (kind := kind_of(name, text[s:e])) is not None:
+                    out.add((s, e, kind))
                 if name == "at" and (stop := _SENTENCE.search(text, s, e)):  # the address may end its sentence
                     out.add((s, stop.start(), "email"))
                 if name == "account" and not mod97(text[s:e]):  # words in capitals may follow the number
@@ -311,7 +314,8 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 
 
 def detect(docs: DataFrame, detector: Detector) -> DataFrame:
-    """Per row: numbers of base spans, digest of the base spans, all spans and the number of added ones."""
+    """Per row: numbers of base spans, digest of the base spans, all spans, the number of added ones, how many of these are secrets and
+    accounts, and the number of all spans."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,9 +326,10 @@ def detect(docs: DataFrame, detector: Detector) -> DataFrame:
                 bases = [base_spans(t) for t in texts]
                 for base, added in zip(bases, detector.select(texts, bases)):
                     n = [sum(k == kind for _, _, k in base) for kind in KINDS[:4]]
-                    out.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + added), len(added)))
+                    out.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + added), len(added),
+                                *(sum(k == kind for _, _, k in added) for kind in ("secret", "account")), len(base) + len(added)))
             yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array([r[k] for r in out], kind) for k, kind in enumerate(
-                [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()])], [c.split()[0] for c in SPANS.split(", ")])
+                [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 4)], [c.split()[0] for c in SPANS.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SPANS)
 

@@ -150,3 +150,32 @@ def test_long_values_are_proposed_whole():
 class FlatTrees:
     def score(self, x):
         return np.ones(len(x))
+
+
+def test_no_proposal_has_more_digits_than_its_kind(spark):
+    pair = "4111111111111111 4012888888881881"
+    assert not [c for c in pii.candidates(f"numbers {pair} here") if c[2] == "phone"]
+    assert pii.kind_of("number", "+" + "1" * 16) is None and pii.kind_of("number", "5" * 15) == "card" and pii.kind_of("number", "555-123-4567") == "phone"
+
+
+def test_counts_of_added_spans_and_recall_of_secrets(spark):
+    """Planted secrets, accounts and (at) addresses: at least nine of ten are found, and the counts show documents without base spans."""
+    rnd = random.Random(31)
+    secret = lambda: rnd.choice(["sk_live_", "ghp_", "AKIA"]) + "".join(rnd.choice("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789") for _ in range(32))
+    made = {"secret": lambda d: f"token = {secret()}" if d % 2 else f"password: {secret()}", "account": lambda d: f"pay to {iban(rnd)} soon",
+            "email": lambda d: f"mail jo{d} (at) host{d % 7} (dot) example.com today"}
+    rows, planted = [], {}
+    for d, text in corpus(rnd, 600):
+        kind = rnd.choice([None, *made])
+        rows.append((d, text if kind is None else f"{text} {made[kind](d)}"))
+        planted[d] = kind
+    docs = docs_of(spark, rows)
+    got = {r.doc_id: r for r in pii.detect(docs, pii.learn(docs)).collect()}
+    for kind in made:
+        held = [d for d, k in planted.items() if k == kind]
+        found = [d for d in held if f"{kind}:" in got[d].spans]
+        assert len(found) >= 0.9 * len(held) > 50, kind
+    for r in got.values():
+        kinds = [s.split(":")[0] for s in r.spans.split(",") if s]
+        assert r.n_spans == len(kinds) and r.n_secret == kinds.count("secret") and r.n_account == kinds.count("account")
+        assert r.n_added == r.n_spans - r.n_email - r.n_ip - r.n_card - r.n_phone or r.n_added <= r.n_spans
