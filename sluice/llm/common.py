@@ -93,28 +93,59 @@ def ship(spark: SparkSession) -> None:
 
 
 class Ranges:
-    """Deals rows to shards by ranges of an integer key, the same on any cluster: equal-width bins of the keys are weighed and
-    consecutive bins joined up to ``target``.  There are at most ``bins`` + 1 bins (null keys come first), whatever the input,
-    so their weights are gathered on the driver and the table bin -> shard is broadcast.
+    """Deals rows to shards by ranges of an integer key, the same on any cluster.
+
+    Equal-width bins of the keys are weighed.  A bin heavier than ``target`` is split again, by the keys inside it, or where it
+    holds a single key (or null) by ``tie``, a hash of the row; so neither a far key nor a key that many rows share makes a
+    heavy shard (only equal rows stay together).  Consecutive bins are joined up to ``target``.  There are at most ``bins`` + 1 bins and some for
+    each ``target`` of weight; their weights are gathered on the driver and the table bin -> shard is broadcast.
     """
 
-    def __init__(self, rows: DataFrame, key: str, weight: Column, target: int, bins: int = 4096):
+    def __init__(self, rows: DataFrame, key: str, weight: Column, target: int, tie: Column | None = None, bins: int = 4096):
+        spark = rows.sparkSession
         edge = rows.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-        self.key, self.lo = key, edge["lo"] or 0
+        self.key, self.tie, self.lo = key, tie, edge["lo"] or 0
         self.width = ((edge["hi"] or 0) - self.lo) // bins + 1
-        dealt, total = [], 0
-        for r in rows.groupBy(self.bin().alias("bin")).agg(F.sum(weight).alias("w")).orderBy("bin").collect():
-            dealt.append((r["bin"], total // target))
-            total += r["w"]
-        renumber = {old: new for new, old in enumerate(sorted({s for _, s in dealt}))}
+        self.splits: list[DataFrame] = []
+        weights: dict[str, int] = {}
+        todo = rows.withColumn("weight", weight).withColumn("bin", self.bin())
+        while True:
+            heavy = []
+            for r in todo.groupBy("bin").agg(F.sum("weight").alias("w"), F.min(key).alias("lo"), F.max(key).alias("hi")).collect():
+                by_key = r["lo"] is not None and r["lo"] < r["hi"]
+                if r["w"] > target and (by_key or tie is not None and "t" not in r["bin"]):
+                    pieces = max(64, min(bins, 2 * -(-r["w"] // target)))
+                    heavy.append((r["bin"], r["lo"] if by_key else None, (r["hi"] - r["lo"]) // pieces + 1 if by_key else None, pieces))
+                else:
+                    weights[r["bin"]] = r["w"]
+            if not heavy:
+                break
+            self.splits.append(spark.createDataFrame(heavy, "bin string, split_lo long, split_width long, pieces long"))
+            todo = self.split(todo.join(F.broadcast(self.splits[-1].select("bin")), "bin", "left_semi"), self.splits[-1])
+        shards, total = {}, 0
+        for path in sorted(weights, key=lambda p: [int(x.removeprefix("t")) for x in p.split("/")]):
+            shards[path] = total // target
+            total += weights[path]
+        renumber = {old: new for new, old in enumerate(sorted(set(shards.values())))}
         self.n_shards = max(1, len(renumber))
-        self.table = rows.sparkSession.createDataFrame([(b, renumber[s]) for b, s in dealt], "bin long, shard int")
+        self.table = spark.createDataFrame([(b, renumber[s]) for b, s in shards.items()], "bin string, shard int")
 
     def bin(self) -> Column:
-        return F.coalesce(F.floor((F.col(self.key) - F.lit(self.lo)) / F.lit(self.width)), F.lit(-1)).cast("long")
+        return F.coalesce(F.floor((F.col(self.key) - F.lit(self.lo)) / F.lit(self.width)), F.lit(-1)).cast("string")
+
+    def split(self, rows: DataFrame, table: DataFrame) -> DataFrame:
+        """Rows of the bins in ``table`` go to the pieces of their bin."""
+        by_tie = F.lit(None).cast("string") if self.tie is None else F.concat(
+            F.lit("t"), F.floor(F.pmod(self.tie, F.lit(1 << 32)) * F.col("pieces") / F.lit(1 << 32)).cast("string"))
+        piece = F.when(F.col("split_lo").isNull(), by_tie).otherwise(F.floor((F.col(self.key) - F.col("split_lo")) / F.col("split_width")).cast("string"))
+        to = F.when(F.col("pieces").isNull(), F.col("bin")).otherwise(F.concat("bin", F.lit("/"), piece))
+        return rows.join(F.broadcast(table), "bin", "left").withColumn("bin", to).drop("split_lo", "split_width", "pieces")
 
     def with_shard(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumn("bin", self.bin()).join(F.broadcast(self.table), "bin").drop("bin")
+        rows = rows.withColumn("bin", self.bin())
+        for table in self.splits:
+            rows = self.split(rows, table)
+        return rows.join(F.broadcast(self.table), "bin").drop("bin")
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -6,10 +6,10 @@ binary search.  A text's fingerprint is its length and the value of its whole pr
 texts is the share of the longer one that the longest common prefix and the longest common suffix (which do not overlap) cover.
 
 ``compare_next`` meets every document with the next one by doc_id.  Documents move once, to a range of doc_id; each range
-also gets the first document of the range after it.
+also gets the first document of the range after it, and only that one.
 
 Null text is empty text; two empty texts are alike (1.0).  A null doc_id comes first.  Documents with equal doc_id are ordered
-by text.  A single document follows itself.  An empty table gives an empty result.  Only doc_id and text are read.
+by text; where they fill several ranges, by ranges of a hash of the text and by text inside each.  A single document follows itself.  An empty table gives an empty result.  Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -105,17 +105,17 @@ def compare_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Per document: fingerprints of it and of its edited text, and their likeness and that to the next document."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ranges = Ranges(rows, "doc_id", F.octet_length("text") + 200, range_bytes)
+    ranges = Ranges(rows, "doc_id", F.octet_length("text") + 200, range_bytes, F.xxhash64("text"))
     dealt = ranges.with_shard(rows)
     order = F.struct(F.col("doc_id").isNotNull(), "doc_id")
-    first = ranges.with_shard(rows.select("doc_id")).groupBy("shard").agg(F.min(order).alias("first"))
+    first = dealt.groupBy("shard").agg(F.min(order).alias("first"))
     heads = sorted((r["shard"], r["first"]["doc_id"]) for r in first.collect())  # one row per range
     if not heads:
         return docs.sparkSession.createDataFrame([], COMPARED)
     follow = docs.sparkSession.createDataFrame(
-        [(heads[(k + 1) % len(heads)][1], shard) for k, (shard, _) in enumerate(heads)], "head long, target int")
-    after = rows.join(F.broadcast(follow), F.col("doc_id").eqNullSafe(F.col("head"))) \
-        .select(F.col("target").alias("shard"), F.lit(True).alias("after"), "doc_id", "text")  # one row per range
+        [(*heads[(k + 1) % len(heads)], shard) for k, (shard, _) in enumerate(heads)], "shard int, head long, target int")
+    after = dealt.join(F.broadcast(follow), "shard").where(F.col("doc_id").eqNullSafe(F.col("head"))) \
+        .groupBy(F.col("target").alias("shard"), F.lit(True).alias("after"), "doc_id").agg(F.min("text").alias("text"))  # one row per range
     both = dealt.select("shard", F.lit(False).alias("after"), "doc_id", "text").unionByName(after)
     sorted_rows = both.repartitionById(ranges.n_shards, F.col("shard")) \
         .sortWithinPartitions("shard", "after", F.col("doc_id").asc_nulls_first(), "text")

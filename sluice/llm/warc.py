@@ -127,13 +127,14 @@ def write(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT, shard_b
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
                         F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     narrow = stored(rows.select("page_id", F.octet_length("payload").alias("payload_bytes"), F.sha1("payload").alias("digest")), "digests")
-    ranges = Ranges(narrow, "page_id", F.col("payload_bytes") + 500, shard_bytes)
+    ranges = Ranges(narrow.withColumnRenamed("digest", "spread"), "page_id", F.col("payload_bytes") + 500, shard_bytes, F.xxhash64("spread"))
     large = narrow.where((F.col("payload_bytes") >= min_revisit) & F.col("page_id").isNotNull())
     groups = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
     notes = large.join(groups.drop("n"), "digest").select("page_id", "digest", "refers_to").distinct()
     # A note says that a page's payload has others like it; it comes to the page's shard, just before the page.
-    both = rows.select("page_id", "url", "payload", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to")) \
-        .unionByName(notes.select("page_id", F.lit("").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "refers_to"))
+    # Pages of one page_id are spread by their digest, and notes go with them.
+    both = rows.select("page_id", "url", "payload", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"), F.sha1("payload").alias("spread")) \
+        .unionByName(notes.select("page_id", F.lit("").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "refers_to", F.col("digest").alias("spread")))
     dealt = ranges.with_shard(both).select("shard", "page_id", "url", "payload", "digest", "refers_to") \
         .repartitionById(ranges.n_shards, F.col("shard")) \
         .sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), F.col("digest").desc_nulls_last(), "url")

@@ -62,3 +62,27 @@ def test_shared_folder_is_needed_off_local_masters(spark):
 def test_mix_is_a_bijection_on_a_sample():
     x = np.arange(100_000, dtype=np.uint64)
     assert len(np.unique(common.mix(x))) == len(x)
+
+
+@pytest.mark.parametrize("case", ["a third null", "one far key", "one hot key", "uniform", "clustered"])
+def test_ranges_split_heavy_bins(spark, case):
+    """No shard is much heavier than the target, and shards follow the order of the keys."""
+    from pyspark.sql import functions as F
+    key = {"a third null": "if(id % 3 = 0, null, id)", "one far key": "if(id = 5, 1000000000000000, id)", "one hot key": "if(id % 3 = 0, 77, id)",
+           "uniform": "id * 1000", "clustered": "if(id % 2 = 0, 1000000000000 + id, id)"}[case]
+    rows = spark.range(6000).selectExpr(f"{key} as k", "id as v").withColumn("text", F.concat(F.lit("t"), "v"))
+    ranges = common.Ranges(rows, "k", F.lit(10), 1000, F.xxhash64("text"), bins=64)
+    dealt = ranges.with_shard(rows)
+    assert dealt.count() == 6000 and dealt.columns == ["k", "v", "text", "shard"]
+    shards = sorted((r.shard, r.n, r.lo, r.hi) for r in dealt.groupBy("shard").agg(
+        F.count("*").alias("n"), F.min(F.coalesce("k", F.lit(-1))).alias("lo"), F.max(F.coalesce("k", F.lit(-1))).alias("hi")).collect())
+    assert max(n for _, n, _, _ in shards) <= 300 and len(shards) == ranges.n_shards >= 20
+    assert all(a[3] <= b[2] for a, b in zip(shards, shards[1:]))
+
+
+def test_equal_rows_and_rows_without_a_tie_stay_together(spark):
+    from pyspark.sql import functions as F
+    rows = spark.range(500).selectExpr("cast(null as long) as k", "'same' as text")
+    assert common.Ranges(rows, "k", F.lit(10), 100, F.xxhash64("text")).with_shard(rows).select("shard").distinct().count() == 1
+    assert common.Ranges(rows, "k", F.lit(10), 100).with_shard(rows).count() == 500
+    assert common.Ranges(rows.limit(0), "k", F.lit(10), 100, F.xxhash64("text")).with_shard(rows.limit(0)).count() == 0

@@ -60,3 +60,33 @@ def test_awkward_rows(spark):
     assert answer(fp.compare_next(clashing(docs_of(spark, rows)))) == brute(rows)
     assert answer(fp.compare_next(docs_of(spark, [(1, "abcd")]))) == brute([(1, "abcd")])
     assert fp.compare_next(docs_of(spark, [])).count() == 0
+
+
+def test_a_third_without_an_id_and_a_far_one(spark):
+    """Many rows of one doc_id fill several ranges: every row follows another of them, and the ring is closed."""
+    rnd = random.Random(12)
+    rows = [(None, f"null {i} " + "".join(rnd.choice("ab ") for _ in range(40))) for i in range(150)] + [(i, f"doc {i}" * 5) for i in range(300)] + [(1 << 55, "far")]
+    got = fp.compare_next(docs_of(spark, rows).repartition(5), range_bytes=4_000).collect()
+    assert len(got) == len(rows)
+    texts = sorted({t for _, t in rows})
+    by_edit = {}
+    for d, text in rows:
+        for other in texts:
+            changed = text[:len(text) - len(text) // 2] + other[:len(text) // 2]
+            by_edit.setdefault((d, len(text), hashlib.sha256(changed.encode()).hexdigest()), []).append((text, other))
+    for r in got:
+        assert (r.doc_id, r.n_chars, r.edited_sha256) in by_edit
+    want = brute(rows)
+    named = [r for r in answer_rows(got) if r[0] is not None]
+    assert named == [w for w in want if w[0] is not None]
+
+
+def answer_rows(rows):
+    return sorted(((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in rows), key=str)
+
+
+def test_only_the_first_row_of_a_range_is_sent(spark):
+    """Hundreds of rows share the doc_id that a range begins with; one of them goes to the range before."""
+    rows = [(i, f"a{i}" * 30) for i in range(40)] + [(40, f"hot {i} " * 6) for i in range(200)]
+    got = fp.compare_next(docs_of(spark, rows), range_bytes=3_000)
+    assert got.count() == len(rows)

@@ -77,3 +77,18 @@ def test_repeated_page(spark):
 def test_empty_table(spark):
     _, manifest, back = archived(spark, spark.createDataFrame([], PAGES))
     assert manifest.count() == 0 and back.count() == 0
+
+
+def test_a_third_without_an_id_and_a_far_one(spark):
+    """They are spread over shards, and revisits of a page_id with several payloads are still told apart."""
+    big = "é" * 700
+    rows = [(None, f"http://n/{i}", f"{big}{i}") for i in range(60)] + [(i, f"http://h/{i}", big if i % 4 == 0 else f"{big}{i}") for i in range(120)] + [(1 << 50, "http://far/", big)]
+    rows += [(7, f"http://hot/{i}", f"{big}hot{i % 20}") for i in range(60)]
+    _, manifest, back = archived(spark, spark.createDataFrame(rows, PAGES), shard_bytes=20_000)
+    shards = {r.file.split("-")[1]: r.records for r in manifest.collect()}
+    assert len(shards) > 8 and max(shards.values()) < 50
+    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in back.collect()), key=str)
+    want = brute(rows)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and [g for g in got if g[0] != 7] == [w for w in want if w[0] != 7]
+    hot = [g for g in got if g[0] == 7]
+    assert sum(g[3] == "response" for g in hot) == len({g[2] for g in hot})
