@@ -43,8 +43,8 @@ SIGNS = dict(zip("@$!|", "asil"))
 _FOLD = {ord(a): b for a, b in LOOKALIKES.items()} | {c: unicodedata.normalize("NFKC", chr(c)).lower() for c in range(0xFF21, 0xFF5B) if unicodedata.normalize("NFKC", chr(c)).isalpha()}
 _DIGIT = str.maketrans(DIGITS)
 _ODD = re.compile("[" + "".join(LOOKALIKES) + "Ａ-ｚ]")
-_SIGNED = re.compile(r"(?<=[^\W\d_])[@$!|](?=[^\W_])")
-_MIXED = re.compile(r"[^\W_]*(?:[^\W\d_]\d|\d[^\W\d_])[^\W_]*")
+_SIGNED = re.compile(r"[@$!|](?<=[^\W\d_].)(?=[^\W_])")  # between a letter and a letter or digit; the sign comes first as it is rare
+_NUMBERED = re.compile(r"(?<![^\W_])[^\W\d_]*+\d[^\W_]*")  # a word with a digit, entered at its start only
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -55,7 +55,7 @@ def fold(text: str | None) -> str:
         text = text.translate(_FOLD)
     if _SIGNED.search(text):
         text = _SIGNED.sub(lambda m: SIGNS[m.group()], text)
-    return _MIXED.sub(lambda m: m.group().translate(_DIGIT), text)
+    return _NUMBERED.sub(lambda m: m.group() if m.group().isdecimal() else m.group().translate(_DIGIT), text)
 
 
 def held_out(doc_id: Column) -> Column:

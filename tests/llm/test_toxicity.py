@@ -121,3 +121,16 @@ def test_scores_by_hand(spark):
         z = -4.0 + math.log1p(weight) + 0.5 * math.log1p(100 * weight / words)
         assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-12 and r.predicted == int(r.score >= 0.3) and r._s == "mine" and r.judged == "mine"
 
+
+
+def test_folding_of_words_with_digits_and_signs():
+    """Against a plain rule: signs between letters, then every word that has both a letter and a digit."""
+    import re
+    import unicodedata
+    rnd = random.Random(8)
+    for _ in range(3000):
+        text = "".join(rnd.choice("ab1203_ @$!|é²٣-.\n") for _ in range(rnd.randint(0, 20)))
+        letter = lambda c: c.isalnum() and unicodedata.category(c) != "Nd"
+        signs = "".join(toxicity.SIGNS[c] if c in toxicity.SIGNS and 0 < k < len(text) - 1 and letter(text[k - 1]) and text[k + 1].isalnum() else c for k, c in enumerate(text))
+        want = re.sub(r"[^\W_]+", lambda m: m.group().translate(str.maketrans(toxicity.DIGITS)) if any(map(letter, m.group())) and re.search(r"\d", m.group()) else m.group(), signs)
+        assert toxicity.fold(text) == want, text
