@@ -185,14 +185,19 @@ def position_and_previous(df: DataFrame, group: Sequence[str], ts_col: str, id_c
 def entries_before(rows: DataFrame, entries: DataFrame, ts_col: str, entry_col: str, id_col: str = "message_id") -> DataFrame:
     """(id, ``n_before``): how many entries lie strictly before each row's time.
 
-    Counts per second are summed up within the hour, and per hour over the hours; only within one second are rows and
-    entries ordered.  No window spans all rows.
+    Counts per second are summed up within the hour, and per hour within the year; the entries of earlier years are a literal for
+    each year (a small job counts them).  Only within one second are rows and entries ordered, and no window spans all rows.
     """
+    year_of = lambda hour: F.floor(hour / 8766).cast("bigint")
+    hour_of = F.floor(epoch_micros(entry_col) / 3_600_000_000).cast("bigint")
+    years = entries.groupBy(year_of(hour_of).alias("year")).agg(F.count(F.lit(1)).alias("n")).filter("year is not null").collect()
     marked = (rows.select(epoch_micros(ts_col).alias("us"), F.col(id_col).alias("id"), F.lit(0).alias("entry"))
                   .unionByName(entries.select(epoch_micros(entry_col).alias("us"), F.lit(None).cast("bigint").alias("id"), F.lit(1).alias("entry"))))
     marked = marked.withColumns({"sec": F.floor(F.col("us") / 1_000_000).cast("bigint"), "hour": F.floor(F.col("us") / 3_600_000_000).cast("bigint")})
     seconds = marked.groupBy("hour", "sec").agg(F.sum("entry").alias("n"))
-    hours = running_before(seconds.groupBy("hour").agg(F.sum("n").alias("n")).withColumn("all", F.lit(0)), ["all"], "hour", "n", "hours_before")
+    hours = running_before(seconds.groupBy("hour").agg(F.sum("n").alias("n")).withColumn("year", year_of(F.col("hour"))), ["year"], "hour", "n", "in_year")
+    earlier = sum((F.when(F.col("year") > r["year"], r["n"]).otherwise(0) for r in years), F.lit(0))
+    hours = hours.withColumn("hours_before", F.col("in_year") + earlier)
     base = running_before(seconds, ["hour"], "sec", "n", "secs_before").join(hours.select("hour", "hours_before"), "hour")
     within = Window.partitionBy("sec").orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
     inside = marked.withColumn("inside", F.coalesce(F.sum("entry").over(within), F.lit(0))).filter("entry = 0")
