@@ -150,36 +150,42 @@ def position_and_previous(df: DataFrame, group: Sequence[str], ts_col: str, id_c
     """1-based ``step`` of each row in its group by (ts, id), and ``prev_<c>`` of the row before.
 
     Nothing sorts a whole group: rows are ordered only inside their (group,
-    second); each second and each day is summarised by its row count and its
-    last row; running sums and ``lag`` over those summary tables (at most
-    86,400 seconds per day, one row per day) give every second's offset and
-    the row before it; one join brings them back.
+    second).  The last row of a second stands for it: its number there is
+    the second's count.  Running sums and ``lag`` over those rows inside the
+    day (at most 86,400), and over the last of each day inside the group,
+    give every second's offset and the row before it; one join brings them
+    back.  Null times come first, null group values are values.
+
+    Rows and seconds come from one shuffle if ``df`` has no columns but the
+    ones named here; keys travel as structs, so that null keys meet by plain
+    equality and the join keeps the rows where they are.
     """
     group, carry = list(group), list(carry)
-    b = df.withColumns({"_d": epoch_day(ts_col), "_s": epoch_second(ts_col)})
-    w_in = Window.partitionBy(*group, "_s").orderBy(ts_col, id_col)
-    b = b.withColumn("_rn", F.row_number().over(w_in))
-    b = b.withColumns({f"_lag_{c}": F.lag(c).over(w_in) for c in carry})
-    last = F.struct(F.col(ts_col).alias("o_t"), F.col(id_col).alias("o_i"), *[F.col(c) for c in carry])
-    secs = b.groupBy(*group, "_d", "_s").agg(F.count(F.lit(1)).alias("_n"), F.max(last).alias("_last"))
-    days = secs.groupBy(*group, "_d").agg(F.sum("_n").alias("_dn"), F.max("_last").alias("_dlast"))
-    w_days = Window.partitionBy(*group).orderBy("_d")
-    days = days.select(*group, "_d",
-                       F.coalesce(F.sum("_dn").over(w_days.rowsBetween(Window.unboundedPreceding, -1)),
-                                  F.lit(0)).alias("_doff"),
-                       F.lag("_dlast").over(w_days).alias("_dprev"))
-    w_secs = Window.partitionBy(*group, "_d").orderBy("_s")
-    secs = secs.join(days, group + ["_d"]).select(
-        *[F.col(g).alias(f"_g_{g}") for g in group], F.col("_s").alias("_g_s"),
-        (F.col("_doff") + F.coalesce(F.sum("_n").over(w_secs.rowsBetween(Window.unboundedPreceding, -1)),
-                                     F.lit(0))).alias("_soff"),
-        F.coalesce(F.lag("_last").over(w_secs), F.col("_dprev")).alias("_sprev"))
-    cond = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group] + [F.col("_s") == F.col("_g_s")]
-    out = b.join(secs, cond).withColumn("step", (F.col("_soff") + F.col("_rn")).cast("bigint"))
-    out = out.withColumns({f"prev_{c}": F.when(F.col("_rn") == 1, F.col(f"_sprev.{c}"))
-                                          .otherwise(F.col(f"_lag_{c}")) for c in carry})
-    return out.drop("_d", "_s", "_rn", "_soff", "_sprev", *[f"_lag_{c}" for c in carry],
-                    *[f"_g_{g}" for g in group], "_g_s")
+    rest = [c for c in df.columns if c not in group]
+    rows = df.select(F.struct(*group, epoch_second(ts_col).alias("_s")).alias("_at"), *rest)
+    w_in = Window.partitionBy("_at").orderBy(ts_col, id_col)
+    rows = rows.withColumns({"_rn": F.row_number().over(w_in), "_more": F.lead(F.lit(1)).over(w_in),
+                             **{f"_lag_{c}": F.lag(c).over(w_in) for c in carry}})
+    secs = rows.filter(F.col("_more").isNull()).select(
+        F.struct(*[F.col(f"_at.{g}").alias(g) for g in group], epoch_day(ts_col).alias("_d")).alias("_on"),
+        F.col("_at._s").alias("_s"), F.col("_rn").cast("bigint").alias("_n"), F.struct(*carry).alias("_last"))
+    w_secs = Window.partitionBy("_on").orderBy("_s")
+    secs = secs.withColumns({
+        "_off": F.coalesce(F.sum("_n").over(w_secs.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "_before": F.lag("_last").over(w_secs), "_more": F.lead(F.lit(1)).over(w_secs)})
+    w_days = Window.partitionBy(*[f"_on.{g}" for g in group]).orderBy("_on._d")
+    days = secs.filter(F.col("_more").isNull()).select(
+        F.col("_on").alias("_day"),
+        F.coalesce(F.sum(F.col("_off") + F.col("_n")).over(w_days.rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_day_off"),
+        F.lag("_last").over(w_days).alias("_day_before"))
+    offsets = secs.join(days, F.col("_on") == F.col("_day")).select(
+        F.struct(*[F.col(f"_on.{g}").alias(g) for g in group], "_s").alias("_sec"), (F.col("_off") + F.col("_day_off")).alias("_off"),
+        F.coalesce("_before", "_day_before").alias("_before"))
+    out = rows.join(offsets, F.col("_at") == F.col("_sec"))
+    return out.select(
+        *[F.col(f"_at.{g}").alias(g) for g in group], *rest, (F.col("_off") + F.col("_rn")).cast("bigint").alias("step"),
+        *[F.when(F.col("_rn") == 1, F.col(f"_before.{c}")).otherwise(F.col(f"_lag_{c}")).alias(f"prev_{c}") for c in carry])
 
 
 def entries_before(rows: DataFrame, entries: DataFrame, ts_col: str, entry_col: str, id_col: str = "message_id") -> DataFrame:

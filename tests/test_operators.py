@@ -148,3 +148,27 @@ def test_chain_position_without_one_task_sort_equals_window(spark):
                       - F.unix_micros(F.lag("status_ts").over(w).cast("timestamp"))).alias("gap_us"))
     cols = ["correlation_id", "seq", "step", "prev_status", "gap_us"]
     assert sorted(got.select(*cols).collect()) == sorted(want.select(*cols).collect())
+
+
+def test_chain_position_keeps_rows_without_key_or_time(spark):
+    """Null correlation ids form a chain, null times come first in theirs, and the plan moves each row once."""
+    from sluice.operators.metrics import retry_chain_step
+    rows = [(None, 1, "a", "2024-01-01 00:00:00"), (None, 2, "b", "2024-01-02 00:00:00"), ("x", 3, "c", None), ("x", 4, None, "2024-01-01 00:00:00"),
+            ("x", 5, "d", "2024-01-03 10:00:00.5"), ("x", 6, "e", "2024-01-03 10:00:00.5")]
+    df = spark.createDataFrame(rows, "correlation_id string, seq long, status string, t string").selectExpr(
+        "correlation_id", "seq", "status", "cast(t as timestamp_ntz) as status_ts")
+    got = {r.seq: (r.step, r.prev_status, r.gap_us) for r in retry_chain_step(df).collect()}
+    day = 86_400_000_000
+    assert got == {1: (1, None, None), 2: (2, "a", day), 3: (1, None, None), 4: (2, "c", None),
+                   5: (3, None, 2 * day + 36_000_500_000), 6: (4, "d", 0)}
+    assert retry_chain_step(df.limit(0)).count() == 0
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = retry_chain_step(fx.history(spark, SF001))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plan.count("FileScan") == 1
+    assert plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange") <= 5
