@@ -2,8 +2,12 @@
 
 The prefix array of a text holds, for every length, the sum of (code point + 1) * base**position modulo a prime; two primes are
 used.  With it any two spans are compared in constant time, and the longest common extension of two positions is found by
-binary search.  A text's fingerprint is its length and the value of its whole prefix array.  The likeness of two fingerprinted
-texts is the share of the longer one that the longest common prefix and the longest common suffix (which do not overlap) cover.
+binary search.  A text's fingerprint is its length, the value of its whole prefix array, and the values of prefixes and suffixes
+whose lengths are multiples of a step: the power of two that gives at most 64 of each.  A coarser step's places are among a
+finer one's, so any two stored fingerprints can be compared without their texts: binary search over the places that both have
+gives the longest common prefix and suffix, down to one step.  Their likeness is the share of the longer text that these two
+(which do not overlap) cover for certain; ``bounds`` also gives the most they can cover.  The exact share, from the whole prefix
+arrays, is less than a sixteenth above it, and equal up to 64 code points.
 
 ``compare_next`` meets every document with the next one by doc_id.  Documents move once, to a range of doc_id; each range
 also gets the first document of the range after it, and only that one.
@@ -14,8 +18,10 @@ by text; where they fill several ranges, by ranges of a hash of the text and by
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,24 +33,69 @@ from sluice.llm.common import Ranges, ship
 RANGE_BYTES = 16 << 20
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_000_003_471, 1_594_320_089)
+INVERSE = pow(BASES[0], -1, PRIMES[0])
+MARKS = 64
 COMPARED = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-            "near_edited double, near_next double")
+            "near_edited double, near_next double, exact_edited double, exact_next double")
 _POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(k: int, n: int) -> np.ndarray:
-    """base**0 ... base**(n - 1) modulo the k-th prime."""
+    """base**0 ... base**(n - 1) modulo the k-th prime; for k = -1 those of the first base's inverse."""
     have = _POWERS.get(k)
     if have is None or len(have) < n:
         have = np.ones(1 << max(12, (n - 1).bit_length()), dtype=np.uint64)
-        done, step = 1, BASES[k]
+        done, (step, p) = 1, (BASES[k], PRIMES[k]) if k >= 0 else (INVERSE, PRIMES[0])
         while done < len(have):
-            have[done:2 * done] = have[:done] * np.uint64(step) % np.uint64(PRIMES[k])
-            done, step = 2 * done, step * step % PRIMES[k]
+            have[done:2 * done] = have[:done] * np.uint64(step) % np.uint64(p)
+            done, step = 2 * done, step * step % p
         _POWERS[k] = have
     return have[:n]
 
 
+def step_of(n: int) -> int:
+    """The least power of two of which at most MARKS multiples lie within n."""
+    step = 1
+    while n // step > MARKS:
+        step *= 2
+    return step
+
+
+@dataclass(frozen=True, eq=False)
+class Fingerprint:
+    """Length, hash of the whole text, hashes of its prefixes and suffixes at multiples of ``step_of(n)``."""
+    n: int
+    whole: str
+    heads: np.ndarray
+    tails: np.ndarray
+
+    def __str__(self) -> str:
+        return "-".join([f"{self.n:x}", self.whole, *(base64.b64encode(m.tobytes()).decode() for m in (self.heads, self.tails))])
+
+    @staticmethod
+    def parse(text: str) -> Fingerprint:
+        n, whole, *marks = text.split("-")
+        return Fingerprint(int(n, 16), whole, *(np.frombuffer(base64.b64decode(m), "<u4") for m in marks))
+
+
+def bounds(a: Fingerprint, b: Fingerprint) -> tuple[float, float]:
+    """Least and greatest share of the longer text that the longest common prefix and suffix can cover."""
+    if (a.n, a.whole) == (b.n, b.whole):
+        return 1.0, 1.0
+    own, other = step_of(a.n), step_of(b.n)
+    step = max(own, other)
+    sizes = []
+    for x, y in ((a.heads, b.heads), (a.tails, b.tails)):
+        x, y = x[step // own - 1::step // own], y[step // other - 1::step // other]
+        lo, hi = 0, min(len(x), len(y))
+        while lo < hi:  # spans that agree at one place agree at all before it
+            mid = (lo + hi + 1) // 2
+            lo, hi = (mid, hi) if x[mid - 1] == y[mid - 1] else (lo, mid - 1)
+        sizes.append(lo * step)
+    shorter, longer = sorted((a.n, b.n))
+    return min(shorter, sum(sizes)) / longer, min(shorter, sum(sizes) + 2 * (step - 1)) / longer
+
+
 class Prefixes:
     """Prefix hashes of one text."""
 
@@ -55,8 +106,12 @@ class Prefixes:
         for k, p in enumerate(PRIMES):  # each term is below 2**31, so sums of 2**33 of them fit
             self.sums[k, 1:] = np.cumsum(codes * powers(k, self.n) % np.uint64(p)) % np.uint64(p)
 
-    def fingerprint(self) -> str:
-        return f"{self.n:x}-{int(self.sums[0, -1]):08x}{int(self.sums[1, -1]):08x}"
+    def fingerprint(self) -> Fingerprint:
+        step = step_of(self.n)
+        lengths = np.arange(step, self.n + 1, step)
+        heads, p = self.sums[0], np.uint64(PRIMES[0])
+        tails = (heads[-1] + p - heads[self.n - lengths]) % p * powers(-1, self.n + 1)[self.n - lengths] % p
+        return Fingerprint(self.n, f"{int(heads[-1]):08x}{int(self.sums[1, -1]):08x}", heads[lengths].astype("<u4"), tails.astype("<u4"))
 
     def span(self, k: int, i: int, n: int, shift: int) -> int:
         """Hash of [i, i + n) as if it began at ``shift`` more."""
@@ -88,6 +143,7 @@ def extension_left(a: Prefixes, i: int, b: Prefixes, j: int, most: int) -> int:
 
 
 def likeness(a: Prefixes, b: Prefixes) -> float:
+    """The exact share of the longer text that the longest common prefix and suffix cover."""
     if a.n == b.n == 0:
         return 1.0
     head = extension(a, 0, b, 0)
@@ -102,7 +158,7 @@ def edited(text: str, following: str) -> str:
 
 
 def compare_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Per document: fingerprints of it and of its edited text, and their likeness and that to the next document."""
+    """Per document: fingerprints of it and of its edited text, their likeness and that to the next document's, and the exact shares."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ranges = Ranges(rows, "doc_id", F.octet_length("text") + 200, range_bytes, F.xxhash64("text"))
@@ -121,22 +177,25 @@ def compare_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
         .sortWithinPartitions("shard", "after", F.col("doc_id").asc_nulls_first(), "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # (shard, doc_id, text, prefixes) that waits for the document after it
+        held = None  # (doc_id, text, prefixes, fingerprint) that waits for the document after it
         for batch in batches:
             out: list[tuple] = []
             for i in range(batch.num_rows):
-                shard, is_after, doc_id, text = (c[i].as_py() for c in batch.columns)
+                _, is_after, doc_id, text = (c[i].as_py() for c in batch.columns)
                 if held is None and is_after:
                     continue
                 own = Prefixes(text)
+                mark = own.fingerprint()
                 if held is not None:
-                    changed = edited(held[2], text)
+                    before_id, before, prefixes, before_mark = held
+                    changed = edited(before, text)
                     there = Prefixes(changed)
-                    out.append((held[1], len(held[2]), hashlib.sha256(changed.encode()).hexdigest(), held[3].fingerprint(),
-                                there.fingerprint(), likeness(held[3], there), likeness(held[3], own)))
-                held = None if is_after else (shard, doc_id, text, own)
+                    there_mark = there.fingerprint()
+                    out.append((before_id, len(before), hashlib.sha256(changed.encode()).hexdigest(), str(before_mark), str(there_mark),
+                                bounds(before_mark, there_mark)[0], bounds(before_mark, mark)[0], likeness(prefixes, there), likeness(prefixes, own)))
+                held = None if is_after else (doc_id, text, own, mark)
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(
-                (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))],
+                (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.float64()] * 4))],
                 [c.split()[0] for c in COMPARED.split(", ")])
 
     return sorted_rows.mapInArrow(compare, COMPARED)

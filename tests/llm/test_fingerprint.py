@@ -23,7 +23,33 @@ def test_spans_and_extensions():
         assert fp.extension_left(a, i, b, j, 99) == common(x[:i][::-1], y[:j][::-1])
         n = min(len(x) - i, len(y) - j)
         assert fp.equal(a, i, b, j, n) == (x[i:i + n] == y[j:j + n])
-        assert (a.fingerprint() == b.fingerprint()) == (x == y)
+        assert (str(a.fingerprint()) == str(b.fingerprint())) == (x == y)
+
+
+def test_stored_fingerprints_bound_the_likeness():
+    """Two strings, without their texts, give the share that whole steps cover; the exact share lies within the bounds."""
+    rnd = random.Random(8)
+    for _ in range(300):
+        x = "".join(rnd.choice("ab😀") for _ in range(rnd.choice([0, 1, 5, 64, 65, 700, 5000])))
+        cut, k = rnd.randint(0, len(x)), rnd.randint(0, 40)
+        y = rnd.choice([x, x[:cut], x[cut:], x[:cut] + "z" * k + x[cut:], x[:cut] + x[cut + k:], x[:cut] + "z" * (len(x) - cut)])
+        a, b = (fp.Prefixes(t) for t in (x, y))
+        low, high = fp.bounds(*(fp.Fingerprint.parse(str(t.fingerprint())) for t in (a, b)))
+        exact = fp.likeness(a, b)
+        assert low <= exact <= high and high - low < 1 / 16
+        assert low == stepped(x, y) and (low == exact or max(len(x), len(y)) > 64)
+        assert len(str(a.fingerprint())) < 800
+
+
+def stepped(x, y):
+    """Brute force: common prefix and suffix in whole steps."""
+    if x == y:
+        return 1.0
+    step = 1
+    while max(len(x), len(y)) // step > 64:
+        step *= 2
+    covered = common(x, y) // step * step + common(x[::-1], y[::-1]) // step * step
+    return min(len(x), len(y), covered) / max(len(x), len(y))
 
 
 def brute(rows):
@@ -39,12 +65,13 @@ def brute(rows):
             head = common(a, b)
             tail = common(a[::-1][:min(len(a), len(b)) - head], b[::-1][:min(len(a), len(b)) - head])
             return (head + tail) / max(len(a), len(b))
-        out.append((d, len(text), hashlib.sha256(changed.encode()).hexdigest(), round(like(text, changed), 9), round(like(text, following), 9)))
+        out.append((d, len(text), hashlib.sha256(changed.encode()).hexdigest(), *(
+            round(share(text, other), 9) for share in (like, stepped) for other in (changed, following))))
     return sorted(out, key=str)
 
 
 def answer(df):
-    return sorted(((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in df.collect()), key=str)
+    return sorted(((r.doc_id, r.n_chars, r.edited_sha256, *(round(x, 9) for x in (r.exact_edited, r.exact_next, r.near_edited, r.near_next))) for r in df.collect()), key=str)
 
 
 def test_against_brute_force_over_ranges(spark):
@@ -82,7 +109,7 @@ def test_a_third_without_an_id_and_a_far_one(spark):
 
 
 def answer_rows(rows):
-    return sorted(((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in rows), key=str)
+    return sorted(((r.doc_id, r.n_chars, r.edited_sha256, *(round(x, 9) for x in (r.exact_edited, r.exact_next, r.near_edited, r.near_next))) for r in rows), key=str)
 
 
 def test_only_the_first_row_of_a_range_is_sent(spark):
