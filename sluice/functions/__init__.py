@@ -113,7 +113,8 @@ def backoff_ms(retry_count, base_ms: int, max_ms: int) -> Column:
 
 def b64url_decode(c) -> Column:
     """Base64url (unpadded) text -> binary; undecodable text -> null."""
-    s = F.translate(col(c), "-_", "+/")
+    # Two replacements: ``translate`` goes character by character, at many times the cost.
+    s = F.replace(F.replace(col(c), F.lit("-"), F.lit("+")), F.lit("_"), F.lit("/"))
     pad = F.repeat(F.lit("="), (F.lit(4) - F.length(s) % 4) % 4)
     return F.try_to_binary(F.concat(s, pad), F.lit("base64"))
 

@@ -47,8 +47,10 @@ def hmac_sha256(secret: str, message: Column) -> Column:
 
 def b64url_encode(b: Column) -> Column:
     """Binary -> unpadded base64url text."""
-    s = F.regexp_replace(F.base64(b), r"[\r\n=]", "")
-    return F.translate(s, "+/", "-_")
+    s = F.base64(b)
+    for old, new in (("\r", ""), ("\n", ""), ("=", ""), ("+", "-"), ("/", "_")):
+        s = F.replace(s, F.lit(old), F.lit(new))
+    return s
 
 
 def _segment_ok(seg: Column) -> Column:
@@ -215,29 +217,24 @@ def route_requests(df: DataFrame, method_col: str = "method", path_col: str = "p
     tenant_part = F.substring(bare, tp_len + 1, 1 << 30)
     is_deliv = ((m == "GET") & bare.startswith(tenant_prefix) & (F.length(bare) > tp_len)
                 & (F.length(tenant_part) > ds_len) & tenant_part.endswith(DELIVERIES_SUFFIX))
-    route = F.lit(None).cast("string")
-    status = F.lit(None).cast("int")
+    found = F.when(F.lit(False), F.struct(F.lit("").alias("route"), F.lit(0).alias("status")))
     for meth, path, name, code in exact:
-        cond = (m == meth) & (bare == path)
-        route = F.when(route.isNull() & cond, F.lit(name)).otherwise(route)
-        status = F.when(status.isNull() & cond, F.lit(code)).otherwise(status)
-    qt = query_param(p, "tenant_id")
-    note_status = F.when(F.coalesce(qt, F.lit("")) == "", F.lit(400)).otherwise(F.lit(200))
-    route = F.when(route.isNull() & is_note, F.lit("notification_state")).otherwise(route)
-    status = F.when(status.isNull() & is_note, note_status).otherwise(status)
-    route = F.when(route.isNull() & is_deliv, F.lit("tenant_deliveries")).otherwise(route)
-    status = F.when(status.isNull() & is_deliv, F.lit(200)).otherwise(status)
-    route = F.coalesce(route, F.lit("not_found"))
-    status = F.coalesce(status, F.lit(404))
-    limit_raw = query_param(p, "limit")
-    parsed = int_or(limit_raw, HISTORY_LIMIT_DEFAULT)
-    parsed = F.when((parsed < -(1 << 31)) | (parsed > (1 << 31) - 1), F.lit(HISTORY_LIMIT_DEFAULT)).otherwise(parsed)
-    tenant = (F.when(F.col("route") == "notification_state", qt)
-               .when(F.col("route") == "tenant_deliveries",
-                     F.substring(tenant_part, F.lit(1), F.length(tenant_part) - ds_len)))
-    return (df.withColumn("route", route).withColumn("http_status", status.cast("int"))
-              .withColumn("resource_id", F.when(F.col("route") == "notification_state",
-                                                F.substring(bare, np_len + 1, 1 << 30)))
-              .withColumn("tenant_id", tenant)
-              .withColumn("limit", F.when(F.col("route") == "tenant_deliveries",
-                                          clamp(parsed, HISTORY_LIMIT_MIN, HISTORY_LIMIT_MAX).cast("int"))))
+        found = found.when((m == meth) & (bare == path), F.struct(F.lit(name).alias("route"), F.lit(code).alias("status")))
+    found = (found.when(is_note, F.struct(F.lit("notification_state").alias("route"), F.lit(200).alias("status")))
+                  .when(is_deliv, F.struct(F.lit("tenant_deliveries").alias("route"), F.lit(200).alias("status")))
+                  .otherwise(F.struct(F.lit("not_found").alias("route"), F.lit(404).alias("status"))))
+    # Each step names its result once; the next reads the names, so no condition or pattern is evaluated twice.
+    df = df.withColumn("_found", found)
+    route = F.col("_found.route")
+    at_note, at_deliveries = route == "notification_state", route == "tenant_deliveries"
+    df = df.withColumns({"_query_tenant": F.when(at_note, query_param(p, "tenant_id")),
+                         "_limit": F.when(at_deliveries, int_or(query_param(p, "limit"), HISTORY_LIMIT_DEFAULT))})
+    no_tenant = at_note & (F.coalesce(F.col("_query_tenant"), F.lit("")) == "")
+    asked = F.col("_limit")
+    asked = F.when((asked < -(1 << 31)) | (asked > (1 << 31) - 1), F.lit(HISTORY_LIMIT_DEFAULT)).otherwise(asked)
+    tenant = (F.when(at_note, F.col("_query_tenant"))
+               .when(at_deliveries, F.substring(tenant_part, F.lit(1), F.length(tenant_part) - ds_len)))
+    return (df.withColumns({"route": route, "http_status": F.when(no_tenant, F.lit(400)).otherwise(F.col("_found.status")).cast("int"),
+                            "resource_id": F.when(at_note, F.substring(bare, np_len + 1, 1 << 30)), "tenant_id": tenant,
+                            "limit": F.when(at_deliveries, clamp(asked, HISTORY_LIMIT_MIN, HISTORY_LIMIT_MAX).cast("int"))})
+              .drop("_found", "_query_tenant", "_limit"))
