@@ -39,7 +39,7 @@ def fan_out_counts(messages: DataFrame, sessions: DataFrame, keys: Sequence[str]
 NODE_SIZES = (720, 24, 1)
 
 
-def _cover(lo: Column, hi: Column, sizes: Sequence[int] = NODE_SIZES) -> Column:
+def cover(lo: Column, hi: Column, sizes: Sequence[int] = NODE_SIZES) -> Column:
     """Array of (size, index) nodes that cover ``[lo, hi)`` exactly once, largest first.
 
     Whole large nodes cover the middle; the two ends go to the next size.
@@ -53,8 +53,8 @@ def _cover(lo: Column, hi: Column, sizes: Sequence[int] = NODE_SIZES) -> Column:
         .otherwise(F.array().cast("array<struct<size:int,node:bigint>>"))
     if len(sizes) == 1:
         return mid
-    left = _cover(lo, F.when(whole, first * size).otherwise(hi), sizes[1:])
-    right = _cover(F.when(whole, last * size).otherwise(hi), hi, sizes[1:])
+    left = cover(lo, F.when(whole, first * size).otherwise(hi), sizes[1:])
+    right = cover(F.when(whole, last * size).otherwise(hi), hi, sizes[1:])
     return F.concat(left, mid, right)
 
 
@@ -73,7 +73,7 @@ def fan_out_as_of(messages: DataFrame, sessions: DataFrame, ts_col: str = "arriv
     start_b = F.floor(epoch_micros("sub_start") / b).cast("bigint")
     end_b = F.least(F.coalesce(F.floor((epoch_micros("sub_end") - 1) / b).cast("bigint"), F.lit(last)), F.lit(last)) + 1
     live = (F.col("sub_end").isNull() | (F.col("sub_end") > F.col("sub_start"))) & (start_b < end_b)
-    s = (sessions.filter(live).select(*keys, "session_id", "sub_start", "sub_end", F.explode(_cover(start_b, end_b)).alias("at"))
+    s = (sessions.filter(live).select(*keys, "session_id", "sub_start", "sub_end", F.explode(cover(start_b, end_b)).alias("at"))
                  .select(*keys, "session_id", "sub_start", "sub_end", "at.size", "at.node"))
     m = messages.withColumn("at", F.explode(F.array(*[
         F.struct(F.lit(n).alias("size"), F.floor(epoch_micros(ts_col) / (b * n)).cast("bigint").alias("node")) for n in NODE_SIZES])))
