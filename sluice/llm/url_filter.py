@@ -6,8 +6,10 @@ intervals that are active at its fetch time.  ``kind`` is "domain" (the host or
 leading path segments, as many as ``prefix_segments``).  The most specific active entry (longest pattern) decides; at equal
 length "allow" beats "block", then the later list name and pattern.
 
-The as-of join is an equality join on (kind, pattern, time bucket) with the interval test inside it, so a capture meets only the
-intervals of its own keys and bucket; hot hosts are split by adaptive skew handling.  Intervals of a hot pattern are found in
+The as-of join is an equality join on (kind, pattern, time node) with the interval test inside it, so a capture meets only the
+intervals of its own keys and time; hot hosts are split by adaptive skew handling.  Nodes are buckets of 30 days and, where the
+fetch times span more than 32 of them, runs of 32, 1,024 and so on: an interval is listed under the few nodes that cover it once,
+a capture asks at its node of each size, so an open entry and a capture dated far away cost a few rows, not one per bucket.  Intervals of a hot pattern are found in
 two steps, within a bucket of time and between buckets, so no task sorts all entries of one pattern.
 
 Null url, a url without scheme and host, or a host of more than 253 characters has no key: verdict "none".  Null fetch_time:
@@ -20,7 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.operators.fanout import cover
+
 BUCKET_SECONDS = 30 * 86_400
+FAN = 32
 PREFIX_SEGMENTS = 2
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
@@ -65,16 +70,32 @@ def intervals(entries: DataFrame) -> DataFrame:
         .select(*[f"l.{c}" for c in KEY], "l.since", F.coalesce("l.until", "n.after").alias("until"))
 
 
+def node_sizes(buckets: int) -> list[int]:
+    """Sizes of the time nodes for a span of so many buckets, largest first: powers of ``FAN`` below it."""
+    sizes = [1]
+    while sizes[0] * FAN < buckets:
+        sizes.insert(0, sizes[0] * FAN)
+    return sizes
+
+
+def listed(spans: DataFrame, lo: int, hi: int) -> DataFrame:
+    """The intervals that touch buckets lo to hi, each under the time nodes (size, node) that cover it there."""
+    from_ = F.greatest(F.lit(lo), bucket(F.col("since")))
+    to = F.least(F.lit(hi), F.coalesce(bucket(F.col("until")), F.lit(hi)))
+    return spans.where(from_ <= to).select(*KEY, "since", "until", F.explode(cover(from_, to + 1, node_sizes(hi - lo + 1))).alias("at")) \
+        .select(*KEY, "since", "until", "at.size", "at.node")
+
+
 def evaluate(captures: DataFrame, entries: DataFrame, prefix_segments: int = PREFIX_SEGMENTS) -> DataFrame:
     """One row per capture: verdict, the entry that decides with its interval, and the number of active entries."""
     seen = captures.select("page_id", "url", "fetch_time")
     span = seen.agg(F.min(bucket(F.col("fetch_time"))).alias("lo"), F.max(bucket(F.col("fetch_time"))).alias("hi")).first()
-    lo, hi = (F.lit(span[c] or 0) for c in ("lo", "hi"))
-    from_, to = F.greatest(lo, bucket(F.col("since"))), F.least(hi, F.coalesce(bucket(F.col("until")), hi))
-    active = intervals(entries).where(from_ <= to).select(*KEY, "since", "until", F.explode(F.sequence(from_, to)).alias("bucket"))
-    asked = seen.select("*", F.explode(keys(F.col("url"), prefix_segments)).alias("k")) \
-        .select("page_id", "url", "fetch_time", "k.kind", "k.pattern", bucket(F.col("fetch_time")).alias("bucket"))
-    hits = asked.join(active, ["kind", "pattern", "bucket"]).where(
+    lo, hi = (span[c] or 0 for c in ("lo", "hi"))
+    nodes = F.array(*[F.struct(F.lit(n).alias("size"), F.floor(bucket(F.col("fetch_time")) / n).alias("node")) for n in node_sizes(hi - lo + 1)])
+    asked = seen.where("fetch_time is not null").select("*", F.explode(keys(F.col("url"), prefix_segments)).alias("k")) \
+        .select("page_id", "url", "fetch_time", "k.kind", "k.pattern", F.explode(nodes).alias("at")) \
+        .select("page_id", "url", "fetch_time", "kind", "pattern", "at.size", "at.node")
+    hits = asked.join(listed(intervals(entries), lo, hi), ["kind", "pattern", "size", "node"]).where(
         "fetch_time >= since and (until is null or fetch_time < until)")
     entry = F.struct(F.length("pattern").alias("size"), (F.col("verdict") == "allow").alias("allow"), "list_name", "pattern",
                      "kind", "verdict", "since", "until")

@@ -57,6 +57,24 @@ def test_interval_ends(spark):
     assert got[1].active_since == day(1) and got[1].active_until == day(100)
 
 
+def test_far_times(spark):
+    """Fetch times from 1900 to 9999 give the same answers, and an open entry is listed under few nodes."""
+    rnd = random.Random(5)
+    far = [dt.datetime(1900, 1, 1), dt.datetime(1969, 12, 31, 23, 59, 59), dt.datetime(2031, 5, 1), dt.datetime(9999, 12, 30)]
+    entries = [("l%d" % i, "block", "domain", rnd.choice(["a.com", "b.a.com"]), rnd.choice(["add", "remove"]), rnd.choice(far + [day(i)])) for i in range(60)]
+    entries += [("open", "allow", "domain", "a.com", "add", far[0]), ("late", "block", "domain", "a.com", "add", far[3])]
+    captures = [(i, "http://b.a.com/", rnd.choice(far + [day(rnd.randint(0, 80))]) + dt.timedelta(seconds=rnd.randint(0, 1))) for i in range(80)]
+    captures, entries = spark.createDataFrame(captures, CAPTURES), spark.createDataFrame(entries, ENTRIES)
+    assert answer(url_filter.evaluate(captures, entries)) == brute([tuple(r) for r in captures.collect()], [tuple(r) for r in entries.collect()])
+    lo, hi = -852, 97_800
+    assert url_filter.node_sizes(hi - lo + 1) == [32_768, 1024, 32, 1] and url_filter.node_sizes(13) == [1]
+    spans = url_filter.intervals(entries)
+    assert url_filter.listed(spans, lo, hi).count() < 200 * spans.count()
+    covered = url_filter.listed(spans, lo, hi).groupBy(*url_filter.KEY, "since", "until").agg({"size": "sum"}).collect()
+    wanted = spans.select("since", "until", url_filter.bucket(spans["since"]).alias("a"), url_filter.bucket(spans["until"]).alias("b")).collect()
+    assert sorted(r["sum(size)"] for r in covered) == sorted((hi if r.b is None else r.b) - max(lo, r.a) + 1 for r in wanted if r.a <= hi)
+
+
 def test_awkward_rows(spark):
     entries = [("l", "block", "domain", "a.com", "add", day(0)), ("l", "block", "domain", None, "add", day(0)), ("l", None, "domain", "b.com", "add", day(0)),
                ("l", "block", "domain", "c.com", None, day(0)), ("l", "block", "domain", "d.com", "add", None)]
