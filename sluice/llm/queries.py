@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sluice.llm import bpe, decontaminate, fingerprint, language, line_dedup, merkle, minhash, packing, pii, spelling, toxicity, url_filter, warc
 from sluice.llm.common import new_folder, read
 from sluice.registry import register
+from sluice.session import delete_on_exit
 
 
 @register("op7_packing")
@@ -26,6 +27,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_warc")
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
+    delete_on_exit(spark, folder)
     manifest = warc.write(read(spark, sf_dir, "pages"), folder)
     return warc.read_back(manifest, folder).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -3,9 +3,10 @@
 Records are dealt to shards by ranges of page_id: equal-width bins of the ids are weighed (records and payload bytes) and
 consecutive bins joined up to ``shard_bytes``, so the same input gives the same shards on any cluster.  Each task sorts its
 shard by page_id and writes gzip members, one per record, to files that roll when ``file_bytes`` compressed bytes are reached.
-Headers, digests and record ids are made anew from the rows.  A file gets a temporary name with a fresh suffix per attempt;
-the attempt that Spark accepts reports it in the manifest (a Parquet table), and only files of the manifest are renamed to
-their final names and read.  Files of lost or repeated attempts are never seen.
+Headers, digests and record ids are made anew from the rows.  A file gets a temporary name with a fresh suffix per attempt, in a
+folder of its own; the attempt that Spark accepts reports it in the manifest (a Parquet table), and only files of the manifest are
+renamed to their final names and read.  Files of lost or repeated attempts are never seen and go with the temporary folder once
+all names are final (a folder takes the archives of one write).
 
 Equal payloads of at least ``min_revisit`` bytes: the row with the largest page_id is a response, the others are revisits of
 it.  The groups are found on digests alone; payloads move once, to their shard.
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.common import Ranges, ship, stored
+from sluice.session import delete_folder
 
 MIN_REVISIT = 1000
 SHARD_BYTES = 64 << 20
@@ -37,6 +39,7 @@ FILE_BYTES = 16 << 20
 DATE = "2024-01-01T00:00:00Z"  # pages carry no time of capture
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
+TEMPORARY = "_temporary"
 MANIFEST = "temporary string, final string, records long, bytes long, sha256 string"
 MANIFEST_NAMES = ["temporary", "final", "records", "bytes", "sha256"]
 COMMITTED = "file string, records long, bytes long, sha256 string"
@@ -104,8 +107,8 @@ class Roller:
             self.close()
             self.part = self.part + 1 if shard == self.shard else 0
             self.shard, self.size, self.records, self.sha = shard, 0, 0, hashlib.sha256()
-            self.temporary = f".tmp-{shard:06d}-{self.part:05d}-{self.attempt}"
-            self.system.create_dir(self.base, recursive=True)
+            self.temporary = f"{TEMPORARY}/{shard:06d}-{self.part:05d}-{self.attempt}"
+            self.system.create_dir(f"{self.base}/{TEMPORARY}", recursive=True)
             self.out = self.system.open_output_stream(f"{self.base}/{self.temporary}", compression=None)
         self.out.write(packed)
         self.sha.update(packed)
@@ -164,7 +167,7 @@ def write(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT, shard_b
 
 
 def commit(manifest: DataFrame, folder: str) -> DataFrame:
-    """Give the files of the manifest their final names; done twice it changes nothing."""
+    """Give the files of the manifest their final names and remove the other files written; done twice it changes nothing."""
     from pyarrow import fs
 
     def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +178,9 @@ def commit(manifest: DataFrame, folder: str) -> DataFrame:
                     system.move(f"{base}/{old}", f"{base}/{new}")
             yield pa.RecordBatch.from_arrays(b.columns[1:], ["file", "records", "bytes", "sha256"])
 
-    return stored(manifest.mapInArrow(rename, COMMITTED), "committed")
+    committed = stored(manifest.mapInArrow(rename, COMMITTED), "committed")
+    delete_folder(manifest.sparkSession, f"{folder}/{TEMPORARY}")
+    return committed
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:

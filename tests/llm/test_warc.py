@@ -55,7 +55,6 @@ def test_files_are_sorted_gzip_members_under_final_names(spark):
     folder, manifest, back = archived(spark, spark.createDataFrame(rows, PAGES))
     names = sorted(os.listdir(folder))
     assert [n for n in names if not n.startswith(".")] == [r.file for r in manifest.collect()]
-    assert not [n for n in names if n.startswith(".tmp")]
     text = gzip.open(os.path.join(folder, manifest.first().file)).read().decode()
     assert [line for line in text.splitlines() if line.startswith("X-Page-ID")] == ["X-Page-ID: 3", "X-Page-ID: 5", "X-Page-ID: 9"]
     assert text.count("WARC-Type: revisit") == 2 and text.count("x" * 2000) == 1
@@ -64,10 +63,22 @@ def test_files_are_sorted_gzip_members_under_final_names(spark):
 
 def test_commit_twice_changes_nothing(spark):
     folder, manifest, _ = archived(spark, spark.createDataFrame([(1, "u", "x")], PAGES))
-    again = manifest.select(F.lit(".tmp-gone").alias("temporary"), F.col("file").alias("final"), "records", "bytes", "sha256")
+    again = manifest.select(F.lit("_temporary/gone").alias("temporary"), F.col("file").alias("final"), "records", "bytes", "sha256")
     assert warc.commit(again, folder).collect() == manifest.collect()
 
 
+def test_files_of_lost_attempts_go(spark):
+    """A file that no accepted attempt reports is neither read nor kept."""
+    import os
+    folder = new_folder(spark, "test-warc")
+    os.makedirs(os.path.join(folder, warc.TEMPORARY))
+    lost = os.path.join(folder, warc.TEMPORARY, "000000-00000-lost")
+    open(lost, "wb").write(b"cut off")
+    manifest = warc.write(spark.createDataFrame([(1, "u", "x"), (2, "v", "y")], PAGES), folder)
+    assert not os.path.exists(lost) and sorted(r.page_id for r in warc.read_back(manifest, folder).collect()) == [1, 2]
+    assert [n for n in os.listdir(folder) if not n.startswith(".")] == [r.file for r in manifest.collect()]
+
+
 def test_repeated_page(spark):
     rows = [(7, "http://b/", "y" * 1500), (7, "http://a/", "y" * 1500), (3, "http://c/", "y" * 1500)]
     got = sorted((r.page_id, r.target_uri, r.record_type, r.refers_to) for r in archived(spark, spark.createDataFrame(rows, PAGES))[2].collect())
