@@ -172,3 +172,34 @@ def test_chain_position_keeps_rows_without_key_or_time(spark):
             spark.conf.set(k, v)
     assert plan.count("FileScan") == 1
     assert plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange") <= 5
+
+
+def most_in_a_task(df):
+    """Rows in all tasks and in the fullest one."""
+    n = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    return sum(n), max(n)
+
+
+def test_pairs_of_a_hot_key_are_spread_over_tasks(spark):
+    """One (tenant, channel), read by one task, makes 16 million pairs; several tasks make them."""
+    key = [F.lit("t").alias("tenant_id"), F.lit("c").alias("channel")]
+    messages, sessions = (spark.range(0, 4_000, 1, 1).select(F.col("id").alias(c), *key) for c in ("message_id", "session_id"))
+    total, most = most_in_a_task(fanout.fan_out(messages, sessions))
+    assert total == 16_000_000 and most < total
+
+
+def test_pairs_of_a_hot_node_are_spread_over_tasks(spark):
+    """One (tenant, channel) with all messages in one hour."""
+    key = [F.lit("t").alias("tenant_id"), F.lit("c").alias("channel")]
+    hour = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    messages = spark.range(0, 4_000, 1, 1).select(F.col("id").alias("message_id"), *key, hour.alias("arrival_ts"))
+    sessions = spark.range(0, 4_000, 1, 1).select(F.col("id").alias("session_id"), *key, hour.alias("sub_start"), F.lit(None).cast("timestamp_ntz").alias("sub_end"))
+    total, most = most_in_a_task(fanout.fan_out_as_of(messages, sessions))
+    assert total == 16_000_000 and most < total
+
+
+def test_blocks_keep_repeated_rows_and_leave_out_null_keys(spark):
+    messages = spark.createDataFrame([(1, "t", "c"), (1, "t", "c"), (2, None, "c"), (3, "t", "d")], "message_id long, tenant_id string, channel string")
+    sessions = spark.createDataFrame([(7, "t", "c"), (7, "t", "c"), (8, None, "c"), (None, "t", "d")], "session_id long, tenant_id string, channel string")
+    got = sorted((r.message_id, r.session_id) for r in fanout.fan_out(messages, sessions).collect())
+    assert got == [(1, 7)] * 4 + [(3, None)]
