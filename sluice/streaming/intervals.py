@@ -34,7 +34,7 @@ def both_sides(messages: DataFrame, sessions: DataFrame) -> DataFrame:
     return both.select(*[F.col(c).cast(t).alias(c) for c, t in (x.split() for x in SIDES.split(", "))], "at")
 
 
-def as_of_sink(out_path: str, state_path: str, late_path: str, lateness_ms: int = 600_000):
+def as_of_sink(out_path: str, state_path: str, late_path: str, lateness_ms: int = 600_000, in_blocks: bool = False):
     """J03 as a ``foreachBatch`` function over :func:`both_sides`.
 
     A batch joins its messages with the sessions held and its own sessions with
@@ -43,7 +43,11 @@ def as_of_sink(out_path: str, state_path: str, late_path: str, lateness_ms: int
     older than the watermark are late: they meet what is still held, and are
     written to ``late_path`` for a repair by the batch job.  A batch that runs
     again reads the state of the batch before it and leaves the same tables.
+    ``in_blocks`` writes the joined blocks instead of their pairs, which
+    :func:`fanout.as_of_pairs` makes on reading.
     """
+    made = _blocks if in_blocks else _pairs
+
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         newest = _newest_batch(spark, state_path, batch_id)
@@ -57,8 +61,8 @@ def as_of_sink(out_path: str, state_path: str, late_path: str, lateness_ms: int
             mark = lambda c: None if None in (c["m"], c["s"]) else min(c["m"], c["s"]) - lateness_ms * 1000
             was, upto = mark(before), mark(clock)
             rows = held.filter("side is not null").select(*_COLUMNS)
-            _overwrite_batch(_pairs(new, rows.filter(F.col("side") == SESSION)).unionByName(
-                _pairs(rows.unionByName(new), new.filter(F.col("side") == SESSION))), out_path, batch_id)
+            _overwrite_batch(made(new, rows.filter(F.col("side") == SESSION)).unionByName(
+                made(rows.unionByName(new), new.filter(F.col("side") == SESSION))), out_path, batch_id)
             own_time = F.coalesce(epoch_micros("arrival_ts"), epoch_micros("sub_start"))
             late = F.lit(False) if was is None else own_time < F.lit(was)
             _overwrite_batch(new.filter(late), late_path, batch_id)
@@ -72,9 +76,17 @@ def as_of_sink(out_path: str, state_path: str, late_path: str, lateness_ms: int
     return run
 
 
+def _both(messages: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return (messages.filter(F.col("side") == MESSAGE).select("message_id", *fanout.KEYS, "arrival_ts"),
+            sessions.select("session_id", *fanout.KEYS, "sub_start", "sub_end"))
+
+
 def _pairs(messages: DataFrame, sessions: DataFrame) -> DataFrame:
-    m = messages.filter(F.col("side") == MESSAGE).select("message_id", *fanout.KEYS, "arrival_ts")
-    return fanout.fan_out_as_of(m, sessions.select("session_id", *fanout.KEYS, "sub_start", "sub_end")).select("message_id", "session_id", "arrival_ts")
+    return fanout.fan_out_as_of(*_both(messages, sessions)).select("message_id", "session_id", "arrival_ts")
+
+
+def _blocks(messages: DataFrame, sessions: DataFrame) -> DataFrame:
+    return fanout.as_of_blocks(*_both(messages, sessions))
 
 
 def held_rows(spark: SparkSession, state_path: str) -> DataFrame:

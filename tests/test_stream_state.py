@@ -222,3 +222,27 @@ def test_slices_are_bounded(spark):
     out = folder(spark, "slices")
     assert harness.stage_slices(df, "ts", out, rows_per_slice=1) == harness.MAX_SLICES
     assert spark.read.parquet(out).count() == 400
+
+
+def test_fan_out_stream_stores_blocks_not_pairs(spark):
+    """What a batch stores grows with its rows; reading makes the pairs."""
+    base = folder(spark, "fan-out-blocks")
+    key = [F.lit("t").alias("tenant_id"), F.lit("c").alias("channel")]
+    sink = jobs.fan_out_sink(base, lambda: spark.range(300).select(F.col("id").alias("session_id"), *key), in_blocks=True)
+    sink(spark.range(400).select(F.col("id").alias("message_id"), *key), 0)
+    stored = spark.read.parquet(base)
+    assert stored.count() == 1
+    assert fanout.pairs(stored).distinct().count() == 300 * 400
+
+
+def test_interval_blocks_equal_the_pairs(spark):
+    """J03 on streams: the blocks of all batches hold the same pairs; reading tests the exact range."""
+    batches = [([(1, "t", "c", at(5)), (2, "t", "c", at(30))], [(10, "t", "c", at(0), at(20)), (11, "t", "c", at(0), None)]),
+               ([(3, "t", "c", at(60))], [(12, "t", "c", at(25), at(40))])]
+    base, _ = interval_run(spark, batches)
+    other = folder(spark, "interval-blocks")
+    sink = intervals.as_of_sink(*(os.path.join(other, n) for n in ("out", "held", "late")), in_blocks=True)
+    for k, (m, s) in enumerate(batches):
+        sink(intervals.both_sides(spark.createDataFrame(m, MESSAGES), spark.createDataFrame(s, SESSIONS)), k)
+    got = fanout.as_of_pairs(spark.read.parquet(os.path.join(other, "out")))
+    assert sorted((r.message_id, r.session_id) for r in got.collect()) == pairs_of(spark, base) == [(1, 10), (1, 11), (2, 11), (2, 12), (3, 11)]
