@@ -10,13 +10,14 @@ the two sides' newest times, less the lateness allowed; it never goes back.
 from __future__ import annotations
 
 import os
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions import epoch_micros
 from sluice.operators import fanout
-from sluice.streaming.jobs import _newest_batch, _numbers, _overwrite_batch
+from sluice.streaming.jobs import _newest_batch, _numbers, _overwrite_batch, together
 
 MESSAGE, SESSION = "message", "session"
 SIDES = ("side string, message_id long, session_id long, tenant_id string, channel string, "
@@ -61,15 +62,14 @@ def as_of_sink(out_path: str, state_path: str, late_path: str, lateness_ms: int
             mark = lambda c: None if None in (c["m"], c["s"]) else min(c["m"], c["s"]) - lateness_ms * 1000
             was, upto = mark(before), mark(clock)
             rows = held.filter("side is not null").select(*_COLUMNS)
-            _overwrite_batch(made(new, rows.filter(F.col("side") == SESSION)).unionByName(
-                made(rows.unionByName(new), new.filter(F.col("side") == SESSION))), out_path, batch_id)
+            met = made(new, rows.filter(F.col("side") == SESSION)).unionByName(made(rows.unionByName(new), new.filter(F.col("side") == SESSION)))
             own_time = F.coalesce(epoch_micros("arrival_ts"), epoch_micros("sub_start"))
             late = F.lit(False) if was is None else own_time < F.lit(was)
-            _overwrite_batch(new.filter(late), late_path, batch_id)
             needed = F.lit(True) if upto is None else F.when(F.col("side") == MESSAGE, epoch_micros("arrival_ts") >= upto).otherwise(
                 F.col("sub_end").isNull() | (epoch_micros("sub_end") > upto))
             clocks = spark.range(1).select(F.lit(clock["m"]).cast("long").alias("message_clock_us"), F.lit(clock["s"]).cast("long").alias("session_clock_us"))
-            _overwrite_batch(rows.unionByName(new).filter(needed).unionByName(clocks, allowMissingColumns=True), state_path, batch_id)
+            state = rows.unionByName(new).filter(needed).unionByName(clocks, allowMissingColumns=True)
+            together(*[partial(_overwrite_batch, df, path, batch_id) for df, path in ((met, out_path), (new.filter(late), late_path), (state, state_path))])
         finally:
             new.unpersist()
 

@@ -10,13 +10,14 @@ watermark never is ahead of the first query's clock, so it drops nothing.
 from __future__ import annotations
 
 import os
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.session import list_folder, rename_folder
 from sluice.streaming.harness import read_files_stream
-from sluice.streaming.jobs import _newest_batch, _numbers, _overwrite_batch
+from sluice.streaming.jobs import _newest_batch, _numbers, _overwrite_batch, together
 
 LATENESS_MS = 120_000
 WINDOW_US = 60_000_000
@@ -50,12 +51,12 @@ def route_sink(base: str, lateness_ms: int = LATENESS_MS):
         minute = F.floor(F.col("ts_us") / WINDOW_US)
         late = F.lit(False) if held is None else (minute + 1) * WINDOW_US <= F.lit(held - lateness_ms * 1000)
         counted = batch.filter(late).groupBy("tenant_id", F.timestamp_micros(minute * WINDOW_US).cast("timestamp_ntz").alias("minute_start"))
-        _overwrite_batch(counted.agg(F.count(F.lit(1)).alias("seen")), late_path, batch_id)
-        publish_once(batch.filter(~late).select("tenant_id", "event_ts", F.lit(False).alias("marker")), on_time, batch_id)
+        others = batch.filter(~late).select("tenant_id", "event_ts", F.lit(False).alias("marker"))
         clock = batch.agg(F.max("ts_us").alias("clock_us"))
         if held is not None:
             clock = clock.select(F.greatest(F.coalesce("clock_us", F.lit(held)), F.lit(held)).alias("clock_us"))
-        _overwrite_batch(clock, clock_path, batch_id)
+        together(partial(_overwrite_batch, counted.agg(F.count(F.lit(1)).alias("seen")), late_path, batch_id),
+                 partial(publish_once, others, on_time, batch_id), partial(_overwrite_batch, clock, clock_path, batch_id))
 
     return run
 

@@ -246,3 +246,13 @@ def test_interval_blocks_equal_the_pairs(spark):
         sink(intervals.both_sides(spark.createDataFrame(m, MESSAGES), spark.createDataFrame(s, SESSIONS)), k)
     got = fanout.as_of_pairs(spark.read.parquet(os.path.join(other, "out")))
     assert sorted((r.message_id, r.session_id) for r in got.collect()) == pairs_of(spark, base) == [(1, 10), (1, 11), (2, 11), (2, 12), (3, 11)]
+
+
+def test_writes_of_a_batch_run_at_the_same_time(spark):
+    """Neither write ends before the other has begun; a failed one is raised after the others are done."""
+    import threading
+    both, done = threading.Barrier(2, timeout=60), []
+    jobs.together(both.wait, both.wait)
+    with pytest.raises(ZeroDivisionError):
+        jobs.together(lambda: 1 // 0, lambda: done.append(spark.range(3).count()))
+    assert done == [3]
