@@ -15,7 +15,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.session import list_folder, rename_folder
+from sluice.session import list_folder, rename_folder, setting
 from sluice.streaming.harness import read_files_stream
 from sluice.streaming.jobs import _newest_batch, _numbers, _overwrite_batch, together
 
@@ -67,8 +67,13 @@ def start_windows(spark: SparkSession, base: str, lateness_ms: int = LATENESS_MS
     counts = (rows.withWatermark("event_ts", f"{lateness_ms} milliseconds").groupBy(F.window("event_ts", "1 minute").alias("w"), "tenant_id")
                   .agg(F.count_if(~F.col("marker")).alias("seen"))
                   .select("tenant_id", F.col("w.start").cast("timestamp_ntz").alias("minute_start"), "seen"))
-    return (counts.writeStream.format("parquet").outputMode("append").option("path", os.path.join(base, "closed"))
-            .option("checkpointLocation", os.path.join(base, "checkpoint-windows")).trigger(availableNow=True).start())
+    writer = (counts.writeStream.format("parquet").outputMode("append").option("path", os.path.join(base, "closed"))
+              .option("checkpointLocation", os.path.join(base, "checkpoint-windows")).trigger(availableNow=True))
+    # State in one partition per core, if the session does not say fewer: every state partition is written at every batch,
+    # however few rows it got, and their number stays for the query's life.
+    partitions = "spark.sql.shuffle.partitions"
+    with setting(spark, partitions, min(int(spark.conf.get(partitions)), spark.sparkContext.defaultParallelism)):
+        return writer.start()
 
 
 def close_all(spark: SparkSession, base: str, lateness_ms: int = LATENESS_MS) -> None:
