@@ -68,13 +68,14 @@ def outcome(df: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
          .otherwise(F.lit(STATUS_RETRY)))
 
 
-def status_expand(df: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
+def status_expand(df: DataFrame, max_retries: int = MAX_RETRIES, newest_only: bool = False) -> DataFrame:
     """One consumed message -> its status rows, in write order.
 
     ``received`` is attempted for every row (present unless that write
     failed); ``delivered`` is written when nothing failed before it and its
     write succeeded (so a push failure still leaves it); a failed row then
     gets ``retry_scheduled`` or ``dlq`` with ``attempt = retry_count + 1``.
+    ``newest_only`` keeps the last of a message's rows.
     """
     df = outcome(df, max_retries)
     rc = F.coalesce(F.col("retry_count"), F.lit(0)).cast("int")
@@ -95,6 +96,8 @@ def status_expand(df: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
                  (F.col("outcome") != STATUS_DELIVERED).alias("keep")),
     )
     kept = F.filter(entries, lambda e: e["keep"])
+    if newest_only:
+        kept = F.slice(kept, -1, 1)
     base = [c for c in df.columns if c not in ("failure_reason", "outcome")]
     return (df.select(*base, F.explode(kept).alias("e"))
               .select(*base, F.col("e.step").alias("step"), F.col("e.status").alias("status"),

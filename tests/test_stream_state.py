@@ -178,6 +178,67 @@ def test_claims_on_file_enter_once_and_survive_compaction_and_reruns(spark):
     assert any(n.startswith("upto=") for b in (0, 1) for n in list_folder(spark, os.path.join(table, f"bucket={b}")))
 
 
+def test_all_buckets_are_folded_in_one_job(spark):
+    base = folder(spark, "claims-fold")
+    table = os.path.join(base, "claims")
+    rows = spark.createDataFrame([("t", f"key-{i}", f"c-{i}", at(i)) for i in range(60)], claims.CLAIM_SCHEMA)
+    for k in range(3):
+        claims.add(rows.filter(F.substring("idempotency_key", 5, 9).cast("int") % 3 == k), table, k, 12)
+    spark.sparkContext.setJobGroup("claims-fold", "")
+    claims.compact(spark, table, 3, 12)
+    jobs_run = len(spark.sparkContext.statusTracker().getJobIdsForGroup("claims-fold"))
+    spark.sparkContext.setJobGroup("", "")
+    assert 0 < jobs_run < 6
+    assert all(len(claims.folders(spark, table, [b], 3)) <= 1 for b in range(12))
+    assert sorted(map(tuple, claims.held(spark, table, list(range(12)), 3).collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_verdicts_are_decided_by_a_task_per_core(spark):
+    base = folder(spark, "claims-tasks")
+    said = spark.conf.get("spark.sql.shuffle.partitions")
+    cores = spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.shuffle.partitions", str(5 * cores))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # a stream's batches may run without it
+    try:
+        jobs.dedup_sink(os.path.join(base, "out"), os.path.join(base, "claims"))(claim_batch(spark, 0, [f"k-{i}" for i in range(300)]), 0)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", said)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    written = [f for f in os.listdir(os.path.join(base, "out", "batch_id=0")) if f.endswith(".parquet")]
+    assert len(written) <= cores
+    assert spark.read.parquet(os.path.join(base, "out")).filter("claimed").count() == 300
+
+
+def test_windows_keep_state_in_a_partition_per_core(spark):
+    base = folder(spark, "windows-state")
+    rows = jobs.with_event_time(spark.createDataFrame([("t", at(1)), ("t", at(2))], "tenant_id string, arrival_ts timestamp_ntz"))
+    windows.route_sink(base)(rows, 0)
+    said = spark.conf.get("spark.sql.shuffle.partitions")
+    cores = spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.shuffle.partitions", str(3 * cores))
+    try:
+        windows.start_windows(spark, base).awaitTermination()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == str(3 * cores)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", said)
+    held = [n for n in os.listdir(os.path.join(base, "checkpoint-windows", "state", "0")) if n.isdigit()]
+    assert 0 < len(held) <= cores
+
+
+def test_a_small_fold_leaves_a_large_snapshot_alone(spark):
+    base = folder(spark, "state-folds")
+    log, snap = os.path.join(base, "state"), os.path.join(base, "snapshot")
+    written = []
+    for k in range(12):
+        rows = spark.createDataFrame([("t", m, 1, f"{k}") for m in (k, k + 1)], "tenant_id string, message_id long, step int, status string")
+        jobs.append_state_delta(rows.withColumn("batch_id", F.lit(k)), log, k)
+        jobs.compact_state(spark, log, snap)
+        written.append(spark.read.parquet(os.path.join(snap, f"upto={k}")).count())
+        assert {r.message_id: r.status for r in jobs.read_state(spark, log, snap).collect()} == {m: str(min(m, k)) for m in range(k + 2)}
+    assert 1 < len(jobs._numbers(spark, snap, "upto=")) <= 4
+    assert sum(written) < sum(k + 2 for k in range(12))  # every snapshot written whole
+
+
 def test_counters_expire_by_event_day(spark):
     """State of days more than two behind the newest is removed; ranks are those of one run over all rows."""
     base = folder(spark, "quota-days")
