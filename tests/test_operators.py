@@ -203,3 +203,31 @@ def test_blocks_keep_repeated_rows_and_leave_out_null_keys(spark):
     sessions = spark.createDataFrame([(7, "t", "c"), (7, "t", "c"), (8, None, "c"), (None, "t", "d")], "session_id long, tenant_id string, channel string")
     got = sorted((r.message_id, r.session_id) for r in fanout.fan_out(messages, sessions).collect())
     assert got == [(1, 7)] * 4 + [(3, None)]
+
+
+def final_plan(df):
+    """The plan that ran, once all parts were planned by their sizes."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_as_of_join_holds_rows_not_arrays(spark):
+    """Rows are sorted and joined, which spills; arrays of a key's rows are built on the heap."""
+    m = fx.consumed(spark, SF001).select("message_id", "tenant_id", "channel", "arrival_ts")
+    ran = final_plan(fanout.fan_out_as_of(m, fx.sessions(spark, SF001)))
+    assert "collect_list" not in ran and "Join" in ran
+
+
+def test_as_of_join_of_keys_with_several_blocks(spark, monkeypatch):
+    """Blocks of three rows; repeated rows, null keys and null times on either side."""
+    import datetime as dt
+    monkeypatch.setattr(fanout, "JOIN_ROWS", 3)
+    at = lambda h: None if h is None else dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    messages = spark.createDataFrame([(i % 17, k, "c", at(None if i == 5 else i / 3)) for i in range(40) for k in ("t", None, "lone")],
+                                     "message_id long, tenant_id string, channel string, arrival_ts timestamp_ntz")
+    sessions = spark.createDataFrame([(i % 7, k, "c", at(None if i == 3 else i / 2), at(None if i % 5 == 0 else i / 2 + i % 4)) for i in range(20) for k in ("t", None)],
+                                     "session_id long, tenant_id string, channel string, sub_start timestamp_ntz, sub_end timestamp_ntz")
+    columns = ["message_id", "session_id", "arrival_ts"]
+    slow = (messages.join(sessions, ["tenant_id", "channel"])
+                    .filter((F.col("sub_start") <= F.col("arrival_ts")) & (F.col("sub_end").isNull() | (F.col("arrival_ts") < F.col("sub_end")))).select(columns))
+    assert sorted(fanout.fan_out_as_of(messages, sessions).select(columns).collect()) == sorted(slow.collect())
