@@ -231,3 +231,20 @@ def test_as_of_join_of_keys_with_several_blocks(spark, monkeypatch):
     slow = (messages.join(sessions, ["tenant_id", "channel"])
                     .filter((F.col("sub_start") <= F.col("arrival_ts")) & (F.col("sub_end").isNull() | (F.col("arrival_ts") < F.col("sub_end")))).select(columns))
     assert sorted(fanout.fan_out_as_of(messages, sessions).select(columns).collect()) == sorted(slow.collect())
+
+
+def test_fan_out_holds_rows_not_arrays(spark):
+    """As J03, the blocks of both sides are rows that spill."""
+    m = fx.consumed(spark, SF001).select("message_id", "tenant_id", "channel")
+    ran = final_plan(fanout.fan_out(m, fx.sessions(spark, SF001)))
+    assert "collect_list" not in ran and "Join" in ran
+
+
+def test_fan_out_of_keys_with_several_blocks(spark, monkeypatch):
+    """Blocks of three rows; repeated rows and null keys on either side."""
+    monkeypatch.setattr(fanout, "JOIN_ROWS", 3)
+    messages = spark.createDataFrame([(i % 11, k, "c") for i in range(30) for k in ("t", None, "lone")], "message_id long, tenant_id string, channel string")
+    sessions = spark.createDataFrame([(i % 7, k, "c") for i in range(20) for k in ("t", None)], "session_id long, tenant_id string, channel string")
+    got = fanout.fan_out(messages, sessions)
+    assert got.columns == ["tenant_id", "channel", "message_id", "session_id"]
+    assert sorted(got.collect()) == sorted(messages.join(sessions, ["tenant_id", "channel"]).select(got.columns).collect())
