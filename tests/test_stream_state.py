@@ -296,6 +296,19 @@ def test_fan_out_stream_stores_blocks_not_pairs(spark):
     assert fanout.pairs(stored).distinct().count() == 300 * 400
 
 
+def test_pairs_of_a_stored_block_are_passed_on_message_by_message(spark):
+    """The explodes are in two stages of generated code; one alone holds all pairs of a block before it passes the first on."""
+    import re
+    base = folder(spark, "fan-out-parted")
+    key = [F.lit("t").alias("tenant_id"), F.lit("c").alias("channel")]
+    sink = jobs.fan_out_sink(base, lambda: spark.range(30).select(F.col("id").alias("session_id"), *key), in_blocks=True)
+    sink(spark.range(40).select(F.col("id").alias("message_id"), *key), 0)
+    made = fanout.pairs(spark.read.parquet(base))
+    assert len({(r.message_id, r.session_id) for r in made.collect()}) == 30 * 40
+    stages = re.findall(r"\*\((\d+)\) Generate ", made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])
+    assert len(stages) == len(set(stages)) == 2
+
+
 def test_interval_blocks_equal_the_pairs(spark):
     """J03 on streams: the blocks of all batches hold the same pairs; reading tests the exact range."""
     batches = [([(1, "t", "c", at(5)), (2, "t", "c", at(30))], [(10, "t", "c", at(0), at(20)), (11, "t", "c", at(0), None)]),
